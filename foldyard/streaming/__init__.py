@@ -1,0 +1,2 @@
+"""Empty on purpose: every input of this engine is a table read once, so it has
+no watermark, window or state to offer."""
