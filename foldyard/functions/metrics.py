@@ -160,7 +160,7 @@ def _ratio(base: str, tp: Column, s: Column, q: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
 
-def _count_aggregate(name: str) -> Column:
+def _count_aggregate(name: str, positive: float) -> Column:
     tp, s, q = F.col("tp"), F.col("s"), F.col("q")
     if name == "accuracy":
         return F.sum(tp) / F.sum(s)
@@ -174,8 +174,8 @@ def _count_aggregate(name: str) -> Column:
         )
         return F.when(spread == 0, 0.0).otherwise(cover / F.sqrt(spread))
     base, _, average = name.partition("_")
-    if not average:  # the positive class is label 1
-        return F.max(F.when(F.col("label") == 1, _ratio(base, tp, s, q)).otherwise(0.0))
+    if not average:
+        return F.max(F.when(F.col("label") == positive, _ratio(base, tp, s, q)).otherwise(0.0))
     if average == "macro":
         return F.avg(_ratio(base, tp, s, q))
     if average == "weighted":
@@ -242,12 +242,15 @@ def _ranked_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
     return points.groupBy(*KEYS).agg(*[columns[m].alias(m) for m in metrics])
 
 
-def classification_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
+def classification_scores(
+    predictions: DataFrame, metrics: list[str], positive: float = 1
+) -> DataFrame:
+    """Scores per experiment and fold; ``positive`` is the label that counts as hit."""
     ranked = [m for m in metrics if m in RANK_METRICS]
     counted = [m for m in metrics if m not in (*RANK_METRICS, "neg_log_loss")]
     parts = []
     if counted:
-        aggregates = [_count_aggregate(m).alias(m) for m in counted]
+        aggregates = [_count_aggregate(m, positive).alias(m) for m in counted]
         parts.append(label_counts(predictions).groupBy(*KEYS).agg(*aggregates))
     if "neg_log_loss" in metrics:
         p = F.least(F.greatest(F.col("p_true"), F.lit(EPSILON)), F.lit(1 - EPSILON))
