@@ -58,6 +58,25 @@ class Affine:
         return outputs
 
 
+def own_fold_columns(chain: list[Affine], features: list[str], fold: str = "fold") -> list[Column]:
+    """The maps as column expressions, each row through the map of its own fold."""
+
+    def pick(values) -> Column:
+        if len({float(v) for v in values}) == 1:
+            return F.lit(float(values[0]))
+        return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(fold))
+
+    outputs = []
+    for j in range(chain[0].weights.shape[1]):
+        total = pick([c.offset[j] for c in chain])
+        for i, name in enumerate(features):
+            weights = [c.weights[i, j] for c in chain]
+            if any(weights):
+                total = total + F.col(name) * pick(weights)
+        outputs.append(total)
+    return outputs
+
+
 def take(keep: np.ndarray, d: int) -> Affine:
     """Selection of the given columns."""
     return Affine(np.eye(d)[:, keep], np.zeros(len(keep)))

@@ -28,6 +28,7 @@ from ..operators.features import (
     f_scores_classes,
     f_scores_regression,
     keep_percentile,
+    own_fold_columns,
     principal_axes,
     standardise,
     take,
@@ -316,25 +317,18 @@ class Engine:
             found.setdefault(row["experiment_id"], []).append(row.asDict())
         return {e: sorted(rows, key=lambda r: r["fold"]) for e, rows in found.items()}
 
-    def _score_linear(self, base: Dataset, models: list[tuple[int, list, list]]) -> dict:
+    def _score_linear(self, base: Dataset, models: list[tuple[int, list[Affine]]]) -> dict:
         """Score many linear models of one base in one pass: every row is predicted
         by the coefficients of its own fold."""
         found: dict[int, list[dict]] = {}
         for start in range(0, len(models), SCORED_TOGETHER):
-            structs = []
-            for experiment_id, betas, intercepts in models[start : start + SCORED_TOGETHER]:
-                def pick(values) -> Any:
-                    table = F.array(*[F.lit(float(v)) for v in values])
-                    return F.get(table, F.col("fold"))
-
-                p = pick(intercepts)
-                for j, name in enumerate(base.names):
-                    weights = [beta[j] for beta in betas]
-                    if any(weights):
-                        p = p + F.col(name) * pick(weights)
-                structs.append(
-                    F.struct(F.lit(experiment_id).alias("experiment_id"), p.alias("p"))
+            structs = [
+                F.struct(
+                    F.lit(experiment_id).alias("experiment_id"),
+                    own_fold_columns(maps, base.names)[0].alias("p"),
                 )
+                for experiment_id, maps in models[start : start + SCORED_TOGETHER]
+            ]
             predictions = base.df.select("fold", "y", F.inline(F.array(*structs)))
             found.update(self._score(predictions))
         return found
@@ -386,10 +380,12 @@ class Engine:
             if fitted is None:
                 others.append((experiment, prefix))
             elif prefix.bases is None:
-                betas = [c.weights @ b for c, (b, _) in zip(prefix.chain, fitted)]
-                intercepts = [float(c.offset @ b) + i for c, (b, i) in zip(prefix.chain, fitted)]
+                maps = [
+                    c.then(Affine(beta[:, None], np.array([intercept])))
+                    for c, (beta, intercept) in zip(prefix.chain, fitted)
+                ]
                 _, models = linear.setdefault(id(prefix.base), (prefix.base, []))
-                models.append((experiment.experiment_id, betas, intercepts))
+                models.append((experiment.experiment_id, maps))
             else:
                 try:
                     params = [
