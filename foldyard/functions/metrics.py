@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..errors import ConfigDataError
 from ..operators.order_stats import rank_thresholds
@@ -186,22 +186,22 @@ def _count_aggregate(name: str, positive: float) -> Column:
 def _ranked_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
     """Area under the ROC curve and average precision from running class counts.
 
-    Equal scores are first combined, so a score shared by many rows is one row. The
-    running counts are then taken inside score ranges and shifted by the totals of
-    the higher ranges; no window spans a whole fold.
+    Equal scores are combined in the map tasks, so a score shared by many rows is one
+    row. Running counts are taken inside score ranges of similar size and shifted by
+    the totals of the higher ranges; no window spans a whole fold.
     """
-    points = predictions.groupBy(*KEYS, "score").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
-    )
+    positive, negative = F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)
     shares = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    edges = points.agg(F.percentile_approx("score", shares)).first()[0] or []
-    edges = sorted(set(edges))
-    table = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    part = F.size(F.filter(table, lambda e: e <= F.col("score")))
-    points = points.withColumn("part", part)
-
-    totals = points.groupBy(*KEYS, "part").agg(
-        F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg")
+    edges = predictions.agg(F.percentile_approx("score", shares)).first()[0] or []
+    inf = float("inf")
+    scored = Bucketizer(
+        splits=[-inf, *(sorted(set(edges)) or [0.0]), inf], inputCol="score", outputCol="part"
+    ).transform(predictions.select(*KEYS, "y", "score"))
+    points = scored.groupBy(*KEYS, "part", "score").agg(
+        positive.alias("pos"), negative.alias("neg")
+    )
+    totals = scored.groupBy(*KEYS, "part").agg(
+        positive.alias("part_pos"), negative.alias("part_neg")
     )
     ranges = Window.partitionBy(*KEYS).orderBy(F.desc("part"))  # <= SCORE_RANGES rows
     above = ranges.rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,8 @@ from .rowid import ROW_ID
 
 FOLD_ID = "fold_id"
 HASH_DIGITS = 15  # hex digits of md5 that fit a positive long
-BROADCAST_GROUPS = 200_000
+HASH_BOUNDS = (0, 16**HASH_DIGITS - 1)
+BROADCAST_GROUPS = 100_000
 HOT_SHARE = 10_000  # a group with more than 1/HOT_SHARE of the rows is hot
 SHARD_GROUPS = 50_000
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -67,10 +68,12 @@ def hash_key(seed: int, value: Column, first: int = 1) -> Column:
     return F.conv(F.substring(digest, first, HASH_DIGITS), 16, 10).cast("long")
 
 
-def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str) -> tuple[DataFrame, list[str]]:
+def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str):
+    """The frame, the columns its rows are ordered by, and known limits of the first."""
     if not spec.shuffle:
-        return df, [row_id]
-    return df.withColumn("_hash", hash_key(spec.seed, F.col(row_id))), ["_hash", row_id]
+        return df, [row_id], None
+    keyed = df.withColumn("_hash", hash_key(spec.seed, F.col(row_id)))
+    return keyed, ["_hash", row_id], HASH_BOUNDS
 
 
 def _even_sizes(n: int, k: int) -> list[int]:
@@ -92,9 +95,9 @@ def random_folds(df: DataFrame, spec: PartitionSpec, row_id: str = ROW_ID) -> Da
     n = df.count()
     if spec.n_splits > n:
         raise ConfigDataError(f"Cannot make {spec.n_splits} folds of {n} rows")
-    keyed, order = _ordering(df, spec, row_id)
+    keyed, order, bounds = _ordering(df, spec, row_id)
     ranks = list(accumulate(_even_sizes(n, spec.n_splits)))[:-1]
-    rows = rank_thresholds(keyed, order, {(): ranks})[()]
+    rows = rank_thresholds(keyed, order, {(): ranks}, bounds=bounds)[()]
     fold = _fold_from_cuts(order, [rows[r] for r in ranks])
     return keyed.withColumn(FOLD_ID, fold.cast("int")).drop("_hash")
 
@@ -125,14 +128,14 @@ def stratified_folds(
     k = spec.n_splits
     if k > max((n for _, n in classes), default=0):
         raise ConfigDataError(f"{k} folds exceed the members of every class")
-    keyed, order = _ordering(df, spec, row_id)
+    keyed, order, bounds = _ordering(df, spec, row_id)
     cuts, first = {}, 0
     for label, n in classes:
         edges = list(accumulate(_dealt_counts(first, n, k)))[:-1]
         cuts[(label,)] = [e for e in edges if e < n]
         first += n
     wanted = {s: sorted(set(ranks)) for s, ranks in cuts.items()}
-    rows = rank_thresholds(keyed, order, wanted, strata=[target])
+    rows = rank_thresholds(keyed, order, wanted, [target], bounds=bounds)
 
     cut_type = T.StructType([T.StructField(c, T.LongType()) for c in order])
     schema = T.StructType(
@@ -233,7 +236,7 @@ def group_fold_table(groups: DataFrame, k: int) -> DataFrame:
         edges = list(accumulate(taken[f] for f in fold_lists[size]))[:-1]
         if edges:
             cuts[(size,)] = edges
-    rows = rank_thresholds(groups, order, cuts, strata=["_size"])
+    rows = rank_thresholds(groups, order, cuts, ["_size"], bounds=HASH_BOUNDS)
     table = groups.sparkSession.createDataFrame(
         [
             (size, folds, [rows[(size,)][e] for e in cuts.get((size,), [])])

@@ -26,22 +26,16 @@ def train_bin_edges(
 ) -> dict[tuple[int, int], list[float]]:
     """Equal-frequency edges of each (fold model, column): exact values at the ranks
     i*n/bins of the model's training rows."""
-    values = _stacked(df, columns, fold)
     sizes = {r[0]: r[1] for r in df.groupBy(fold).count().collect()}
     n = sum(sizes.values())
-    models = F.filter(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda m: m != F.col(fold)
-    )
-    # Each value counts for the k-1 models that train on it; the histogram is
-    # combined in the map tasks, so only bucket counts are shuffled.
-    rows = values.select(F.explode(models).alias("model"), "col", "value")
     cuts = {
-        (m, c): sorted({i * (n - sizes.get(m, 0)) // bins for i in range(1, bins)})
+        (c, m): sorted({i * (n - sizes.get(m, 0)) // bins for i in range(1, bins)})
         for m in range(k)
         for c in range(len(columns))
     }
-    found = rank_thresholds(rows, ["value"], cuts, strata=["model", "col"])
-    return {s: sorted({v[0] for v in at.values()}) for s, at in found.items()}
+    values = _stacked(df, columns, fold)
+    found = rank_thresholds(values, ["value"], cuts, strata=["col"], leave_out=fold)
+    return {(m, c): sorted({v[0] for v in at.values()}) for (c, m), at in found.items()}
 
 
 def train_mutual_info(

@@ -9,7 +9,8 @@ by all order columns, so equal leading values are told apart by the next column.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,23 @@ from pyspark.sql import types as T
 
 BUCKETS = 1024
 HISTOGRAM_ROWS = 200_000
-FETCH_ROWS = 50_000
+FETCH_ROWS = 20_000
 
 
 @dataclass
 class _Cell:
-    """Rows of one stratum whose order columns lie in a box, with wanted ranks."""
+    """Rows of one stratum whose order columns lie in a box; boxes are disjoint.
+
+    ``wanted`` lists (request, rank, rank counted inside this box). Without bounds
+    the box spans all values and ``count`` is unknown.
+    """
 
     stratum: tuple
     fixed: tuple
     lo: float | int | None
     hi: float | int | None
-    count: int
-    ranks: dict[int, int] = field(default_factory=dict)  # rank in stratum -> in cell
+    count: int | None
+    wanted: list[tuple[tuple, int, int]]
 
 
 def _tag_cells(df, strata, order, cells, level):
@@ -53,10 +58,8 @@ def _tag_cells(df, strata, order, cells, level):
             match = match & F.col(s).eqNullSafe(F.col(f"_s{i}"))
         for i in range(level):
             match = match & (F.col(order[i]) == F.col(f"_f{i}"))
-        # As many rows as wanted ranks: the size of the request, not of the data.
-        return df.join(F.broadcast(boxes), match).select(
-            *strata, *order, "_cell", "_lo", "_hi"
-        )
+        # At most one row per wanted rank: the size of the request, not of the data.
+        return df.join(F.broadcast(boxes), match).drop(*[f.name for f in (*keys, *fixed)])
 
     choice = None
     for i, cell in enumerate(cells):
@@ -71,7 +74,7 @@ def _tag_cells(df, strata, order, cells, level):
         choice = F.when(inside, box) if choice is None else choice.when(inside, box)
     if all(c.lo is not None for c in cells):  # plain bounds reach the parquet scan
         df = df.where(value.between(min(c.lo for c in cells), max(c.hi for c in cells)))
-    return df.withColumn("_box", choice).where("_box is not null").select(*order, "_box.*")
+    return df.withColumn("_box", choice).where("_box is not null").select("*", "_box.*")
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -86,91 +89,98 @@ def rank_thresholds(
     order: list[str],
     cuts: dict[tuple, list[int]],
     strata: list[str] | None = None,
+    leave_out: str | None = None,
+    bounds: tuple[int, int] | None = None,
 ) -> dict[tuple, dict[int, tuple]]:
     """Order-column values of the row at each wanted 0-based rank of each stratum.
 
-    ``order`` names numeric columns without nulls, compared lexicographically;
-    ``cuts`` maps a stratum (tuple of strata values, ``()`` without strata) to ranks.
+    ``order`` names numeric columns without nulls, compared lexicographically.
+    ``cuts`` maps a request to ranks. A request is a tuple of strata values, ``()``
+    without strata; with ``leave_out`` it ends with a value of that column, and rows
+    that have it do not count. All such requests of a stratum share one pass.
+    ``bounds`` are known limits of the first order column.
     """
     strata = strata or []
-    df = df.select(*strata, *order)
-    answers: dict[tuple, dict[int, tuple]] = {s: {} for s in cuts}
-    pending = [
-        _Cell(s, (), None, None, -1, {r: r for r in ranks})
-        for s, ranks in cuts.items()
-        if ranks
-    ]
+    part = F.col(leave_out) if leave_out else F.lit(0)
+    df = df.select(*strata, *order, part.alias("_part"))
+    answers: dict[tuple, dict[int, tuple]] = {request: {} for request in cuts}
+
+    def counts(request: tuple, of_part) -> bool:
+        return leave_out is None or request[-1] != of_part
+
+    start: dict[tuple, list] = defaultdict(list)
+    for request, ranks in cuts.items():
+        stratum = request[:-1] if leave_out else request
+        start[stratum] += [(request, rank, rank) for rank in ranks]
+    lo, hi = bounds or (None, None)
+    pending = [_Cell(s, (), lo, hi, None, w) for s, w in start.items() if w]
     while pending:
         level = min(len(c.fixed) for c in pending)
         cells = [c for c in pending if len(c.fixed) == level]
         pending = [c for c in pending if len(c.fixed) != level]
-        last = level == len(order) - 1
         value = F.col(order[level])
 
         todo = []
         for cell in cells:
-            if cell.lo is not None and cell.lo == cell.hi:
-                if last:
-                    for rank in cell.ranks:
-                        answers[cell.stratum][rank] = (*cell.fixed, cell.lo)
-                else:
-                    pending.append(
-                        _Cell(
-                            cell.stratum, (*cell.fixed, cell.lo), None, None,
-                            cell.count, cell.ranks,
-                        )
-                    )
-            else:
+            if cell.count is None or cell.lo is None or cell.lo != cell.hi:
                 todo.append(cell)
+            elif level == len(order) - 1:
+                for request, rank, _ in cell.wanted:
+                    answers[request][rank] = (*cell.fixed, cell.lo)
+            else:  # equal so far: the next column decides
+                fixed = (*cell.fixed, cell.lo)
+                pending.append(_Cell(cell.stratum, fixed, None, None, cell.count, cell.wanted))
         if not todo:
             continue
 
-        known = all(c.count >= 0 for c in todo)
-        if known and sum(c.count for c in todo) <= FETCH_ROWS:
-            tagged = _tag_cells(df, strata, order, todo, level)
-            rows: dict[int, list[tuple]] = {}
-            for row in tagged.select("_cell", *order).collect():
-                rows.setdefault(row[0], []).append(tuple(row[1:]))
+        tagged = _tag_cells(df, strata, order, todo, level)
+        if all(c.count is not None for c in todo) and sum(c.count for c in todo) <= FETCH_ROWS:
+            rows = defaultdict(list)
+            for row in tagged.select("_cell", "_part", *order).collect():
+                rows[row[0]].append((tuple(row[2:]), row[1]))
             for i, cell in enumerate(todo):
-                ordered = sorted(rows.get(i, []))
-                for rank, inner in cell.ranks.items():
-                    answers[cell.stratum][rank] = ordered[inner]
+                ordered = sorted(rows[i], key=lambda item: item[0])
+                for request, rank, inner in cell.wanted:
+                    own = [key for key, p in ordered if counts(request, p)]
+                    answers[request][rank] = own[inner]
             continue
 
-        unbounded = [c for c in todo if c.lo is None]
-        if unbounded:
-            tagged = _tag_cells(df, strata, order, unbounded, level)
-            for row in (
-                tagged.groupBy("_cell")
-                .agg(F.min(value), F.max(value), F.count("*"))
-                .collect()
-            ):
-                cell = unbounded[row[0]]
-                cell.lo, cell.hi, cell.count = row[1], row[2], row[3]
-            pending += [c for c in todo if c.count > 0]
+        if any(c.lo is None for c in todo):
+            known = tagged.groupBy("_cell").agg(F.min(value), F.max(value), F.count("*"))
+            for row in known.collect():
+                cell = todo[row[0]]
+                if cell.lo is None:
+                    cell.lo, cell.hi, cell.count = row[1], row[2], row[3]
+                pending.append(cell)
             continue
 
         buckets = max(16, min(BUCKETS, HISTOGRAM_ROWS // len(todo)))
-        tagged = _tag_cells(df, strata, order, todo, level)
-        histogram: dict[int, list[tuple]] = {}
-        for row in (
-            tagged.groupBy("_cell", _bucket(value, buckets).alias("_bucket"))
+        histogram: dict[int, dict[int, list]] = defaultdict(dict)
+        for cell, bucket, of_part, n, low, high in (
+            tagged.groupBy("_cell", _bucket(value, buckets).alias("_bucket"), "_part")
             .agg(F.count("*"), F.min(value), F.max(value))
             .collect()
         ):
-            histogram.setdefault(row[0], []).append(tuple(row[1:]))
+            entry = histogram[cell].setdefault(bucket, [{}, low, high])
+            entry[0][of_part] = n
+            entry[1], entry[2] = min(entry[1], low), max(entry[2], high)
         for i, cell in enumerate(todo):
-            wanted = sorted(cell.ranks.items(), key=lambda item: item[1])
-            before = 0
-            for _, count, low, high in sorted(histogram.get(i, [])):
-                inside = {
-                    rank: inner - before
-                    for rank, inner in wanted
-                    if before <= inner < before + count
-                }
-                if inside:
-                    pending.append(
-                        _Cell(cell.stratum, cell.fixed, low, high, count, inside)
-                    )
-                before += count
+            steps = sorted(histogram[i].items())
+            inside: dict[int, list] = defaultdict(list)
+            by_request = defaultdict(list)
+            for request, rank, inner in cell.wanted:
+                by_request[request].append((inner, rank))
+            for request, ranks in by_request.items():
+                ranks.sort()
+                before, at = 0, 0
+                for bucket, (parts, _, _) in steps:
+                    n = sum(c for p, c in parts.items() if counts(request, p))
+                    while at < len(ranks) and ranks[at][0] < before + n:
+                        inside[bucket].append((request, ranks[at][1], ranks[at][0] - before))
+                        at += 1
+                    before += n
+            for bucket, wanted in inside.items():
+                parts, low, high = histogram[i][bucket]
+                count = sum(parts.values())
+                pending.append(_Cell(cell.stratum, cell.fixed, low, high, count, wanted))
     return answers

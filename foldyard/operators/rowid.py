@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigDataError
 from ..session import materialize
 
 ROW_ID = "_row_id"
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def _number_partitions(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a materialised frame in partition order, without a shuffle."""
-    tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    partition = F.shiftright("_at", 33)
-    counts = tagged.groupBy(partition.alias("_part")).count().orderBy("_part").collect()
+def rank_rows(
+    df: DataFrame,
+    keys: list[str],
+    name: str = ROW_ID,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Add the 0-based rank of each row in key order; ``keep`` limits the other columns.
+
+    Spark's range partitioning splits by all keys, so a leading value held by a third
+    of the rows is still spread. The sorted rows are written once with their partition
+    and position; partition sizes then turn these into ranks. There is no
+    single-partition window, and ranks do not depend on how the file is read back.
+    """
+    ordered = df.orderBy(*keys).select(*(keep or df.columns))
+    stored = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = stored.groupBy(part.alias("_part")).count().orderBy("_part").collect()
     offsets, start = [], 0
     for row in counts:  # one row per partition
         offsets.append((row["_part"], start))
@@ -24,24 +35,13 @@ def _number_partitions(df: DataFrame, name: str) -> DataFrame:
     table = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
     position = F.col("_at").bitwiseAND(F.lit(_IN_PARTITION))
     return (
-        tagged.withColumn("_part", partition)
+        stored.withColumn("_part", part)
         .join(F.broadcast(table), "_part")
         .withColumn(name, F.col("_start") + position)
         .drop("_part", "_at", "_start")
     )
 
 
-def rank_rows(df: DataFrame, keys: list[str | Column], name: str = ROW_ID) -> DataFrame:
-    """Add the 0-based rank of each row in key order.
-
-    Spark's range partitioning splits by all keys, so a leading value held by a third
-    of the rows is still spread. The sorted rows are written once, which fixes the
-    partition boundaries for the count and for the numbering; there is no
-    single-partition window.
-    """
-    return _number_partitions(materialize(df.orderBy(*keys)), name)
-
-
 def ingest_row_ids(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Add the row's position in its files: by path, then block, then line.
 
@@ -72,10 +72,3 @@ def ingest_row_ids(df: DataFrame, name: str = ROW_ID) -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
         .drop("_path", "_block", "_at", "_first", "_start")
     )
-
-
-def check_unique(df: DataFrame, key: str) -> None:
-    """Reject a row key with duplicates or nulls (one aggregate on the key column)."""
-    repeated = df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
-    if not repeated.isEmpty():
-        raise ConfigDataError(f"Row key '{key}' has duplicate or null values")

@@ -13,9 +13,9 @@ from ..errors import ConfigDataError
 from ..functions.metrics import check_metrics
 from ..functions.params import resolve_metrics
 from ..operators.folds import FOLD_ID, PartitionSpec, assign_folds, dense_fold_index
-from ..operators.rowid import ROW_ID, check_unique, ingest_row_ids, rank_rows
+from ..operators.rowid import ROW_ID, ingest_row_ids, rank_rows
 from ..sources.sinks import FanOutSink, ParquetSink, ReportSink, Sink, save_prepared
-from ..sources.tables import align_folds, project, read_folds, read_metadata, read_table
+from ..sources.tables import project, read_folds, read_metadata, read_table
 from .dataset import Dataset
 from .engine import Engine
 from .experiments import (
@@ -57,7 +57,6 @@ def _dense(data: DataFrame, row_key: str | None) -> DataFrame:
     if row_key:
         if row_key not in data.columns:
             raise ConfigDataError(f"Row key '{row_key}' is not a column")
-        check_unique(data, row_key)
         return rank_rows(data.drop(ROW_ID), [row_key])
     if ROW_ID not in data.columns:  # the hook built new rows
         return rank_rows(data, data.columns)
@@ -123,8 +122,8 @@ def prepare(spark: SparkSession, config: dict[str, Any], hook: Hook | None = Non
 
 def _load(
     spark: SparkSession, config: dict[str, Any], task: str, data: DataFrame | None
-) -> tuple[DataFrame, list[str], str]:
-    """Fold-indexed data, its features and target, from files or a given frame."""
+) -> Dataset:
+    """The fold-indexed dataset of a run, from files or a given frame."""
     source = section(config, "input")
     if str(source.get("source", "prepared")) not in ("prepared", "external"):
         raise ConfigDataError("[input].source must be 'prepared' or 'external'")
@@ -150,12 +149,17 @@ def _load(
                 data = _dense(data, source.get("row_key"))
             else:
                 data = ingest_row_ids(data)
+    expected = None
     if folds_path:
-        data = align_folds(data, read_folds(spark, str(folds_path), data.count()))
-    elif not stored:
-        data = assign_folds(data, task, spec, target)
-    keep = list(dict.fromkeys([*features, target]))
-    return dense_fold_index(data.select(FOLD_ID, *keep)), features, target
+        expected = data.count()
+        folds = read_folds(spark, str(folds_path), expected)
+        # Whether every row found its fold is checked by the first aggregate.
+        data = data.join(dense_fold_index(folds), ROW_ID)
+    elif stored:
+        data = dense_fold_index(data)
+    else:  # own folds are 0..k-1 already
+        data = assign_folds(data, task, spec, target).withColumnRenamed(FOLD_ID, "fold")
+    return Dataset.build(data, features, target, task, "fold", expected)
 
 
 def _checked(config: dict[str, Any], task: str):
@@ -174,17 +178,12 @@ def _checked(config: dict[str, Any], task: str):
     return metrics, primary, parallelism, expand(task, config)
 
 
-def _dataset(spark, config, task, data) -> Dataset:
-    loaded, features, target = _load(spark, config, task, data)
-    return Dataset.build(loaded, features, target, task, "fold")
-
-
 def plan(
     spark: SparkSession, config: dict[str, Any], task: str, data: DataFrame | None = None
 ) -> DataFrame:
     """What a run would do, as one row; reads the data, trains nothing."""
     *_, experiments = _checked(config, task)
-    dataset = _dataset(spark, config, task, data)
+    dataset = _load(spark, config, task, data)
     profile = dataset.profile
     dataset.df.unpersist()
     frame = with_cost(
@@ -241,7 +240,7 @@ def benchmark(
         return plan(spark, config, task, data)
     metrics, primary, parallelism, experiments = _checked(config, task)
     output = section(config, "output")
-    dataset = _dataset(spark, config, task, data)
+    dataset = _load(spark, config, task, data)
     try:
         results = run_experiments(
             spark, dataset, task, experiments, metrics, primary, parallelism,

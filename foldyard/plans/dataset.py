@@ -40,9 +40,18 @@ class Dataset:
     df: DataFrame
     d: int
     classes: list = field(default_factory=list)
+    expected_rows: int | None = None
 
     @classmethod
-    def build(cls, df: DataFrame, features: list[str], target: str, task: str, fold: str):
+    def build(
+        cls,
+        df: DataFrame,
+        features: list[str],
+        target: str,
+        task: str,
+        fold: str,
+        expected_rows: int | None = None,
+    ) -> "Dataset":
         """Project, cast and index ``df``; nothing but the needed columns is kept."""
         for name in [*features] + ([target] if task == "regression" else []):
             if not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
@@ -51,7 +60,7 @@ class Dataset:
         fold_column = F.col(fold).cast("int").alias("fold")
         if task == "regression":
             table = df.select(fold_column, F.col(target).cast("double").alias("y"), *wanted)
-            return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features))
+            return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features), [], expected_rows)
         classes = sorted(r[0] for r in df.select(target).distinct().collect() if r[0] is not None)
         labels = df.sparkSession.createDataFrame(
             [(label, float(i)) for i, label in enumerate(classes)],
@@ -65,7 +74,7 @@ class Dataset:
         # One row per class.
         table = df.join(F.broadcast(labels), F.col(target) == F.col("_label"), "left")
         table = table.select(fold_column, "y", *wanted)
-        return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features), classes)
+        return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features), classes, expected_rows)
 
     @property
     def names(self) -> list[str]:
@@ -85,6 +94,10 @@ class Dataset:
             F.coalesce(F.bool_or(missing), F.lit(False)),
             *[F.avg(c) for c in [*names, "y"]],
         ).first()
+        if self.expected_rows is not None and row[0] != self.expected_rows:
+            raise ConfigDataError(
+                f"Folds match {row[0]} of {self.expected_rows} data rows"
+            )
         mean = np.array([0.0 if v is None else v for v in row[4:]])
         return Profile(row[0], row[1], row[2], row[3], mean)
 

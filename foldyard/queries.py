@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,7 +53,7 @@ from .plans.experiments import (
     with_validity,
     worklist,
 )
-from .session import ensure_checkpoint_dir
+from .session import scratch_path
 from .sources.sinks import FanOutSink, ParquetSink, ReportSink
 from .sources.tables import (
     align_folds,
@@ -83,11 +82,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/run-{uuid4().hex}"
-
-
 # -- shared pieces -------------------------------------------------------------------
 
 LINEITEM = [
@@ -110,7 +104,7 @@ def random_fold_sql(key: str, k: int, seed: int = 42) -> str:
 
 def lineitem_dataset(spark: SparkSession, sf_dir: str, target: str = CHARGE) -> Dataset:
     """lineitem with ranked row ids, random folds and a derived target."""
-    rows = rank_rows(table(spark, sf_dir, "lineitem"), LINEITEM)
+    rows = rank_rows(table(spark, sf_dir, "lineitem"), LINEITEM, keep=FEATURES)
     folded = random_folds(rows, PartitionSpec(n_splits=K)).withColumn("y", F.expr(target))
     return Dataset.build(folded, FEATURES, "y", "regression", FOLD_ID)
 
@@ -132,7 +126,7 @@ def models_sql(k: int = K) -> str:
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def csv_scan(spark, sf_dir):
-    path = f"{scratch(spark)}/part.csv"
+    path = f"{scratch_path(spark)}/part.csv"
     table(spark, sf_dir, "part").write.csv(path, header=True)
     read = read_table(spark, path)
     return read.withColumn("p_partkey", F.col("p_partkey").cast("long"))
@@ -148,7 +142,7 @@ def parquet_scan(spark, sf_dir):
 )
 def fold_file_scan(spark, sf_dir):
     """A fold file in any row order, with gaps in row_id: rows go by its order."""
-    path = f"{scratch(spark)}/folds.csv"
+    path = f"{scratch_path(spark)}/folds.csv"
     orders = table(spark, sf_dir, "orders")
     orders.select(
         (F.col("o_orderkey") * 3 + 5).alias("row_id"), (F.col("o_orderkey") % 7).alias(FOLD_ID)
@@ -201,8 +195,8 @@ def any_negative_feature(spark, sf_dir):
     row_number() OVER (ORDER BY {", ".join(LINEITEM)}) - 1 AS row_rank FROM lineitem"""
 )
 def rowid_rank(spark, sf_dir):
-    ranked = rank_rows(table(spark, sf_dir, "lineitem"), LINEITEM, "row_rank")
-    return ranked.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "row_rank")
+    ranked = rank_rows(table(spark, sf_dir, "lineitem"), LINEITEM, "row_rank", LINEITEM[:4])
+    return ranked
 
 
 def _orders(spark, sf_dir):
@@ -1041,7 +1035,7 @@ def prepare_roundtrip(spark, sf_dir):
         "input": {"path": f"{sf_dir}/orders.parquet", "row_key": "o_orderkey"},
         "dataset": {"task": "regression", "target": "o_totalprice"},
         "partition": {"n_splits": K},
-        "output": {"dir": scratch(spark)},
+        "output": {"dir": scratch_path(spark)},
     }
     prepared = prepare(spark, config)
     data = read_table(spark, prepared.paths["data"]).drop(FOLD_ID)
@@ -1056,7 +1050,7 @@ def prepare_roundtrip(spark, sf_dir):
 )
 def result_sinks(spark, sf_dir):
     """The detailed table read back from a fan-out of sinks."""
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     results = _pls_results(spark, sf_dir)
     paths = FanOutSink((ParquetSink(folder), ReportSink(folder))).write(results)
     return spark.read.parquet(paths[0]).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/foldyard-{uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return a frame that reads it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
+
+    Later scans read only the columns they need and do not depend on any executor.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
