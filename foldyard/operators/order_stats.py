@@ -66,15 +66,17 @@ def _tag_cells(df, strata, order, cells, level):
         inside = F.lit(True) if cell.lo is None else value.between(cell.lo, cell.hi)
         for name, wanted in zip(order, cell.fixed):
             inside = inside & (F.col(name) == F.lit(wanted))
-        box = F.struct(
-            F.lit(i).alias("_cell"),
-            F.lit(cell.lo).cast(value_type).alias("_lo"),
-            F.lit(cell.hi).cast(value_type).alias("_hi"),
+        box = F.array(
+            F.struct(
+                F.lit(i).alias("_cell"),
+                F.lit(cell.lo).cast(value_type).alias("_lo"),
+                F.lit(cell.hi).cast(value_type).alias("_hi"),
+            )
         )
         choice = F.when(inside, box) if choice is None else choice.when(inside, box)
-    if all(c.lo is not None for c in cells):  # plain bounds reach the parquet scan
-        df = df.where(value.between(min(c.lo for c in cells), max(c.hi for c in cells)))
-    return df.withColumn("_box", choice).where("_box is not null").select("*", "_box.*")
+    # Rows in no box unfold to nothing. A filter instead would be pushed below the
+    # projection that makes the order column and compute it once per comparison.
+    return df.select("*", F.inline(choice))
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -98,7 +100,8 @@ def rank_thresholds(
     ``cuts`` maps a request to ranks. A request is a tuple of strata values, ``()``
     without strata; with ``leave_out`` it ends with a value of that column, and rows
     that have it do not count. All such requests of a stratum share one pass.
-    ``bounds`` are known limits of the first order column.
+    ``bounds`` are known limits of the first order column, which is then taken to be
+    computed; otherwise it is a stored column and its limits reach the scan.
     """
     strata = strata or []
     part = F.col(leave_out) if leave_out else F.lit(0)
@@ -133,7 +136,10 @@ def rank_thresholds(
         if not todo:
             continue
 
-        tagged = _tag_cells(df, strata, order, todo, level)
+        rows_in = df
+        if bounds is None and level == 0 and all(c.lo is not None for c in todo):
+            rows_in = df.where(value.between(min(c.lo for c in todo), max(c.hi for c in todo)))
+        tagged = _tag_cells(rows_in, strata, order, todo, level)
         if all(c.count is not None for c in todo) and sum(c.count for c in todo) <= FETCH_ROWS:
             rows = defaultdict(list)
             for row in tagged.select("_cell", "_part", *order).collect():
