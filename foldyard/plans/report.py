@@ -130,16 +130,16 @@ def build_results(
 
 
 def _fixed(value: Column) -> Column:
-    return F.format_string(f"%.{FORMAT_DECIMALS}f", value)
+    """Fixed-decimals text; a missing value reads ``nan``."""
+    text = F.format_string(f"%.{FORMAT_DECIMALS}f", value)
+    return F.when(value.isNull() | F.isnan(value), "nan").otherwise(text)
 
 
 def format_summary(summary: DataFrame, metrics: list[str]) -> DataFrame:
     """Combination columns and one ``mean +- std`` text per metric."""
     cells = [
         F.concat(
-            F.coalesce(_fixed(F.col(f"{m}_mean")), F.lit("nan")),
-            F.lit(" +- "),
-            F.coalesce(_fixed(F.col(f"{m}_std")), F.lit("nan")),
+            _fixed(F.col(f"{m}_mean")), F.lit(" +- "), _fixed(F.col(f"{m}_std"))
         ).alias(m)
         for m in metrics
     ]
@@ -148,9 +148,7 @@ def format_summary(summary: DataFrame, metrics: list[str]) -> DataFrame:
 
 def format_ranking(ranking: DataFrame, primary: str) -> DataFrame:
     """The ranking with its metric as fixed-decimals text."""
-    return ranking.withColumn(
-        primary, F.coalesce(_fixed(F.col(primary)), F.lit("nan"))
-    )
+    return ranking.withColumn(primary, _fixed(F.col(primary)))
 
 
 def text_lines(table: DataFrame) -> DataFrame:
