@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from ..errors import ConfigDataError
+from ..session import materialize
 from .order_stats import rank_thresholds
 from .rowid import ROW_ID
 
@@ -29,7 +29,6 @@ HASH_BOUNDS = (0, 16**HASH_DIGITS - 1)
 BROADCAST_GROUPS = 100_000
 HOT_SHARE = 10_000  # a group with more than 1/HOT_SHARE of the rows is hot
 SHARD_GROUPS = 50_000
-_KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 @dataclass(frozen=True)
@@ -256,7 +255,7 @@ def group_fold_table(groups: DataFrame, k: int) -> DataFrame:
 def group_folds(df: DataFrame, spec: PartitionSpec) -> DataFrame:
     """Whole groups per fold, largest first onto the lightest fold; no seed."""
     group = spec.group_column
-    groups = group_table(df, group).persist(_KEEP)
+    groups = materialize(group_table(df, group))
     totals = groups.agg(F.count("*"), F.sum("_size")).first()
     folds = group_fold_table(groups, spec.n_splits)
     return _attach(df, group, folds, totals[0], totals[1] or 0)
@@ -350,7 +349,8 @@ def stratified_group_fold_table(
     )
     shard = F.pmod(F.col("_h2"), F.lit(shards)).alias("_shard")
     folds = rest.groupBy(shard).applyInPandas(place, schema)
-    return folds if hot_folds is None else hot_folds.unionByName(folds)
+    folds = folds if hot_folds is None else hot_folds.unionByName(folds)
+    return materialize(folds)  # placed once, however often the result is read
 
 
 def stratified_group_folds(
@@ -359,9 +359,11 @@ def stratified_group_folds(
     """Whole groups per fold with even class shares; plain group folds when no class
     has as many rows as there are folds."""
     group, k = spec.group_column, spec.n_splits
-    cells = df.groupBy(F.col(group).alias("_group"), F.col(target).alias("_y")).agg(
-        F.count("*").alias("_n")
-    ).persist(_KEEP)
+    cells = materialize(
+        df.groupBy(F.col(group).alias("_group"), F.col(target).alias("_y")).agg(
+            F.count("*").alias("_n")
+        )
+    )
     classes = cells.groupBy("_y").agg(F.sum("_n").alias("n")).orderBy("_y").collect()
     if any(r["_y"] is None for r in classes):
         raise ConfigDataError(f"Target '{target}' contains nulls")
@@ -374,12 +376,11 @@ def stratified_group_folds(
         F.coalesce(F.sum(F.when(F.col("_y") == r["_y"], F.col("_n"))), F.lit(0))
         for r in classes
     ]
-    groups = (
+    groups = materialize(
         cells.groupBy("_group")
         .agg(F.array(*counts).alias("_counts"), F.sum("_n").alias("_size"))
         .withColumn("_h1", F.coalesce(hash_key(seed, key), F.lit(0)))
         .withColumn("_h2", F.coalesce(hash_key(seed, key, 16), F.lit(0)))
-        .persist(_KEEP)
     )
     n_groups = groups.count()
     folds = stratified_group_fold_table(groups, totals, k, n_groups, sum(totals))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigDataError
 from ..session import materialize
 
 ROW_ID = "_row_id"
+BROADCAST_UNITS = 2_000_000  # 16 bytes each
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
@@ -43,32 +46,43 @@ def rank_rows(
 
 
 def ingest_row_ids(df: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Add the row's position in its files: by path, then block, then line.
+    """Add the row's position in its files: by path, then position in the file.
 
-    ``df`` must be a plain file scan. Rows of one file block are contiguous in a
-    task, so an offset per block is enough and no row is shuffled.
+    ``df`` must be a plain file scan. Parquet rows know their index in the file, so an
+    offset per file is enough. Rows of other formats are first written once with their
+    block and position, since a later scan may cut the files differently. Either way
+    no row is shuffled.
     """
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
-    blocks = (
+    path = F.col("_metadata.file_path").alias("_path")
+    try:
+        tagged = df.select(
+            "*", path, F.lit(0).alias("_block"), F.col("_metadata.row_index").alias("_at")
+        )
+    except AnalysisException:  # the format has no row index
+        block = F.col("_metadata.file_block_start").alias("_block")
+        tagged = materialize(
+            df.select("*", path, block, F.monotonically_increasing_id().alias("_at"))
+        )
+    key = F.xxhash64("_path", "_block")
+    units = (
         tagged.groupBy("_path", "_block")
         .agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
         .orderBy("_path", "_block")
+        .select(key.alias("_unit"), "_first", "_rows")
         .collect()
     )
+    if len({row["_unit"] for row in units}) < len(units):
+        raise ConfigDataError("Two input files share a hash; give [input].row_key instead")
     starts, start = [], 0
-    for row in blocks:  # one row per file block
-        starts.append((row["_path"], row["_block"], row["_first"], start))
+    for row in units:  # three numbers per file or block
+        starts.append((row["_unit"], start - row["_first"]))
         start += row["_rows"]
-    table = df.sparkSession.createDataFrame(
-        starts, "_path string, _block long, _first long, _start long"
-    )
+    table = df.sparkSession.createDataFrame(starts, "_unit long, _shift long")
+    if len(starts) <= BROADCAST_UNITS:
+        table = F.broadcast(table)
     return (
-        tagged.join(F.broadcast(table), ["_path", "_block"])
-        .withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
-        .drop("_path", "_block", "_at", "_first", "_start")
+        tagged.withColumn("_unit", key)
+        .join(table, "_unit")
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .drop("_path", "_block", "_at", "_unit", "_shift")
     )

@@ -185,7 +185,7 @@ def plan(
     *_, experiments = _checked(config, task)
     dataset = _load(spark, config, task, data)
     profile = dataset.profile
-    dataset.df.unpersist()
+    dataset.release()
     frame = with_cost(
         with_validity(experiments_frame(spark, experiments), F.lit(profile.any_negative))
     )
@@ -247,7 +247,7 @@ def benchmark(
             {"report_enabled": bool(output.get("report", False))},
         )
     finally:
-        dataset.df.unpersist()
+        dataset.release()
     if sink is None and output.get("dir"):
         sinks: list[Sink] = [ParquetSink(str(output["dir"]))]
         if output.get("report"):

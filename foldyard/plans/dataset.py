@@ -41,6 +41,7 @@ class Dataset:
     d: int
     classes: list = field(default_factory=list)
     expected_rows: int | None = None
+    cached: DataFrame | None = None
 
     @classmethod
     def build(
@@ -58,23 +59,34 @@ class Dataset:
                 raise ConfigDataError(f"Column '{name}' is not numeric")
         wanted = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
         fold_column = F.col(fold).cast("int").alias("fold")
+        y = F.col(target).cast("double") if task == "regression" else F.col(target)
+        cached = df.select(fold_column, y.alias("y"), *wanted).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
         if task == "regression":
-            table = df.select(fold_column, F.col(target).cast("double").alias("y"), *wanted)
-            return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features), [], expected_rows)
-        classes = sorted(r[0] for r in df.select(target).distinct().collect() if r[0] is not None)
+            return cls(cached, len(features), [], expected_rows, cached)
+        # The labels come from the cached table, so the input is read once.
+        found = cached.select("y").distinct().collect()
+        classes = sorted(r[0] for r in found if r[0] is not None)
         labels = df.sparkSession.createDataFrame(
             [(label, float(i)) for i, label in enumerate(classes)],
             T.StructType(
                 [
                     T.StructField("_label", df.schema[target].dataType),
-                    T.StructField("y", T.DoubleType()),
+                    T.StructField("_index", T.DoubleType()),
                 ]
             ),
         )
+        names = [f"x{i}" for i in range(len(features))]
         # One row per class.
-        table = df.join(F.broadcast(labels), F.col(target) == F.col("_label"), "left")
-        table = table.select(fold_column, "y", *wanted)
-        return cls(table.persist(StorageLevel.MEMORY_AND_DISK), len(features), classes, expected_rows)
+        indexed = cached.join(F.broadcast(labels), F.col("y") == F.col("_label"), "left")
+        table = indexed.select("fold", F.col("_index").alias("y"), *names)
+        return cls(table, len(features), classes, expected_rows, cached)
+
+    def release(self) -> None:
+        """Drop the cached table."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     @property
     def names(self) -> list[str]:

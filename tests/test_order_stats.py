@@ -70,3 +70,17 @@ def test_ingest_ids_follow_file_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["_row_id"] for r in rows] == list(range(len(expected)))
     assert [(r["p"], r["i"]) for r in rows] == expected
+
+
+def test_ingest_ids_of_parquet_use_file_positions(spark, tmp_path):
+    expected = []
+    for part, size in enumerate([40, 1, 25]):
+        frame = spark.createDataFrame([(part, i) for i in range(size)], "p int, i int")
+        frame.coalesce(1).write.parquet(str(tmp_path / "t.parquet" / f"part={part}"))
+        expected += [(part, i) for i in range(size)]
+    frame = spark.read.parquet(str(tmp_path / "t.parquet"))
+    rows = ingest_row_ids(frame).orderBy("_row_id").collect()
+    assert [r["_row_id"] for r in rows] == list(range(66))
+    assert [(r["p"], r["i"]) for r in rows] == expected
+    kept = ingest_row_ids(frame).where("i >= 20").select("_row_id").collect()
+    assert len(kept) == 25
