@@ -61,18 +61,30 @@ class PartitionSpec:
         return 0 if self.random_state is None else self.random_state
 
 
-def hash_key(seed: int, value: Column, first: int = 1) -> Column:
-    """A positive long drawn from md5 of ``seed:value``; same in any SQL engine."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), value.cast("string")))
-    return F.conv(F.substring(digest, first, HASH_DIGITS), 16, 10).cast("long")
+def hash_key(seed: int, *values: Column, first: int = 1) -> Column:
+    """A positive long drawn from md5 of ``seed:value:...``; same in any SQL engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[v.cast("string") for v in values])
+    return F.conv(F.substring(F.md5(text), first, HASH_DIGITS), 16, 10).cast("long")
 
 
-def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str):
-    """The frame, the columns its rows are ordered by, and known limits of the first."""
+def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str | list[str]):
+    """The frame, the columns its rows are ordered by, and known limits of the first.
+
+    Shuffled rows are ordered by the hash of their id, or of several key columns of any
+    type; then no row numbers are needed at all.
+    """
+    if isinstance(row_id, str):
+        if not spec.shuffle:
+            return df, [row_id], None
+        keyed = df.withColumn("_hash", hash_key(spec.seed, F.col(row_id)))
+        return keyed, ["_hash", row_id], HASH_BOUNDS
     if not spec.shuffle:
-        return df, [row_id], None
-    keyed = df.withColumn("_hash", hash_key(spec.seed, F.col(row_id)))
-    return keyed, ["_hash", row_id], HASH_BOUNDS
+        raise ConfigDataError("Contiguous folds need one numeric row id")
+    keys = [F.col(c) for c in row_id]
+    keyed = df.withColumn("_hash", hash_key(spec.seed, *keys)).withColumn(
+        "_hash2", hash_key(spec.seed, *keys, first=HASH_DIGITS + 1)
+    )
+    return keyed, ["_hash", "_hash2"], HASH_BOUNDS
 
 
 def _even_sizes(n: int, k: int) -> list[int]:
@@ -89,7 +101,9 @@ def _fold_from_cuts(order: list[str], cuts: list[tuple]) -> Column:
     return F.size(F.filter(table, lambda cut: cut <= here))
 
 
-def random_folds(df: DataFrame, spec: PartitionSpec, row_id: str = ROW_ID) -> DataFrame:
+def random_folds(
+    df: DataFrame, spec: PartitionSpec, row_id: str | list[str] = ROW_ID
+) -> DataFrame:
     """Balanced folds: hash order when shuffled, row order when not."""
     n = df.count()
     if spec.n_splits > n:
@@ -98,7 +112,7 @@ def random_folds(df: DataFrame, spec: PartitionSpec, row_id: str = ROW_ID) -> Da
     ranks = list(accumulate(_even_sizes(n, spec.n_splits)))[:-1]
     rows = rank_thresholds(keyed, order, {(): ranks}, bounds=bounds)[()]
     fold = _fold_from_cuts(order, [rows[r] for r in ranks])
-    return keyed.withColumn(FOLD_ID, fold.cast("int")).drop("_hash")
+    return keyed.withColumn(FOLD_ID, fold.cast("int")).drop("_hash", "_hash2")
 
 
 def _dealt_counts(first: int, n: int, k: int) -> list[int]:
@@ -106,11 +120,11 @@ def _dealt_counts(first: int, n: int, k: int) -> list[int]:
     return [(first + n - i + k - 1) // k - (first - i + k - 1) // k for i in range(k)]
 
 
-def class_profile(df: DataFrame, target: str, row_id: str = ROW_ID) -> list[tuple]:
+def class_profile(df: DataFrame, target: str, order: str = ROW_ID) -> list[tuple]:
     """(class, rows) in order of first appearance; one row per class."""
     rows = (
         df.groupBy(target)
-        .agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(order).alias("first"))
         .orderBy("first")
         .collect()
     )
@@ -120,14 +134,14 @@ def class_profile(df: DataFrame, target: str, row_id: str = ROW_ID) -> list[tupl
 
 
 def stratified_folds(
-    df: DataFrame, spec: PartitionSpec, target: str, row_id: str = ROW_ID
+    df: DataFrame, spec: PartitionSpec, target: str, row_id: str | list[str] = ROW_ID
 ) -> DataFrame:
     """Folds whose class counts differ by at most one row per class."""
-    classes = class_profile(df, target, row_id)
+    keyed, order, bounds = _ordering(df, spec, row_id)
+    classes = class_profile(keyed, target, row_id if isinstance(row_id, str) else "_hash")
     k = spec.n_splits
     if k > max((n for _, n in classes), default=0):
         raise ConfigDataError(f"{k} folds exceed the members of every class")
-    keyed, order, bounds = _ordering(df, spec, row_id)
     cuts, first = {}, 0
     for label, n in classes:
         edges = list(accumulate(_dealt_counts(first, n, k)))[:-1]
@@ -152,7 +166,7 @@ def stratified_folds(
     return (
         keyed.join(F.broadcast(table), F.col(target) == F.col("_class"))
         .withColumn(FOLD_ID, fold.cast("int"))
-        .drop("_hash", "_class", "_cuts")
+        .drop("_hash", "_hash2", "_class", "_cuts")
     )
 
 
@@ -213,7 +227,7 @@ def group_table(df: DataFrame, group: str) -> DataFrame:
         df.groupBy(F.col(group).alias("_group"))
         .agg(F.count("*").alias("_size"))
         .withColumn("_h1", F.coalesce(hash_key(0, key), F.lit(0)))
-        .withColumn("_h2", F.coalesce(hash_key(0, key, 16), F.lit(0)))
+        .withColumn("_h2", F.coalesce(hash_key(0, key, first=HASH_DIGITS + 1), F.lit(0)))
     )
 
 
@@ -380,7 +394,7 @@ def stratified_group_folds(
         cells.groupBy("_group")
         .agg(F.array(*counts).alias("_counts"), F.sum("_n").alias("_size"))
         .withColumn("_h1", F.coalesce(hash_key(seed, key), F.lit(0)))
-        .withColumn("_h2", F.coalesce(hash_key(seed, key, 16), F.lit(0)))
+        .withColumn("_h2", F.coalesce(hash_key(seed, key, first=HASH_DIGITS + 1), F.lit(0)))
     )
     n_groups = groups.count()
     folds = stratified_group_fold_table(groups, totals, k, n_groups, sum(totals))
@@ -388,7 +402,11 @@ def stratified_group_folds(
 
 
 def assign_folds(
-    df: DataFrame, task: str, spec: PartitionSpec, target: str, row_id: str = ROW_ID
+    df: DataFrame,
+    task: str,
+    spec: PartitionSpec,
+    target: str,
+    row_id: str | list[str] = ROW_ID,
 ) -> DataFrame:
     """Add ``fold_id`` by partition mode and task."""
     if spec.mode == "group":

@@ -52,12 +52,20 @@ def _path(config: dict[str, Any], key: str) -> str:
     return str(value)
 
 
-def _dense(data: DataFrame, row_key: str | None) -> DataFrame:
+def _row_key(source: dict[str, Any], data: DataFrame) -> list[str]:
+    """Columns of ``[input].row_key``, a name or a list of names; empty when absent."""
+    key = source.get("row_key") or []
+    key = [key] if isinstance(key, str) else list(key)
+    missing = [c for c in key if c not in data.columns]
+    if missing:
+        raise ConfigDataError(f"Row key columns missing in data: {missing}")
+    return key
+
+
+def _dense(data: DataFrame, row_key: list[str]) -> DataFrame:
     """Row ids 0..n-1: by the given key, else by the ids the rows were read with."""
     if row_key:
-        if row_key not in data.columns:
-            raise ConfigDataError(f"Row key '{row_key}' is not a column")
-        return rank_rows(data.drop(ROW_ID), [row_key])
+        return rank_rows(data.drop(ROW_ID), row_key)
     if ROW_ID not in data.columns:  # the hook built new rows
         return rank_rows(data, data.columns)
     rows, last = data.agg(F.count("*"), F.max(ROW_ID)).first()
@@ -82,8 +90,7 @@ def prepare(spark: SparkSession, config: dict[str, Any], hook: Hook | None = Non
         raise ConfigDataError(f"Hook function {hook!r} is not callable")
 
     data = read_table(spark, path, source.get("schema"))
-    row_key = source.get("row_key")
-    if not row_key and ROW_ID not in data.columns:
+    if not source.get("row_key") and ROW_ID not in data.columns:
         data = ingest_row_ids(data)
     if hook is not None:
         data = hook(data, hook_config.get("params", {}))
@@ -99,7 +106,7 @@ def prepare(spark: SparkSession, config: dict[str, Any], hook: Hook | None = Non
             "Partition mode 'group' requires [partition].group_column present in data"
         )
     columns = [c for c in data.columns if c not in (ROW_ID, FOLD_ID)]
-    data = _dense(data.drop(FOLD_ID), row_key)
+    data = _dense(data.drop(FOLD_ID), _row_key(source, data))
     folded = assign_folds(data, task, spec, target)
     metadata = {
         "created_at": datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z",
@@ -141,24 +148,28 @@ def _load(
     features = project(data, target, source.get("features"), [ROW_ID, FOLD_ID, group])
 
     folds_path = source.get("folds_path")
-    stored = FOLD_ID in data.columns and ROW_ID in data.columns
-    if folds_path or not stored:
-        data = data.drop(FOLD_ID)
-        if ROW_ID not in data.columns or source.get("row_key"):
-            if source.get("row_key") or not scanned:
-                data = _dense(data, source.get("row_key"))
-            else:
-                data = ingest_row_ids(data)
-    expected = None
+    row_key, expected = _row_key(source, data), None
     if folds_path:
+        if row_key or ROW_ID not in data.columns:
+            by_file = scanned and not row_key
+            data = ingest_row_ids(data) if by_file else _dense(data, row_key)
         expected = data.count()
         folds = read_folds(spark, str(folds_path), expected)
         # Whether every row found its fold is checked by the first aggregate.
-        data = data.join(dense_fold_index(folds), ROW_ID)
-    elif stored:
+        data = data.drop(FOLD_ID).join(dense_fold_index(folds), ROW_ID)
+    elif FOLD_ID in data.columns and ROW_ID in data.columns:
         data = dense_fold_index(data)
     else:  # own folds are 0..k-1 already
-        data = assign_folds(data, task, spec, target).withColumnRenamed(FOLD_ID, "fold")
+        data = data.drop(FOLD_ID)
+        row_id: str | list[str] = ROW_ID
+        if spec.mode == "random":  # groups need no row ids
+            if row_key and spec.shuffle:
+                row_id = row_key  # hashed as they are
+            elif row_key or ROW_ID not in data.columns:
+                by_file = scanned and not row_key
+                data = ingest_row_ids(data) if by_file else _dense(data, row_key)
+        data = assign_folds(data, task, spec, target, row_id)
+        data = data.withColumnRenamed(FOLD_ID, "fold")
     return Dataset.build(data, features, target, task, "fold", expected)
 
 

@@ -88,6 +88,9 @@ LINEITEM = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
+LINE_KEY = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
+]
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CHARGE = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 MIXED = "l_quantity * 1000 + l_extendedprice * (1 - l_discount)"
@@ -98,23 +101,32 @@ def hash_sql(seed: int, key: str, first: int = 1) -> str:
     return f"substr(md5('{seed}:' || {key}), {first}, 15)"
 
 
+def keyed_fold_sql(keys: list[str], k: int, seed: int = 42) -> str:
+    """Folds of rows identified by several columns."""
+    text = " || ':' || ".join(keys)
+    order = f"{hash_sql(seed, text)}, {hash_sql(seed, text, 16)}"
+    return f"CAST(ntile({k}) OVER (ORDER BY {order}) - 1 AS INTEGER)"
+
+
 def random_fold_sql(key: str, k: int, seed: int = 42) -> str:
     return f"CAST(ntile({k}) OVER (ORDER BY {hash_sql(seed, key)}, {key}) - 1 AS INTEGER)"
 
 
 def lineitem_dataset(spark: SparkSession, sf_dir: str, target: str = CHARGE) -> Dataset:
-    """lineitem with ranked row ids, random folds and a derived target."""
-    rows = rank_rows(table(spark, sf_dir, "lineitem"), LINEITEM, keep=FEATURES)
-    folded = random_folds(rows, PartitionSpec(n_splits=K)).withColumn("y", F.expr(target))
+    """lineitem with random folds by its key columns and a derived target."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    folded = random_folds(lineitem, PartitionSpec(n_splits=K), LINE_KEY).withColumn(
+        "y", F.expr(target)
+    )
     return Dataset.build(folded, FEATURES, "y", "regression", FOLD_ID)
 
 
 def lineitem_sql(target: str = CHARGE) -> str:
     """CTE ``base(fold, y, x0..x3)``."""
     columns = ", ".join(f"{c} AS x{i}" for i, c in enumerate(FEATURES))
+    fold = keyed_fold_sql(LINE_KEY, K)
     return f"""
-    li AS (SELECT *, row_number() OVER (ORDER BY {", ".join(LINEITEM)}) - 1 AS rid FROM lineitem),
-    base AS (SELECT {random_fold_sql("rid", K)} AS fold, {target} AS y, {columns} FROM li)"""
+    base AS (SELECT {fold} AS fold, {target} AS y, {columns} FROM lineitem)"""
 
 
 def models_sql(k: int = K) -> str:
@@ -1018,7 +1030,7 @@ def plan_cost(spark, sf_dir):
 )
 def plan_counts(spark, sf_dir):
     config = {
-        "input": {"target": "charge", "features": FEATURES},
+        "input": {"target": "charge", "features": FEATURES, "row_key": LINE_KEY},
         "partition": {"n_splits": K},
         "search": PLAN_SEARCH,
         "output": {},
@@ -1091,9 +1103,9 @@ def result_sinks(spark, sf_dir):
     GROUP BY 1"""
 )
 def benchmark_api(spark, sf_dir):
-    """The public entry point on lineitem, without row ids or folds in the data."""
+    """The public entry point on lineitem, rows identified by key columns."""
     config = {
-        "input": {"target": "charge", "features": FEATURES},
+        "input": {"target": "charge", "features": FEATURES, "row_key": LINE_KEY},
         "partition": {"n_splits": K},
         "evaluation": {"primary_metric": "r2", "metrics": ["r2"]},
         "search": PLS_SEARCH,
