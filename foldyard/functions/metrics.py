@@ -58,6 +58,16 @@ def check_metrics(task: str, metrics: list[str]) -> None:
         raise ConfigDataError(f"Unknown {task} metrics: {unknown}")
 
 
+def passes(task: str, metrics: list[str]) -> int:
+    """How often the predictions are read to compute these metrics."""
+    if task == "regression":
+        return 4 if "neg_median_absolute_error" in metrics else 1
+    ranked = any(m in RANK_METRICS for m in metrics)
+    losses = "neg_log_loss" in metrics
+    counted = any(m not in (*RANK_METRICS, "neg_log_loss") for m in metrics)
+    return 3 * ranked + losses + counted
+
+
 # -- regression ----------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ HASH_BOUNDS = (0, 16**HASH_DIGITS - 1)
 BROADCAST_GROUPS = 100_000
 HOT_SHARE = 10_000  # a group with more than 1/HOT_SHARE of the rows is hot
 SHARD_GROUPS = 50_000
+WINDOW_GROUPS = 1_000_000  # groups of one size ranked in one window
+MAX_CLASSES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -120,16 +122,23 @@ def _dealt_counts(first: int, n: int, k: int) -> list[int]:
     return [(first + n - i + k - 1) // k - (first - i + k - 1) // k for i in range(k)]
 
 
+def check_classes(labels: list, target: str) -> None:
+    if len(labels) > MAX_CLASSES:
+        raise ConfigDataError(f"Target '{target}' has too many values to be a class label")
+    if any(label is None for label in labels):
+        raise ConfigDataError(f"Target '{target}' contains nulls")
+
+
 def class_profile(df: DataFrame, target: str, order: str = ROW_ID) -> list[tuple]:
     """(class, rows) in order of first appearance; one row per class."""
     rows = (
         df.groupBy(target)
         .agg(F.count("*").alias("n"), F.min(order).alias("first"))
-        .orderBy("first")
+        .limit(MAX_CLASSES + 1)
         .collect()
     )
-    if any(r[target] is None for r in rows):
-        raise ConfigDataError(f"Target '{target}' contains nulls")
+    check_classes([r[target] for r in rows], target)
+    rows.sort(key=lambda r: r["first"])
     return [(r[target], r["n"]) for r in rows]
 
 
@@ -162,9 +171,10 @@ def stratified_folds(
     )
     here = F.struct(*[F.col(c).cast("long").alias(c) for c in order])
     fold = F.size(F.filter("_cuts", lambda cut: cut <= here))
-    # One row per class.
+    if len(classes) <= BROADCAST_GROUPS:  # one row per class
+        table = F.broadcast(table)
     return (
-        keyed.join(F.broadcast(table), F.col(target) == F.col("_class"))
+        keyed.join(table, F.col(target) == F.col("_class"))
         .withColumn(FOLD_ID, fold.cast("int"))
         .drop("_hash", "_hash2", "_class", "_cuts")
     )
@@ -240,30 +250,44 @@ def group_fold_table(groups: DataFrame, k: int) -> DataFrame:
     histogram = groups.groupBy("_size").count().orderBy(F.desc("_size")).collect()
     if sum(r["count"] for r in histogram) < k:
         raise ConfigDataError(f"Cannot make {k} folds of fewer than {k} groups")
-    loads, order, cuts = [0] * k, ["_h1", "_h2"], {}
-    fold_lists: dict[int, list[int]] = {}
+    loads, order = [0] * k, ["_h1", "_h2"]
+    places: dict[int, tuple[list[int], list[int]]] = {}  # size -> folds, first ranks
+    large = []
     for row in histogram:
         size, count = row["_size"], row["count"]
         taken = place_equal_groups(loads, size, count)
-        fold_lists[size] = [f for f in range(k) if taken[f]]
-        edges = list(accumulate(taken[f] for f in fold_lists[size]))[:-1]
-        if edges:
-            cuts[(size,)] = edges
-    rows = rank_thresholds(groups, order, cuts, ["_size"], bounds=HASH_BOUNDS)
+        folds = [f for f in range(k) if taken[f]]
+        places[size] = folds, list(accumulate(taken[f] for f in folds))[:-1]
+        if count > WINDOW_GROUPS and len(folds) > 1:
+            large.append(size)
+    # Sizes shared by very many groups are cut at exact ranks; the others are ranked.
+    cuts = {(size,): places[size][1] for size in large}
+    found = rank_thresholds(
+        groups.where(F.col("_size").isin(large)), order, cuts, ["_size"], bounds=HASH_BOUNDS
+    )
     table = groups.sparkSession.createDataFrame(
         [
-            (size, folds, [rows[(size,)][e] for e in cuts.get((size,), [])])
-            for size, folds in fold_lists.items()
+            (size, folds, ranks, [found[(size,)][r] for r in ranks] if size in large else None)
+            for size, (folds, ranks) in places.items()
         ],
-        "_s long, _folds array<int>, _cuts array<struct<_h1:long,_h2:long>>",
+        "_s long, _folds array<int>, _ranks array<long>, _cuts array<struct<_h1:long,_h2:long>>",
     )
-    if len(fold_lists) <= BROADCAST_GROUPS:
+    if len(places) <= BROADCAST_GROUPS:
         table = F.broadcast(table)
-    here = F.struct(*order)
-    index = F.size(F.filter("_cuts", lambda cut: cut <= here))
-    return groups.join(table, F.col("_size") == F.col("_s")).select(
-        "_group", "_size", F.get("_folds", index).alias(FOLD_ID)
+    here, same_size = F.struct(*order), Window.partitionBy("_size").orderBy(*order)
+    ranked = (
+        groups.where(~F.col("_size").isin(large))
+        .withColumn("_rank", F.row_number().over(same_size) - 1)
+        .join(table, F.col("_size") == F.col("_s"))
+        .withColumn("_at", F.size(F.filter("_ranks", lambda first: first <= F.col("_rank"))))
     )
+    cut = (
+        groups.where(F.col("_size").isin(large))
+        .join(table, F.col("_size") == F.col("_s"))
+        .withColumn("_at", F.size(F.filter("_cuts", lambda first: first <= here)))
+    )
+    columns = ["_group", "_size", F.get("_folds", F.col("_at")).alias(FOLD_ID)]
+    return ranked.select(*columns).unionByName(cut.select(*columns))
 
 
 def group_folds(df: DataFrame, spec: PartitionSpec) -> DataFrame:
@@ -378,21 +402,23 @@ def stratified_group_folds(
             F.count("*").alias("_n")
         )
     )
-    classes = cells.groupBy("_y").agg(F.sum("_n").alias("n")).orderBy("_y").collect()
-    if any(r["_y"] is None for r in classes):
-        raise ConfigDataError(f"Target '{target}' contains nulls")
+    classes = cells.groupBy("_y").agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    check_classes([r["_y"] for r in classes], target)
+    classes.sort(key=lambda r: r["_y"])
     totals = [r["n"] for r in classes]
     if k > max(totals, default=0):
         return group_folds(df, spec)
     seed = spec.seed if spec.shuffle else 0
     key = F.col("_group")
-    counts = [
-        F.coalesce(F.sum(F.when(F.col("_y") == r["_y"], F.col("_n"))), F.lit(0))
-        for r in classes
-    ]
+    found = F.map_from_entries(F.collect_list(F.struct("_y", "_n")))  # at most one per class
+    labels = F.array(*[F.lit(r["_y"]) for r in classes])
+    none = F.lit(0).cast("long")
+    counts = F.transform(labels, lambda y: F.coalesce(F.try_element_at("_found", y), none))
     groups = materialize(
         cells.groupBy("_group")
-        .agg(F.array(*counts).alias("_counts"), F.sum("_n").alias("_size"))
+        .agg(found.alias("_found"), F.sum("_n").alias("_size"))
+        .withColumn("_counts", counts)
+        .drop("_found")
         .withColumn("_h1", F.coalesce(hash_key(seed, key), F.lit(0)))
         .withColumn("_h2", F.coalesce(hash_key(seed, key, first=HASH_DIGITS + 1), F.lit(0)))
     )

@@ -18,6 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..errors import ModelExecutionError
 from ..functions import metrics as M
@@ -115,7 +116,7 @@ class Engine:
             self._bases[norm] = self.dataset if norm is None else self.dataset.normalised(norm)
         return self._bases[norm]
 
-    def _filter_scores(self, base: Dataset, key: str) -> np.ndarray:
+    def filter_scores(self, base: Dataset, key: str) -> np.ndarray:
         """Per fold model and feature. F scores and bin ranks do not change when a
         column is rescaled, so they are taken before standardisation."""
         at = (id(base), key)
@@ -152,7 +153,7 @@ class Engine:
             advance([standardise(m, **params) for m in moments])
         if filt.key != "none":
             percentile = filt.params.get("percentile", 10)
-            scores = self._filter_scores(base, filt.key)
+            scores = self.filter_scores(base, filt.key)
             kept = [keep_percentile(s, percentile) for s in scores]
             if not all(len(keep) for keep in kept):
                 raise ModelExecutionError("the filter keeps no feature")
@@ -308,6 +309,9 @@ class Engine:
     def _score(self, predictions: DataFrame) -> dict[int, list[dict]]:
         """Rows of fold scores by experiment, in fold order."""
         found: dict[int, list[dict]] = {}
+        several = M.passes(self.task, self.metrics) > 1
+        if several:
+            predictions = predictions.persist(StorageLevel.MEMORY_AND_DISK)
         if self.task == "classification":
             positive = self.dataset.classes.index(1) if 1 in self.dataset.classes else 1
             scored = M.classification_scores(predictions, self.metrics, positive)
@@ -315,6 +319,8 @@ class Engine:
             scored = M.regression_scores(predictions, self.metrics)
         for row in scored.collect():  # experiments x folds rows
             found.setdefault(row["experiment_id"], []).append(row.asDict())
+        if several:
+            predictions.unpersist()
         return {e: sorted(rows, key=lambda r: r["fold"]) for e, rows in found.items()}
 
     def _score_linear(self, base: Dataset, models: list[tuple[int, list[Affine]]]) -> dict:

@@ -528,7 +528,7 @@ def _embedding_dataset(spark, sf_dir, target: str = "label"):
 def _class_scores(data: Dataset):
     from .plans.engine import Engine
 
-    return Engine(data, "classification", ["accuracy"])._filter_scores(data, "fscore")
+    return Engine(data, "classification", ["accuracy"]).filter_scores(data, "fscore")
 
 
 EMBEDDING_SQL = f"""

@@ -51,6 +51,27 @@ def test_contiguous_folds_follow_row_order(people):
     assert sorted(Counter(f for _, f in got).values()) == [85] * 2 + [86] * 5
 
 
+def test_rows_identified_by_several_columns_need_no_numbers(people):
+    frame, rows = people
+    keyed = frame.select("g", "c", "y", F.col("y").cast("int").alias("n"))
+    spec = PartitionSpec(n_splits=7, random_state=3)
+    got = _folds(assign_folds(keyed, "regression", spec, "y", ["g", "n"]), "n")
+    digest = {i: hashlib.md5(f"3:{g}:{i}".encode()).hexdigest() for i, g, *_ in rows}
+    order = sorted(digest, key=digest.get)
+    expected, at = {}, 0
+    for f in range(7):
+        size = 600 // 7 + (f < 600 % 7)
+        expected.update({i: f for i in order[at : at + size]})
+        at += size
+    assert dict(got) == expected
+    strata = _folds(assign_folds(keyed, "classification", spec, "c", ["g", "n"]), "c")
+    spread = Counter(strata)
+    for c in {c for c, _ in strata}:
+        assert max(spread[(c, f)] for f in range(7)) - min(spread[(c, f)] for f in range(7)) <= 1
+    with pytest.raises(ConfigDataError, match="Contiguous"):
+        assign_folds(keyed, "regression", PartitionSpec(shuffle=False), "y", ["g", "n"])
+
+
 def test_many_cuts(people):
     frame, _ = people
     spec = PartitionSpec(n_splits=60)
@@ -107,6 +128,7 @@ def test_group_folds_balance_and_never_leak(people, monkeypatch, few):
     """Also on the path for many groups, where hot groups are joined apart."""
     frame, rows = people
     if not few:
+        monkeypatch.setattr(FO, "WINDOW_GROUPS", 1)
         monkeypatch.setattr(FO, "BROADCAST_GROUPS", 5)
         monkeypatch.setattr(FO, "HOT_SHARE", 50)
     spec = PartitionSpec("group", n_splits=4, group_column="g")

@@ -187,6 +187,15 @@ def test_default_features_leave_out_group_and_ids(spark, grouped):
     assert fy.benchmark(spark, config, "regression").detailed.count() == 3
 
 
+def test_key_columns_replace_row_numbers(spark, grouped):
+    config = benchmark_config(grouped)
+    config["input"]["row_key"] = ["individual_id", "f1"]
+    assert fy.benchmark(spark, config, "regression").detailed.count() == 3
+    config["input"]["row_key"] = ["nope"]
+    with pytest.raises(ConfigDataError, match="Row key"):
+        fy.benchmark(spark, config, "regression")
+
+
 def test_dry_run_counts(spark, grouped):
     config = benchmark_config(grouped)
     config["search"] = search(
