@@ -3,12 +3,12 @@
 Steps before the model are fitted once per (scale, filter, reduction) prefix for all
 folds together, mostly from one shared pass of per-fold moments. Models with a closed
 form need no further pass to fit, and all of them are scored in one pass. Spark ML
-models are fitted per fold on filters of the one cached table, a few at a time.
+models are fitted per fold on filters of the one cached table, a few fits at a time.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Callable
@@ -339,20 +339,30 @@ class Engine:
             found.update(self._score(predictions))
         return found
 
-    def _run_one(self, experiment: Experiment, prefix: Prefix) -> list[dict]:
-        """Fit and score one experiment whose model is not linear."""
+    def _start(self, pool: ThreadPoolExecutor, experiment: Experiment, prefix: Prefix, label: str):
+        """Submit the fits of one experiment: (futures of predictions, cached tables)."""
         model, held = experiment.model, []
+
+        def described(function: Callable, *args) -> DataFrame:
+            self.spark.sparkContext.setJobDescription(label)
+            return function(*args)
+
+        submit = inheritable_thread_target(self.spark)(described)
+        if model.key in ("svm", "mlp"):
+            return [pool.submit(submit, self._predict_iterative, prefix, model)], held
+        return [
+            pool.submit(submit, self._predict_mllib, prefix, model, m, held)
+            for m in range(self.dataset.k)
+        ], held
+
+    def _finish(self, experiment: Experiment, futures: list, held: list[DataFrame]) -> list[dict]:
+        """Score the predictions of all folds in one job."""
         try:
-            if model.key in ("svm", "mlp"):
-                predictions = self._predict_iterative(prefix, model)
-            else:
-                parts = [
-                    self._predict_mllib(prefix, model, m, held) for m in range(self.dataset.k)
-                ]
-                predictions = reduce(DataFrame.unionByName, parts)
+            predictions = reduce(DataFrame.unionByName, [f.result() for f in futures])
             tagged = predictions.withColumn("experiment_id", F.lit(experiment.experiment_id))
             return self._score(tagged)[experiment.experiment_id]
         finally:
+            wait(futures)
             for table in held:
                 table.unpersist()
 
@@ -409,16 +419,16 @@ class Engine:
         for base, models in linear.values():
             results.update(self._score_linear(base, models))
 
-        def attempt(item: tuple[Experiment, Prefix]) -> None:
-            experiment, prefix = item
-            context.setJobDescription(experiment.label(len(experiments)))
-            try:
-                results[experiment.experiment_id] = self._run_one(experiment, prefix)
-            except Exception as exc:
-                fail(experiment, exc)
-
         with ThreadPoolExecutor(max(1, self.parallelism)) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(attempt), others))
+            started = [
+                (e, *self._start(pool, e, prefix, e.label(len(experiments)))) for e, prefix in others
+            ]
+            for experiment, futures, held in started:
+                context.setJobDescription(experiment.label(len(experiments)))
+                try:
+                    results[experiment.experiment_id] = self._finish(experiment, futures, held)
+                except Exception as exc:
+                    fail(experiment, exc)
         context.setJobDescription(None)
 
         detailed, failed = [], []

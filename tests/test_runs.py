@@ -259,7 +259,7 @@ def test_classification_with_grouped_text_labels(spark, tmp_path):
         "partition": {"mode": "group", "n_splits": 4, "group_column": "individual_id"},
         "evaluation": {"metrics": ["f1_macro", "accuracy", "roc_auc", "neg_log_loss"]},
         "search": search(
-            scale=("none", "std"), filters=("none", "fscore"), model=("logreg", "svc", "rfc", "bagc"),
+            filters=("none", "fscore"), model=("logreg", "svc", "rfc", "bagc"),
             fscore={"percentile": 50}, svc={"max_iter": 5, "n_features": 16},
             rfc={"n_estimators": 3, "max_depth": 4}, bagc={"n_estimators": 2, "max_depth": 4},
         ),
