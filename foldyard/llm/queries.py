@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_rules
+from . import queries_corpus, queries_license, queries_lines, queries_rules, queries_substring
 
-_MODULES = (queries_rules,)
+_MODULES = (queries_rules, queries_license, queries_lines, queries_substring, queries_corpus)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
