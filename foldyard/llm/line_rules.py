@@ -28,8 +28,9 @@ BOILERPLATE = (
 )
 #: Marks that may end a line of prose, quotes and brackets included.
 TERMINAL = ".!?:;…\"'”’»)]。！？"
-SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|»›•·"
+SYMBOL = r"[#*$%&|<>]"
+SEPARATOR = r"[|»›•·]"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -56,26 +57,32 @@ class LineRules:
     window: int = 8
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(or_, (text.contains(p) for p in phrases))
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line (with a word) fails the punctuation, navigation or boilerplate rule."""
-    tight = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
-    n = F.size(F.filter(F.split(tight, " "), lambda w: w != ""))
-    low = F.lower(line)
-    unfinished = (n >= rules.prose_words) & ~F.lit(TERMINAL).contains(F.right(tight, F.lit(1)))
-    marks = F.length(line) - F.length(F.replace(F.replace(line, F.lit("!!"), F.lit("!")), F.lit("??"), F.lit("?")))
-    noisy = (_count(line, SYMBOLS) > rules.symbols_per_word * n) | (marks > rules.marks_per_word * n)
-    bars = _count(line, SEPARATORS)
-    menu = (bars >= rules.separators) & (bars * rules.words_per_separator >= n)
-    menu = menu | ((n <= rules.navigation_words) & _has_any(low, NAVIGATION))
-    return unfinished | noisy | menu | _has_any(low, BOILERPLATE)
+    facts = F.struct(
+        F.regexp_count(line, F.lit(WORD)).alias("n"),
+        F.lower(line).alias("low"),
+        F.regexp_count(line, F.lit(SYMBOL)).alias("symbols"),
+        F.regexp_count(line, F.lit(SEPARATOR)).alias("bars"),
+        F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).alias("end"),
+        (
+            F.length(line)
+            - F.length(F.replace(F.replace(line, F.lit("!!"), F.lit("!")), F.lit("??"), F.lit("?")))
+        ).alias("marks"),
+    )
+
+    def judge(x: Column) -> Column:
+        unfinished = (x["n"] >= rules.prose_words) & ~F.lit(TERMINAL).contains(x["end"])
+        noisy = (x["symbols"] > rules.symbols_per_word * x["n"]) | (x["marks"] > rules.marks_per_word * x["n"])
+        menu = (x["bars"] >= rules.separators) & (x["bars"] * rules.words_per_separator >= x["n"])
+        phrase = (x["n"] <= rules.navigation_words) & _has_any(x["low"], NAVIGATION)
+        return unfinished | noisy | menu | phrase | _has_any(x["low"], BOILERPLATE)
+
+    return let(facts, judge)
 
 
 def _repeat_words(window: int):
@@ -132,13 +139,13 @@ def clean_lines(
     (a column already called ``<prefix>cleaning`` is replaced).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    solid = F.length(F.translate(text, SPACES, ""))
+
+    def solid(ws: Column) -> Column:
+        return F.aggregate(ws, F.lit(0).cast("long"), lambda n, w: n + F.length(w))
 
     def verdict(lines: Column) -> Column:
-        bodies = F.filter(lines, lambda x: F.trim(F.translate(x, SPACES, " ")) != "")
-        passed = F.filter(
-            lines, lambda x: (F.trim(F.translate(x, SPACES, " ")) == "") | ~line_fails(x, rules)
-        )
+        bodies = F.filter(lines, lambda x: x.rlike(WORD))
+        passed = F.filter(lines, lambda x: ~x.rlike(WORD) | ~line_fails(x, rules))
         return let(
             F.struct(bodies.alias("b"), passed.alias("p")),
             lambda s: F.struct(
@@ -153,22 +160,23 @@ def clean_lines(
         let(
             words(text),
             lambda ws: F.struct(
-                F.size(ws).cast("long").alias("n_words"), _repeat_words(rules.window)(ws).alias("repeats")
+                F.size(ws).cast("long").alias("n_words"),
+                solid(ws).alias("word_chars"),
+                _repeat_words(rules.window)(ws).alias("repeats"),
             ),
         ).alias("w"),
-        solid.cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         let(F.split(text, "\n"), verdict).alias("v"),
     )
 
     def report(x: Column) -> Column:
-        kept_chars = F.length(F.translate(x["v"]["text"], SPACES, "")).cast("long")
+        kept_chars = F.when(x["v"]["n_failed"] == 0, x["w"]["word_chars"]).otherwise(solid(words(x["v"]["text"])))
         failed = (x["w"]["n_words"] < rules.least_words) | (
             100 * x["w"]["repeats"] > rules.repeat_percent * x["w"]["n_words"]
         )
         return F.struct(
             x["w"]["n_words"].alias("n_words"),
-            x["word_chars"].alias("word_chars"),
+            x["w"]["word_chars"].alias("word_chars"),
             x["n_symbols"].alias("n_symbols"),
             x["v"]["n_dup_lines"].alias("n_dup_lines"),
             x["w"]["repeats"].alias("n_repeat_words"),
@@ -176,7 +184,7 @@ def clean_lines(
             x["v"]["n_failed"].alias("n_failed"),
             kept_chars.alias("kept_word_chars"),
             failed.alias("base_failed"),
-            (~failed & (kept_chars >= rules.least_kept * x["word_chars"])).alias("kept"),
+            (~failed & (kept_chars >= rules.least_kept * x["w"]["word_chars"])).alias("kept"),
             x["v"]["text"].alias("text"),
         )
 
