@@ -9,10 +9,12 @@ skewed the words are.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 
 #: Odd 64-bit multipliers; any odd numbers would do.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -73,6 +75,31 @@ def by_range(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]
         yield int(part[a]), slice(int(a), int(b))
 
 
+def ship(spark, value):
+    """Broadcast a value of bounded size, with the code of its class."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(shared):
+    return pickle.loads(shared.value)
+
+
 def text_key(text: str | None) -> bytes:
     """A 128-bit key, equal for equal texts; null counts as empty."""
     return hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+#: Code points of texts that are worked on at once in a task, about.
+BLOCK_CHARS = 1_000_000
+
+
+def text_blocks(texts: list[str]) -> Iterator[slice]:
+    """Slices of about ``BLOCK_CHARS`` code points, of whole texts."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK_CHARS:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
