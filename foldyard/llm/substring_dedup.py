@@ -18,6 +18,7 @@ second pass compares 96 bits of two independent hashes.
 
 from __future__ import annotations
 
+import re
 from math import ceil, log2
 
 import numpy as np
@@ -184,7 +185,21 @@ def _match_windows(key, table):
     return _answer(key, table, sizes, hit, lambda at: pairs[at].tobytes())
 
 
-def _remove(window: int, schema: pa.Schema):
+#: Words with their places in a text.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_spans(text: str, spans: list[dict]) -> str:
+    """The text without the words of the spans; what is between other words stays."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    out, at = [], 0
+    for span in spans:
+        out.append(text[at : starts[span["first"]]])
+        at = starts[span["end"]]
+    return "".join(out) + text[at:]
+
+
+def _remove(window: int, schema: pa.Schema, keep_layout: bool):
     def run(key, table, hits):
         if not table.num_rows:
             return schema.empty_table()
@@ -211,7 +226,8 @@ def _remove(window: int, schema: pa.Schema):
         gone = np.cumsum(cover)[:-1] > 0
         ends = np.cumsum(counts)
         kept, removed, spans = [], [], []
-        for end, n in zip(ends, counts):
+        texts = table["text"].to_pylist() if keep_layout else None
+        for i, (end, n) in enumerate(zip(ends, counts)):
             own = gone[end - n : end]
             m = int(own.sum())
             removed.append(m)
@@ -222,7 +238,10 @@ def _remove(window: int, schema: pa.Schema):
                 ws = [w for w, g in zip(ws, own) if not g]
             else:
                 spans.append([])
-            kept.append(b" ".join(ws).decode("utf-8", "surrogatepass"))
+            if keep_layout:
+                kept.append(cut_spans(texts[i] or "", spans[-1]))
+            else:
+                kept.append(b" ".join(ws).decode("utf-8", "surrogatepass"))
         return pa.table(
             [
                 table["doc_id"],
@@ -239,10 +258,15 @@ def _remove(window: int, schema: pa.Schema):
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    keep_layout: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, extra, n_words, n_removed, kept_text (kept words
-    joined by one blank), spans (removed word ranges).
+    joined by one blank; with ``keep_layout`` the text with the spans cut out), spans
+    (removed word ranges).
 
     Every word covered by a ``window``-word sequence that also starts elsewhere, in the
     same document or another, is removed, in all its places. Null and empty texts have
@@ -267,5 +291,5 @@ def remove_repeats(
     return (
         dealt.groupBy("batch")
         .cogroup(repeats.groupBy("batch"))
-        .applyInArrow(_remove(window, to_arrow_schema(result)), result)
+        .applyInArrow(_remove(window, to_arrow_schema(result), keep_layout), result)
     )
