@@ -31,17 +31,18 @@ from .hashing import ship, shipped, text_blocks
 @dataclass(frozen=True)
 class FmParams:
     """max_rows: labelled rows to fit on at most. folds, held_fold: rows with
-    crc32(id) mod folds = held_fold are held out. threshold: score of a predicted 1."""
+    crc32(id) mod folds = held_fold are held out. threshold: score of a predicted 1.
+    steps: gradient steps in all, whatever the number of rows."""
 
     max_rows: int = 20_000
     folds: int = 5
     held_fold: int = 0
     threshold: float = 0.3
     factors: int = 8
-    epochs: int = 6
-    batch: int = 128
+    steps: int = 3000
+    batch: int = 32
     rate: float = 0.1
-    shrink: float = 1e-5
+    shrink: float = 1e-4
     seed: int = 5
 
 
@@ -144,6 +145,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
+def _batches(rng, rows: int, params: FmParams):
+    """Batches of shuffled passes over the rows, ``steps`` of them in all."""
+    left = params.steps
+    while left > 0 and rows:
+        order = rng.permutation(rows)
+        cuts = [order[s : s + params.batch] for s in range(0, rows, params.batch)][:left]
+        left -= len(cuts)
+        yield cuts
+
+
 def fit(examples: list, labels: np.ndarray, params: FmParams) -> Machine:
     """Adaptive stochastic gradient on the log loss; examples are (inputs, values)."""
     rng = np.random.default_rng(params.seed)
@@ -154,10 +165,8 @@ def fit(examples: list, labels: np.ndarray, params: FmParams) -> Machine:
         (rng.standard_normal((INPUTS, params.factors)) * 0.05).astype(np.float32),
     )
     seen_w, seen_v, seen_b = np.full(INPUTS, 1e-3, np.float32), np.full(machine.factors.shape, 1e-3, np.float32), 1e-3
-    for _ in range(params.epochs):
-        order = rng.permutation(len(labels))
-        for s in range(0, len(order), params.batch):
-            at = order[s : s + params.batch]
+    for order in _batches(rng, len(labels), params):
+        for at in order:
             inputs = np.concatenate([examples[i][0] for i in at])
             values = np.concatenate([examples[i][1] for i in at])
             sizes = np.array([len(examples[i][0]) for i in at])
