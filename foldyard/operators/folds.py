@@ -64,8 +64,16 @@ class PartitionSpec:
 
 
 def hash_key(seed: int, *values: Column, first: int = 1) -> Column:
-    """A positive long drawn from md5 of ``seed:value:...``; same in any SQL engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[v.cast("string") for v in values])
+    """A positive long drawn from md5 of ``seed:part:...``; same in any SQL engine.
+
+    A part is ``length:value``, or ``-`` for null, so no two lists of values share a text.
+    """
+    parts = [F.lit(str(seed))]
+    for value in values:
+        shown = value.cast("string")
+        sized = F.concat(F.length(shown).cast("string"), F.lit(":"), shown)
+        parts += [F.lit(":"), F.coalesce(sized, F.lit("-"))]
+    text = F.concat(*parts)
     return F.conv(F.substring(F.md5(text), first, HASH_DIGITS), 16, 10).cast("long")
 
 
@@ -73,7 +81,8 @@ def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str | list[str]):
     """The frame, the columns its rows are ordered by, and known limits of the first.
 
     Shuffled rows are ordered by the hash of their id, or of several key columns of any
-    type; then no row numbers are needed at all.
+    type; then no row numbers are needed at all. Rows that share a key are ordered by a
+    hash of all their columns, which is only computed where a cut falls between them.
     """
     if isinstance(row_id, str):
         if not spec.shuffle:
@@ -83,10 +92,30 @@ def _ordering(df: DataFrame, spec: PartitionSpec, row_id: str | list[str]):
     if not spec.shuffle:
         raise ConfigDataError("Contiguous folds need one numeric row id")
     keys = [F.col(c) for c in row_id]
-    keyed = df.withColumn("_hash", hash_key(spec.seed, *keys)).withColumn(
-        "_hash2", hash_key(spec.seed, *keys, first=HASH_DIGITS + 1)
-    )
-    return keyed, ["_hash", "_hash2"], HASH_BOUNDS
+    everything = [F.col(c) for c in df.columns]
+    hashes = {
+        "_hash": hash_key(spec.seed, *keys),
+        "_hash2": hash_key(spec.seed, *keys, first=HASH_DIGITS + 1),
+        "_hash3": hash_key(spec.seed, *everything),
+        "_hash4": hash_key(spec.seed, *everything, first=HASH_DIGITS + 1),
+    }
+    return df.withColumns(hashes), list(hashes), HASH_BOUNDS
+
+
+HASHES = ("_hash", "_hash2", "_hash3", "_hash4")
+
+
+def _check_apart(cuts: dict[int, tuple]) -> None:
+    """Rows at different ranks must differ, or folds between them would be empty."""
+    if len(set(cuts.values())) < len(cuts):
+        raise ConfigDataError(
+            "Rows at several fold limits are equal in every column; give each row its own key"
+        )
+
+
+def _used_columns(order: list[str], cuts: list[tuple]) -> int:
+    """How many order columns the cuts need; the rest of a cut is null."""
+    return max((sum(v is not None for v in cut) for cut in cuts), default=1)
 
 
 def _even_sizes(n: int, k: int) -> list[int]:
@@ -95,11 +124,16 @@ def _even_sizes(n: int, k: int) -> list[int]:
 
 def _fold_from_cuts(order: list[str], cuts: list[tuple]) -> Column:
     """Number of cut rows at or before this row."""
+    used = _used_columns(order, cuts)
+    order, cuts = order[:used], [cut[:used] for cut in cuts]
     here = F.struct(*order)
-    if len(cuts) <= 32:
+    if len(cuts) <= 32 and all(v is not None for cut in cuts for v in cut):
         at = [F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
         return sum(((here >= cut).cast("int") for cut in at), F.lit(0))
-    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)]) for cut in cuts])
+    table = F.array(
+        *[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(order, cut)]) for cut in cuts]
+    )
+    here = F.struct(*[F.col(c).cast("long").alias(c) for c in order])
     return F.size(F.filter(table, lambda cut: cut <= here))
 
 
@@ -113,8 +147,9 @@ def random_folds(
     keyed, order, bounds = _ordering(df, spec, row_id)
     ranks = list(accumulate(_even_sizes(n, spec.n_splits)))[:-1]
     rows = rank_thresholds(keyed, order, {(): ranks}, bounds=bounds)[()]
+    _check_apart(rows)
     fold = _fold_from_cuts(order, [rows[r] for r in ranks])
-    return keyed.withColumn(FOLD_ID, fold.cast("int")).drop("_hash", "_hash2")
+    return keyed.withColumn(FOLD_ID, fold.cast("int")).drop(*HASHES)
 
 
 def _dealt_counts(first: int, n: int, k: int) -> list[int]:
@@ -159,6 +194,9 @@ def stratified_folds(
     wanted = {s: sorted(set(ranks)) for s, ranks in cuts.items()}
     rows = rank_thresholds(keyed, order, wanted, [target], bounds=bounds)
 
+    for found in rows.values():
+        _check_apart(found)
+    order = order[: _used_columns(order, [cut for found in rows.values() for cut in found.values()])]
     cut_type = T.StructType([T.StructField(c, T.LongType()) for c in order])
     schema = T.StructType(
         [
@@ -167,7 +205,7 @@ def stratified_folds(
         ]
     )
     table = df.sparkSession.createDataFrame(
-        [(s[0], [rows[s][r] for r in ranks]) for s, ranks in cuts.items()], schema
+        [(s[0], [rows[s][r][: len(order)] for r in ranks]) for s, ranks in cuts.items()], schema
     )
     here = F.struct(*[F.col(c).cast("long").alias(c) for c in order])
     fold = F.size(F.filter("_cuts", lambda cut: cut <= here))
@@ -176,7 +214,7 @@ def stratified_folds(
     return (
         keyed.join(table, F.col(target) == F.col("_class"))
         .withColumn(FOLD_ID, fold.cast("int"))
-        .drop("_hash", "_hash2", "_class", "_cuts")
+        .drop(*HASHES, "_class", "_cuts")
     )
 
 
@@ -438,7 +476,7 @@ def assign_folds(
     if spec.mode == "group":
         if not spec.group_column or spec.group_column not in df.columns:
             raise ConfigDataError(
-                "Partition mode 'group' requires [partition].group_column present in data"
+                f"Group folds need a group column of the data, not {spec.group_column!r}"
             )
         if task == "classification":
             return stratified_group_folds(df, spec, target)
@@ -448,13 +486,26 @@ def assign_folds(
     return random_folds(df, spec, row_id)
 
 
+MAX_FOLDS = 100_000  # of a given fold column; one that names rows is not a fold column
+
+
 def dense_fold_index(df: DataFrame, fold_id: str = FOLD_ID, name: str = "fold") -> DataFrame:
-    """Add the 0-based position of each row's fold id among the distinct ids."""
-    ids = sorted(r[0] for r in df.select(fold_id).distinct().collect())
-    table = df.sparkSession.createDataFrame(
-        [(value, i) for i, value in enumerate(ids)], f"_id long, {name} int"
+    """Add the 0-based position of each row's fold id among the distinct ids.
+
+    Ids may have any type that sorts. Nulls are an error, and so are more than
+    ``MAX_FOLDS`` ids, before they reach the driver.
+    """
+    ids = [r[0] for r in df.select(fold_id).distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(ids) > MAX_FOLDS:
+        raise ConfigDataError(f"Column '{fold_id}' has over {MAX_FOLDS} values, too many for folds")
+    if None in ids:
+        rows = df.where(F.col(fold_id).isNull()).count()
+        raise ConfigDataError(f"Column '{fold_id}' is null in {rows} rows; every row needs a fold")
+    schema = T.StructType(
+        [T.StructField("_id", df.schema[fold_id].dataType), T.StructField(name, T.IntegerType())]
     )
-    # One row per fold.
+    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(ids))], schema)
+    # One row per fold, MAX_FOLDS at most.
     return df.join(F.broadcast(table), F.col(fold_id) == F.col("_id")).drop("_id")
 
 

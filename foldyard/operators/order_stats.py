@@ -79,6 +79,15 @@ def _tag_cells(df, strata, order, cells, level):
     return df.select("*", F.inline(choice))
 
 
+def _shortest(rows: list[tuple], at: int) -> tuple:
+    """The row at a place of sorted rows, with null for columns that are not needed to
+    tell it from its neighbours."""
+    row = rows[at]
+    near = [rows[i] for i in (at - 1, at + 1) if 0 <= i < len(rows)]
+    need = next((n for n in range(1, len(row)) if all(r[:n] != row[:n] for r in near)), len(row))
+    return (*row[:need], *(None,) * (len(row) - need))
+
+
 def _bucket(value: Column, buckets: int) -> Column:
     """Order-preserving bucket of a value inside [_lo, _hi]."""
     lo, hi = F.col("_lo"), F.col("_hi")
@@ -96,7 +105,8 @@ def rank_thresholds(
 ) -> dict[tuple, dict[int, tuple]]:
     """Order-column values of the row at each wanted 0-based rank of each stratum.
 
-    ``order`` names numeric columns without nulls, compared lexicographically.
+    ``order`` names numeric columns without nulls, compared lexicographically. Trailing
+    columns of an answer are null where the leading ones are the row's alone.
     ``cuts`` maps a request to ranks. A request is a tuple of strata values, ``()``
     without strata; with ``leave_out`` it ends with a value of that column, and rows
     that have it do not count. All such requests of a stratum share one pass.
@@ -127,9 +137,10 @@ def rank_thresholds(
         for cell in cells:
             if cell.count is None or cell.lo is None or cell.lo != cell.hi:
                 todo.append(cell)
-            elif level == len(order) - 1:
+            elif level == len(order) - 1 or cell.count == 1:
+                rest = (None,) * (len(order) - level - 1)
                 for request, rank, _ in cell.wanted:
-                    answers[request][rank] = (*cell.fixed, cell.lo)
+                    answers[request][rank] = (*cell.fixed, cell.lo, *rest)
             else:  # equal so far: the next column decides
                 fixed = (*cell.fixed, cell.lo)
                 pending.append(_Cell(cell.stratum, fixed, None, None, cell.count, cell.wanted))
@@ -148,7 +159,7 @@ def rank_thresholds(
                 ordered = sorted(rows[i], key=lambda item: item[0])
                 for request, rank, inner in cell.wanted:
                     own = [key for key, p in ordered if counts(request, p)]
-                    answers[request][rank] = own[inner]
+                    answers[request][rank] = _shortest(own, inner)
             continue
 
         if any(c.lo is None for c in todo):

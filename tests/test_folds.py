@@ -10,8 +10,12 @@ from foldyard.operators import folds as FO
 from foldyard.operators.folds import PartitionSpec, assign_folds
 
 
+def _text(seed, *values):
+    return ":".join([str(seed), *(f"{len(str(v))}:{v}" for v in values)]).encode()
+
+
 def _hash(seed, value):
-    return int(hashlib.md5(f"{seed}:{value}".encode()).hexdigest()[:15], 16)
+    return int(hashlib.md5(_text(seed, value)).hexdigest()[:15], 16)
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +60,7 @@ def test_rows_identified_by_several_columns_need_no_numbers(people):
     keyed = frame.select("g", "c", "y", F.col("y").cast("int").alias("n"))
     spec = PartitionSpec(n_splits=7, random_state=3)
     got = _folds(assign_folds(keyed, "regression", spec, "y", ["g", "n"]), "n")
-    digest = {i: hashlib.md5(f"3:{g}:{i}".encode()).hexdigest() for i, g, *_ in rows}
+    digest = {i: hashlib.md5(_text(3, g, i)).hexdigest() for i, g, *_ in rows}
     order = sorted(digest, key=digest.get)
     expected, at = {}, 0
     for f in range(7):
@@ -211,7 +215,7 @@ def test_impossible_partitions_are_rejected(people):
     frame, _ = people
     with pytest.raises(ConfigDataError):
         assign_folds(frame, "regression", PartitionSpec(n_splits=601), "y")
-    with pytest.raises(ConfigDataError, match="Partition mode 'group'"):
+    with pytest.raises(ConfigDataError, match="group column"):
         assign_folds(frame, "regression", PartitionSpec("group"), "y")
     with pytest.raises(ConfigDataError):
         assign_folds(frame, "regression", PartitionSpec("group", 100, group_column="c"), "y")
@@ -241,3 +245,36 @@ def test_fold_assignment_does_not_shuffle_rows(people):
     above_cache = plan.split("InMemoryTableScan")[0]
     assert "Exchange hashpartitioning" not in above_cache and "Sort" not in above_cache
     assert folded.where(F.col("fold_id") < 0).isEmpty()
+
+
+def test_key_parts_do_not_run_together(spark):
+    rows = [("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a:1", "b", ""), ("a", "1:b", ""), ("-", "a", "b")]
+    frame = spark.createDataFrame(rows, "x string, y string, z string")
+    hashes = {r[0] for r in frame.select(FO.hash_key(1, *map(F.col, "xyz"))).collect()}
+    assert len(hashes) == len(rows)
+
+
+@pytest.mark.parametrize("mode", ["random", "stratified"])
+def test_rows_that_share_keys_fill_every_fold(spark, mode):
+    frame = spark.range(103).select("id", (F.col("id") % 3).cast("string").alias("key"), (F.col("id") % 2).alias("y"))
+    spec = FO.PartitionSpec(n_splits=5)
+    folded = (
+        FO.random_folds(frame, spec, ["key"]) if mode == "random" else FO.stratified_folds(frame, spec, "y", ["key"])
+    )
+    sizes = {r["fold_id"]: r["count"] for r in folded.groupBy("fold_id").count().collect()}
+    assert sorted(sizes) == [0, 1, 2, 3, 4] and set(sizes.values()) == {20, 21}
+
+
+def test_rows_equal_in_every_column_are_refused(spark):
+    frame = spark.range(50).select(F.lit("same").alias("key"))
+    with pytest.raises(ConfigDataError, match="equal in every column"):
+        FO.random_folds(frame, FO.PartitionSpec(n_splits=5), ["key"])
+
+
+def test_given_fold_ids_of_any_type(spark):
+    frame = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "fold_id string")
+    assert [(r["fold_id"], r["fold"]) for r in FO.dense_fold_index(frame).orderBy("fold_id").collect()] == [
+        ("a", 0), ("a", 0), ("b", 1), ("c", 2),
+    ]
+    with pytest.raises(ConfigDataError, match="null in 2 rows"):
+        FO.dense_fold_index(frame.union(spark.createDataFrame([(None,), (None,)], "fold_id string")))
