@@ -20,7 +20,8 @@ DEFAULT_DEPTH = 12
 
 
 def _subset(max_features: Any) -> str:
-    if max_features is None or max_features == 1.0 and not isinstance(max_features, bool):
+    """A whole number is that many features, a fraction a share of them."""
+    if max_features is None or isinstance(max_features, float) and max_features == 1.0:
         return "all"
     return max_features if isinstance(max_features, str) else str(max_features)
 

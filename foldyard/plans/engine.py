@@ -15,6 +15,7 @@ from typing import Any, Callable
 
 import numpy as np
 from pyspark import inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,9 @@ from .registry import NO_EFFECT
 SCORED_TOGETHER = 16
 WIDE_MAP = 256  # matrix entries up to which a linear map is written as columns
 FIXED_SEED = 0
+#: What a fit or a score may raise for its parameters or data; anything else is a fault
+#: of the program or the session and ends the run.
+MODEL_ERRORS = (ModelExecutionError, ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
 
 
 def _used(params: dict[str, Any], *drop: str) -> dict[str, Any]:
@@ -179,7 +183,7 @@ class Engine:
                 self._prefixes[key] = self._fit_prefix(
                     experiment.scale, experiment.filter, experiment.reduction
                 )
-            except Exception as exc:  # any failure in a fit fails the combinations using it
+            except MODEL_ERRORS as exc:  # fails the combinations that use the fit
                 self._prefixes[key] = exc
         found = self._prefixes[key]
         if isinstance(found, Exception):
@@ -374,6 +378,7 @@ class Engine:
         failures: dict[int, tuple[str, str, str]] = {}
         linear: dict[int, tuple[Dataset, list]] = {}
         others: list[tuple[Experiment, Prefix]] = []
+        by_id = {experiment.experiment_id: experiment for experiment in experiments}
 
         def fail(experiment: Experiment, exc: Exception) -> None:
             reason = (str(exc) or type(exc).__name__).splitlines()[0]
@@ -390,7 +395,7 @@ class Engine:
                     raise ModelExecutionError("Input contains NaN or null")
                 prefix = self.prefix(experiment)
                 fitted = self._linear(prefix, experiment.model)
-            except Exception as exc:
+            except MODEL_ERRORS as exc:
                 fail(experiment, exc)
                 continue
             if fitted is None:
@@ -413,11 +418,18 @@ class Engine:
                         "fold", "y", F.get("z", F.lit(0)).alias("p"),
                     )
                     results.update(self._score(predictions))
-                except Exception as exc:
+                except MODEL_ERRORS as exc:
                     fail(experiment, exc)
         context.setJobDescription("score linear models")
         for base, models in linear.values():
-            results.update(self._score_linear(base, models))
+            try:
+                results.update(self._score_linear(base, models))
+            except MODEL_ERRORS:  # one by one, to know whose fault it is
+                for experiment_id, maps in models:
+                    try:
+                        results.update(self._score_linear(base, [(experiment_id, maps)]))
+                    except MODEL_ERRORS as exc:
+                        fail(by_id[experiment_id], exc)
 
         with ThreadPoolExecutor(max(1, self.parallelism)) as pool:
             started = [
@@ -427,13 +439,17 @@ class Engine:
                 context.setJobDescription(experiment.label(len(experiments)))
                 try:
                     results[experiment.experiment_id] = self._finish(experiment, futures, held)
-                except Exception as exc:
+                except MODEL_ERRORS as exc:
                     fail(experiment, exc)
         context.setJobDescription(None)
 
         detailed, failed = [], []
         for experiment in experiments:
             combo = experiment.row()
+            scored = len(results.get(experiment.experiment_id, []))
+            if experiment.experiment_id in results and scored < self.dataset.k:
+                fail(experiment, ModelExecutionError(f"{scored} of {self.dataset.k} folds have rows to score"))
+                del results[experiment.experiment_id]
             for row in results.get(experiment.experiment_id, []):
                 detailed.append((*combo, row["fold"], *[row[x] for x in self.metrics]))
             if experiment.experiment_id in failures:
