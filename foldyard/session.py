@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import ConfigDataError
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors reach.
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only in local mode."""
+    Where it is unset, a folder in the warehouse, which they share as well; it then
+    becomes the session's checkpoint folder.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
+    named = (
+        context.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
     )
-    if not shared:
-        if not context.master.startswith("local"):
-            raise ConfigDataError(
-                "Set spark.checkpoint.dir to a folder every executor can reach"
-            )
-        shared = tempfile.mkdtemp(prefix="foldyard-checkpoint-")
-    context.setCheckpointDir(shared)
-    return shared
+    if named:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
+        return context.getCheckpointDir() or named
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/foldyard-checkpoints")
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/foldyard-{uuid4().hex}"
+    """A new folder next to the checkpoints; the session deletes it when it ends."""
+    path = f"{shared_folder(spark)}/foldyard-{uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,6 +42,6 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Later scans read only the columns they need and do not depend on any executor.
     """
-    path = scratch_path(df.sparkSession)
+    path = f"{scratch_path(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
