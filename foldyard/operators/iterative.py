@@ -423,27 +423,14 @@ def mlp_gradient(f, y, theta, sizes, activation) -> tuple[np.ndarray, float]:
     return np.concatenate(grads), loss
 
 
-MINI_BATCH = 200
-LOCAL_STEPS = 10
+FULL_GRADIENT = 4.0
 
 
 def _mlp_kernel(x, y, param):
-    """Mini-batch Adam over one batch of rows, started from the shared weights:
-    row-weighted movement, loss before moving, rows."""
-    chain, theta, sizes, activation, centre, spread, alpha, rate = param
-    f, goal, n = chain.apply(x), (y - centre) / spread, len(y)
-    loss = float(((_forward(f, _unpack_layers(theta, sizes), activation)[-1][:, 0] - goal) ** 2).sum() / 2)
-    own, first, second = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
-    batches = -(-n // MINI_BATCH)
-    for step in range(1, max(batches, LOCAL_STEPS) + 1):
-        rows = slice((step - 1) % batches, n, batches)
-        grad, _ = mlp_gradient(f[rows], goal[rows], own, sizes, activation)
-        grad = (grad + alpha * own) / len(goal[rows])
-        first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad**2
-        move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        own = own - rate * move
-    return np.concatenate([(own - theta) * n, [loss, n]])
+    """Gradient and loss summed over the rows, and their number."""
+    chain, theta, sizes, activation, centre, spread = param
+    grad, loss = mlp_gradient(chain.apply(x), (y - centre) / spread, theta, sizes, activation)
+    return np.concatenate([grad, [loss, len(y)]])
 
 
 def fit_mlp(
@@ -459,11 +446,12 @@ def fit_mlp(
     n_iter_no_change: int = 10,
     random_state: int | None = None,
 ) -> list[tuple]:
-    """Iterative parameter mixing (McDonald et al. 2010), all fold models at once.
+    """Adam on the full gradient, all fold models at once.
 
-    One iteration is one pass: every batch of rows trains a copy of the shared weights
-    where it lies, and the row-weighted mean of the movements is added to them. The
-    target is standardised while fitting, so one step size suits any scale.
+    One iteration is one pass that sums the gradient over all training rows, so neither
+    partitions nor batches change the model. The target is standardised while fitting,
+    so one step size suits any scale; full gradients bear larger steps than mini-batches
+    do, hence ``learning_rate_init`` times ``FULL_GRADIENT``.
     """
     if activation not in _ACTIVATIONS:
         raise ModelExecutionError(f"unknown activation {activation!r}")
@@ -481,13 +469,11 @@ def fit_mlp(
     targets = [(m.y_mean, max(np.sqrt(m.yy / m.n), 1e-12)) for m in moments]
     thetas = [start.copy() for _ in moments]
     best = [(np.inf, start)] * len(moments)
+    first = [np.zeros_like(start) for _ in moments]
+    second = [np.zeros_like(start) for _ in moments]
     idle = 0
-    for step in range(max_iter):
-        rate = learning_rate_init / np.sqrt(1 + step / 10)
-        params = [
-            (b, t, sizes, activation, c, s, alpha, rate)
-            for b, t, (c, s) in zip(before, thetas, targets)
-        ]
+    for step in range(1, max_iter + 1):
+        params = [(b, t, sizes, activation, c, s) for b, t, (c, s) in zip(before, thetas, targets)]
         sums = fold_sums(design, _mlp_kernel, params, len(start) + 2)
         improved = False
         for i, total in enumerate(sums):
@@ -497,7 +483,11 @@ def fit_mlp(
             improved = improved or loss < best[i][0] - tol
             if loss < best[i][0]:
                 best[i] = (loss, thetas[i])
-            thetas[i] = thetas[i] + total[:-2] / total[-1]
+            grad = (total[:-2] + alpha * thetas[i]) / total[-1]
+            first[i] = 0.9 * first[i] + 0.1 * grad
+            second[i] = 0.999 * second[i] + 0.001 * grad**2
+            move = (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+            thetas[i] = thetas[i] - FULL_GRADIENT * learning_rate_init * move
         idle = 0 if improved else idle + 1
         if idle >= n_iter_no_change:
             break

@@ -86,6 +86,15 @@ def test_mlp_gradient_matches_differences():
             assert grad[i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-5)
 
 
+def test_mlp_does_not_depend_on_partitions(curved):
+    design, moments, *_ = curved
+    fits = [
+        it.fit_mlp(design.repartition(n), moments, [Affine.identity(2)] * K, (8,), max_iter=15) for n in (1, 8)
+    ]
+    for one, other in zip(*fits):
+        np.testing.assert_allclose(one[1], other[1], rtol=1e-6, atol=1e-9)
+
+
 def test_mlp_beats_a_line(curved):
     design, moments, *_ = curved
     fitted = it.fit_mlp(design, moments, [Affine.identity(2)] * K, (16,), max_iter=60)
