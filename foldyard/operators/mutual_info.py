@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -102,13 +100,23 @@ def train_mutual_info(
         .groupBy("model", "feature", F.col("b.xb").alias("bx"), F.col("b.yb").alias("by"))
         .agg(F.sum("n").alias("count"))
     )
-    tables: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros((bins, bins)))
-    for r in long.collect():
-        tables[(r["model"], r["feature"])][r["bx"], r["by"]] = r["count"]
+    # n ln n summed over the cells, the rows, the columns and the whole of each table:
+    # one row for each model and feature comes back.
+    key = ["model", "feature"]
+    parts = long.persist()
+
+    def entropy_sums(name: str, *axes: str) -> DataFrame:
+        sums = parts.groupBy(*key, *axes).agg(F.sum("count").cast("double").alias("n"))
+        return sums.groupBy(*key).agg(F.sum(F.col("n") * F.log("n")).alias(name))
+
+    whole = parts.groupBy(*key).agg(F.sum("count").cast("double").alias("n"))
+    found = whole
+    for name, axes in (("xy", ("bx", "by")), ("x", ("bx",)), ("y", ("by",))):
+        found = found.join(entropy_sums(name, *axes), key)
+    n = F.col("n")
+    information = (F.col("xy") - F.col("x") - F.col("y") + n * F.log(n)) / n
     out = np.zeros((k, len(features)))
-    for (m, i), counts in tables.items():
-        p = counts / counts.sum()
-        px, py = p.sum(axis=1, keepdims=True), p.sum(axis=0, keepdims=True)
-        hit = p > 0
-        out[m, i] = (p[hit] * np.log(p[hit] / (px @ py)[hit])).sum()
+    for model, feature, value in found.select(*key, information).collect():
+        out[model, feature] = max(0.0, value)
+    parts.unpersist()
     return out
