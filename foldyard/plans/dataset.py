@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -33,6 +33,13 @@ class Profile:
     mean: np.ndarray
 
 
+def check_numeric(df: DataFrame, features: list[str], target: str, task: str) -> None:
+    """Features, and a regression target, must be numbers or booleans."""
+    for name in [*features, target] if task == "regression" else features:
+        if not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
+            raise ConfigDataError(f"Column '{name}' is not numeric")
+
+
 @dataclass
 class Dataset:
     """Columns ``fold`` int, ``y`` double and ``x0..`` double, cached for the run."""
@@ -54,9 +61,7 @@ class Dataset:
         expected_rows: int | None = None,
     ) -> "Dataset":
         """Project, cast and index ``df``; nothing but the needed columns is kept."""
-        for name in [*features] + ([target] if task == "regression" else []):
-            if not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
-                raise ConfigDataError(f"Column '{name}' is not numeric")
+        check_numeric(df, features, target, task)
         wanted = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
         fold_column = F.col(fold).cast("int").alias("fold")
         y = F.col(target).cast("double") if task == "regression" else F.col(target)
@@ -108,11 +113,17 @@ class Dataset:
         ).first()
         if self.expected_rows is not None and row[0] != self.expected_rows:
             raise ConfigDataError(
-                f"Folds match {row[0]} of {self.expected_rows} data rows"
+                f"The folds fit {row[0]} rows, the data has {self.expected_rows}"
             )
         mean = np.array([0.0 if v is None else v for v in row[4:]])
         return Profile(row[0], row[1], row[2], row[3], mean)
 
+    def fold_sizes(self) -> DataFrame:
+        """fold, n_test (its rows) and n_train (all other rows); one row per fold."""
+        sizes = self.df.groupBy("fold").agg(F.count("*").alias("n_test"))
+        whole = F.sum("n_test").over(Window.partitionBy())
+        return sizes.withColumn("n_train", whole - F.col("n_test"))
+
     @property
     def k(self) -> int:
         return self.profile.folds

@@ -27,7 +27,7 @@ NMF_NEGATIVE = "NMF skipped: input data contains negative values"
 def section(config: dict[str, Any], name: str) -> dict[str, Any]:
     found = config.get(name)
     if not isinstance(found, dict):
-        raise ConfigDataError(f"Missing required section [{name}]")
+        raise ConfigDataError(f"The configuration has no [{name}] section")
     return found
 
 
@@ -85,7 +85,7 @@ def variants(task: str, search: dict[str, Any]) -> dict[str, list[Variant]]:
                 check_technique(task, step, key, params)
                 found[step].append(Variant(key, params))
         if not found[step]:
-            raise ConfigDataError(f"At least one {step} must be enabled in [search.{step}]")
+            raise ConfigDataError(f"The search space enables no {step}")
     return found
 
 
@@ -121,15 +121,13 @@ def with_cost(experiments: DataFrame) -> DataFrame:
     return experiments.withColumn("relative_cost", cost)
 
 
-def worklist(experiments: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every experiment on every row of the fold table, without a join: the
-    configuration-sized experiments travel as one array literal."""
-    rows = [tuple(r) for r in experiments.collect()]
-    schema = experiments.schema
-    structs = F.array(
-        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(schema.names, row)]) for row in rows]
-    )
-    return folds.select("*", F.inline(structs))
+def work_list(experiments: list[Experiment], folds: DataFrame) -> DataFrame:
+    """Every experiment on every row of the fold table, with its label, without a join:
+    the configuration-sized experiments travel as one array literal."""
+    names = [*COMBO_COLUMNS, "label"]
+    rows = [(*e.row(), e.label(len(experiments))) for e in experiments]
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return folds.select("*", F.inline(F.array(*structs)))
 
 
 def plan_summary(experiments: DataFrame) -> DataFrame:

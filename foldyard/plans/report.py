@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import INCOMPATIBLE_COMBO, INTERNAL, MODEL_EXECUTION, ConfigDataError
@@ -66,9 +66,14 @@ def summarise(detailed: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def rank(detailed: DataFrame, primary: str) -> DataFrame:
-    """Combinations from best to worst mean of the primary metric."""
+    """Combinations from best (``rank`` 1) to worst mean of the primary metric.
+
+    Combinations without a value come last; ties go by experiment id.
+    """
     means = detailed.groupBy(*COMBO_COLUMNS).agg(F.avg(_value(primary)).alias(primary))
-    return means.orderBy(F.desc_nulls_last(primary), "experiment_id")
+    order = [F.desc_nulls_last(primary), F.col("experiment_id")]
+    # One row per combination of the search space: a single window holds them all.
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
 
 
 def normalise_failed(failed: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def build_results(
     if not detailed_rows:
         reasons = "; ".join(sorted({str(row[-1]) for row in failed_rows}))
         raise ConfigDataError(
-            f"No successful experiments. Check the failed table for details. {reasons}".strip()
+            f"No combination of the search space could be scored: {reasons}".rstrip(": ")
         )
     detailed = detailed_frame(spark, detailed_rows, metrics)
     failed = normalise_failed(failed_frame(spark, failed_rows))
@@ -129,26 +134,28 @@ def build_results(
     )
 
 
-def _fixed(value: Column) -> Column:
+def _fixed(value: Column, decimals: int = FORMAT_DECIMALS) -> Column:
     """Fixed-decimals text; a missing value reads ``nan``."""
-    text = F.format_string(f"%.{FORMAT_DECIMALS}f", value)
+    text = F.format_string(f"%.{decimals}f", value)
     return F.when(value.isNull() | F.isnan(value), "nan").otherwise(text)
 
 
-def format_summary(summary: DataFrame, metrics: list[str]) -> DataFrame:
-    """Combination columns and one ``mean +- std`` text per metric."""
-    cells = [
-        F.concat(
-            _fixed(F.col(f"{m}_mean")), F.lit(" +- "), _fixed(F.col(f"{m}_std"))
-        ).alias(m)
-        for m in metrics
-    ]
+def format_summary(
+    summary: DataFrame, metrics: list[str], decimals: dict[str, int] | None = None
+) -> DataFrame:
+    """Combination columns and one ``mean +- std`` text per metric, with the decimals
+    given for it (else four)."""
+    cells = []
+    for m in metrics:
+        places = (decimals or {}).get(m, FORMAT_DECIMALS)
+        mean, deviation = (_fixed(F.col(f"{m}_{x}"), places) for x in ("mean", "std"))
+        cells.append(F.concat(mean, F.lit(" +- "), deviation).alias(m))
     return summary.select(*COMBO_COLUMNS, *cells)
 
 
 def format_ranking(ranking: DataFrame, primary: str) -> DataFrame:
     """The ranking with its metric as fixed-decimals text."""
-    return ranking.withColumn(primary, _fixed(F.col(primary)))
+    return ranking.drop("rank").withColumn(primary, _fixed(F.col(primary)))
 
 
 def text_lines(table: DataFrame) -> DataFrame:

@@ -13,13 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics as M
-from .functions.params import (
-    combo_label,
-    expand_grid_columns,
-    grid_list,
-    range_values,
-    render_params,
-)
+from .functions.params import grid_list, range_list
 from .operators.features import (
     Affine,
     f_scores_classes,
@@ -47,17 +41,15 @@ from .plans.api import benchmark, plan, prepare, run_experiments
 from .plans.dataset import Dataset
 from .plans.experiments import (
     expand,
-    experiments_frame,
     plan_summary,
     with_cost,
     with_validity,
-    worklist,
+    work_list,
 )
 from .session import scratch_path
 from .sources.sinks import FanOutSink, ParquetSink, ReportSink
 from .sources.tables import (
     align_folds,
-    any_negative,
     drop_missing_target,
     project,
     read_folds,
@@ -97,14 +89,17 @@ MIXED = "l_quantity * 1000 + l_extendedprice * (1 - l_discount)"
 K = 5
 
 
-def hash_sql(seed: int, key: str, first: int = 1) -> str:
-    return f"substr(md5('{seed}:' || {key}), {first}, 15)"
+def hash_sql(seed: int, key: str | list[str], first: int = 1) -> str:
+    keys = [key] if isinstance(key, str) else key
+    parts = [f"coalesce(length(CAST({k} AS VARCHAR)) || ':' || {k}, '-')" for k in keys]
+    return f"substr(md5('{seed}:' || {' || chr(58) || '.join(parts)}), {first}, 15)"
 
 
-def keyed_fold_sql(keys: list[str], k: int, seed: int = 42) -> str:
-    """Folds of rows identified by several columns."""
-    text = " || ':' || ".join(keys)
-    order = f"{hash_sql(seed, text)}, {hash_sql(seed, text, 16)}"
+def keyed_fold_sql(keys: list[str], k: int, seed: int = 42, all_columns: list[str] | None = None) -> str:
+    """Folds of rows identified by several columns; rows that share those by all columns."""
+    order = ", ".join(
+        hash_sql(seed, columns, first) for columns in (keys, all_columns) if columns for first in (1, 16)
+    )
     return f"CAST(ntile({k}) OVER (ORDER BY {order}) - 1 AS INTEGER)"
 
 
@@ -191,11 +186,15 @@ def hook_dropna(spark, sf_dir):
     FROM lineitem"""
 )
 def any_negative_feature(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.array_min("embedding").alias("low"))
-    found = [
-        ("embeddings", any_negative(vectors, ["low"])),
-        ("lineitem", any_negative(table(spark, sf_dir, "lineitem"), FEATURES)),
-    ]
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.array_min("embedding").alias("low"), F.lit(0.0).alias("y"), F.lit(0).alias("fold")
+    )
+    lineitem = table(spark, sf_dir, "lineitem").withColumns({"y": F.lit(0.0), "fold": F.lit(0)})
+    found = []
+    for source, rows, features in (("embeddings", vectors, ["low"]), ("lineitem", lineitem, FEATURES)):
+        data = Dataset.build(rows, features, "y", "regression", "fold")
+        found.append((source, data.profile.any_negative))
+        data.release()
     return spark.createDataFrame(found, "source string, negative boolean")
 
 
@@ -220,6 +219,33 @@ def folds_random(spark, sf_dir):
     return random_folds(_orders(spark, sf_dir), PartitionSpec()).select("o_orderkey", FOLD_ID)
 
 
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+
+@query(
+    f"""SELECT o_orderkey, {keyed_fold_sql(["o_orderstatus"], K, all_columns=ORDER_COLUMNS)} AS fold_id
+    FROM orders"""
+)
+def folds_random_duplicate_keys(spark, sf_dir):
+    """Three key values for all rows: still five folds of even size."""
+    orders = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    folded = random_folds(orders, PartitionSpec(n_splits=K), ["o_orderstatus"])
+    return folded.select("o_orderkey", FOLD_ID)
+
+
+@query(
+    f"""SELECT doc_id, {keyed_fold_sql(["quality", "lang", "toxic"], K, all_columns=["doc_id", "lang", "quality", "toxic"])}
+    AS fold_id FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def folds_null_keys(spark, sf_dir):
+    """Key columns with nulls in different places."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    keyed = documents.join(labels, "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
+    folded = random_folds(keyed, PartitionSpec(n_splits=K), ["quality", "lang", "toxic"])
+    return folded.select("doc_id", FOLD_ID)
+
+
 @query(
     """SELECT p_partkey, CAST(ntile(7) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS fold_id
     FROM part"""
@@ -394,7 +420,8 @@ def folds_external_dense(spark, sf_dir):
 def folds_join(spark, sf_dir):
     orders = _orders(spark, sf_dir)
     folds = random_folds(orders, PartitionSpec(n_splits=K)).select(ROW_ID, FOLD_ID)
-    return align_folds(orders, folds).select("o_orderkey", "o_totalprice", FOLD_ID)
+    joined = align_folds(orders, folds)
+    return joined.select("o_orderkey", "o_totalprice", F.col("fold").alias(FOLD_ID))
 
 
 @query(
@@ -403,18 +430,19 @@ def folds_join(spark, sf_dir):
     FROM f GROUP BY fold"""
 )
 def fold_train_test_counts(spark, sf_dir):
-    folded = random_folds(_orders(spark, sf_dir), PartitionSpec(n_splits=7))
-    sizes = dense_fold_index(folded).groupBy("fold").agg(F.count("*").alias("n_test"))
-    everything = Window.partitionBy()  # one row per fold
-    return sizes.withColumn("n_train", F.sum("n_test").over(everything) - F.col("n_test"))
+    folded = dense_fold_index(random_folds(_orders(spark, sf_dir), PartitionSpec(n_splits=7)))
+    return Dataset.build(folded, ["o_custkey"], "o_totalprice", "regression", "fold").fold_sizes()
 
 
 @query(
-    """SELECT DISTINCT CAST(user_id % 9 AS INTEGER) AS fold_id FROM events"""
+    """SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY user_id % 9 * 5) - 1 AS INTEGER) AS fold
+    FROM events"""
 )
 def distinct_folds(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.select((F.col("user_id") % 9).cast("int").alias(FOLD_ID)).distinct().orderBy(FOLD_ID)
+    """The folds a run would use, of a given fold column with gaps."""
+    events = table(spark, sf_dir, "events").withColumn(FOLD_ID, F.col("user_id") % 9 * 5)
+    data = Dataset.build(dense_fold_index(events), ["value"], "value", "regression", "fold")
+    return data.fold_sizes().select("fold")
 
 
 # -- feature steps -------------------------------------------------------------------
@@ -679,7 +707,7 @@ def summary_mean_std(spark, sf_dir):
     FROM combos JOIN scores USING (variant) GROUP BY ALL"""
 )
 def ranking(spark, sf_dir):
-    ranked = _pls_results(spark, sf_dir).ranking
+    ranked = _pls_results(spark, sf_dir).ranking.drop("rank")
     return ranked.withColumn(METRICS[0], F.round(METRICS[0], 4))
 
 
@@ -692,8 +720,7 @@ def ranking(spark, sf_dir):
 )
 def flagship_ranking(spark, sf_dir):
     """Scaling and selection variants of one-component PLS, best first."""
-    order = Window.orderBy(F.desc(METRICS[0]), "experiment_id")  # one row per experiment
-    return ranking(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    return _pls_results(spark, sf_dir).ranking.withColumn(METRICS[0], F.round(METRICS[0], 4))
 
 
 @query(
@@ -705,12 +732,8 @@ def flagship_ranking(spark, sf_dir):
 )
 def report_mean_std(spark, sf_dir):
     summary = _pls_results(spark, sf_dir).summary
-    text = report.format_summary(summary, METRICS)
     # Two decimals are enough for a metric in the thousands.
-    name = METRICS[0]
-    coarse = F.format_string("%.2f +- %.2f", F.col(f"{name}_mean"), F.col(f"{name}_std"))
-    keys = report.COMBO_COLUMNS
-    return text.drop(name).join(summary.select(*keys, coarse.alias(name)), keys)
+    return report.format_summary(summary, METRICS, {METRICS[0]: 2})
 
 
 @query(
@@ -919,34 +942,37 @@ def metric_roc_auc(spark, sf_dir):
 # -- parameters, experiments, plan ---------------------------------------------------
 
 
+def _sizes(spark, sf_dir) -> list[int]:
+    """Part sizes: a small domain of whole numbers, as a user would list in a search."""
+    return [r[0] for r in table(spark, sf_dir, "part").select("p_size").distinct().collect()]
+
+
 @query(
-    """SELECT p_partkey,
-      CAST(p_size + i * (CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE -0.25 END) AS DOUBLE) AS value FROM part, range(5) t(i)
-    WHERE i <= (CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END)"""
+    """WITH sizes AS (SELECT DISTINCT p_size FROM part)
+    SELECT p_size, CAST(p_size + i * (CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE -0.25 END) AS DOUBLE) AS value
+    FROM sizes, range(5) t(i) WHERE i <= (CASE WHEN p_size % 2 = 0 THEN 4 ELSE 3 END)"""
 )
 def range_expand(spark, sf_dir):
-    even = F.col("p_partkey") % 2 == 0
-    step, span = F.when(even, "0.5").otherwise("-0.25"), F.when(even, 2.0).otherwise(-0.75)
-    spec = F.concat_ws(":", "p_size", step, F.col("p_size") + span)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", F.explode(range_values(spec)).alias("value")
-    )
+    specs = {n: f"{n}:0.5:{n + 2}" if n % 2 == 0 else f"{n}:-0.25:{n - 0.75}" for n in _sizes(spark, sf_dir)}
+    rows = [(n, value) for n, spec in specs.items() for value in range_list(spec)]
+    return spark.createDataFrame(rows, "p_size int, value double")
 
 
 @query(
-    """SELECT p_partkey, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) / 2 AS b,
-      '{''a'': ' || a || ', ''b'': ' || (CASE WHEN b % 2 = 0 THEN CAST(b // 2 AS VARCHAR)
-        ELSE CAST(b // 2 AS VARCHAR) || '.5' END) || '}' AS params
-    FROM part, range(1, 4) t(a), range(0, 3) u(b) WHERE a <= 1 + p_size % 3"""
+    """WITH sizes AS (SELECT DISTINCT p_size FROM part)
+    SELECT p_size, '{''a'': ' || a || ', ''b'': ' || (CASE WHEN b % 2 = 0 THEN CAST(b // 2 AS VARCHAR)
+        ELSE CAST(b // 2 AS VARCHAR) || '.5' END) || ', ''c'': ' || c || '}' AS params
+    FROM sizes, range(1, 4) t(a), range(0, 3) u(b), (VALUES (4), (9)) v(c)
+    WHERE a <= 1 + p_size % 3"""
 )
 def grid_expand(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.concat(F.lit("1:1:"), 1 + F.col("p_size") % 3).alias("a"),
-        F.lit("0:0.5:1").alias("b"),
-    )
-    grid = expand_grid_columns(part, ["a", "b"])
-    return grid.withColumn("params", render_params(["a", "b"]))
+    """Products of two ranges and a list, as the engine expands and renders them."""
+    rows = [
+        (n, str(params))
+        for n in _sizes(spark, sf_dir)
+        for params in grid_list({"a": f"1:1:{1 + n % 3}", "b": "0:0.5:1", "c": [4, 9]})
+    ]
+    return spark.createDataFrame(rows, "p_size int, params string")
 
 
 PLAN_SEARCH = _search(
@@ -967,8 +993,8 @@ PLAN_COLUMNS = """experiment_id, scale, scale_params, filter, filter_params, red
     reduction_params, model, model_params"""
 
 
-def _plan_experiments(spark):
-    return experiments_frame(spark, expand("regression", {"search": PLAN_SEARCH}))
+def _plan_experiments():
+    return expand("regression", {"search": PLAN_SEARCH})
 
 
 @query(
@@ -981,8 +1007,8 @@ def _plan_experiments(spark):
 def experiments_product(spark, sf_dir):
     """Every combination on every fold of orders, with the size of its test set."""
     folded = random_folds(_orders(spark, sf_dir), PartitionSpec(n_splits=K))
-    folds = folded.groupBy(F.col(FOLD_ID).alias("fold")).agg(F.count("*").alias("n_test"))
-    return worklist(_plan_experiments(spark), folds).withColumn("label", combo_label(F.lit(27)))
+    data = Dataset.build(folded, ["o_custkey"], "o_totalprice", "regression", FOLD_ID)
+    return work_list(_plan_experiments(), data.fold_sizes()).drop("n_train")
 
 
 VALID_SQL = f"""{PLAN_SQL},
@@ -997,7 +1023,7 @@ VALID_SQL = f"""{PLAN_SQL},
 
 def _validated(spark, sf_dir):
     found = any_negative_feature(spark, sf_dir)
-    return with_validity(worklist(_plan_experiments(spark), found), F.col("negative"))
+    return with_validity(work_list(_plan_experiments(), found).drop("label"), F.col("negative"))
 
 
 @query(
@@ -1080,7 +1106,7 @@ def prepare_roundtrip(spark, sf_dir):
     data = read_table(spark, prepared.paths["data"]).drop(FOLD_ID)
     folds = read_folds(spark, prepared.paths["folds"], prepared.metadata["rows"])
     joined = align_folds(data, folds)
-    return joined.select(F.col(ROW_ID).alias("row_id"), "o_totalprice", FOLD_ID)
+    return joined.select(F.col(ROW_ID).alias("row_id"), "o_totalprice", F.col("fold").alias(FOLD_ID))
 
 
 @query(
@@ -1122,6 +1148,73 @@ def _compare(spark, data: Dataset, task: str, search, metrics, parallelism=4):
     return results
 
 
+# -- tree models, checked as stumps --------------------------------------------------
+
+SIZE = "CASE WHEN l_quantity > 6 * l_linenumber THEN 'many' WHEN l_quantity > 12 THEN 'some' ELSE 'few' END"
+STUMP = {"n_estimators": 1, "max_depth": 1}
+STUMP_MODELS = """models_of(experiment_id) AS (SELECT CAST(range AS INTEGER) FROM range(1, {n} + 1))"""
+
+
+def _stump_data(spark, sf_dir, target: str, task: str) -> Dataset:
+    """One feature of seven values, so that a stump has six candidate cuts."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    folded = random_folds(lineitem, PartitionSpec(n_splits=K), LINE_KEY).withColumn("y", F.expr(target))
+    return Dataset.build(folded, ["l_linenumber"], "y", task, FOLD_ID)
+
+
+@query(
+    f"""WITH {lineitem_sql(MIXED).replace("SELECT", "SELECT l_linenumber AS x,", 1)}, {models_sql()},
+    {STUMP_MODELS.format(n=3)},
+    sums AS (SELECT m, x, count(*) AS n, sum(y) AS s FROM models JOIN base ON fold <> m GROUP BY m, x),
+    halves AS (SELECT m, x AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+        sum(n) OVER (PARTITION BY m) AS n, sum(s) OVER (PARTITION BY m) AS s
+      FROM sums WINDOW w AS (PARTITION BY m ORDER BY x)),
+    best AS (SELECT m, arg_max({{'cut': cut, 'low': sl / nl, 'high': (s - sl) / (n - nl)}},
+        sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS b FROM halves WHERE nl < n GROUP BY m),
+    p AS (SELECT m, y, CASE WHEN x <= b.cut THEN b.low ELSE b.high END AS p FROM base JOIN best ON fold = m)
+    SELECT experiment_id, m AS fold, round(-sqrt(avg((y - p) ** 2)), 4) AS neg_root_mean_squared_error,
+      round(1 - avg((y - p) ** 2) / var_pop(y), 6) AS r2 FROM p, models_of GROUP BY ALL"""
+)
+def stump_regressors(spark, sf_dir):
+    """Forest, bagging and boosting of one stump each have one answer: the best cut."""
+    whole = {**STUMP, "bootstrap": False, "max_features": None}
+    search = _search(
+        model=("rf", "bag", "gbr"), rf=whole, bag={**STUMP, "bootstrap": False},
+        gbr={**STUMP, "learning_rate": 1.0},
+    )
+    data = _stump_data(spark, sf_dir, MIXED, "regression")
+    detailed = _compare(spark, data, "regression", search, METRICS).detailed
+    return detailed.select(
+        "experiment_id", "fold", F.round(METRICS[0], 4).alias(METRICS[0]), F.round("r2", 6).alias("r2")
+    )
+
+
+@query(
+    f"""WITH {lineitem_sql(SIZE).replace("SELECT", "SELECT l_linenumber AS x,", 1)}, {models_sql()},
+    {STUMP_MODELS.format(n=2)},
+    labels AS (SELECT DISTINCT y FROM base), places AS (SELECT DISTINCT x FROM base),
+    counts AS (SELECT m, x, y, count(*) AS n FROM models JOIN base ON fold <> m GROUP BY ALL),
+    full_counts AS (SELECT models.m, places.x, labels.y, coalesce(n, 0) AS n
+      FROM models CROSS JOIN places CROSS JOIN labels LEFT JOIN counts USING (m, x, y)),
+    halves AS (SELECT m, x AS cut, y, sum(n) OVER (PARTITION BY m, y ORDER BY x) AS nl,
+        sum(n) OVER (PARTITION BY m, y) AS n FROM full_counts),
+    cuts AS (SELECT m, cut, arg_max(y, nl) AS low, arg_max(y, n - nl) AS high,
+        sum(nl * nl) / sum(nl) + sum((n - nl) * (n - nl)) / nullif(sum(n - nl), 0) AS purity
+      FROM halves GROUP BY m, cut),
+    best AS (SELECT m, arg_max({{'cut': cut, 'low': low, 'high': high}}, purity) AS b
+      FROM cuts WHERE purity IS NOT NULL GROUP BY m)
+    SELECT experiment_id, m AS fold, round(avg((y = CASE WHEN x <= b.cut THEN b.low ELSE b.high END)::INT), 8)
+      AS accuracy FROM base JOIN best ON fold = m, models_of GROUP BY ALL"""
+)
+def stump_classifiers(spark, sf_dir):
+    """Forest and bagging of one stump: the cut of least Gini impurity."""
+    whole = {**STUMP, "bootstrap": False, "max_features": None}
+    search = _search(model=("rfc", "bagc"), rfc=whole, bagc={**STUMP, "bootstrap": False})
+    data = _stump_data(spark, sf_dir, SIZE, "classification")
+    detailed = _compare(spark, data, "classification", search, ["accuracy"]).detailed
+    return detailed.select("experiment_id", "fold", F.round("accuracy", 8).alias("accuracy"))
+
+
 @query()
 def regression_models(spark, sf_dir):
     """Every regression model on standardised lineitem features."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigDataError
-from ..operators.folds import FOLD_ID
+from ..operators.folds import FOLD_ID, dense_fold_index
 from ..operators.rowid import ROW_ID, ingest_row_ids, rank_rows
 
 METADATA_SCHEMA = (
@@ -64,7 +64,7 @@ def read_folds(spark: SparkSession, path: str, expected_rows: int) -> DataFrame:
     folds = read_table(spark, path)
     if FOLD_ID not in folds.columns:
         if len(folds.columns) != 1:
-            raise ConfigDataError("Folds table must include 'fold_id' column")
+            raise ConfigDataError(f"{path}: of several columns one must be named {FOLD_ID}")
         folds = folds.withColumnRenamed(folds.columns[0], FOLD_ID)
     if "row_id" in folds.columns:
         found, low, high, distinct = folds.agg(
@@ -80,7 +80,7 @@ def read_folds(spark: SparkSession, path: str, expected_rows: int) -> DataFrame:
         found = folds.count()
     if found != expected_rows:
         raise ConfigDataError(
-            f"Folds length ({found}) does not match data rows ({expected_rows})"
+            f"{path} has folds for {found} rows, the data has {expected_rows}"
         )
     return folds.select(F.col(ROW_ID).cast("long"), F.col(FOLD_ID).cast("int"))
 
@@ -95,27 +95,25 @@ def read_metadata(spark: SparkSession, path: str | None) -> dict[str, Any]:
 
 
 def align_folds(data: DataFrame, folds: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Give each row its fold; every row must match exactly one fold row."""
-    joined = data.join(folds, row_id, "inner")
-    rows, given, matched = data.count(), folds.count(), joined.count()
-    if not rows == given == matched:
-        raise ConfigDataError(
-            f"Folds length ({given}) does not match data rows ({rows}); {matched} matched"
-        )
-    return joined
+    """Give each row its fold and the fold's place among the sorted fold ids (``fold``).
+
+    Rows without a fold and folds without a row drop out; ``Dataset`` compares the rows
+    left with the rows expected in its first aggregate.
+    """
+    return data.drop(FOLD_ID).join(dense_fold_index(folds), row_id)
 
 
 def project(df: DataFrame, target: str, features: list[str] | None, skip: list[str] = ()) -> list[str]:
     """The feature columns: those given, or all but the target and ``skip``."""
     if not target or target not in df.columns:
-        raise ConfigDataError("Target must be set in [input].target or available in metadata")
+        raise ConfigDataError(f"No target column: {target!r} is not in the data")
     if features is None:
         features = [c for c in df.columns if c != target and c not in skip]
     if not isinstance(features, list) or not features:
-        raise ConfigDataError("[input].features must be a non-empty list when provided")
+        raise ConfigDataError("Features are a list with at least one column name")
     missing = [c for c in features if c not in df.columns]
     if missing:
-        raise ConfigDataError(f"Missing feature columns in data: {missing}")
+        raise ConfigDataError(f"The data has no columns {missing}, which are named as features")
     return [str(c) for c in features]
 
 
@@ -125,9 +123,3 @@ def drop_missing_target(df: DataFrame, params: dict[str, Any]) -> DataFrame:
     if params.get("drop_na_target") and target in df.columns:
         df = df.na.drop(subset=[target])  # drops NaN as well as null
     return df
-
-
-def any_negative(df: DataFrame, features: list[str]) -> bool:
-    """Whether any feature value is below zero (NaN is not)."""
-    lowest = F.least(*features) if len(features) > 1 else F.col(features[0])
-    return bool(df.agg(F.bool_or(lowest < 0)).first()[0])

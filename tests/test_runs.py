@@ -6,33 +6,30 @@ import pytest
 from pyspark.sql import functions as F
 
 import foldyard as fy
-from foldyard.errors import ConfigDataError
+from foldyard.errors import ConfigDataError, ModelExecutionError
 from foldyard.plans import report
 from foldyard.plans.engine import Engine
 from foldyard.sources.sinks import CatalogSink, FanOutSink, ParquetSink, ReportSink
 
-GROUPED = """f1,f2,individual_id,target
-1.0,2.0,a,3.0
-2.0,3.0,a,5.0
-3.0,4.0,b,7.0
-4.0,5.0,b,9.0
-5.0,6.0,c,11.0
-6.0,7.0,c,13.0
-"""
+#: Nine readings of three meters: load is exactly 4 + 3 * heat - wind.
+READINGS = "heat,wind,meter,load\n" + "".join(
+    f"{h},{w},m{i % 3},{4 + 3 * h - w}\n"
+    for i, (h, w) in enumerate([(2, 9), (7, 1), (4, 4), (11, 6), (5, 8), (9, 2), (3, 7), (8, 5), (6, 3)])
+)
 
 
 @pytest.fixture
-def grouped(tmp_path):
-    path = tmp_path / "data.csv"
-    path.write_text(GROUPED)
+def readings(tmp_path):
+    path = tmp_path / "readings.csv"
+    path.write_text(READINGS)
     return str(path)
 
 
 def prepare_config(path, folder):
     return {
         "input": {"path": path},
-        "dataset": {"task": "regression", "target": "target"},
-        "partition": {"mode": "group", "n_splits": 3, "group_column": "individual_id"},
+        "dataset": {"task": "regression", "target": "load"},
+        "partition": {"mode": "group", "n_splits": 3, "group_column": "meter"},
         "output": {"dir": str(folder)},
     }
 
@@ -48,24 +45,24 @@ def search(scale=("none",), filters=("none",), reduction=("none",), model=("pls"
 def benchmark_config(path, **changes):
     return {
         "input": {
-            "source": "external", "data_path": path, "target": "target", "features": ["f1", "f2"],
+            "source": "external", "data_path": path, "target": "load", "features": ["heat", "wind"],
         },
-        "partition": {"mode": "random", "n_splits": 3},
-        "evaluation": {"metrics": ["neg_root_mean_squared_error", "r2"], "n_jobs": 2},
-        "search": search(pls={"n_components": [1]}),
+        "partition": {"n_splits": 3, "random_state": 7},
+        "evaluation": {"metrics": ["r2", "neg_mean_absolute_error"], "primary_metric": "r2", "n_jobs": 3},
+        "search": search(pls={"n_components": 2}),
         "output": {},
         **changes,
     }
 
 
-def test_prepare_then_benchmark(spark, grouped, tmp_path):
-    prepared = fy.prepare(spark, prepare_config(grouped, tmp_path / "prep"))
-    assert prepared.metadata["rows"] == 6 and prepared.metadata["target"] == "target"
-    assert prepared.metadata["partition"]["group_column"] == "individual_id"
-    assert prepared.metadata["columns"] == ["f1", "f2", "individual_id", "target"]
-    assert sorted(r["_row_id"] for r in prepared.data.collect()) == list(range(6))
+def test_prepare_then_benchmark(spark, readings, tmp_path):
+    prepared = fy.prepare(spark, prepare_config(readings, tmp_path / "prep"))
+    assert prepared.metadata["rows"] == 9 and prepared.metadata["target"] == "load"
+    assert prepared.metadata["partition"]["group_column"] == "meter"
+    assert prepared.metadata["columns"] == ["heat", "wind", "meter", "load"]
+    assert sorted(r["_row_id"] for r in prepared.data.collect()) == list(range(9))
     folds = spark.read.csv(prepared.paths["folds"], header=True, inferSchema=True)
-    assert set(folds.columns) == {"row_id", "fold_id"} and folds.count() == 6
+    assert set(folds.columns) == {"row_id", "fold_id"} and folds.count() == 9
 
     config = {
         "input": {
@@ -75,8 +72,7 @@ def test_prepare_then_benchmark(spark, grouped, tmp_path):
         },
         "search": search(
             scale=("none", "std"), reduction=("none", "pca"), model=("pls", "rf"),
-            pca={"n_components": [1]}, pls={"n_components": [1]},
-            rf={"n_estimators": [5], "max_depth": [3]},
+            pca={"n_components": 2}, pls={"n_components": 2}, rf={"n_estimators": 4, "max_depth": 2},
         ),
         "output": {"dir": str(tmp_path / "out"), "report": True},
     }
@@ -99,36 +95,37 @@ def test_prepare_then_benchmark(spark, grouped, tmp_path):
     )
 
 
-def test_hook_runs_before_folds(spark, grouped, tmp_path):
+def test_hook_runs_before_folds(spark, readings, tmp_path):
     def hook(df, params):
-        return df.where(F.col("f1") > params["above"])
+        return df.where(F.col("heat") > params["above"])
 
-    config = prepare_config(grouped, tmp_path / "prep")
+    config = prepare_config(readings, tmp_path / "prep")
     config["partition"] = {"n_splits": 2}
-    config["hook"] = {"params": {"above": 2.0}}
+    config["hook"] = {"params": {"above": 6}}
     prepared = fy.prepare(spark, config, hook=hook)
     rows = prepared.data.orderBy("_row_id").collect()
-    assert [r["f1"] for r in rows] == [3.0, 4.0, 5.0, 6.0]
+    assert [r["heat"] for r in rows] == [7, 11, 9, 8]
     assert [r["_row_id"] for r in rows] == [0, 1, 2, 3]
 
 
 @pytest.mark.parametrize(
     "change,message",
     [
-        (lambda c: c["input"].pop("path"), r"Missing \[input\]\.path"),
-        (lambda c: c["input"].update(path="  "), r"Missing \[input\]\.path"),
-        (lambda c: c.pop("input"), r"Missing required section \[input\]"),
-        (lambda c: c.pop("output"), r"Missing required section \[output\]"),
-        (lambda c: c.pop("partition"), r"Missing required section \[partition\]"),
-        (lambda c: c["dataset"].update(task="foo"), r"\[dataset\]\.task"),
-        (lambda c: c["dataset"].update(target="nope"), r"\[dataset\]\.target"),
-        (lambda c: c["partition"].pop("group_column"), "Partition mode 'group'"),
-        (lambda c: c.update(hook={"function": "transform"}), "Hook function"),
-        (lambda c: c.update(hook={"function": lambda df, p: 123}), "must return a DataFrame"),
+        (lambda c: c["input"].pop("path"), "'path' is missing"),
+        (lambda c: c["input"].update(path="  "), "'path' is missing"),
+        (lambda c: c.pop("input"), r"no \[input\] section"),
+        (lambda c: c.pop("output"), r"no \[output\] section"),
+        (lambda c: c.pop("partition"), r"no \[partition\] section"),
+        (lambda c: c["output"].pop("dir"), "'dir' is missing"),
+        (lambda c: c["dataset"].update(task="foo"), "Task 'foo'"),
+        (lambda c: c["dataset"].update(target="nope"), "no target column 'nope'"),
+        (lambda c: c["partition"].pop("group_column"), "need a group column"),
+        (lambda c: c.update(hook={"function": "transform"}), "not callable"),
+        (lambda c: c.update(hook={"function": lambda df, p: 123}), "no DataFrame"),
     ],
 )
-def test_prepare_rejects(spark, grouped, tmp_path, change, message):
-    config = prepare_config(grouped, tmp_path / "prep")
+def test_prepare_rejects(spark, readings, tmp_path, change, message):
+    config = prepare_config(readings, tmp_path / "prep")
     change(config)
     with pytest.raises(ConfigDataError, match=message):
         fy.prepare(spark, config)
@@ -139,79 +136,79 @@ def test_prepare_rejects(spark, grouped, tmp_path, change, message):
     "change,message",
     [
         (lambda c: c["evaluation"].update(n_jobs=0), "n_jobs"),
-        (lambda c: c["evaluation"].update(metrics="r2"), "must be a list"),
+        (lambda c: c["evaluation"].update(metrics="r2"), "list of names"),
         (lambda c: c["evaluation"].update(metrics=["nope"]), "Unknown regression metrics"),
         (lambda c: c["search"]["model"].update(enabled=["nope"]), "Unknown model technique"),
-        (lambda c: c["search"]["model"].update(enabled=[]), "At least one model"),
+        (lambda c: c["search"]["model"].update(enabled=[]), "enables no model"),
         (lambda c: c["search"]["model"]["params"].update(pls={"nope": 1}), "Unknown parameters"),
         (lambda c: c["search"]["model"]["params"].update(pls={"n_components": "3:1:1"}), "empty"),
-        (lambda c: c["input"].pop("data_path"), r"Missing \[input\]\.data_path"),
-        (lambda c: c["input"].update(data_path=" "), r"Missing \[input\]\.data_path"),
-        (lambda c: c["input"].update(source="other"), r"\[input\]\.source"),
-        (lambda c: c["input"].update(features=["individual_id"]), "not numeric"),
-        (lambda c: c.pop("output"), r"Missing required section \[output\]"),
-        (lambda c: c.pop("search"), r"Missing required section \[search\]"),
-        (lambda c: c["search"].pop("scale"), r"Missing required section \[scale\]"),
+        (lambda c: c["input"].pop("data_path"), "'data_path' is missing"),
+        (lambda c: c["input"].update(data_path=" "), "'data_path' is missing"),
+        (lambda c: c["input"].update(source="other"), "Input source 'other'"),
+        (lambda c: c["input"].update(features=["meter"]), "not numeric"),
+        (lambda c: c.pop("output"), r"no \[output\] section"),
+        (lambda c: c.pop("search"), r"no \[search\] section"),
+        (lambda c: c["search"].pop("scale"), r"no \[scale\] section"),
     ],
 )
-def test_benchmark_rejects(spark, grouped, change, message):
-    config = benchmark_config(grouped)
+def test_benchmark_rejects(spark, readings, change, message):
+    config = benchmark_config(readings)
     change(config)
     with pytest.raises(ConfigDataError, match=message):
         fy.benchmark(spark, config, "regression")
 
 
-def test_fold_file_of_the_wrong_length(spark, grouped, tmp_path):
+def test_fold_file_of_the_wrong_length(spark, readings, tmp_path):
     folds = tmp_path / "folds.csv"
     folds.write_text("fold_id\n0\n1\n")
-    config = benchmark_config(grouped)
+    config = benchmark_config(readings)
     config["input"]["folds_path"] = str(folds)
-    with pytest.raises(ConfigDataError, match="Folds length"):
+    with pytest.raises(ConfigDataError, match="folds for 2 rows"):
         fy.benchmark(spark, config, "regression")
 
 
-def test_task_must_match_the_prepared_one(spark, grouped, tmp_path):
-    prepared = fy.prepare(spark, prepare_config(grouped, tmp_path / "prep"))
+def test_task_must_match_the_prepared_one(spark, readings, tmp_path):
+    prepared = fy.prepare(spark, prepare_config(readings, tmp_path / "prep"))
     config = benchmark_config(prepared.paths["data"])
     config["input"]["metadata_path"] = prepared.paths["metadata"]
     config["search"] = search(model=("rfc",))
     config["evaluation"] = {}
-    with pytest.raises(ConfigDataError, match="prepared for regression"):
+    with pytest.raises(ConfigDataError, match="prepared data is for regression"):
         fy.benchmark(spark, config, "classification")
 
 
-def test_default_features_leave_out_group_and_ids(spark, grouped):
-    config = benchmark_config(grouped)
+def test_default_features_leave_out_group_and_ids(spark, readings):
+    config = benchmark_config(readings)
     del config["input"]["features"]
-    config["partition"] = {"mode": "group", "n_splits": 3, "group_column": "individual_id"}
+    config["partition"] = {"mode": "group", "n_splits": 3, "group_column": "meter"}
     assert fy.benchmark(spark, config, "regression").detailed.count() == 3
 
 
-def test_key_columns_replace_row_numbers(spark, grouped):
-    config = benchmark_config(grouped)
-    config["input"]["row_key"] = ["individual_id", "f1"]
+def test_key_columns_replace_row_numbers(spark, readings):
+    config = benchmark_config(readings)
+    config["input"]["row_key"] = ["meter", "heat"]
     assert fy.benchmark(spark, config, "regression").detailed.count() == 3
     config["input"]["row_key"] = ["nope"]
     with pytest.raises(ConfigDataError, match="Row key"):
         fy.benchmark(spark, config, "regression")
 
 
-def test_dry_run_counts(spark, grouped):
-    config = benchmark_config(grouped)
+def test_dry_run_counts(spark, readings):
+    config = benchmark_config(readings)
     config["search"] = search(
         scale=("none", "std"), reduction=("none", "nmf"), model=("pls", "pls"),
         nmf={"n_components": 1},
     )
     row = fy.benchmark(spark, config, "regression", dry_run=True).first()
-    assert (row["data_rows"], row["data_features"], row["n_folds"]) == (6, 2, 3)
+    assert (row["data_rows"], row["data_features"], row["n_folds"]) == (9, 2, 3)
     assert row["n_variants_model"] == 2 and row["combinations_total"] == 8
     assert row["combinations_skipped"] == 2 and row["combinations_runnable"] == 6
     assert row["fold_evaluations"] == 18
     assert row["relative_cost"] == pytest.approx(2 * (1 + 1.4 + 1.04))
 
 
-def test_skipped_failed_and_completed(spark, grouped):
-    config = benchmark_config(grouped)
+def test_skipped_failed_and_completed(spark, readings):
+    config = benchmark_config(readings)
     config["search"] = search(
         scale=("none", "std"), reduction=("none", "nmf"), model=("pls", "rf"),
         nmf={"n_components": 1, "max_iter": 5}, pls={"n_components": [1, 9]},
@@ -231,23 +228,57 @@ def test_skipped_failed_and_completed(spark, grouped):
 
 def test_negative_data_skips_nmf_and_missing_values_fail(spark, tmp_path):
     path = tmp_path / "neg.csv"
-    path.write_text("f1,f2,target\n" + "".join(f"{i - 2},{i},{i}\n" for i in range(9)))
+    path.write_text("heat,wind,load\n" + "".join(f"{i - 2},{i},{i}\n" for i in range(9)))
     config = benchmark_config(str(path))
     config["search"] = search(reduction=("nmf", "none"), nmf={"n_components": 1}, pls={"n_components": 1})
     failed = fy.benchmark(spark, config, "regression").failed.collect()
     assert [r["reason"] for r in failed] == ["NMF skipped: input data contains negative values"]
-    path.write_text("f1,f2,target\n" + "".join(f"{i},{'' if i == 3 else i},{i}\n" for i in range(9)))
-    with pytest.raises(ConfigDataError, match="No successful experiments"):
+    path.write_text("heat,wind,load\n" + "".join(f"{i},{'' if i == 3 else i},{i}\n" for i in range(9)))
+    with pytest.raises(ConfigDataError, match="could be scored"):
         fy.benchmark(spark, config, "regression")
 
 
-def test_unexpected_errors_are_not_swallowed(spark, grouped, monkeypatch):
-    def boom(self, experiments):
-        raise RuntimeError("internal boom")
+@pytest.mark.parametrize("step", ["_fit_prefix", "_linear", "_score_linear"])
+def test_faults_of_the_program_end_the_run(spark, readings, monkeypatch, step):
+    def broken(self, *args):
+        raise AttributeError("no such thing")
+
+    monkeypatch.setattr(Engine, step, broken)
+    with pytest.raises(AttributeError, match="no such thing"):
+        fy.benchmark(spark, benchmark_config(readings), "regression")
+
+
+def test_one_bad_linear_model_fails_alone(spark, readings, monkeypatch):
+    whole = Engine._score_linear
+
+    def picky(self, base, models):
+        if any(experiment_id == 2 for experiment_id, _ in models):
+            raise ModelExecutionError("cannot score the second")
+        return whole(self, base, models)
+
+    monkeypatch.setattr(Engine, "_score_linear", picky)
+    config = benchmark_config(readings)
+    config["search"] = search(scale=("none", "std"), pls={"n_components": 2})
+    results = fy.benchmark(spark, config, "regression")
+    assert [(r["experiment_id"], r["reason"]) for r in results.failed.collect()] == [(2, "cannot score the second")]
+    assert {r["experiment_id"] for r in results.detailed.collect()} == {1}
+
+
+def test_repeated_row_keys_give_every_fold(spark, readings):
+    config = benchmark_config(readings)
+    config["input"]["row_key"] = "meter"
+    assert fy.benchmark(spark, config, "regression").detailed.count() == 3
+
+
+def test_combination_without_all_folds_is_failed(spark, readings, monkeypatch):
+    whole = Engine._score_linear
+
+    def short(self, base, models):
+        return {e: rows[:-1] for e, rows in whole(self, base, models).items()}
 
-    monkeypatch.setattr(Engine, "run", boom)
-    with pytest.raises(RuntimeError, match="internal boom"):
-        fy.benchmark(spark, benchmark_config(grouped), "regression")
+    monkeypatch.setattr(Engine, "_score_linear", short)
+    with pytest.raises(ConfigDataError, match="2 of 3 folds"):
+        fy.benchmark(spark, benchmark_config(readings), "regression")
 
 
 def test_classification_with_grouped_text_labels(spark, tmp_path):
@@ -295,7 +326,7 @@ def test_logistic_gradient_is_zero_at_the_optimum(spark):
 
 def test_trees_beat_the_mean_predictor(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("f1,f2,target\n" + "".join(f"{i % 13},{i % 7},{(i % 13) ** 2}\n" for i in range(260)))
+    path.write_text("heat,wind,load\n" + "".join(f"{i % 13},{i % 7},{(i % 13) ** 2}\n" for i in range(260)))
     config = benchmark_config(str(path))
     config["search"] = search(
         model=("rf", "bag", "gbr"), rf={"n_estimators": 5}, bag={"n_estimators": 3},
@@ -323,6 +354,7 @@ def test_summary_ranking_and_formatting(spark):
             report.format_summary(report.summarise(detailed, ["r2"]), ["r2"]).collect()}
     assert text == {1: "0.8500 +- 0.0707", 2: "0.5000 +- nan", 3: "nan +- nan"}
     lines = report.text_lines(report.format_ranking(report.rank(detailed, "r2"), "r2")).collect()
+    assert [r["rank"] for r in report.rank(detailed, "r2").collect()] == [1, 2, 3]
     assert lines[0][0].endswith("pls & {} & 0.8500")
 
 
@@ -334,7 +366,7 @@ def test_failed_rows_get_a_type(spark):
     }
 
 
-def test_sinks_write_and_report_paths(spark, grouped, tmp_path):
+def test_sinks_write_and_report_paths(spark, readings, tmp_path):
     class Spy:
         calls = 0
 
@@ -351,7 +383,7 @@ def test_sinks_write_and_report_paths(spark, grouped, tmp_path):
             written.extend(sink.write(results))
             return written
 
-    fy.benchmark(spark, copy.deepcopy(benchmark_config(grouped)), "regression", sink=Keep())
+    fy.benchmark(spark, copy.deepcopy(benchmark_config(readings)), "regression", sink=Keep())
     assert Spy.calls == 1 and len(written) == 5 + 2 + 1 + 5
     assert written[5].endswith("ranking.txt") and written[7] == "spy"
     assert spark.table("run_ranking").count() == 1

@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldyard.errors import ConfigDataError
+from foldyard.plans.dataset import Dataset
 from foldyard.sources.tables import (
     align_folds,
-    any_negative,
     drop_missing_target,
     project,
     read_folds,
@@ -52,9 +52,9 @@ def test_fold_file_forms(spark, tmp_path, text, expected):
 
 
 def test_bad_fold_files(spark, tmp_path):
-    with pytest.raises(ConfigDataError, match="must include 'fold_id' column"):
+    with pytest.raises(ConfigDataError, match="must be named fold_id"):
         read_folds(spark, _write(tmp_path / "f.csv", "a,b\n1,2\n"), 1)
-    with pytest.raises(ConfigDataError, match="Folds length"):
+    with pytest.raises(ConfigDataError, match="folds for 2 rows"):
         read_folds(spark, _write(tmp_path / "g.csv", "fold_id\n0\n1\n"), 3)
 
 
@@ -69,22 +69,23 @@ def test_metadata_is_optional(spark, tmp_path):
 def test_alignment_needs_every_row(spark):
     data = spark.range(4).withColumnRenamed("id", "_row_id")
     folds = data.withColumn("fold_id", F.col("_row_id").cast("int") % 2)
-    assert align_folds(data, folds).count() == 4
-    with pytest.raises(ConfigDataError, match="does not match"):
-        align_folds(data, folds.where("_row_id < 3"))
-    with pytest.raises(ConfigDataError, match="does not match"):
-        align_folds(data, folds.withColumn("_row_id", F.col("_row_id") + 1))
+    joined = align_folds(data, folds)
+    assert sorted((r["_row_id"], r["fold"]) for r in joined.collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+    for given in (folds.where("_row_id < 3"), folds.withColumn("_row_id", F.col("_row_id") + 1)):
+        found = Dataset.build(align_folds(data, given), ["_row_id"], "_row_id", "regression", "fold", 4)
+        with pytest.raises(ConfigDataError, match="folds fit 3 rows"):
+            found.profile
 
 
 def test_projection_contract(spark):
     frame = spark.createDataFrame([(1, 2, 3)], "a int, b int, y int")
     assert project(frame, "y", None) == ["a", "b"]
     assert project(frame, "y", None, ["b"]) == ["a"]
-    with pytest.raises(ConfigDataError, match="Target must be set"):
+    with pytest.raises(ConfigDataError, match="No target column"):
         project(frame, "missing", None)
-    with pytest.raises(ConfigDataError, match="non-empty list"):
+    with pytest.raises(ConfigDataError, match="at least one column name"):
         project(frame, "y", "a")
-    with pytest.raises(ConfigDataError, match="Missing feature columns"):
+    with pytest.raises(ConfigDataError, match="named as features"):
         project(frame, "y", ["a", "z"])
 
 
@@ -95,5 +96,6 @@ def test_hook_and_negative_check(spark):
     kept = drop_missing_target(frame, {"drop_na_target": True, "target_column": "y"})
     assert kept.count() == 1
     assert drop_missing_target(frame, {}).count() == 3
-    assert not any_negative(frame, ["x", "y"])
-    assert any_negative(frame.withColumn("z", F.lit(-1)), ["x", "z"])
+    tagged = frame.withColumns({"z": F.lit(-1), "fold": F.lit(0)})
+    assert not Dataset.build(tagged, ["x", "y"], "x", "regression", "fold").profile.any_negative
+    assert Dataset.build(tagged, ["x", "z"], "x", "regression", "fold").profile.any_negative
