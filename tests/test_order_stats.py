@@ -20,7 +20,11 @@ def test_plain_ranks_with_heavy_ties(spark):
     frame = spark.createDataFrame(rows, "v long, id long").repartition(5)
     ranks = [0, 1, 250, 449, 500, 899]
     found = rank_thresholds(frame, ["v", "id"], {(): ranks})[()]
-    assert found == {r: rows[r] for r in ranks}
+    assert {r: v for r, (v, _) in found.items()} == {r: rows[r][0] for r in ranks}
+    # the second column is given where the first does not tell the row from the next
+    tied = {r for r in ranks if found[r][1] is not None}
+    assert tied == {r for r in ranks if any(rows[r][0] == rows[i][0] for i in (r - 1, r + 1) if 0 <= i < 900)}
+    assert {r: found[r] for r in tied} == {r: rows[r] for r in tied}
 
 
 def test_doubles_by_stratum_with_null_stratum(spark):
