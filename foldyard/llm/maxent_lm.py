@@ -53,8 +53,9 @@ RANGE_WORDS = 10_000_000
 #: Training tokens for each task of a round, about: every task sends sums as large as
 #: the model, so they must stay small against the tokens.
 TASK_TOKENS = 24_000_000
-#: Tokens whose scores are in memory at once.
+#: Tokens whose places are in memory at once, about, and whose scores are.
 STEP_TOKENS = 100_000
+SCORE_TOKENS = 32_768
 
 
 @dataclass(frozen=True)
@@ -399,8 +400,8 @@ def _sum_counts(model_of, round_: int, params: LmParams):
                 cells = np.frombuffer(row["cells"], np.uint16)[np.repeat(train, lengths)]
                 for _, _, x, own, starts in _pieces(cells, lengths[train]):
                     places = model.class_places(x, starts, own)
-                    for s in range(0, len(x), 2 * STEP_TOKENS):
-                        part = slice(s, s + 2 * STEP_TOKENS)
+                    for s in range(0, len(x), SCORE_TOKENS):
+                        part = slice(s, s + SCORE_TOKENS)
                         _count_step(model, x[part], [p[part] for p in places], observed, expected)
         for kind in observed:
             size = len(observed[kind]) // CHUNKS
@@ -469,8 +470,8 @@ def _score(model_of, params: LmParams, tokens: int, schema: StructType):
                 for a, b, x, own, starts in _pieces(cells, lengths):
                     value = np.empty(len(x))
                     places = model.class_places(x, starts, own)
-                    for s in range(0, len(x), 2 * STEP_TOKENS):
-                        part = slice(s, s + 2 * STEP_TOKENS)
+                    for s in range(0, len(x), SCORE_TOKENS):
+                        part = slice(s, s + SCORE_TOKENS)
                         classes, members = x[part] // MEMBERS, x[part] % MEMBERS
                         outer, inner, _ = model.scores([p[part] for p in places], classes)
                         rows = np.arange(len(classes))
