@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import materialize
-from .hashing import BASES, mixed
+from .hashing import BASES, mixed, text_blocks
 
 SAMPLES = 64
-BLOCK_CHARS = 1_000_000
-#: Words of a long text that are drawn at once.
-TERM_CHUNK = 60_000
+#: Distinct words of a block whose draws are kept at once.
+TERM_CHUNK = 100_000
+#: Words, or (text, word) pairs, worked on at once: arrays that fit a core's cache.
+STEP = 1024
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -41,13 +42,13 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
 
 def _draw(terms: np.ndarray, samples: int):
     """r, ln c and b for each term and sample."""
-    low = np.uint64(0xFFFFFFFF)
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(BASES[0]))
     x = mixed(terms[:, None] ^ seeds[None, :])
-    r = -np.log(_uniform(x >> np.uint64(32)) * _uniform(x & low))
+    r = -np.log(_uniform(x >> half) * _uniform(x & low))
     x = mixed(x + np.uint64(BASES[1]))
-    c = np.log(-np.log(_uniform(x >> np.uint64(32)) * _uniform(x & low)))
-    b = _uniform(mixed(x + np.uint64(BASES[0])) >> np.uint64(32))
+    c = np.log(-np.log(_uniform(x >> half) * _uniform(x & low)))
+    b = _uniform(mixed(x + np.uint64(BASES[0])) >> half)
     return r, c, b
 
 
@@ -67,50 +68,54 @@ def _samples(r, c, b, log_weight, terms) -> np.ndarray:
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """A row of ``samples`` 16-bit values for each text; zeros for a text without words."""
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    out = np.full((len(texts), samples), np.iinfo(np.uint64).max, np.uint64)
     counts = np.fromiter(map(len, split), np.int64, len(split))
     vocabulary = {w: i for i, w in enumerate({w for ws in split for w in ws})}
     if not vocabulary:
         return np.zeros((len(texts), samples), np.uint16)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
-    ids = np.fromiter((vocabulary[w] for ws in split for w in ws), np.int64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(texts)), counts)
+    place = vocabulary.__getitem__
+    ids = np.fromiter((place(w) for ws in split for w in ws), np.int64, int(counts.sum()))
+    pairs, weights = np.unique(np.repeat(np.arange(len(texts)), counts) * len(hashes) + ids, return_counts=True)
+    docs, terms = pairs // len(hashes), pairs % len(hashes)
+    out = np.full((len(texts), samples), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), TERM_CHUNK):
-        terms = hashes[start : start + TERM_CHUNK]
-        r, c, b = _draw(terms, samples)
-        once = _samples(r, c, b, np.float32(0), terms[:, None])
-        here = (ids >= start) & (ids < start + len(terms)) if len(hashes) > TERM_CHUNK else slice(None)
-        pair, weight = np.unique(owner[here] * len(terms) + (ids[here] - start), return_counts=True)
-        _reduce(out, pair // len(terms), pair % len(terms), weight, once, r, c, b, terms)
+        chunk = hashes[start : start + TERM_CHUNK]
+        here = slice(None)
+        if len(hashes) > TERM_CHUNK:
+            here = np.flatnonzero((terms >= start) & (terms < start + len(chunk)))
+        _lower(out, docs[here], terms[here] - start, weights[here], chunk, samples)
     out[counts == 0] = 0
     return (out & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _reduce(out, docs, terms_at, weight, once, r, c, b, terms) -> None:
-    """Lower ``out`` to the least packed sample of each document; pairs come by document."""
-    step = 20_000
-    for s in range(0, len(docs), step):
-        d, at, w = docs[s : s + step], terms_at[s : s + step], weight[s : s + step]
-        values = once[at]
-        many = np.flatnonzero(w > 1)
+def _lower(out, docs, at, weights, terms, samples: int) -> None:
+    """Lower ``out`` to the least packed sample of each document; pairs come by document.
+
+    The sample of a word that stands once depends on the word alone and is made once.
+    """
+    several = np.unique(at[weights > 1])
+    kept = np.full(len(terms), -1)
+    kept[several] = np.arange(len(several))
+    draws = [np.empty((len(several), samples), np.float32) for _ in range(3)]
+    once = np.empty((len(terms), samples), np.uint64)
+    for s in range(0, len(terms), STEP):
+        part = slice(s, s + STEP)
+        found = _draw(terms[part], samples)
+        once[part] = _samples(*found, np.float32(0), terms[part, None])
+        own = np.flatnonzero(kept[part] >= 0)
+        for kind, values in zip(draws, found):
+            kind[kept[part][own]] = values[own]
+    logs = np.log(weights.astype(np.float32))
+    for s in range(0, len(docs), STEP):
+        part = slice(s, s + STEP)
+        d, a = docs[part], at[part]
+        values = once[a]
+        many = np.flatnonzero(weights[part] > 1)
         if len(many):
-            x = at[many]
-            values[many] = _samples(r[x], c[x], b[x], np.log(w[many].astype(np.float32))[:, None], terms[x][:, None])
+            x = kept[a[many]]
+            values[many] = _samples(*(kind[x] for kind in draws), logs[part][many, None], terms[a[many], None])
         first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        least = np.minimum.reduceat(values, first, axis=0)
-        out[d[first]] = np.minimum(out[d[first]], least)
-
-
-def blocks(texts: list[str]) -> Iterator[slice]:
-    """Slices of about ``BLOCK_CHARS`` code points."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK_CHARS:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+        out[d[first]] = np.minimum(out[d[first]], np.minimum.reduceat(values, first, axis=0))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -126,7 +131,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for s in blocks(texts):
+            for s in text_blocks(texts):
                 found = [row.byteswap().tobytes().hex() for row in signatures(texts[s], samples)]
                 ids = batch.column(0).slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string())], ["doc_id", "fingerprint"])
@@ -146,9 +151,9 @@ COMPARED = "n_chars long, edited_sha256 string, fingerprint string, edited_finge
 def _compare(texts: list[str], samples: int) -> list[list]:
     """Columns of COMPARED for all texts but the last, each against its next."""
     edited = [edited_text(a, b) for a, b in zip(texts, texts[1:])]
-    own = signatures(texts, samples)
-    changed = signatures(edited, samples)
     n = len(edited)
+    both = signatures([*texts, *edited], samples)
+    own, changed = both[: n + 1], both[n + 1 :]
     return [
         [len(t) for t in texts[:n]],
         [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
@@ -199,7 +204,7 @@ def compare_with_next(
                 yield row("head", ids.slice(0, 1), texts[0], task)
             else:
                 ids, texts = pa.concat_arrays([last[0], ids]), [last[1], *texts]
-            for s in blocks(texts[:-1]):
+            for s in text_blocks(texts[:-1]):
                 columns = _compare(texts[s.start : s.stop + 1], samples)
                 n = s.stop - s.start
                 values = [ids.slice(s.start, n)] + [pa.array(c, t) for c, t in zip(columns, types[1:-3])]
@@ -223,8 +228,8 @@ def compare_with_next(
     following = tasks.select(
         F.col("head_task").alias("task"), F.lead("head_task").over(Window.orderBy("head_task")).alias("after")
     )
-    first = tasks.agg(F.min("head_task").alias("first"))
-    linked = following.join(F.broadcast(first)).select("task", F.coalesce("after", "first").alias("head_task"))
+    first = tasks.agg(F.min("head_task")).first()[0]
+    linked = following.select("task", F.coalesce("after", F.lit(first)).cast("int").alias("head_task"))
     ends = tails.join(linked, "task").join(heads, "head_task").select("doc_id", "text", "following")
     whole = found.where("edge is null").select(*result.fieldNames())
     return whole.unionByName(ends.mapInArrow(join_ends, result))
