@@ -16,7 +16,7 @@ from ..operators.folds import FOLD_ID, PartitionSpec, assign_folds, dense_fold_i
 from ..operators.rowid import ROW_ID, ingest_row_ids, rank_rows
 from ..sources.sinks import FanOutSink, ParquetSink, ReportSink, Sink, save_prepared
 from ..sources.tables import align_folds, project, read_folds, read_metadata, read_table
-from .dataset import Dataset, check_numeric
+from .dataset import Dataset, check_numeric, spread_arrays
 from .engine import Engine
 from .experiments import (
     Experiment,
@@ -209,6 +209,7 @@ class _Opened:
         spec = PartitionSpec.from_config(config.get("partition", {}))
         group = spec.group_column or (stored.get("partition") or {}).get("group_column")
         features = project(data, target, source.get("features"), [ROW_ID, FOLD_ID, group])
+        data, features = spread_arrays(data, features)
         return cls(data, source, target, features, spec, from_file)
 
     @property

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,36 @@ class Profile:
     mean: np.ndarray
 
 
+def spread_arrays(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """Array and vector feature columns as one scalar column for each place.
+
+    All rows must have arrays of one length; null arrays count as missing values. One
+    aggregate reads the lengths. Other features stay as they are.
+    """
+    wide = {}
+    for name in features:
+        kind = df.schema[name].dataType
+        if isinstance(kind, VectorUDT):
+            wide[name] = vector_to_array(name)
+        elif isinstance(kind, T.ArrayType):
+            wide[name] = F.col(name)
+    if not wide:
+        return df, features
+    lengths = df.agg(*[f(F.when(c.isNotNull(), F.size(c))) for c in wide.values() for f in (F.min, F.max)]).first()
+    spread: dict[str, list[str]] = {}
+    columns = {}
+    for i, (name, values) in enumerate(wide.items()):
+        low, high = lengths[2 * i], lengths[2 * i + 1]
+        if not low or low != high:
+            raise ConfigDataError(f"Arrays of {name!r} have from {low} to {high} values; one length is needed")
+        spread[name] = [f"{name}_{j}" for j in range(high)]
+        columns |= {column: F.get(values, F.lit(j)) for j, column in enumerate(spread[name])}
+    taken = sorted(set(columns) & set(df.columns))
+    if taken:
+        raise ConfigDataError(f"Columns {taken} are in the way of the places of an array feature")
+    return df.withColumns(columns), [c for name in features for c in spread.get(name, [name])]
+
+
 def check_numeric(df: DataFrame, features: list[str], target: str, task: str) -> None:
     """Features, and a regression target, must be numbers or booleans."""
     for name in [*features, target] if task == "regression" else features:

@@ -38,7 +38,7 @@ from .operators.mutual_info import BINS, train_mutual_info
 from .operators.rowid import ROW_ID, rank_rows
 from .plans import report
 from .plans.api import benchmark, plan, prepare, run_experiments
-from .plans.dataset import Dataset
+from .plans.dataset import Dataset, spread_arrays
 from .plans.experiments import (
     expand,
     plan_summary,
@@ -547,10 +547,23 @@ def fscore_reg(spark, sf_dir):
 def _embedding_dataset(spark, sf_dir, target: str = "label"):
     vectors = table(spark, sf_dir, "embeddings").withColumn(ROW_ID, F.col("vec_id"))
     folded = stratified_folds(vectors, PartitionSpec(n_splits=K), "label")
-    wide = folded.select(
-        FOLD_ID, F.expr(target).alias("label"), *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(64)]
-    )
-    return Dataset.build(wide, [f"e{i}" for i in range(64)], "label", "classification", FOLD_ID)
+    wide, features = spread_arrays(folded.withColumn("label", F.expr(target)), ["embedding"])
+    return Dataset.build(wide, features, "label", "classification", FOLD_ID)
+
+
+@query(
+    f"""WITH base AS (SELECT {random_fold_sql("vec_id", K)} AS fold, CAST(label AS DOUBLE) AS y, embedding
+      FROM embeddings), {models_sql()},
+    long AS (SELECT fold, y, i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS x FROM base, range(64) t(i)),
+    r AS (SELECT m, feature, count(*) AS n, corr(x, y) AS r FROM models JOIN long ON fold <> m GROUP BY ALL)
+    SELECT m AS model, CAST(feature AS INTEGER) AS feature, round(r * r / (1 - r * r) * (n - 2), 4) AS f_score FROM r"""
+)
+def fscore_array(spark, sf_dir):
+    """Scores of the places of an array column, given as one feature."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn(ROW_ID, F.col("vec_id"))
+    folded, features = spread_arrays(random_folds(vectors, PartitionSpec(n_splits=K)), ["embedding"])
+    data = Dataset.build(folded, features, "label", "regression", FOLD_ID)
+    return _long(spark, [f_scores_regression(m) for m in data.train_moments], "f_score", 4)
 
 
 def _class_scores(data: Dataset):

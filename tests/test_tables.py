@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldyard.errors import ConfigDataError
-from foldyard.plans.dataset import Dataset
+from foldyard.plans.dataset import Dataset, spread_arrays
 from foldyard.sources.tables import (
     align_folds,
     drop_missing_target,
@@ -99,3 +99,14 @@ def test_hook_and_negative_check(spark):
     tagged = frame.withColumns({"z": F.lit(-1), "fold": F.lit(0)})
     assert not Dataset.build(tagged, ["x", "y"], "x", "regression", "fold").profile.any_negative
     assert Dataset.build(tagged, ["x", "z"], "x", "regression", "fold").profile.any_negative
+
+
+def test_array_features_spread_over_columns(spark):
+    frame = spark.createDataFrame([([1.0, 2.0], 5.0), (None, 6.0), ([3.0, 4.0], 7.0)], "v array<double>, x double")
+    spread, features = spread_arrays(frame, ["x", "v"])
+    assert features == ["x", "v_0", "v_1"]
+    assert [tuple(r) for r in spread.select(*features).collect()] == [(5.0, 1.0, 2.0), (6.0, None, None), (7.0, 3.0, 4.0)]
+    assert spread_arrays(frame, ["x"])[1] == ["x"]
+    uneven = frame.union(spark.createDataFrame([([1.0], 1.0)], frame.schema))
+    with pytest.raises(ConfigDataError, match="one length"):
+        spread_arrays(uneven, ["v"])
