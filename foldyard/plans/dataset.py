@@ -15,6 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..errors import ConfigDataError
 from ..operators.features import row_norm
+from ..operators.folds import MAX_CLASSES
 from ..operators.moments import (
     SQL_COLUMNS,
     Moments,
@@ -103,7 +104,10 @@ class Dataset:
         if task == "regression":
             return cls(cached, len(features), [], expected_rows, cached)
         # The labels come from the cached table, so the input is read once.
-        found = cached.select("y").distinct().collect()
+        found = cached.select("y").distinct().limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            cached.unpersist()
+            raise ConfigDataError(f"Target '{target}' has over {MAX_CLASSES} values, too many for classes")
         classes = sorted(r[0] for r in found if r[0] is not None)
         labels = df.sparkSession.createDataFrame(
             [(label, float(i)) for i, label in enumerate(classes)],
@@ -115,7 +119,7 @@ class Dataset:
             ),
         )
         names = [f"x{i}" for i in range(len(features))]
-        # One row per class.
+        # One row per class, MAX_CLASSES at most.
         indexed = cached.join(F.broadcast(labels), F.col("y") == F.col("_label"), "left")
         table = indexed.select("fold", F.col("_index").alias("y"), *names)
         return cls(table, len(features), classes, expected_rows, cached)
