@@ -7,9 +7,9 @@ constant and every other position is a variable field. Lines that generalise to
 template share it; a template found in enough documents is recurring, and its lines go
 from every document but the first (smallest id), so no content leaves the corpus.
 
-All groups are counts of line types (equal masked lines of a leaf): a hot line is
-combined before each shuffle, and joins back to lines are plain equi-joins that Spark
-can split.
+All groups are counts of line types (equal masked lines of a leaf), named by a 64-bit
+hash inside their leaf: a hot line is combined before each shuffle, joins back to lines
+are plain equi-joins that Spark can split, and each type's text is shuffled once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, keyed
+from ..session import materialize
+from .text import SPACE, keyed, let
 
 VARIABLE = "<*>"
 #: A token with a digit in it: number, date, address, version.
@@ -38,11 +39,15 @@ class TreeLimits:
     least_constant: float = 0.75
 
 
+#: Recurring leaves that are broadcast at most, 16 bytes each; more are joined by shuffle.
+BROADCAST_LEAVES = 1_000_000
+
+
 def masked_line(line: Column) -> Column:
     """Tokens joined by one blank, those with a digit replaced."""
-    flat = F.trim(F.translate(line, SPACES, " " * len(SPACES)))
-    flat = F.when(flat.contains("  "), F.regexp_replace(flat, " +", " ")).otherwise(flat)
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, WITH_DIGIT, VARIABLE)).otherwise(flat)
+    flat = F.trim(F.regexp_replace(line, SPACE, " "))
+    odd = line.rlike(r"[0-9\x09-\x0D]|  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.regexp_replace(flat, WITH_DIGIT, VARIABLE)).otherwise(line)
 
 
 def _blanks(text: Column) -> Column:
@@ -51,47 +56,63 @@ def _blanks(text: Column) -> Column:
 
 def line_table(keys: DataFrame, limits: TreeLimits) -> DataFrame:
     """row_key, doc_id, line_no, masked, leaf: lines with enough tokens."""
-    lines = keys.select(
-        "row_key", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
-    ).select("row_key", "doc_id", "line_no", masked_line(F.col("line")).alias("masked"))
-    n = F.when(F.col("masked") == "", 0).otherwise(_blanks(F.col("masked")) + 1)
+    masked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), masked_line)
+    lines = keys.select("row_key", "doc_id", F.posexplode(masked).alias("line_no", "masked"))
+    n = _blanks(F.col("masked")) + 1
     head = F.substring_index("masked", " ", limits.depth)
-    return (
-        lines.withColumn("n_tokens", n)
-        .where(F.col("n_tokens") >= limits.least_tokens)
-        .select("row_key", "doc_id", "line_no", "masked", "n_tokens", F.xxhash64("n_tokens", head).alias("leaf"))
+    return lines.where(n >= limits.least_tokens).select(
+        "row_key", "doc_id", "line_no", "masked", F.xxhash64(n, head).alias("leaf")
+    )
+
+
+def busy_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
+    """The lines of leaves that enough documents reach, written once."""
+    lines = line_table(keys, limits)
+    leaves = materialize(
+        lines.select("leaf", F.xxhash64("row_key").alias("document"))
+        .distinct()
+        .groupBy("leaf")
+        .count()
+        .where(F.col("count") >= limits.least_documents)
+        .select("leaf")
     )
+    if leaves.count() <= BROADCAST_LEAVES:
+        leaves = F.broadcast(leaves)
+    return materialize(lines.join(leaves, "leaf").withColumn("type", F.xxhash64("masked")))
 
 
 def recurring_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
     """row_key, line_no of each line to drop."""
-    lines = line_table(keys, limits)
     least = limits.least_documents
-    leaves = (
-        lines.select("leaf", "row_key").distinct().groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
-    )
-    busy = lines.join(leaves, "leaf")
-    types = (
-        busy.select("leaf", "masked", "row_key").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
+    busy = busy_lines(keys, limits)
+    document = F.xxhash64("row_key").alias("document")
+    docs = busy.select("leaf", "type", document).distinct().groupBy("leaf", "type").agg(F.count("*").alias("docs"))
+    tokens = (
+        busy.select("leaf", "type", "masked")
+        .distinct()
+        .join(docs, ["leaf", "type"])
+        .select("leaf", "type", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     )
-    tokens = types.select("leaf", "masked", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
     constant = (F.col("support") >= least) & (F.col("token") != VARIABLE)
-    fields = tokens.join(support, ["leaf", "at", "token"]).groupBy("leaf", "masked").agg(
-        F.array_sort(
-            F.collect_list(F.struct("at", F.when(constant, F.col("token")).otherwise(VARIABLE).alias("field")))
-        ).alias("fields"),
-        F.avg(constant.cast("int")).alias("constant_share"),
+    field = F.when(constant, F.col("token")).otherwise(VARIABLE)
+    fields = (
+        tokens.join(support, ["leaf", "at", "token"])
+        .groupBy("leaf", "type")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("at", field.alias("field")))).alias("fields"),
+            F.avg(constant.cast("int")).alias("constant_share"),
+        )
     )
-    generalised = F.array_join(F.transform("fields", lambda x: x["field"]), " ")
+    general = F.xxhash64(F.array_join(F.transform("fields", lambda x: x["field"]), " "))
     templates = fields.select(
         "leaf",
-        "masked",
-        F.when(F.col("constant_share") >= limits.least_constant, generalised)
-        .otherwise(F.col("masked"))
-        .alias("template"),
+        "type",
+        F.when(F.col("constant_share") >= limits.least_constant, general).otherwise(F.col("type")).alias("template"),
+    )
+    parsed = materialize(
+        busy.drop("masked").join(templates, ["leaf", "type"]).select("row_key", "doc_id", "line_no", "leaf", "template")
     )
-    parsed = busy.join(templates, ["leaf", "masked"]).select("row_key", "doc_id", "line_no", "leaf", "template")
     found = (
         parsed.groupBy("leaf", "template", "row_key")
         .agg(F.min("doc_id").alias("doc_id"))
@@ -116,8 +137,7 @@ def drop_recurring_lines(
     Documents are distinct (id, text) rows: repeated rows count once, and each gets the
     same result. Null and empty texts lose nothing and have the text ''. Of equal ids
     the first row is the one with the smaller text hash; null ids come last. Other
-    columns, null or of any name, pass through (one called ``dedup`` is replaced, and
-    ``row_key``/``drops`` are names this function keeps for itself).
+    columns, null or of any name, pass through (one called ``dedup`` is replaced).
     """
     own = df.drop("dedup").select(F.struct("*").alias("row"))
     keys = keyed(own.select("row.*"), id_col, text_col)
@@ -129,12 +149,15 @@ def drop_recurring_lines(
     )
     joined = own.withColumn("row_key", key).join(drops, "row_key", "left")
     lines = F.split(text, "\n")
-    kept = F.when(F.col("drops").isNull(), text).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("drops"), i)), "\n")
-    )
+
+    def without_drops(ls: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drops"))
+        return F.array_join(F.transform(places, lambda i: F.get(ls, i)), "\n")
+
+    kept = F.when(F.col("drops").isNull(), text).otherwise(let(lines, without_drops))
     dedup = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("text"),
     )
-    return joined.select("row.*", dedup.alias("dedup"))
+    return joined.select("row", dedup.alias("dedup")).select("row.*", "dedup")
