@@ -29,8 +29,7 @@ def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``documents`` with ``row_key``, which is equal only for equal rows.
 
-    It names a row in joins even where ids are null or repeat. Equal rows share a key
-    and are counted in ``copies``; see ``unkeyed``.
+    It names a row in joins even where ids are null or repeat; equal rows share a key.
     """
     docs = documents(df, id_col, text_col)
     key = F.struct(
