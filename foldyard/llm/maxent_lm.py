@@ -5,7 +5,7 @@ There are 32 classes of 32 members, so 1,024 cells. Half are one frequent word e
 in the others words share a cell by their ending, and inside a cell a word has its
 smoothed share of the cell's training tokens, with one place for all unseen words. The
 first two factors are softmaxes over hashed feature weights: the previous word, the
-words two and three back (skips) and the previous two words together.
+word before it alone (a skip) and both together.
 
 Training: weights start at 0 over unigram biases. Each round takes the training
 documents of one slice, sums observed and expected feature counts over all tokens (their
@@ -44,18 +44,22 @@ from .hashing import BASES, by_range, mixed, ship, shipped
 CLASSES = MEMBERS = 32
 CELLS = CLASSES * MEMBERS
 HEAD = CELLS // 2
-FEATURES = 4
+FEATURES = 3
 #: Before the first word of a document.
 START = CELLS
 BLOCK_WORDS = 2_000_000
+#: Words of a block that are held as texts.
+WAITING_WORDS = 100_000
 #: Words for each hash range of the vocabulary, about.
 RANGE_WORDS = 10_000_000
 #: Training tokens for each task of a round, about: every task sends sums as large as
 #: the model, so they must stay small against the tokens.
 TASK_TOKENS = 24_000_000
-#: Tokens whose places are in memory at once, about, and whose scores are.
+#: Tokens whose places are in memory at once, about; whose distinct cases are counted
+#: together, about; cases whose scores are made at once.
 STEP_TOKENS = 100_000
-SCORE_TOKENS = 32_768
+COUNT_TOKENS = 1_500_000
+SCORE_TOKENS = 16_384
 
 
 @dataclass(frozen=True)
@@ -107,53 +111,75 @@ def _block_schema(id_type) -> StructType:
     return StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(BLOCK)])
 
 
+class _Block:
+    """Documents as numbers of the block's own words; texts are let go piece by piece."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.lengths: list[int] = []
+        self.numbers: dict[bytes, int] = {}
+        self.tokens: list[np.ndarray] = []
+        self.size = 0
+        self.waiting: list[list[bytes]] = []
+        self.n_waiting = 0
+
+    def add(self, doc_id, words: list[bytes]) -> None:
+        self.ids.append(doc_id)
+        self.lengths.append(len(words) + 1)
+        self.waiting.append(words)
+        self.n_waiting += len(words) + 1
+        self.size += len(words) + 1
+        if self.n_waiting >= WAITING_WORDS:
+            self.number()
+
+    def number(self) -> None:
+        for word in {w for ws in self.waiting for w in ws}:
+            self.numbers.setdefault(word, len(self.numbers))
+        place = self.numbers.__getitem__
+        for ws in self.waiting:
+            own = np.full(len(ws) + 1, -1, np.int32)  # the end comes last
+            own[:-1] = np.fromiter(map(place, ws), np.int32, len(ws))
+            self.tokens.append(own)
+        self.waiting, self.n_waiting = [], 0
+
+
 def _make_blocks(params: LmParams, schema: StructType, bits: int):
     arrow = to_arrow_schema(schema)
 
-    def flush(docs: list, number: int) -> Iterator[pa.RecordBatch]:
-        ids = [d for d, _ in docs]
-        split = [ws for _, ws in docs]
-        lengths = np.fromiter((len(ws) + 1 for ws in split), np.int64, len(split))
-        vocabulary = {w for ws in split for w in ws}
-        hashed = {w: xxhash.xxh64_intdigest(w) for w in vocabulary}
-        keys = np.unique(np.fromiter([END, *hashed.values()], np.uint64, len(hashed) + 1))
+    def flush(block: _Block, number: int) -> pa.RecordBatch:
+        block.number()
+        names = list(block.numbers)
+        hashes = np.fromiter([*map(xxhash.xxh64_intdigest, names), END], np.uint64, len(names) + 1)
+        keys, at = np.unique(hashes, return_inverse=True)
         endings = np.zeros(len(keys), np.uint16)
-        names = list(hashed)
-        at = np.searchsorted(keys, np.fromiter(hashed.values(), np.uint64, len(hashed)))
-        endings[at] = np.fromiter(map(ending, names), np.uint16, len(names))
-        place = dict(zip(names, at.tolist()))
-        end = int(np.searchsorted(keys, np.uint64(END)))
-        tokens = np.full(int(lengths.sum()), end, np.int32)
-        inner = np.ones(len(tokens), bool)
-        inner[np.cumsum(lengths) - 1] = False
-        tokens[inner] = np.fromiter((place[w] for ws in split for w in ws), np.int32, len(tokens) - len(split))
-        held = np.fromiter((id_hash(d) % params.folds == params.held_fold for d in ids), bool, len(ids))
+        endings[at[:-1]] = np.fromiter(map(ending, names), np.uint16, len(names))
+        tokens = at[np.concatenate(block.tokens)]
+        lengths = np.array(block.lengths, np.int64)
+        held = np.fromiter((id_hash(d) % params.folds == params.held_fold for d in block.ids), bool, len(lengths))
         counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(keys)).astype(np.uint32)
-        usage = np.bincount(tokens, minlength=len(keys))
         rank = np.empty(len(keys), np.int32)
-        rank[np.argsort(-usage, kind="stable")] = np.arange(len(keys))
-        rows = [(ids, number, -1, len(keys), rank.tobytes(), None, None, _planes(rank[tokens]), lengths.tobytes())]
+        rank[np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")] = np.arange(len(keys))
+        rows = [(block.ids, number, -1, len(keys), rank.tobytes(), None, None, _planes(rank[tokens]), lengths.tobytes())]
         rows += [
             (None, number, p, s.stop - s.start, keys[s].tobytes(), counts[s].tobytes(), endings[s].tobytes(), None, None)
             for p, s in by_range(keys, bits)
         ]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], arrow.names
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        docs, size = [], 0
+        block = _Block()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ws = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z
-                docs.append((doc_id, ws))
-                size += len(ws) + 1
-                if size >= BLOCK_WORDS:
-                    yield from flush(docs, number)
-                    docs, size, number = [], 0, number + 1
-        if docs:
-            yield from flush(docs, number)
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z
+                block.add(doc_id.as_py(), words)
+                if block.size >= BLOCK_WORDS:
+                    yield flush(block, number)
+                    block, number = _Block(), number + 1
+        if block.ids:
+            yield flush(block, number)
 
     return run
 
@@ -313,18 +339,10 @@ class Model:
             np.zeros((params.member_rows, MEMBERS), np.float32),
         )
 
-    def class_places(self, cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Rows of the class weights for each feature of each token."""
-        back = []
-        for k in (1, 2, 3):
-            past = np.empty(len(cells), np.uint64)
-            past[k:] = cells[:-k]
-            past[:k] = START
-            for i in range(k):
-                at = starts[lengths > i] + i
-                past[at] = START
-            back.append(past)
-        kinds = [back[0], back[1] + np.uint64(1 << 12), back[2] + np.uint64(2 << 12), (back[0] << np.uint64(24)) + back[1] + np.uint64(3 << 12)]
+    def class_places(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """Rows of the class weights for each feature, of the cells one and two back."""
+        one, two = one.astype(np.uint64), two.astype(np.uint64)
+        kinds = [one, two + np.uint64(1 << 12), (one << np.uint64(24)) + two + np.uint64(2 << 12)]
         mask = np.uint64(self.params.class_rows - 1)
         return [(mixed(k + np.uint64(BASES[0])) & mask).astype(np.uint16) for k in kinds]
 
@@ -333,11 +351,25 @@ class Model:
         return (mixed(place.astype(np.uint64) * np.uint64(CLASSES) + classes.astype(np.uint64)) & mask).astype(np.uint16)
 
     def scores(self, places: list[np.ndarray], classes: np.ndarray):
-        """Log softmaxes over classes, and over the members of each token's class."""
+        """Raw scores of classes, and of the members of each token's class, with the
+        places of the member weights."""
         z = self.class_bias + sum_rows(self.class_weights, places)
         inner = [self.member_place(p, classes) for p in places]
         y = self.member_bias[classes] + sum_rows(self.member_weights, inner)
-        return log_softmax(z), log_softmax(y), inner
+        return z, y, inner
+
+
+def histories(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The cells one and two back of each token; START before a document."""
+    back = []
+    for k in (1, 2):
+        past = np.empty(len(cells), np.int64)
+        past[k:] = cells[:-k]
+        past[:k] = START
+        for i in range(k):
+            past[starts[lengths > i] + i] = START
+        back.append(past)
+    return back
 
 
 def sum_rows(weights: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
@@ -347,9 +379,21 @@ def sum_rows(weights: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one column of each row."""
+    top = x.max(axis=1, keepdims=True)
+    value = x[np.arange(len(x)), chosen] - top[:, 0]
+    x -= top
+    np.exp(x, out=x)
+    return value.astype(np.float64) - np.log(x.sum(axis=1).astype(np.float64))
 
 
 def _add_rows(total: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
@@ -391,41 +435,79 @@ def _sum_counts(model_of, round_: int, params: LmParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped(model_of)
         expected = {"class": np.zeros_like(model.class_weights), "member": np.zeros_like(model.member_weights)}
-        observed = {k: np.zeros(v.shape, np.int32) for k, v in expected.items()}
+        observed = {k: np.zeros(v.shape, np.int64) for k, v in expected.items()}
+        held: list[np.ndarray] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 hashes = np.fromiter(map(id_hash, row["doc_ids"]), np.int64, len(lengths))
                 train = (hashes % params.folds != params.held_fold) & (hashes // params.folds % params.rounds == round_)
                 cells = np.frombuffer(row["cells"], np.uint16)[np.repeat(train, lengths)]
-                for _, _, x, own, starts in _pieces(cells, lengths[train]):
-                    places = model.class_places(x, starts, own)
-                    for s in range(0, len(x), SCORE_TOKENS):
-                        part = slice(s, s + SCORE_TOKENS)
-                        _count_step(model, x[part], [p[part] for p in places], observed, expected)
+                own = lengths[train]
+                one, two = histories(cells, np.cumsum(own) - own, own)
+                held.append((one * (CELLS + 1) + two) * CELLS + cells)
+                if sum(map(len, held)) >= COUNT_TOKENS:
+                    _count(model, np.concatenate(held), observed, expected)
+                    held = []
+        if held:
+            _count(model, np.concatenate(held), observed, expected)
         for kind in observed:
             size = len(observed[kind]) // CHUNKS
             for c in range(CHUNKS):
                 part = slice(c * size, (c + 1) * size)
                 if observed[kind][part].any():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind]), pa.array([c], pa.int32()), pa.array([observed[kind][part].astype(np.float32).tobytes()]), pa.array([expected[kind][part].tobytes()])],
+                        [
+                            pa.array([kind]),
+                            pa.array([c], pa.int32()),
+                            pa.array([observed[kind][part].astype(np.float32).tobytes()]),
+                            pa.array([expected[kind][part].tobytes()]),
+                        ],
                         ["kind", "chunk", "observed", "expected"],
                     )
 
     return run
 
 
-def _count_step(model: Model, cells: np.ndarray, places: list[np.ndarray], observed, expected) -> None:
-    classes, members = cells // MEMBERS, cells % MEMBERS
-    outer, inner, inner_places = model.scores(places, classes)
-    np.exp(outer, out=outer)
-    np.exp(inner, out=inner)
-    for p, q in zip(places, inner_places):
-        _add_rows(expected["class"], p, outer)
-        _add_rows(expected["member"], q, inner)
-        np.add.at(observed["class"].reshape(-1), p.astype(np.int64) * CLASSES + classes, 1)
-        np.add.at(observed["member"].reshape(-1), q.astype(np.int64) * MEMBERS + members, 1)
+def _runs(values: np.ndarray, counts: np.ndarray):
+    """Distinct values of a sorted array, their summed counts, and each entry's place."""
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    first = np.flatnonzero(new)
+    return values[first], np.add.reduceat(counts, first), np.cumsum(new) - 1
+
+
+def _count(model: Model, keys: np.ndarray, observed, expected) -> None:
+    """Add tokens up, given as (one back, two back, cell) numbers.
+
+    The class softmax depends on the two cells back alone, the member softmax on these
+    and the class, so each distinct case is worked out once and counts as often as it
+    stands there.
+    """
+    if not len(keys):
+        return
+    keys.sort()
+    quads, n4, _ = _runs(keys, np.ones(len(keys), np.int64))
+    triples, n3, of_quad = _runs(quads >> 5, n4)
+    pairs, n2, of_triple = _runs(triples >> 5, n3)
+    classes, members = triples & 31, quads & 31
+    places = model.class_places(pairs // (CELLS + 1), pairs % (CELLS + 1))
+    for s in range(0, len(pairs), SCORE_TOKENS):
+        own = [p[s : s + SCORE_TOKENS] for p in places]
+        share = softmax(model.class_bias + sum_rows(model.class_weights, own))
+        share *= n2[s : s + SCORE_TOKENS, None]
+        for p in own:
+            _add_rows(expected["class"], p, share)
+    inner = [model.member_place(p[of_triple], classes) for p in places]
+    for s in range(0, len(triples), SCORE_TOKENS):
+        part = slice(s, s + SCORE_TOKENS)
+        own = [q[part] for q in inner]
+        share = softmax(model.member_bias[classes[part]] + sum_rows(model.member_weights, own))
+        share *= n3[part, None]
+        for q in own:
+            _add_rows(expected["member"], q, share)
+    for p, q in zip(places, inner):
+        np.add.at(observed["class"].reshape(-1), p[of_triple].astype(np.int64) * CLASSES + classes, n3)
+        np.add.at(observed["member"].reshape(-1), q[of_quad].astype(np.int64) * MEMBERS + members, n4)
 
 
 def _add_chunks(key, table):
@@ -463,19 +545,18 @@ def _score(model_of, params: LmParams, tokens: int, schema: StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped(model_of)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 cells = np.frombuffer(row["cells"], np.uint16)
                 total = np.frombuffer(row["inside"], np.float64).copy()
                 for a, b, x, own, starts in _pieces(cells, lengths):
                     value = np.empty(len(x))
-                    places = model.class_places(x, starts, own)
+                    places = model.class_places(*histories(x, starts, own))
                     for s in range(0, len(x), SCORE_TOKENS):
                         part = slice(s, s + SCORE_TOKENS)
                         classes, members = x[part] // MEMBERS, x[part] % MEMBERS
                         outer, inner, _ = model.scores([p[part] for p in places], classes)
-                        rows = np.arange(len(classes))
-                        value[part] = outer[rows, classes].astype(np.float64) + inner[rows, members]
+                        value[part] = log_chosen(outer, classes) + log_chosen(inner, members)
                     total[a:b] += np.add.reduceat(value, starts) / np.log(10.0)
                 ids = row["doc_ids"]
                 held = [id_hash(d) % params.folds == params.held_fold for d in ids]

@@ -58,9 +58,9 @@ def test_probabilities_sum_to_one():
     for cell in range(lm.CELLS):
         x = history.copy()
         x[3] = cell
-        places = model.class_places(x, np.zeros(1, np.int64), np.array([4]))
+        places = model.class_places(*lm.histories(x, np.zeros(1, np.int64), np.array([4])))
         outer, inner, _ = model.scores(places, x // lm.MEMBERS)
-        total += np.exp(outer[3, cell // lm.MEMBERS] + inner[3, cell % lm.MEMBERS])
+        total += np.exp(lm.log_chosen(outer, x // lm.MEMBERS) + lm.log_chosen(inner, x % lm.MEMBERS))[3:]
     assert abs(total[0] - 1) < 1e-3
 
 
@@ -82,12 +82,36 @@ def test_words_of_a_cell_share_it(spark):
 
 
 def test_history_starts_anew_in_each_document():
-    model = lm.Model.start(lm.Vocabulary(1, 1, np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(lm.CELLS)), lm.LmParams())
     a, b = np.array([3, 4, 5], np.uint16), np.array([9], np.uint16)
-    both = model.class_places(np.concatenate([a, b, a]), np.array([0, 3, 4]), np.array([3, 1, 3]))
-    alone = [model.class_places(x, np.zeros(1, np.int64), np.array([len(x)])) for x in (a, b, a)]
-    for k, row in enumerate(both):
-        assert (row == np.concatenate([p[k] for p in alone])).all()
+    one, two = lm.histories(np.concatenate([a, b, a]), np.array([0, 3, 4]), np.array([3, 1, 3]))
+    s = lm.START
+    assert one.tolist() == [s, 3, 4, s, s, 3, 4] and two.tolist() == [s, s, 3, s, s, s, 3]
+
+
+def test_counted_cases_equal_token_by_token_sums():
+    rng = np.random.default_rng(5)
+    params = lm.LmParams(class_rows=1 << 8, member_rows=1 << 9)
+    model = lm.Model.start(lm.Vocabulary(1, 1, np.zeros(1, np.uint64), np.zeros(1, np.int64), rng.integers(1, 9, lm.CELLS) * 1.0), params)
+    model.class_weights[:] = rng.standard_normal(model.class_weights.shape)
+    model.member_weights[:] = rng.standard_normal(model.member_weights.shape)
+    one, two, cells = (rng.choice([0, 1, 40, 700, lm.CELLS - 1], 300) for _ in range(3))
+    observed = {"class": np.zeros(model.class_weights.shape, np.int64), "member": np.zeros(model.member_weights.shape, np.int64)}
+    expected = {k: np.zeros(v.shape, np.float32) for k, v in observed.items()}
+    lm._count(model, (one * (lm.CELLS + 1) + two) * lm.CELLS + cells, observed, expected)
+    wanted = {k: np.zeros(v.shape) for k, v in (*(("o" + k, v) for k, v in observed.items()), *(("e" + k, v) for k, v in expected.items()))}
+    for a, b, cell in zip(one, two, cells):
+        c, m = cell // lm.MEMBERS, cell % lm.MEMBERS
+        places = model.class_places(np.array([a]), np.array([b]))
+        z, y, inner = model.scores(places, np.array([c]))
+        z, y = lm.softmax(z)[0], lm.softmax(y)[0]
+        for p, q in zip(places, inner):
+            wanted["oclass"][p[0], c] += 1
+            wanted["omember"][q[0], m] += 1
+            wanted["eclass"][p[0]] += z
+            wanted["emember"][q[0]] += y
+    for kind in observed:
+        assert (observed[kind] == wanted["o" + kind]).all()
+        np.testing.assert_allclose(expected[kind], wanted["e" + kind], rtol=1e-3, atol=1e-3)
 
 
 def test_scores_do_not_depend_on_partitions(spark):
