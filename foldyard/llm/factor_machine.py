@@ -188,13 +188,33 @@ def fit(examples: list, labels: np.ndarray, params: FmParams) -> Machine:
     return machine
 
 
+SAMPLE = "one int, doc string, tie long, quality double, inputs binary, amounts binary"
+
+
+def _sample_inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the sample to their inputs, a few at a time."""
+    for batch in batches:
+        texts, given = batch.column("text").to_pylist(), batch.column("given").to_pylist()
+        for s in text_blocks([t or "" for t in texts]):
+            inputs, values, first = features(texts[s], given[s])
+            ends = np.append(first[1:], len(inputs))
+            own = batch.slice(s.start, s.stop - s.start)
+            packed = [
+                pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
+                for x in (inputs.astype(np.int32), values)
+            ]
+            kept = [own.column(c) for c in ("one", "doc", "tie", "quality")]
+            yield pa.RecordBatch.from_arrays([*kept, *packed], ["one", "doc", "tie", "quality", "inputs", "amounts"])
+
+
 def _fit_rows(params: FmParams):
     def run(key, table):
         """The whole bounded sample in one task, in the order of its hashes."""
         table = table.sort_by([("tie", "ascending"), ("doc", "ascending")])
-        inputs, values, first = features(table["text"].to_pylist(), table["given"].to_pylist())
-        ends = np.append(first[1:], len(inputs))
-        examples = [(inputs[a:b], values[a:b]) for a, b in zip(first, ends)]
+        examples = [
+            (np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32))
+            for i, v in zip(table["inputs"], table["amounts"])
+        ]
         machine = fit(examples, table["quality"].to_numpy().astype(np.float32), params)
         return pa.table(
             {
@@ -229,7 +249,8 @@ def train(
         .dropDuplicates(["label_id"])
         .select(F.lit(0).alias("one"), "doc", "tie", "text", "given", "quality")
     )
-    found = rows.groupBy("one").applyInArrow(_fit_rows(params), "bias double, weights binary, factors binary").collect()
+    inputs = rows.mapInArrow(_sample_inputs, SAMPLE)
+    found = inputs.groupBy("one").applyInArrow(_fit_rows(params), "bias double, weights binary, factors binary").collect()
     if not found:
         return Machine(0.0, np.zeros(INPUTS, np.float32), np.zeros((INPUTS, params.factors), np.float32))
     row = found[0]
