@@ -9,9 +9,13 @@ one-to-one matching of equal k-mers inside the diagonal band that the similarity
 open. Similarity is matched / (n1 + n2 - matched), at least 0.8.
 
 Equal texts are one node throughout. In each band bucket texts are first verified
-against the bucket's leader; most of a bucket then is one component. What is left, pairs
-of one bucket in different components, is verified in a second round, so no candidate
-link is lost, and pairs inside a group of copies are never expanded.
+against the bucket's leader; most of a bucket then is one component. In buckets that
+hold several components, k-mers that no other text there has are counted: a text with
+too many of them links to nothing, and two texts cannot have more in common than either
+shares with any other. A few rounds follow with other leaders, one pair a member. What
+is left, texts of one bucket in different components that may still link, is compared
+last, in blocks of a bounded size, so no candidate link is lost, and pairs inside a
+group of copies are never expanded.
 """
 
 from __future__ import annotations
@@ -25,20 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .components import components
-from .hashing import BASES, mixed, rolling, text_key, text_words, word_hashes
+from .components import labels, stars
+from .hashing import BASES, mixed, rolling, text_blocks, text_key, text_words, word_hashes
 
 
 @dataclass(frozen=True)
 class SketchParams:
     """words: of a k-mer. similarity: of a link. bands x sketches: 20 bands of three
-    sketches of two k-mers find a pair at 0.8 with probability 0.997. seed: of the hash
-    functions."""
+    sketches of two k-mers find a pair at 0.8 with probability 0.997. rounds: with other
+    leaders (a first one per bucket comes before), before the rest in blocks of ``block_texts`` texts. seed: of the hash functions."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 20
     sketches: int = 3
+    rounds: int = 1
+    block_texts: int = 400
     seed: int = 11
 
 
@@ -96,21 +102,27 @@ def bands_of(grams: np.ndarray, params: SketchParams) -> np.ndarray:
     return band
 
 
+def _grams(texts: list[str], params: SketchParams) -> Iterator[np.ndarray]:
+    """K-mers of each text; words are held for a few texts at a time."""
+    for s in text_blocks(texts):
+        words, counts = text_words(texts[s])
+        hashes, start = word_hashes(words), 0
+        for n in counts:
+            yield kmers(hashes[start : start + n], params.words)
+            start += n
+
+
 def _sketch(params: SketchParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            words, counts = text_words(texts)
-            hashes = word_hashes(words)
-            keys, sizes, bands, start = [], [], [], 0
-            for text, n in zip(texts, counts):
-                grams = kmers(hashes[start : start + n], params.words)
-                start += n
-                keys.append(text_key(text))
+            sizes, bands = [], []
+            for grams in _grams(texts, params):
                 sizes.append(len(grams))
                 bands.append(bands_of(grams, params).view(np.int64) if len(grams) else [])
+            keys = pa.array(map(text_key, texts), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                [keys, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["text_key", "n", "bands"],
             )
 
@@ -120,11 +132,7 @@ def _sketch(params: SketchParams):
 def _encode(params: SketchParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = text_words(batch.column(1).to_pylist())
-            hashes, out, start = word_hashes(words), [], 0
-            for n in counts:
-                out.append(kmers(hashes[start : start + n], params.words).tobytes())
-                start += n
+            out = [grams.tobytes() for grams in _grams(batch.column(1).to_pylist(), params)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["text_key", "grams"])
 
     return run
@@ -215,42 +223,146 @@ def text_classes(docs: DataFrame, params: SketchParams) -> DataFrame:
     def close(x: str, y: str):
         return F.least(x, y) >= params.similarity * F.greatest(x, y)
 
-    stars = (
-        members.where((F.col("text_key") != F.col("leader")) & close("n", "leader_n"))
-        .select(F.col("leader").alias("a"), F.col("text_key").alias("b"))
-        .distinct()
-    )
-    links = materialize(_links(stars, grams, params))
-    labels = components(links)
-    labelled = members.join(labels, members.text_key == labels.node, "left").select(
-        "band", "text_key", "n", "leader", F.coalesce("component", "text_key").alias("component")
+    led = members.where((F.col("text_key") != F.col("leader")) & close("n", "leader_n"))
+    tried = materialize(_pairs(led.select("leader", "text_key")))
+    known = stars(_links(tried, grams, params))
+    table = materialize(_mixed_buckets(members.select("band", "text_key", "n"), labels(known)))
+    shared = _shared(table, grams).where(F.col("shared") >= params.similarity * F.col("n"))
+    table = materialize(table.join(shared.drop("n"), "text_key"))
+    for round_ in range(1, params.rounds + 1):
+        if round_ > 1:
+            table = materialize(_mixed_buckets(table.drop("component"), labels(known)))
+        # first the text with the fewest k-mers of its own, then others by a hash
+        alone = F.col("shared") / F.col("n") if round_ == 1 else F.lit(0.0)
+        rank = F.struct(-alone, F.xxhash64("band", "text_key", F.lit(round_)))
+        leaders = table.groupBy("band").agg(
+            F.min(F.struct(rank.alias("rank"), "text_key", "n", "shared", "component")).alias("l")
+        )
+        led = table.join(leaders, "band").where(
+            (F.col("component") != F.col("l.component"))
+            & _may_link(params, "n", "shared", "l.n", "l.shared")
+        )
+        pairs = _pairs(led.select("l.text_key", F.col("text_key").alias("member")))
+        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(fresh)
+        known = stars(known.toDF("a", "b").union(_links(fresh, grams, params)))
+    rest = materialize(_mixed_buckets(table.drop("component"), labels(known)))
+    return labels(stars(known.toDF("a", "b").union(_rest_links(rest, grams, params))))
+
+
+def _rest_links(rest: DataFrame, grams: DataFrame, params: SketchParams) -> DataFrame:
+    """Links between texts of one bucket in different components, found block by block.
+
+    A bucket is dealt into blocks of about ``block_texts`` texts; a task holds two blocks
+    (or one) and compares what may link across their components. So a task's memory is
+    bounded, pairs are never rows, and a text travels once for each block of its bucket.
+    """
+    sizes = rest.groupBy("band").agg(F.ceil(F.count("*") / params.block_texts).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    partners = F.sequence(F.lit(0), F.col("blocks") - 1)
+    met = placed.select("band", "text_key", "n", "shared", "component", "block", F.explode(partners).alias("other"))
+    met = met.select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "text_key", "n", "shared", "component", "block",
+    )
+    spelled = met.join(grams, "text_key")
+    return spelled.groupBy("band", "low", "high").applyInArrow(_compare_blocks(params), "a binary, b binary")
+
+
+def common_counts(texts: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """K-mers that each two texts have in common."""
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    _, place, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    keep = several[place]
+    owner, place = owner[keep], number[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(texts), len(texts)), np.float32)
+    for start in range(0, int(several.sum()), columns):
+        s, e = np.searchsorted(place, [start, start + columns])
+        marks = np.zeros((len(texts), columns), np.float32)
+        marks[owner[s:e], place[s:e] - start] = 1
+        out += marks @ marks.T
+    return out
+
+
+def _compare_blocks(params: SketchParams):
+    def run(key, table):
+        names, parts = table["text_key"].to_pylist(), table["component"].to_pylist()
+        block, n = (np.array(table[c].to_pylist()) for c in ("block", "n"))
+        shared = np.array(table["shared"].to_pylist())
+        label = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+        group = np.array([label[c] for c in parts], np.int64)
+        texts = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        a, b = [], []
+        if len(label) > 1:
+            most = np.minimum.outer(shared, shared)
+            total = np.add.outer(n, n)
+            may = (most >= params.similarity * (total - most)) & (group[:, None] != group[None, :])
+            may &= np.tri(len(n), k=-1, dtype=bool)
+            if key[1].as_py() != key[2].as_py():
+                may &= block[:, None] != block[None, :]
+            if may.any():
+                common = common_counts(texts)
+                may &= common >= params.similarity * (total - common)
+            for i, j in zip(*np.nonzero(may)):
+                if group[i] != group[j]:  # unless joined by a link found before
+                    m = aligned(texts[i], texts[j], params.similarity)
+                    if m >= params.similarity * (total[i, j] - m):
+                        a.append(names[i])
+                        b.append(names[j])
+                        group[group == group[i]] = group[j]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _shared(table: DataFrame, grams: DataFrame) -> DataFrame:
+    """text_key, n, shared: of each text's k-mers those that another text of ``table``
+    has too. No pair can have more in common than the smaller of its two numbers."""
+    texts = table.select("text_key", "n").distinct()
+    spelled = grams.join(texts, "text_key").select("text_key", "grams").mapInArrow(
+        _spell, "text_key binary, grams array<long>"
     )
-    mixed_bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    rest = materialize(labelled.join(mixed_bands.select("band"), "band", "left_semi"))
-    left = rest.select("band", F.col("text_key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = rest.select(
-        F.col("band").alias("band_b"), F.col("text_key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "leader"
+    each = spelled.select("text_key", F.explode("grams").alias("gram"))
+    alone = each.groupBy("gram").agg(F.count("*").alias("texts"), F.min("text_key").alias("text_key"))
+    own = alone.where("texts = 1").groupBy("text_key").agg(F.count("*").alias("own"))
+    return texts.join(own, "text_key", "left").select(
+        "text_key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
     )
-    pairs = (
-        left.join(
-            right,
-            (F.col("band") == F.col("band_b"))
-            & (F.col("a") < F.col("b"))
-            & (F.col("c_a") != F.col("c_b"))
-            & close("n_a", "n_b")
-            & (F.col("a") != F.col("leader"))
-            & (F.col("b") != F.col("leader")),
-        )
-        .select("a", "b")
-        .distinct()
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["text_key", "grams"])
+
+
+def _may_link(params: SketchParams, n: str, shared: str, n_2: str, shared_2: str):
+    common = F.least(shared, shared_2)
+    return common >= params.similarity * (F.col(n) + F.col(n_2) - common)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """The two columns of ``found`` as a and b in order, each pair once."""
+    x, y = (F.col(c) for c in found.columns)
+    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _mixed_buckets(table: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold texts of several components, with the component."""
+    labelled = table.join(found, table.text_key == found.node, "left").select(
+        *table.columns, F.coalesce("component", "text_key").alias("component")
     )
-    more = _links(pairs, grams, params)
-    return components(links.unionByName(more))
+    ends = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return labelled.join(ends.where("x != y").select("band"), "band", "left_semi")
 
 
 def _classes(docs: DataFrame, keys: DataFrame, params: SketchParams) -> DataFrame:
-    labels = text_classes(docs, params)
-    classed = keys.join(labels, keys.text_key == labels.node, "left").select(
+    found = text_classes(docs, params)
+    classed = keys.join(found, keys.text_key == found.node, "left").select(
         "doc_id", "text_key", F.coalesce("component", "text_key").alias("component")
     )
     classes = classed.groupBy("component").agg(
@@ -268,17 +380,17 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``df`` that stay: one of each class (smallest id, see
     ``near_duplicate_classes``); of equal such rows one. All columns pass through."""
-    names = df.columns
-    rows = df.select(F.struct("*").alias("row"))
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    docs = rows.select(F.col(f"row.{id_col}").alias("doc_id"), text.alias("text"))
-    keys = materialize(docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key")))
+    rows = df.select(F.struct("*").alias("row")).select(
+        "row", F.col(f"row.{id_col}").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("text_key")
+    )
+    keys = materialize(rows.select("doc_id", "text_key"))
     kept = (
-        _classes(docs, keys, params)
+        _classes(rows.select("doc_id", "text"), keys, params)
         .where("keeps")
         .select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
         .distinct()
     )
-    same = F.col(f"row.{id_col}").eqNullSafe(F.col("kept_id")) & (F.unhex(F.md5(text)) == F.col("kept_key"))
-    matched = rows.join(kept, same, "left_semi")
-    return matched.select("row.*").select(*names)
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    matched = rows.select("row", "doc_id", "text_key").join(kept, same, "left_semi")
+    return matched.dropDuplicates(["doc_id", "text_key"]).select("row.*")
