@@ -5,7 +5,7 @@ There are 32 classes of 32 members, so 1,024 cells. Half are one frequent word e
 in the others words share a cell by their ending, and inside a cell a word has its
 smoothed share of the cell's training tokens, with one place for all unseen words. The
 first two factors are softmaxes over hashed feature weights: the previous word, the
-word before it alone (a skip) and both together.
+words two and three back (skips) and the previous two words together.
 
 Training: weights start at 0 over unigram biases. Each round takes the training
 documents of one slice, sums observed and expected feature counts over all tokens (their
@@ -44,7 +44,9 @@ from .hashing import BASES, by_range, mixed, ship, shipped
 CLASSES = MEMBERS = 32
 CELLS = CLASSES * MEMBERS
 HEAD = CELLS // 2
-FEATURES = 3
+FEATURES = 4
+#: Words of a history.
+BACK = 3
 #: Before the first word of a document.
 START = CELLS
 BLOCK_WORDS = 2_000_000
@@ -58,7 +60,7 @@ TASK_TOKENS = 24_000_000
 #: Tokens whose places are in memory at once, about; whose distinct cases are counted
 #: together, about; cases whose scores are made at once.
 STEP_TOKENS = 100_000
-COUNT_TOKENS = 1_500_000
+COUNT_TOKENS = 500_000
 SCORE_TOKENS = 16_384
 
 
@@ -339,10 +341,17 @@ class Model:
             np.zeros((params.member_rows, MEMBERS), np.float32),
         )
 
-    def class_places(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        """Rows of the class weights for each feature, of the cells one and two back."""
+    def class_places(self, one: np.ndarray, two: np.ndarray, three: np.ndarray | None = None) -> list[np.ndarray]:
+        """Rows of the class weights for each feature, of the cells one, two and three
+        back (START if not given); the skip of three comes last."""
         one, two = one.astype(np.uint64), two.astype(np.uint64)
-        kinds = [one, two + np.uint64(1 << 12), (one << np.uint64(24)) + two + np.uint64(2 << 12)]
+        three = np.full(len(one), START, np.uint64) if three is None else three.astype(np.uint64)
+        kinds = [
+            one,
+            two + np.uint64(1 << 12),
+            (one << np.uint64(24)) + two + np.uint64(2 << 12),
+            three + np.uint64(3 << 12),
+        ]
         mask = np.uint64(self.params.class_rows - 1)
         return [(mixed(k + np.uint64(BASES[0])) & mask).astype(np.uint16) for k in kinds]
 
@@ -359,10 +368,10 @@ class Model:
         return z, y, inner
 
 
-def histories(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The cells one and two back of each token; START before a document."""
+def histories(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray, far: int = 2) -> list[np.ndarray]:
+    """The cells one to ``far`` back of each token; START before a document."""
     back = []
-    for k in (1, 2):
+    for k in range(1, far + 1):
         past = np.empty(len(cells), np.int64)
         past[k:] = cells[:-k]
         past[:k] = START
@@ -444,8 +453,7 @@ def _sum_counts(model_of, round_: int, params: LmParams):
                 train = (hashes % params.folds != params.held_fold) & (hashes // params.folds % params.rounds == round_)
                 cells = np.frombuffer(row["cells"], np.uint16)[np.repeat(train, lengths)]
                 own = lengths[train]
-                one, two = histories(cells, np.cumsum(own) - own, own)
-                held.append((one * (CELLS + 1) + two) * CELLS + cells)
+                held.append(case_keys(cells, *histories(cells, np.cumsum(own) - own, own, BACK)))
                 if sum(map(len, held)) >= COUNT_TOKENS:
                     _count(model, np.concatenate(held), observed, expected)
                     held = []
@@ -476,38 +484,74 @@ def _runs(values: np.ndarray, counts: np.ndarray):
     return values[first], np.add.reduceat(counts, first), np.cumsum(new) - 1
 
 
+def case_keys(cells: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """(three back, one back, two back, cell) as one number; START three back adds nothing."""
+    return (((START - three) * (CELLS + 1) + one) * (CELLS + 1) + two) * CELLS + cells
+
+
 def _count(model: Model, keys: np.ndarray, observed, expected) -> None:
-    """Add tokens up, given as (one back, two back, cell) numbers.
+    """Add tokens up, given as the numbers of ``case_keys``.
 
-    The class softmax depends on the two cells back alone, the member softmax on these
+    The class softmax depends on the three cells back alone, the member softmax on these
     and the class, so each distinct case is worked out once and counts as often as it
-    stands there.
+    stands there. Cases are sorted with the word three back behind the other parts: what
+    the other features give and get is made once for all its values.
     """
     if not len(keys):
         return
-    keys.sort()
-    quads, n4, _ = _runs(keys, np.ones(len(keys), np.int64))
-    triples, n3, of_quad = _runs(quads >> 5, n4)
-    pairs, n2, of_triple = _runs(triples >> 5, n3)
-    classes, members = triples & 31, quads & 31
-    places = model.class_places(pairs // (CELLS + 1), pairs % (CELLS + 1))
-    for s in range(0, len(pairs), SCORE_TOKENS):
-        own = [p[s : s + SCORE_TOKENS] for p in places]
-        share = softmax(model.class_bias + sum_rows(model.class_weights, own))
-        share *= n2[s : s + SCORE_TOKENS, None]
-        for p in own:
-            _add_rows(expected["class"], p, share)
-    inner = [model.member_place(p[of_triple], classes) for p in places]
-    for s in range(0, len(triples), SCORE_TOKENS):
+    cells, rest = keys % CELLS, keys // CELLS
+    pairs, threes = rest % (CELLS + 1) ** 2, rest // (CELLS + 1) ** 2
+    _count_cases(model, pairs * (CELLS + 1) + threes, None, observed, expected)
+    inner = (pairs * CLASSES + cells // MEMBERS) * (CELLS + 1) + threes
+    _count_cases(model, inner, cells % MEMBERS, observed, expected)
+
+
+def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, observed, expected) -> None:
+    """Classes of (one back, two back, three back) cases, or with ``members`` the members
+    of (one back, two back, class, three back) cases and what was observed of both."""
+    if members is None:
+        keys.sort()
+        cases, n, _ = _runs(keys, np.ones(len(keys), np.int64))
+        kind, weights = "class", model.class_weights
+    else:
+        keys = keys * MEMBERS + members
+        keys.sort()
+        whole, counts, _ = _runs(keys, np.ones(len(keys), np.int64))
+        cases, n, of_whole = _runs(whole // MEMBERS, counts)
+        members = whole % MEMBERS
+        kind, weights = "member", model.member_weights
+    heads, _, of_case = _runs(cases // (CELLS + 1), n)
+    threes = START - cases % (CELLS + 1)
+    pairs = heads if members is None else heads // CLASSES
+    *near, _ = model.class_places(pairs // (CELLS + 1), pairs % (CELLS + 1))
+    skip = model.class_places(threes, threes, threes)[-1]
+    if members is None:
+        bias = model.class_bias[None, :]
+    else:
+        classes = heads % CLASSES
+        own = classes[of_case]
+        for p in [*(p[of_case] for p in near), skip]:
+            np.add.at(observed["class"].reshape(-1), p.astype(np.int64) * CLASSES + own, n)
+        near = [model.member_place(p, classes) for p in near]
+        skip = model.member_place(skip, own)
+        for p in [*(p[of_case] for p in near), skip]:
+            np.add.at(observed["member"].reshape(-1), p[of_whole].astype(np.int64) * MEMBERS + members, counts)
+    for s in range(0, len(cases), SCORE_TOKENS):
         part = slice(s, s + SCORE_TOKENS)
-        own = [q[part] for q in inner]
-        share = softmax(model.member_bias[classes[part]] + sum_rows(model.member_weights, own))
-        share *= n3[part, None]
-        for q in own:
-            _add_rows(expected["member"], q, share)
-    for p, q in zip(places, inner):
-        np.add.at(observed["class"].reshape(-1), p[of_triple].astype(np.int64) * CLASSES + classes, n3)
-        np.add.at(observed["member"].reshape(-1), q[of_quad].astype(np.int64) * MEMBERS + members, n4)
+        at = of_case[part]
+        here = slice(at[0], at[-1] + 1)
+        at = at - at[0]
+        places = [p[here] for p in near]
+        base = sum_rows(weights, places)
+        base += bias if members is None else model.member_bias[classes[here]]
+        share = base[at]
+        share += weights[skip[part]]
+        share = softmax(share)
+        share *= n[part, None]
+        _add_rows(expected[kind], skip[part], share)
+        share = np.add.reduceat(share, np.flatnonzero(np.diff(at, prepend=-1)), axis=0)
+        for p in places:
+            _add_rows(expected[kind], p, share)
 
 
 def _add_chunks(key, table):
@@ -551,7 +595,7 @@ def _score(model_of, params: LmParams, tokens: int, schema: StructType):
                 total = np.frombuffer(row["inside"], np.float64).copy()
                 for a, b, x, own, starts in _pieces(cells, lengths):
                     value = np.empty(len(x))
-                    places = model.class_places(*histories(x, starts, own))
+                    places = model.class_places(*histories(x, starts, own, BACK))
                     for s in range(0, len(x), SCORE_TOKENS):
                         part = slice(s, s + SCORE_TOKENS)
                         classes, members = x[part] // MEMBERS, x[part] % MEMBERS

@@ -114,6 +114,39 @@ def test_counted_cases_equal_token_by_token_sums():
         np.testing.assert_allclose(expected[kind], wanted["e" + kind], rtol=1e-3, atol=1e-3)
 
 
+def test_the_word_three_back_is_a_feature():
+    rng = np.random.default_rng(6)
+    params = lm.LmParams(class_rows=1 << 8, member_rows=1 << 9)
+    model = lm.Model.start(lm.Vocabulary(1, 1, np.zeros(1, np.uint64), np.zeros(1, np.int64), rng.integers(1, 9, lm.CELLS) * 1.0), params)
+    model.class_weights[:] = rng.standard_normal(model.class_weights.shape)
+    model.member_weights[:] = rng.standard_normal(model.member_weights.shape)
+    assert len(lm.histories(np.arange(5), np.zeros(1, np.int64), np.array([5]), lm.BACK)) == 3
+    cells = rng.choice([0, 1, 40, 700, lm.CELLS - 1], 40_000)
+    lengths = np.array([1, 2, 3, 4, 30_000, 9_990])
+    history = lm.histories(cells, np.cumsum(lengths) - lengths, lengths, lm.BACK)
+    observed = {"class": np.zeros(model.class_weights.shape, np.int64), "member": np.zeros(model.member_weights.shape, np.int64)}
+    expected = {k: np.zeros(v.shape, np.float32) for k, v in observed.items()}
+    lm._count(model, lm.case_keys(cells, *history), observed, expected)
+    classes, members = cells // lm.MEMBERS, cells % lm.MEMBERS
+    places = model.class_places(*history)
+    z, y, inner = model.scores(places, classes)
+    z, y = lm.softmax(z), lm.softmax(y)
+    assert len(places) == lm.FEATURES == 4
+    for kind, where, chosen, share in (("class", places, classes, z), ("member", inner, members, y)):
+        seen, sums = np.zeros(observed[kind].shape, np.int64), np.zeros(observed[kind].shape)
+        for p in where:
+            np.add.at(seen, (p, chosen), 1)
+            np.add.at(sums, p, share)
+        assert (observed[kind] == seen).all()
+        np.testing.assert_allclose(expected[kind], sums, rtol=1e-3, atol=1e-2)
+    x = np.array([5, 6, 7, 8])
+    scored = [
+        lm.log_chosen(model.scores(model.class_places(*lm.histories(np.array([first, 6, 7, 8]), np.zeros(1, np.int64), np.array([4]), lm.BACK)), x // lm.MEMBERS)[1], x % lm.MEMBERS)
+        for first in (5, 900)
+    ]
+    assert scored[0][3] != scored[1][3]  # three back
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, " ".join(prose(i % 40, 80))) for i in range(200)], "doc_id long, text string")
     one = {r["doc_id"]: r["score"] for r in lm.train_and_score(docs.repartition(1)).collect()}
