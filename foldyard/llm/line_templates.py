@@ -4,8 +4,10 @@ Tree: a line goes by its token count, then by its leading tokens, to a leaf; tok
 hold a digit count as variable from the start. Only leaves that enough documents reach
 are parsed further. In a leaf a (position, token) pair that enough documents support is
 constant and every other position is a variable field. Lines that generalise to one
-template share it; a template found in enough documents is recurring, and its lines go
-from every document but the first (smallest id), so no content leaves the corpus.
+template share it; a line with too few constant tokens is its own template, digits and
+all, so only literal repeats of it count. A template found in enough documents is
+recurring, and its lines go from every document but the first (smallest id), so no
+content leaves the corpus.
 
 All groups are counts of line types (equal masked lines of a leaf), named by a 64-bit
 hash inside their leaf: a hot line is combined before each shuffle, joins back to lines
@@ -31,7 +33,8 @@ WITH_DIGIT = r"[^ ]*[0-9][^ ]*"
 class TreeLimits:
     """depth: leading tokens that choose a leaf. least_tokens: shorter lines stay.
     least_documents: documents that make a leaf, a constant, a template recurring.
-    least_constant: share of constant tokens, else a line is a template of its own."""
+    least_constant: share of constant tokens, else a line, unmasked, is a template of
+    its own."""
 
     depth: int = 3
     least_tokens: int = 3
@@ -43,9 +46,14 @@ class TreeLimits:
 BROADCAST_LEAVES = 1_000_000
 
 
+def _flat(line: Column) -> Column:
+    """Tokens joined by one blank."""
+    return F.trim(F.regexp_replace(line, SPACE, " "))
+
+
 def masked_line(line: Column) -> Column:
     """Tokens joined by one blank, those with a digit replaced."""
-    flat = F.trim(F.regexp_replace(line, SPACE, " "))
+    flat = _flat(line)
     odd = line.rlike(r"[0-9\x09-\x0D]|  ") | line.startswith(" ") | line.endswith(" ")
     return F.when(odd, F.regexp_replace(flat, WITH_DIGIT, VARIABLE)).otherwise(line)
 
@@ -55,13 +63,21 @@ def _blanks(text: Column) -> Column:
 
 
 def line_table(keys: DataFrame, limits: TreeLimits) -> DataFrame:
-    """row_key, doc_id, line_no, masked, leaf: lines with enough tokens."""
-    masked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), masked_line)
-    lines = keys.select("row_key", "doc_id", F.posexplode(masked).alias("line_no", "masked"))
+    """row_key, doc_id, line_no, masked, literal, leaf: lines with enough tokens.
+    literal: hash of the unmasked tokens where masking changed them, else null."""
+
+    def forms(line: Column) -> Column:
+        literal = F.when(line.rlike("[0-9]"), F.xxhash64(_flat(line)))
+        return F.struct(masked_line(line).alias("masked"), literal.alias("literal"))
+
+    both = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), forms)
+    lines = keys.select("row_key", "doc_id", F.posexplode(both).alias("line_no", "forms")).select(
+        "row_key", "doc_id", "line_no", "forms.*"
+    )
     n = _blanks(F.col("masked")) + 1
     head = F.substring_index("masked", " ", limits.depth)
     return lines.where(n >= limits.least_tokens).select(
-        "row_key", "doc_id", "line_no", "masked", F.xxhash64(n, head).alias("leaf")
+        "row_key", "doc_id", "line_no", "masked", "literal", F.xxhash64(n, head).alias("leaf")
     )
 
 
@@ -108,10 +124,11 @@ def recurring_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
     templates = fields.select(
         "leaf",
         "type",
-        F.when(F.col("constant_share") >= limits.least_constant, general).otherwise(F.col("type")).alias("template"),
+        F.when(F.col("constant_share") >= limits.least_constant, general).alias("general"),
     )
+    template = F.coalesce("general", "literal", "type").alias("template")
     parsed = materialize(
-        busy.drop("masked").join(templates, ["leaf", "type"]).select("row_key", "doc_id", "line_no", "leaf", "template")
+        busy.drop("masked").join(templates, ["leaf", "type"]).select("row_key", "doc_id", "line_no", "leaf", template)
     )
     found = (
         parsed.groupBy("leaf", "template", "row_key")

@@ -157,6 +157,17 @@ def test_seven_documents_are_too_few_and_repeats_in_one_count_once(spark):
     assert {r["dedup"]["n_dropped"] for r in drop_recurring_lines(fewer).collect()} == {0}
 
 
+def test_rows_of_numbers_recur_only_as_literal_repeats(spark):
+    rows = [f"{1990 + i} {i * 7} {i * 13}\nPrice: {i}.50 {i}\n12/{i} 3:{i} 4 won" for i in range(12)]
+    got = drop_recurring_lines(frame(spark, rows)).collect()
+    assert {r["dedup"]["n_dropped"] for r in got} == {0}
+    assert all(r["dedup"]["text"] == r["text"] for r in got)
+    same = [f"{i} {i + 1} {i + 2}\n1990 23{' ' * (1 + i % 2)}45" for i in range(12)]
+    got = drop_recurring_lines(frame(spark, same)).orderBy("doc_id").collect()
+    assert [r["dedup"]["n_dropped"] for r in got] == [0] + [1] * 11
+    assert all(r["dedup"]["text"] == f"{r['doc_id']} {r['doc_id'] + 1} {r['doc_id'] + 2}" for r in got[1:])
+
+
 def test_line_dedup_on_odd_rows(spark):
     odd = odd_rows(spark)
     got = drop_recurring_lines(odd).collect()
