@@ -2,7 +2,7 @@
 
 Tree: a line goes by its token count, then by its leading tokens, to a leaf; tokens that
 hold a digit count as variable from the start. Only leaves that enough documents reach
-are parsed further. In a leaf a (position, token) pair that enough documents support is
+are parsed further. In a leaf a (position, token) pair that enough of its documents support is
 constant and every other position is a variable field. Lines that generalise to one
 template share it; a line with too few constant tokens is its own template, digits and
 all, so only literal repeats of it count. A template found in enough documents is
@@ -33,16 +33,19 @@ WITH_DIGIT = r"[^ ]*[0-9][^ ]*"
 class TreeLimits:
     """depth: leading tokens that choose a leaf. least_tokens: shorter lines stay.
     least_documents: documents that make a leaf, a constant, a template recurring.
+    least_support: share of its leaf's documents that a constant needs besides, so that
+    values of a field do not become constants as the corpus grows.
     least_constant: share of constant tokens, else a line, unmasked, is a template of
     its own."""
 
     depth: int = 3
     least_tokens: int = 3
     least_documents: int = 8
+    least_support: float = 0.1
     least_constant: float = 0.75
 
 
-#: Recurring leaves that are broadcast at most, 16 bytes each; more are joined by shuffle.
+#: Recurring leaves that are broadcast at most, 24 bytes each; more are joined by shuffle.
 BROADCAST_LEAVES = 1_000_000
 
 
@@ -90,7 +93,7 @@ def busy_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
         .groupBy("leaf")
         .count()
         .where(F.col("count") >= limits.least_documents)
-        .select("leaf")
+        .select("leaf", F.col("count").alias("leaf_docs"))
     )
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)
@@ -102,15 +105,21 @@ def recurring_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
     least = limits.least_documents
     busy = busy_lines(keys, limits)
     document = F.xxhash64("row_key").alias("document")
-    docs = busy.select("leaf", "type", document).distinct().groupBy("leaf", "type").agg(F.count("*").alias("docs"))
+    docs = (
+        busy.select("leaf", "leaf_docs", "type", document)
+        .distinct()
+        .groupBy("leaf", "leaf_docs", "type")
+        .agg(F.count("*").alias("docs"))
+    )
     tokens = (
         busy.select("leaf", "type", "masked")
         .distinct()
         .join(docs, ["leaf", "type"])
-        .select("leaf", "type", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+        .select("leaf", "leaf_docs", "type", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     )
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-    constant = (F.col("support") >= least) & (F.col("token") != VARIABLE)
+    enough = F.greatest(F.lit(least), F.col("leaf_docs") * limits.least_support)
+    constant = (F.col("support") >= enough) & (F.col("token") != VARIABLE)
     field = F.when(constant, F.col("token")).otherwise(VARIABLE)
     fields = (
         tokens.join(support, ["leaf", "at", "token"])
@@ -128,7 +137,7 @@ def recurring_lines(keys: DataFrame, limits: TreeLimits) -> DataFrame:
     )
     template = F.coalesce("general", "literal", "type").alias("template")
     parsed = materialize(
-        busy.drop("masked").join(templates, ["leaf", "type"]).select("row_key", "doc_id", "line_no", "leaf", template)
+        busy.drop("masked", "leaf_docs").join(templates, ["leaf", "type"]).select("row_key", "doc_id", "line_no", "leaf", template)
     )
     found = (
         parsed.groupBy("leaf", "template", "row_key")

@@ -168,6 +168,13 @@ def test_rows_of_numbers_recur_only_as_literal_repeats(spark):
     assert all(r["dedup"]["text"] == f"{r['doc_id']} {r['doc_id'] + 1} {r['doc_id'] + 2}" for r in got[1:])
 
 
+def test_field_values_stay_variable_in_a_large_leaf(spark):
+    """Each writer and each club stands in 12 documents, each pair of them in one."""
+    texts = [f"report written by {a}a for the yearly meeting of {b}b" for a in "cdefghijklmn" for b in "cdefghijklmn"]
+    got = drop_recurring_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["dedup"]["n_dropped"] for r in got] == [0] + [1] * 143
+
+
 def test_line_dedup_on_odd_rows(spark):
     odd = odd_rows(spark)
     got = drop_recurring_lines(odd).collect()
