@@ -12,8 +12,6 @@ from dataclasses import dataclass
 from itertools import accumulate
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +26,6 @@ HASH_DIGITS = 15  # hex digits of md5 that fit a positive long
 HASH_BOUNDS = (0, 16**HASH_DIGITS - 1)
 BROADCAST_GROUPS = 100_000
 HOT_SHARE = 10_000  # a group with more than 1/HOT_SHARE of the rows is hot
-SHARD_GROUPS = 50_000
 WINDOW_GROUPS = 1_000_000  # groups of one size ranked in one window
 MAX_CLASSES = 1_000_000
 
@@ -288,44 +285,51 @@ def group_fold_table(groups: DataFrame, k: int) -> DataFrame:
     histogram = groups.groupBy("_size").count().orderBy(F.desc("_size")).collect()
     if sum(r["count"] for r in histogram) < k:
         raise ConfigDataError(f"Cannot make {k} folds of fewer than {k} groups")
-    loads, order = [0] * k, ["_h1", "_h2"]
-    places: dict[int, tuple[list[int], list[int]]] = {}  # size -> folds, first ranks
-    large = []
-    for row in histogram:
-        size, count = row["_size"], row["count"]
-        taken = place_equal_groups(loads, size, count)
-        folds = [f for f in range(k) if taken[f]]
-        places[size] = folds, list(accumulate(taken[f] for f in folds))[:-1]
-        if count > WINDOW_GROUPS and len(folds) > 1:
-            large.append(size)
-    # Sizes shared by very many groups are cut at exact ranks; the others are ranked.
-    cuts = {(size,): places[size][1] for size in large}
+    loads = [0] * k
+    places = {row["_size"]: (row["count"], place_equal_groups(loads, row["_size"], row["count"])) for row in histogram}
+    return _deal_ranks(groups, "_size", places)
+
+
+def _deal_ranks(groups: DataFrame, key: str, places: dict[Any, tuple[int, list[int]]]) -> DataFrame:
+    """(_group, _size, fold_id): the groups of each key, in hash order, as blocks.
+
+    ``places`` maps a key to its number of groups and how many of them each fold takes.
+    A key that goes to one fold needs no order. Keys with very many groups are cut at
+    exact ranks; the others are ranked in a window each. Both give the same folds.
+    """
+    order = ["_h1", "_h2"]
+    folds = {value: [f for f, n in enumerate(taken) if n] for value, (_, taken) in places.items()}
+    ranks = {
+        value: list(accumulate(taken[f] for f in folds[value]))[:-1] for value, (_, taken) in places.items()
+    }
+    large = [v for v, (count, _) in places.items() if count > WINDOW_GROUPS and len(folds[v]) > 1]
+    cuts = {(value,): ranks[value] for value in large}
     found = rank_thresholds(
-        groups.where(F.col("_size").isin(large)), order, cuts, ["_size"], bounds=HASH_BOUNDS
+        groups.where(F.col(key).isin(large)), order, cuts, [key], bounds=HASH_BOUNDS
     )
+    kind = groups.schema[key].dataType.simpleString()
     table = groups.sparkSession.createDataFrame(
         [
-            (size, folds, ranks, [found[(size,)][r] for r in ranks] if size in large else None)
-            for size, (folds, ranks) in places.items()
+            (v, folds[v], ranks[v], [found[(v,)][r] for r in ranks[v]] if (v,) in cuts else None)
+            for v in places
         ],
-        "_s long, _folds array<int>, _ranks array<long>, _cuts array<struct<_h1:long,_h2:long>>",
+        f"_k {kind}, _folds array<int>, _ranks array<long>, _cuts array<struct<_h1:long,_h2:long>>",
     )
     if len(places) <= BROADCAST_GROUPS:
         table = F.broadcast(table)
-    here, same_size = F.struct(*order), Window.partitionBy("_size").orderBy(*order)
+    here, same_key = F.struct(*order), Window.partitionBy(key).orderBy(*order)
+    tabled = groups.join(table, F.col(key) == F.col("_k"))
+    is_ranked = F.col("_cuts").isNull() & (F.size("_folds") > 1)
     ranked = (
-        groups.where(~F.col("_size").isin(large))
-        .withColumn("_rank", F.row_number().over(same_size) - 1)
-        .join(table, F.col("_size") == F.col("_s"))
+        tabled.where(is_ranked)
+        .withColumn("_rank", F.row_number().over(same_key) - 1)
         .withColumn("_at", F.size(F.filter("_ranks", lambda first: first <= F.col("_rank"))))
     )
-    cut = (
-        groups.where(F.col("_size").isin(large))
-        .join(table, F.col("_size") == F.col("_s"))
-        .withColumn("_at", F.size(F.filter("_cuts", lambda first: first <= here)))
+    rest = tabled.where(~is_ranked).withColumn(
+        "_at", F.coalesce(F.size(F.filter("_cuts", lambda first: first <= here)), F.lit(0))
     )
     columns = ["_group", "_size", F.get("_folds", F.col("_at")).alias(FOLD_ID)]
-    return ranked.select(*columns).unionByName(cut.select(*columns))
+    return ranked.select(*columns).unionByName(rest.select(*columns))
 
 
 def group_folds(df: DataFrame, spec: PartitionSpec) -> DataFrame:
@@ -337,96 +341,86 @@ def group_folds(df: DataFrame, spec: PartitionSpec) -> DataFrame:
     return _attach(df, group, folds, totals[0], totals[1] or 0)
 
 
-def _spread_cost(counts: np.ndarray, class_totals: np.ndarray) -> np.ndarray:
-    """Mean over classes of the spread of class shares between folds."""
-    return (counts / class_totals).std(axis=-2).mean(axis=-1)
-
-
-def place_by_spread(
-    group_counts: np.ndarray, start: np.ndarray, class_totals: np.ndarray
-) -> np.ndarray:
-    """Fold of each group in turn: the fold that keeps class shares most even,
-    the lighter fold where that is equal. ``start`` (folds x classes) is updated."""
-    k = start.shape[0]
-    chosen = np.empty(len(group_counts), dtype=np.int32)
-    pick = np.arange(k)
-    for i, counts in enumerate(group_counts):
-        trial = np.repeat(start[None], k, axis=0)
-        trial[pick, pick] += counts
-        cost = _spread_cost(trial, class_totals)
-        weight = trial[pick, pick].sum(axis=1)
-        best = 0
-        for f in range(1, k):
-            near = np.isclose(cost[f], cost[best])
-            if (near and weight[f] < weight[best]) or (not near and cost[f] < cost[best]):
-                best = f
-        chosen[i] = best
-        start[best] += counts
-    return chosen
-
-
-def _placement_order(counts: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """Groups with the most uneven class counts first. Whole-number variance, so that
-    equal spreads tie exactly."""
-    classes = counts.shape[1]
-    return np.lexsort((tie, counts.sum(axis=1) ** 2 - classes * (counts**2).sum(axis=1)))
+# -- stratified grouped folds --------------------------------------------------------
+#
+# A group is a vector of class counts. Groups are placed largest spread of counts first,
+# each on the fold where the class shares of all folds stay most even: where the sum over
+# classes of the squared shares grows least. With x the counts a fold has, v the vector
+# and t the class totals, that is the fold with the least sum of x * v / t**2, and one
+# more copy of v there adds the same constant to it. So any number of equal vectors is
+# placed at once, by the prices of the places that the folds offer.
+
+#: Class counts in fixed point: a cell's mean vector in parts of a row.
+PARTS = 256
+#: Weights 1/t**2 in fixed point; exact to a thousandth up to 10**12 rows a class.
+WEIGHT = 10**27
+
+
+def place_equal_vectors(
+    loads: list[list[int]], vector: dict[int, int], weights: list[int], count: int
+) -> list[int]:
+    """How many of ``count`` groups with the class counts ``vector`` each fold gets when
+    every group goes to the fold with the least price; ties go to the lighter fold, then
+    to the lower index. ``loads`` (folds x classes) is updated.
+
+    Fold f offers places at prices P, P+step, P+2*step, ...; the cheapest ``count`` win.
+    """
+    prices = [sum(load[c] * v * weights[c] for c, v in vector.items()) for load in loads]
+    rows = [sum(load) for load in loads]
+    step = sum(v * v * weights[c] for c, v in vector.items())
+    size = sum(vector.values())
+
+    def offers(price: int) -> list[int]:
+        return [max(0, (price - p) // step + 1) for p in prices]
+
+    low, high = min(prices), min(prices) + step * count
+    while low < high:
+        middle = (low + high) // 2
+        if sum(offers(middle)) >= count:
+            high = middle
+        else:
+            low = middle + 1
+    taken = offers(low - 1)
+    last = [f for f, p in enumerate(prices) if low >= p and (low - p) % step == 0]
+    for fold in sorted(last, key=lambda f: (rows[f] + taken[f] * size, f))[: count - sum(taken)]:
+        taken[fold] += 1
+    for load, n in zip(loads, taken):
+        for c, v in vector.items():
+            load[c] += n * v
+    return taken
+
+
+def _spread(vector: dict[int, int], classes: int) -> int:
+    """Variance of the class counts, times the square of the number of classes."""
+    return classes * sum(v * v for v in vector.values()) - sum(vector.values()) ** 2
 
 
 def stratified_group_fold_table(
-    groups: DataFrame, class_totals: list[int], k: int, n_groups: int, n_rows: int
+    groups: DataFrame, class_totals: list[int], k: int, n_rows: int
 ) -> DataFrame:
-    """(_group, _size, fold_id) for groups with a ``_counts`` array of class counts.
+    """(_group, _size, fold_id) for groups with a ``_vector`` of (class, rows).
 
-    Hot groups (fewer than HOT_SHARE) are placed first, together, on the driver. The
-    others are placed in shards of about SHARD_GROUPS; each shard continues from its
-    share of the hot groups' load. With one shard this is the plain greedy order.
+    Groups with more than 1/HOT_SHARE of the rows, at most HOT_SHARE of them, are placed
+    by their own vectors. Smaller ones are placed by cells: groups of one power of two in
+    size and one largest class count as their cell's mean vector, and go to the folds in
+    hash order. One rule at every size; the driver sees a row per hot vector and per cell
+    (at most 63 a class) and class.
     """
-    totals = np.asarray(class_totals, dtype=float)
-    shards = max(1, -(-n_groups // SHARD_GROUPS))
-    start = np.zeros((k, len(totals)))
-    hot_folds = None
-    rest = groups
-    if shards > 1:
-        is_hot = F.col("_size") * HOT_SHARE > n_rows
-        hot = groups.where(is_hot).collect()
-        rest = groups.where(~is_hot)
-        if hot:
-            counts = np.array([r["_counts"] for r in hot], dtype=float)
-            order = _placement_order(counts, np.array([r["_h1"] for r in hot]))
-            fold = np.empty(len(hot), dtype=int)
-            fold[order] = place_by_spread(counts[order], start, totals)
-            hot_folds = groups.sparkSession.createDataFrame(
-                [(r["_group"], r["_size"], int(f)) for r, f in zip(hot, fold)],
-                T.StructType(
-                    [
-                        groups.schema["_group"],
-                        T.StructField("_size", T.LongType()),
-                        T.StructField(FOLD_ID, T.IntegerType()),
-                    ]
-                ),
-            )
-    share, shard_totals = start / shards, totals / shards
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.stack(pdf["_counts"].to_numpy()).astype(float)
-        order = _placement_order(counts, pdf["_h1"].to_numpy())
-        fold = np.empty(len(pdf), dtype=np.int32)
-        fold[order] = place_by_spread(counts[order], share.copy(), shard_totals)
-        return pd.DataFrame(
-            {"_group": pdf["_group"], "_size": pdf["_size"], FOLD_ID: fold}
-        )
-
-    schema = T.StructType(
-        [
-            groups.schema["_group"],
-            T.StructField("_size", T.LongType()),
-            T.StructField(FOLD_ID, T.IntegerType()),
-        ]
-    )
-    shard = F.pmod(F.col("_h2"), F.lit(shards)).alias("_shard")
-    folds = rest.groupBy(shard).applyInPandas(place, schema)
-    folds = folds if hot_folds is None else hot_folds.unionByName(folds)
-    return materialize(folds)  # placed once, however often the result is read
+    weights = [WEIGHT // (n * n) for n in class_totals]
+    hot = F.col("_size") * HOT_SHARE > n_rows
+    main = F.array_max(F.transform("_vector", lambda x: F.struct(x["_n"], -x["_class"])))["col2"]
+    small = F.concat_ws(":", F.length(F.bin("_size")), -main)
+    keyed = groups.withColumn("_kind", F.when(hot, F.to_json("_vector")).otherwise(small))
+    counts = {r["_kind"]: r["n"] for r in keyed.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    sums = keyed.select("_kind", F.inline("_vector")).groupBy("_kind", "_class").agg(F.sum("_n").alias("n"))
+    vectors: dict[str, dict[int, int]] = {cell: {} for cell in counts}
+    for r in sums.collect():
+        vectors[r["_kind"]][r["_class"]] = r["n"] * PARTS // counts[r["_kind"]]
+    classes = len(class_totals)
+    queue = sorted(vectors, key=lambda c: (-_spread(vectors[c], classes), sorted(vectors[c].items()), c))
+    loads = [[0] * classes for _ in range(k)]
+    places = {c: (counts[c], place_equal_vectors(loads, vectors[c], weights, counts[c])) for c in queue}
+    return _deal_ranks(keyed, "_kind", places)
 
 
 def stratified_group_folds(
@@ -435,12 +429,13 @@ def stratified_group_folds(
     """Whole groups per fold with even class shares; plain group folds when no class
     has as many rows as there are folds."""
     group, k = spec.group_column, spec.n_splits
-    cells = materialize(
+    counts = materialize(
         df.groupBy(F.col(group).alias("_group"), F.col(target).alias("_y")).agg(
             F.count("*").alias("_n")
         )
     )
-    classes = cells.groupBy("_y").agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    per_class = counts.groupBy("_y").agg(F.sum("_n").alias("n"))
+    classes = per_class.limit(MAX_CLASSES + 1).collect()
     check_classes([r["_y"] for r in classes], target)
     classes.sort(key=lambda r: r["_y"])
     totals = [r["n"] for r in classes]
@@ -448,21 +443,20 @@ def stratified_group_folds(
         return group_folds(df, spec)
     seed = spec.seed if spec.shuffle else 0
     key = F.col("_group")
-    found = F.map_from_entries(F.collect_list(F.struct("_y", "_n")))  # at most one per class
-    labels = F.array(*[F.lit(r["_y"]) for r in classes])
-    none = F.lit(0).cast("long")
-    counts = F.transform(labels, lambda y: F.coalesce(F.try_element_at("_found", y), none))
+    schema = T.StructType([T.StructField("_label", df.schema[target].dataType), T.StructField("_class", T.IntegerType())])
+    numbers = df.sparkSession.createDataFrame([(r["_y"], i) for i, r in enumerate(classes)], schema)
+    if len(classes) <= BROADCAST_GROUPS:  # one row per class
+        numbers = F.broadcast(numbers)
+    vector = F.array_sort(F.collect_list(F.struct("_class", "_n")))  # at most one per class
     groups = materialize(
-        cells.groupBy("_group")
-        .agg(found.alias("_found"), F.sum("_n").alias("_size"))
-        .withColumn("_counts", counts)
-        .drop("_found")
+        counts.join(numbers, F.col("_y") == F.col("_label"))
+        .groupBy("_group")
+        .agg(vector.alias("_vector"), F.sum("_n").alias("_size"))
         .withColumn("_h1", F.coalesce(hash_key(seed, key), F.lit(0)))
         .withColumn("_h2", F.coalesce(hash_key(seed, key, first=HASH_DIGITS + 1), F.lit(0)))
     )
-    n_groups = groups.count()
-    folds = stratified_group_fold_table(groups, totals, k, n_groups, sum(totals))
-    return _attach(df, group, folds, n_groups, sum(totals))
+    folds = materialize(stratified_group_fold_table(groups, totals, k, sum(totals)))
+    return _attach(df, group, folds, groups.count(), sum(totals))
 
 
 def assign_folds(

@@ -368,34 +368,56 @@ def folds_sgk_leakage(spark, sf_dir):
     )
 
 
-@query(
-    f"""WITH RECURSIVE cells AS (
-      SELECT user_id AS g, event_type AS y, count(*) AS n FROM events GROUP BY ALL),
-    classes AS (SELECT y, CAST(sum(n) AS DOUBLE) AS n FROM cells GROUP BY y),
-    totals AS (SELECT list(n ORDER BY y) AS t FROM classes),
-    vectors AS (SELECT u.g, list(coalesce(cells.n, 0)::DOUBLE ORDER BY classes.y) AS v
-      FROM (SELECT DISTINCT g FROM cells) u CROSS JOIN classes
-      LEFT JOIN cells ON cells.g = u.g AND cells.y = classes.y GROUP BY u.g),
-    queue AS (SELECT g, v, row_number() OVER (ORDER BY
-        len(v) * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) ** 2 DESC,
-        {hash_sql(42, "g")}) AS i FROM vectors),
+def _stratified_group_sql(rows: str, group: str) -> str:
+    """Greedy placement of group cells, each place offered and sorted one by one.
+
+    ``rows``: g, y. Hot groups are a cell each kind of class counts, small ones a cell for
+    each bit length of the size and largest class.
+    """
+    return f"""WITH RECURSIVE src AS ({rows}),
+    cells AS (SELECT g, y, count(*) AS n FROM src GROUP BY ALL),
+    classes AS (SELECT y, row_number() OVER (ORDER BY y) AS c, CAST(sum(n) AS HUGEINT) AS t
+      FROM cells GROUP BY y),
+    facts AS (SELECT list(1000000000000000000000000000::HUGEINT // (t * t) ORDER BY c) AS w,
+      count(*) AS nc, sum(t) AS total FROM classes),
+    vectors AS (SELECT g, list({{'c': c, 'n': n}} ORDER BY c) AS v, sum(n) AS size,
+      arg_max(c, n * 1000000 - c) AS main FROM cells JOIN classes USING (y) GROUP BY g),
+    keyed AS (SELECT g, v, CASE WHEN size * 10000 > total THEN '[' || v::VARCHAR
+        ELSE length(bin(size::BIGINT)) || ':' || (main - 1) END AS cell FROM vectors, facts),
+    kinds AS (SELECT cell, count(*) AS m FROM keyed GROUP BY cell),
+    means AS (SELECT cell, m, u.c AS c, (sum(u.n) * 256) // m AS x
+      FROM (SELECT cell, unnest(v) AS u FROM keyed) JOIN kinds USING (cell) GROUP BY cell, m, u.c),
+    dense AS (SELECT k.cell, k.m, list(coalesce(x, 0)::HUGEINT ORDER BY classes.c) AS v,
+        list({{'c': classes.c, 'x': x}} ORDER BY classes.c) FILTER (WHERE x IS NOT NULL) AS sparse
+      FROM kinds k CROSS JOIN classes LEFT JOIN means ON means.cell = k.cell AND means.c = classes.c
+      GROUP BY ALL),
+    queue AS (SELECT cell, m, v, row_number() OVER (ORDER BY
+        nc * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) * list_sum(v) DESC,
+        sparse, cell) AS i FROM dense, facts),
     step AS (
       SELECT CAST(0 AS BIGINT) AS i, list_transform(range({K}),
-          lambda f: list_transform(t, lambda x: CAST(0 AS DOUBLE))) AS loads,
-        CAST(NULL AS BIGINT) AS fold, CAST(NULL AS BIGINT) AS g FROM totals
+          lambda f: list_transform(w, lambda x: CAST(0 AS HUGEINT))) AS loads,
+        CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS BIGINT[]) AS taken FROM facts
       UNION ALL
-      SELECT i, list_transform(loads, lambda row, f: CASE WHEN f = best.f
-          THEN list_transform(row, lambda x, c: x + v[c]) ELSE row END), best.f - 1, g
-      FROM (SELECT queue.i, queue.g, queue.v, loads, list_reduce(
-          list_transform(range(1, {K + 1}), lambda f: {{'f': f,
-            'cost': list_avg(list_transform(t, lambda total, c: list_stddev_pop(list_transform(
-              loads, lambda row, j: (row[c] + CASE WHEN j = f THEN v[c] ELSE 0 END) / total)))),
-            'weight': list_sum(loads[f]) + list_sum(v)}}),
-          lambda a, b: CASE WHEN (CASE WHEN abs(b.cost - a.cost) <= 1e-8 + 1e-5 * abs(a.cost)
-            THEN b.weight < a.weight ELSE b.cost < a.cost END) THEN b ELSE a END) AS best
-        FROM step JOIN queue ON queue.i = step.i + 1 CROSS JOIN totals))
-    SELECT g AS user_id, CAST(fold AS INTEGER) AS fold_id FROM step WHERE i > 0"""
-)
+      SELECT i, list_transform(loads, lambda row, f:
+          list_transform(row, lambda x, c: x + taken[f] * v[c])), cell, taken
+      FROM (SELECT *, list_transform(range({K}),
+              lambda f: len(list_filter(won, lambda o: o.f = f))) AS taken
+        FROM (SELECT queue.i, queue.cell, queue.v, loads,
+            list_slice(list_sort(flatten(list_transform(range({K}), lambda f:
+              list_transform(range(m), lambda nth: {{
+                'price': list_sum(list_transform(v, lambda x, c: (loads[f + 1][c] + nth * x) * x * w[c])),
+                'rows': list_sum(loads[f + 1]) + nth * list_sum(v), 'f': f}})))), 1, m) AS won
+          FROM step JOIN queue ON queue.i = step.i + 1 CROSS JOIN facts))),
+    placed AS (SELECT cell, list_transform(range(1, {K + 1}), lambda f: list_sum(taken[1:f])) AS ends
+      FROM step WHERE i > 0),
+    ranked AS (SELECT g, cell, row_number() OVER (PARTITION BY cell ORDER BY {hash_sql(42, "g")}) - 1 AS rnk
+      FROM keyed)
+    SELECT g AS {group}, CAST(len(list_filter(ends, lambda e: e <= rnk)) AS INTEGER) AS fold_id
+    FROM ranked JOIN placed USING (cell)"""
+
+
+@query(_stratified_group_sql("SELECT user_id AS g, event_type AS y FROM events", "user_id"))
 def folds_stratified_group(spark, sf_dir):
     """Whole users per fold, class shares kept even."""
     spec = PartitionSpec("group", n_splits=K, group_column="user_id")
@@ -403,6 +425,20 @@ def folds_stratified_group(spark, sf_dir):
     return folded.select("user_id", FOLD_ID).distinct()
 
 
+@query(
+    _stratified_group_sql(
+        "SELECT l_orderkey || '-' || l_partkey AS g, l_returnflag AS y FROM lineitem", "item"
+    )
+)
+def folds_stratified_group_many(spark, sf_dir):
+    """Almost as many groups as rows: orders of a part, by return flag."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_partkey").alias("item"), "l_returnflag"
+    )
+    spec = PartitionSpec("group", n_splits=K, group_column="item")
+    return assign_folds(items, "classification", spec, "l_returnflag").select("item", FOLD_ID).distinct()
+
+
 @query(
     """SELECT o_orderkey, CAST((o_custkey % 7) * 10 + 3 AS INTEGER) AS fold_id,
     CAST(dense_rank() OVER (ORDER BY o_custkey % 7) - 1 AS INTEGER) AS fold FROM orders"""

@@ -153,54 +153,86 @@ def test_null_groups_stay_together(spark):
     assert len({f for _, g, f in got if g is None}) == 1
 
 
-def _brute_spread(rows, k, seed):
-    """Greedy placement by spread of class shares, written row by row."""
+def test_equal_vectors_are_placed_like_one_by_one():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        k, classes, count = int(rng.integers(2, 6)), int(rng.integers(1, 5)), int(rng.integers(1, 25))
+        totals = rng.integers(1, 200, classes).tolist()
+        weights = [FO.WEIGHT // (t * t) for t in totals]
+        loads = rng.integers(0, 9, (k, classes)).tolist()
+        vector = {c: int(n) for c, n in enumerate(rng.integers(0, 4, classes)) if n} or {0: 1}
+        slow, taken = [list(load) for load in loads], [0] * k
+        for _ in range(count):
+            price = [(sum(x[c] * v * weights[c] for c, v in vector.items()), sum(x), f) for f, x in enumerate(slow)]
+            f = min(price)[2]
+            taken[f] += 1
+            for c, v in vector.items():
+                slow[f][c] += v
+        fast = [list(load) for load in loads]
+        assert FO.place_equal_vectors(fast, vector, weights, count) == taken
+        assert fast == slow
+
+
+def _brute_spread(rows, k, seed, hot_share):
+    """Cells of groups, largest spread first, each group on the fold whose class shares
+    grow least; a cell's groups go to the folds in hash order."""
     classes = sorted({r[2] for r in rows})
     table = defaultdict(lambda: [0] * len(classes))
     for _, g, c, _ in rows:
         table[g][classes.index(c)] += 1
     totals = [sum(v[j] for v in table.values()) for j in range(len(classes))]
-    order = sorted(table, key=lambda g: (-np.std(table[g]).round(9), _hash(seed, g)))
+    cells = defaultdict(list)
+    for g, v in table.items():
+        if sum(v) * hot_share > len(rows):
+            text = "[" + ",".join(f'{{"_class":{c},"_n":{n}}}' for c, n in enumerate(v) if n) + "]"
+        else:
+            text = f"{sum(v).bit_length()}:{v.index(max(v))}"
+        cells[text].append(g)
+    mean = {
+        cell: {c: sum(table[g][c] for g in gs) * 256 // len(gs) for c in range(len(classes)) if any(table[g][c] for g in gs)}
+        for cell, gs in cells.items()
+    }
+
+    def spread(v):
+        return len(classes) * sum(n * n for n in v.values()) - sum(v.values()) ** 2
+
     state = [[0] * len(classes) for _ in range(k)]
     fold = {}
-    for g in order:
-        best = None
-        for f in range(k):
-            trial = [list(s) for s in state]
-            trial[f] = [a + b for a, b in zip(trial[f], table[g])]
-            cost = np.mean([np.std([t[j] / totals[j] for t in trial]) for j in range(len(classes))])
-            weight = sum(trial[f])
-            if best is None:
-                best = (cost, weight, f)
-                continue
-            near = np.isclose(cost, best[0])
-            if (near and weight < best[1]) or (not near and cost < best[0]):
-                best = (cost, weight, f)
-        fold[g] = best[2]
-        state[best[2]] = [a + b for a, b in zip(state[best[2]], table[g])]
+    for cell in sorted(cells, key=lambda c: (-spread(mean[c]), sorted(mean[c].items()), c)):
+        taken = []
+        for _ in cells[cell]:
+            grown = [(sum(x[c] * v * (FO.WEIGHT // totals[c] ** 2) for c, v in mean[cell].items()), sum(x), f) for f, x in enumerate(state)]
+            f = min(grown)[2]
+            taken.append(f)
+            for c, v in mean[cell].items():
+                state[f][c] += v
+        fold |= dict(zip(sorted(cells[cell], key=lambda g: _hash(seed, g)), sorted(taken)))
     return fold
 
 
-def test_stratified_group_folds_match_the_greedy_rule(people):
+@pytest.mark.parametrize("hot_share, window", [(10_000, 1_000_000), (50, 1_000_000), (50, 3), (2, 1)])
+def test_stratified_group_folds_match_the_rule_one_by_one(people, monkeypatch, hot_share, window):
+    """Hot groups alone, hot and small ones, and cells that are cut at exact ranks."""
+    monkeypatch.setattr(FO, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(FO, "WINDOW_GROUPS", window)
     frame, rows = people
     spec = PartitionSpec("group", n_splits=4, group_column="g", random_state=42)
-    got = _folds(assign_folds(frame, "classification", spec, "c"), "_row_id", "g")
-    expected = _brute_spread(rows, 4, 42)
-    assert {g: f for _, g, f in got} == expected
-    assert len(got) == 600
-
-
-def test_sharded_stratified_groups_keep_all_rows_and_balance(people, monkeypatch):
-    frame, rows = people
-    monkeypatch.setattr(FO, "SHARD_GROUPS", 20)
-    monkeypatch.setattr(FO, "HOT_SHARE", 50)
-    monkeypatch.setattr(FO, "BROADCAST_GROUPS", 5)
-    spec = PartitionSpec("group", n_splits=3, group_column="g")
     folded = assign_folds(frame, "classification", spec, "c")
     got = _folds(folded, "_row_id", "g")
+    assert {g: f for _, g, f in got} == _brute_spread(rows, 4, 42, hot_share)
     assert len(got) == 600 and FO.group_leaks(folded, "g").isEmpty()
-    sizes = sorted(Counter(f for *_, f in got).values())
-    assert sizes[0] > 140  # the hot group alone fills one fold
+
+
+def test_many_small_groups_spread_every_class_evenly(spark):
+    """60,000 groups beside one that holds a third of the rows: one rule, no shards."""
+    sizes = F.when(F.col("id") < 30_000, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id")))
+    label = F.when(F.col("id") % 10 == 0, "rare").otherwise(F.concat(F.lit("c"), F.col("id") % 3))
+    frame = spark.range(90_000).select("id", sizes.alias("g"), label.alias("c"))
+    folded = assign_folds(frame, "classification", PartitionSpec("group", 3, group_column="g"), "c")
+    counts = {(r["c"], r["fold_id"]): r["n"] for r in folded.groupBy("c", "fold_id").agg(F.count("*").alias("n")).collect()}
+    for label in ("rare", "c0", "c1", "c2"):
+        n = [counts[label, f] for f in range(3)]
+        assert max(n) - min(n) <= 2  # the hot group fills its fold's third alone
 
 
 def test_small_classes_fall_back_to_group_folds(spark):

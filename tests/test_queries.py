@@ -18,7 +18,7 @@ def duck():
 
 
 def _sorted(rows):
-    return sorted(rows, key=lambda row: tuple((v is None, str(type(v)), v or 0) for v in row))
+    return sorted(rows, key=lambda row: tuple((v is None, str(type(v)), 0 if v is None else v) for v in row))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
