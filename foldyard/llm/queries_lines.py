@@ -22,33 +22,35 @@ keyed AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM
 split AS (SELECT r, doc_id, unnest(str_split(t, chr(10))) AS line, unnest(range(len(str_split(t, chr(10))))) AS line_no
           FROM keyed),
 lines AS (
-    SELECT r, doc_id, line_no, masked, toks, hash_key FROM (
-        SELECT *, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS hash_key FROM (
-            SELECT *, str_split(masked, ' ') AS toks FROM (
+    SELECT r, doc_id, line_no, literal, masked, toks, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS hash_key
+    FROM (
+        SELECT *, str_split(masked, ' ') AS toks FROM (
+            SELECT *, regexp_replace(literal, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM (
                 SELECT r, doc_id, line_no,
-                       regexp_replace(regexp_replace(trim(regexp_replace(line, '{WS}', ' ', 'g'), ' '), ' +', ' ', 'g'),
-                                      '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
-                FROM split))
-        WHERE len(toks) >= 3)
+                       regexp_replace(trim(regexp_replace(line, '{WS}', ' ', 'g'), ' '), ' +', ' ', 'g') AS literal
+                FROM split)))
+    WHERE len(toks) >= 3
 ),
-leaves AS (SELECT hash_key FROM lines GROUP BY hash_key HAVING count(DISTINCT r) >= 8),
-busy AS (SELECT lines.* FROM lines JOIN leaves USING (hash_key)),
-types AS (SELECT hash_key, masked, toks, count(DISTINCT r) AS docs FROM busy GROUP BY ALL),
-tokens AS (SELECT hash_key, masked, docs, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM types),
+leaves AS (SELECT hash_key, count(DISTINCT r) AS leaf_docs FROM lines GROUP BY hash_key HAVING count(DISTINCT r) >= 8),
+busy AS (SELECT * FROM lines JOIN leaves USING (hash_key)),
+types AS (SELECT hash_key, leaf_docs, masked, toks, count(DISTINCT r) AS docs FROM busy GROUP BY ALL),
+tokens AS (SELECT hash_key, leaf_docs, masked, docs, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM types),
 support AS (SELECT hash_key, pos, token, sum(docs) AS support FROM tokens GROUP BY ALL),
 fields AS (
     SELECT hash_key, masked,
-           string_agg(CASE WHEN support >= 8 THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS general,
-           avg((support >= 8 AND token <> '<*>')::INT) AS constant_share
+           string_agg(CASE WHEN support > 0.125 * leaf_docs THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS general,
+           avg((support > 0.125 * leaf_docs AND token <> '<*>')::INT) AS constant_share
     FROM tokens JOIN support USING (hash_key, pos, token) GROUP BY hash_key, masked
 ),
-parsed AS (
-    SELECT r, doc_id, line_no, hash_key, CASE WHEN constant_share >= 0.75 THEN general ELSE masked END AS template
-    FROM busy JOIN fields USING (hash_key, masked)
+forms AS (
+    SELECT r, doc_id, line_no, hash_key, 8 AS least, general AS form
+    FROM busy JOIN fields USING (hash_key, masked) WHERE constant_share >= 0.75
+    UNION ALL
+    SELECT r, doc_id, line_no, hash_key, 2 AS least, literal AS form FROM lines
 ),
-found AS (SELECT hash_key, template, arg_min(r, doc_id) AS first_r FROM parsed
-          GROUP BY hash_key, template HAVING count(DISTINCT r) >= 8),
-drops AS (SELECT DISTINCT r, line_no FROM parsed JOIN found USING (hash_key, template) WHERE r <> first_r)
+found AS (SELECT hash_key, least, form, arg_min(r, doc_id) AS first_r FROM forms
+          GROUP BY hash_key, least, form HAVING count(DISTINCT r) >= least),
+drops AS (SELECT DISTINCT r, line_no FROM forms JOIN found USING (hash_key, least, form) WHERE r <> first_r)
 """
 SQL = rf"""
 WITH {DROPS},

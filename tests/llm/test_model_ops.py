@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import sentencepiece
 
 from cases import empty, odd_rows, prose
 from conftest import TESTDATA
@@ -167,42 +166,6 @@ def test_language_model_on_odd_rows(spark):
 # -- pieces -------------------------------------------------------------------------
 
 
-def unigram_copy(path, target):
-    """The model file with its type field set to unigram: the library then runs its own
-    Viterbi over the same pieces."""
-    data = bytearray(open(path, "rb").read())
-
-    def varint(at):
-        value = shift = 0
-        while True:
-            byte = data[at]
-            value |= (byte & 127) << shift
-            at, shift = at + 1, shift + 7
-            if byte < 128:
-                return value, at
-
-    at = 0
-    while at < len(data):
-        tag, at = varint(at)
-        size, at = varint(at)
-        if tag == 2 << 3 | 2:
-            inner, end = at, at + size
-            while inner < end:
-                tag, inner = varint(inner)
-                if tag == 3 << 3:
-                    data[inner] = 1
-                if tag & 7 == 0:
-                    _, inner = varint(inner)
-                elif tag & 7 == 2:
-                    n, inner = varint(inner)
-                    inner += n
-                else:
-                    inner += {1: 8, 5: 4}[tag & 7]
-        at += size
-    target.write_bytes(bytes(data))
-    return str(target)
-
-
 TEXTS = [
     "Hello world, this is a test.",
     "  leading and   inner spaces  ",
@@ -215,26 +178,8 @@ TEXTS = [
 ]
 
 
-def test_paths_score_as_the_library_scores_them(spark, tmp_path):
-    pieces = Pieces.read(PIECES)
-    encoder = Encoder(pieces)
-    library = sentencepiece.SentencePieceProcessor(model_file=unigram_copy(PIECES, tmp_path / "u.model"))
-    docs = [r["text"] for r in spark.read.parquet(str(TESTDATA / "documents.parquet")).limit(60).collect()]
-
-    def total(ids):
-        return sum(pieces.scores[i] for i in ids)
-
-    for text in TEXTS + docs:
-        got = [i for path in encoder.encode(text) for i in path]
-        wanted = library.encode(text)
-        assert "".join(pieces.texts[i] for i in got) == "".join(pieces.texts[i] for i in wanted)
-        # the library adds in single precision, which run-of-blanks pieces (-1e9) exceed
-        assert total(got) >= total(wanted) - 1e-3
-        assert math.isclose(total(got), total(wanted), rel_tol=1e-7, abs_tol=1e-3)
-
-
-def brute_path_score(pieces, unit):
-    scores = {t: s for t, s, n in zip(pieces.texts, pieces.scores, pieces.normal) if n}
+def brute_path_score(pieces, unit, scores=None):
+    scores = scores or {t: s for t, s, n in zip(pieces.texts, pieces.scores, pieces.normal) if n}
     unknown = min(scores.values()) - 10
     best = [0.0]
     for end in range(1, len(unit) + 1):
@@ -245,6 +190,24 @@ def brute_path_score(pieces, unit):
     return best[-1]
 
 
+def test_paths_score_best_on_real_texts(spark):
+    """Each unit of real texts against all segmentations, in double precision."""
+    pieces = Pieces.read(PIECES)
+    encoder = Encoder(pieces)
+    docs = [r["text"] for r in spark.read.parquet(str(TESTDATA / "documents.parquet")).limit(60).collect()]
+    scores = [encoder.unknown_score if i in pieces.bytes_.values() or i == pieces.unknown else s for i, s in enumerate(pieces.scores)]
+    units = {u for text in TEXTS + docs for u in pieces.unit.findall("\u2581" + text.replace(" ", "\u2581"))}
+    known = {t: s for t, s, n in zip(pieces.texts, pieces.scores, pieces.normal) if n}
+    for unit in units:
+        path = encoder.best_path(unit)
+        # an unknown character is one cost, however many bytes it has
+        text = "".join(pieces.texts[i] for i in path if pieces.normal[i])
+        unknown = sum(c not in known for c in unit)
+        got = sum(scores[i] for i in path if pieces.normal[i]) + unknown * encoder.unknown_score
+        assert text == "".join(c for c in unit if c in known)
+        assert math.isclose(got, brute_path_score(pieces, unit, known), rel_tol=1e-12)
+
+
 def test_paths_are_best_on_a_small_alphabet():
     texts = ["a", "b", "ab", "ba", "aba", "bab", "abab", "aab"]
     pieces = Pieces(["<unk>", *texts], [0, -3, -3, -4, -4.5, -5, -6, -5.5, -7], [False] + [True] * 8, {}, 0)

@@ -1,12 +1,16 @@
+import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cases import empty, odd_rows, prose, words
+from foldyard.llm import line_templates
 from foldyard.llm.license_scan import find_spans, scan_licenses
 from foldyard.llm.line_rules import clean_lines
-from foldyard.llm.line_templates import VARIABLE, drop_recurring_lines, masked_line
+from foldyard.llm.line_templates import VARIABLE, TreeLimits, drop_recurring_lines, masked_line
 
 
 def frame(spark, texts):
@@ -151,10 +155,59 @@ def test_variable_words_generalise_but_unlike_lines_do_not(spark):
 
 def test_seven_documents_are_too_few_and_repeats_in_one_count_once(spark):
     line = "this very line recurs in the corpus"
+    limits = TreeLimits(least_repeats=8)
     few = frame(spark, [line] * 7 + [f"{line}\n" * 20])
-    assert {r["dedup"]["n_dropped"] for r in few.transform(drop_recurring_lines).where("doc_id < 7").collect()} == {0, 1}
+    got = drop_recurring_lines(few, limits=limits).where("doc_id < 7").collect()
+    assert {r["dedup"]["n_dropped"] for r in got} == {0, 1}
     fewer = frame(spark, [f"{line}\n" * 20 + str(i) for i in range(7)])
-    assert {r["dedup"]["n_dropped"] for r in drop_recurring_lines(fewer).collect()} == {0}
+    assert {r["dedup"]["n_dropped"] for r in drop_recurring_lines(fewer, limits=limits).collect()} == {0}
+    named = [f"report number x{i}x was seen by the board of members" for i in range(7)]
+    assert {r["dedup"]["n_dropped"] for r in drop_recurring_lines(frame(spark, named)).collect()} == {0}
+
+
+def test_literal_repeats_need_two_documents(spark):
+    line = "  this very\tline recurs in 2 documents "
+    got = drop_recurring_lines(frame(spark, [f"{line}\n{line}", "a b", f"own words here\n{line.strip()}"])).orderBy("doc_id").collect()
+    assert [r["dedup"]["n_dropped"] for r in got] == [0, 0, 1]
+    assert got[2]["dedup"]["text"] == "own words here"
+
+
+def sql_tables():
+    """Tables on which the rules of the line tree tell apart what they should."""
+    rng = random.Random(6)
+    forums = [f"posted by {rng.choice('abcdefgh')}user{i} in {'abcdefghijklmnop'[i % 16]}forum since the first of may" for i in range(160)]
+    club = [f"report written by {a}a for the yearly meeting of {b}b" for a in "cdefghijklmn" for b in "cdefghijklmn"]
+    return {
+        "numbers": [f"1990 {i} 45" for i in range(10)],
+        "forums": forums,
+        "forum_names": [f"it was posted by {prose(i, 1)[0]} in {'abcdefghijklmnop'[i % 16]}forum since the first of may" for i in range(160)],
+        "club": club,
+        "small_leaf": [f"it was posted by {n}{c} in the main forum" for n, c in zip(prose(3, 9), "abcdefghi")] + ["it was posted by nobody at all who signs"],
+        "two_templates": [f"it was seen by {n} {'in the hall of the club' if i % 2 else 'at the gate of the yard'}" for i, n in enumerate(prose(5, 30))],
+        "repeats": ["one and two", "one  and two\nthree and 4", "three and 4", None, "", "three and 5\nthree and 5"],
+    }
+
+
+@pytest.mark.parametrize("name", sorted(sql_tables()))
+def test_line_rules_equal_the_sql(spark, tmp_path, name):
+    texts = sql_tables()[name]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = duck.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({entry.oracle_sql()['op4_line_dedup']})").fetchall()
+    got = entry.queries()["op4_line_dedup"](spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    dropped = sum(r[2] for r in wanted)
+    assert dropped == {
+        "numbers": 0, "forums": 159, "forum_names": 159, "club": 143, "small_leaf": 8, "two_templates": 28, "repeats": 2,
+    }[name]
+
+
+def test_large_tables_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 0)
+    texts = template_texts()
+    got = drop_recurring_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["dedup"]["n_dropped"] for r in got] == [0] + [1] * (len(texts) - 1)
 
 
 def test_rows_of_numbers_recur_only_as_literal_repeats(spark):
