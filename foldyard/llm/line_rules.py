@@ -21,13 +21,15 @@ NAVIGATION = (
     "home page", "log in", "login", "main menu", "next page", "previous page",
     "read more", "sign in", "sign up", "skip to", "back to top", "site map",
 )
-#: Phrases of boilerplate; a line holding one fails at any length.
+#: Phrases of boilerplate; a line of a sentence or so that holds one fails.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie", "javascript", "lorem ipsum",
     "privacy policy", "subscribe", "terms of use", "terms of service",
 )
 #: Marks that may end a line of prose, quotes and brackets included.
-TERMINAL = ".!?:;…\"'”’»)]。！？"
+TERMINAL = ".!?:;…\"'”’»)]。！？।۔؟։"
+#: The end of a sentence inside a line or at its end.
+SENTENCE_END = r"[。！？।۔؟։]|[.!?…][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 SYMBOL = r"[#*$%&|<>]"
 SEPARATOR = r"[|»›•·]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,12 +39,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 class LineRules:
     """Limits of the rules.
 
-    prose_words: a line of so many words must end in a terminal mark.
+    prose_words: a line of so many words must end in a terminal mark or hold the end of
+    a sentence, so prose cut off in its last sentence stays.
     symbols_per_word: more symbols a word than this fail a line.
     marks_per_word: more runs of ``!!`` or ``??`` a word than this fail a line.
     separators: so many separators, and one for each ``words_per_separator`` words at
     least, make a navigation line; so do up to ``navigation_words`` words with a phrase.
-    least_kept: share of a text's word characters in lines that stay.
+    boilerplate_words: a line of up to so many words fails by a phrase of boilerplate; a
+    longer one is prose that mentions it. least_kept: share of a text's word characters in lines that stay.
     """
 
     prose_words: int = 12
@@ -51,6 +55,7 @@ class LineRules:
     separators: int = 2
     words_per_separator: int = 5
     navigation_words: int = 6
+    boilerplate_words: int = 25
     least_kept: float = 0.5
     least_words: int = 20
     repeat_percent: int = 30
@@ -69,6 +74,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         F.regexp_count(line, F.lit(SYMBOL)).alias("symbols"),
         F.regexp_count(line, F.lit(SEPARATOR)).alias("bars"),
         F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).alias("end"),
+        line.alias("line"),
         (
             F.length(line)
             - F.length(F.replace(F.replace(line, F.lit("!!"), F.lit("!")), F.lit("??"), F.lit("?")))
@@ -76,11 +82,13 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     )
 
     def judge(x: Column) -> Column:
-        unfinished = (x["n"] >= rules.prose_words) & ~F.lit(TERMINAL).contains(x["end"])
+        open_end = (x["n"] >= rules.prose_words) & ~F.lit(TERMINAL).contains(x["end"])
+        unfinished = open_end & ~x["line"].rlike(SENTENCE_END)
         noisy = (x["symbols"] > rules.symbols_per_word * x["n"]) | (x["marks"] > rules.marks_per_word * x["n"])
         menu = (x["bars"] >= rules.separators) & (x["bars"] * rules.words_per_separator >= x["n"])
         phrase = (x["n"] <= rules.navigation_words) & _has_any(x["low"], NAVIGATION)
-        return unfinished | noisy | menu | phrase | _has_any(x["low"], BOILERPLATE)
+        furniture = (x["n"] <= rules.boilerplate_words) & _has_any(x["low"], BOILERPLATE)
+        return unfinished | noisy | menu | phrase | furniture
 
     return let(facts, judge)
 
@@ -134,8 +142,9 @@ def clean_lines(
     (lines with a word), n_failed (of them), kept_word_chars, base_failed, kept, and
     text: the lines that pass, and blank ones, in order.
 
-    Null and blank texts have zeros, fail the base rule and have the text ''. Equal
-    rows get equal results; other columns, null or of any name, pass through untouched
+    Null and blank texts have zeros, fail the base rule and have the text ''. Texts and
+    lines of any length are read whole; an empty table gives none. Equal
+    rows get equal results, so ties need no rule; other columns, null or of any name, pass through untouched
     (a column already called ``<prefix>cleaning`` is replaced).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .line_rules import BOILERPLATE, NAVIGATION, clean_lines
+from .line_rules import BOILERPLATE, NAVIGATION, SENTENCE_END, clean_lines
 
 COLUMNS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -56,11 +56,12 @@ passed AS (
     SELECT r, count(*) FILTER (WHERE bad) AS n_failed,
            coalesce(sum(length(regexp_replace(x, '{WS}', '', 'g'))) FILTER (WHERE NOT bad), 0)::BIGINT AS kept_chars
     FROM (SELECT r, x,
-                 (n >= 12 AND NOT contains('.!?:;…"''”’»)]。！？', right(tight, 1)))
+                 (n >= 12 AND NOT contains('.!?:;…"''”’»)]。！？।۔؟։', right(tight, 1))
+                          AND NOT regexp_matches(x, '{SENTENCE_END.replace("'", "''")}'))
                  OR symbols > 0.25 * n OR marks > 0.25 * n
                  OR (bars >= 2 AND bars * 5 >= n)
                  OR (n <= 6 AND {_any('low', NAVIGATION)})
-                 OR {_any('low', BOILERPLATE)} AS bad
+                 OR (n <= 25 AND {_any('low', BOILERPLATE)}) AS bad
           FROM judged)
     GROUP BY r
 ),

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .text import quoted
 from .hashing import BASES, by_range, rolling, starts_inside, text_words, word_hashes
 
 WINDOW = 35
@@ -272,11 +273,12 @@ def remove_repeats(
     same document or another, is removed, in all its places. Null and empty texts have
     no words and keep the text ''. Repeated rows repeat each other's windows. ``window``
     must be 2 or more. ``extra`` holds the other columns, of any name, as a struct (null
-    if there are none); ids may be null.
+    if there are none); ids may be null. Texts of any length are one row of work; ties do
+    not arise, since every place of a repeat goes. An empty table gives no rows.
     """
     block = (window + 1) // 2
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    extra = F.struct(*others) if others else F.lit(None).cast("int")
+    extra = F.struct(*(F.col(quoted(c)) for c in others)) if others else F.lit(None).cast("int")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), extra.alias("extra"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     batches = max(1, ceil(chars / BATCH_CHARS))

@@ -37,3 +37,8 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(F.coalesce("text", F.lit("\0"))).alias("h"),
     )
     return docs.select("*", key.alias("row_key"))
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as an expression."""
+    return "`" + name.replace("`", "``") + "`"

@@ -291,3 +291,9 @@ def test_fingerprints_of_odd_rows(spark):
     assert compare_with_next(empty(spark)).count() == fingerprints(empty(spark)).count() == 0
     one = compare_with_next(frame(spark, ["a b c d"])).collect()
     assert one[0]["near_next"] == 1.0
+
+
+def test_repeats_beside_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b", 2, 3, 4)], "doc_id long, text string, `x.y` int, extra int, `a``b` int")
+    got = remove_repeats(rows).first()
+    assert got["extra"].asDict() == {"x.y": 2, "extra": 3, "a`b": 4}

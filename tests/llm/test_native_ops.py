@@ -67,6 +67,21 @@ def test_lines_fail_alone_and_texts_that_lose_too_much_go(spark):
     assert not mostly["kept"] and not mostly["base_failed"] and mostly["text"] == body
 
 
+def test_clean_prose_stays(spark):
+    """Marks of other scripts, an open last sentence, a phrase named in an article."""
+    long = " ".join(prose(41, 300))
+    sentences = ". ".join(" ".join(prose(i, 15)) for i in range(20))
+    texts = [
+        long + "\u0964", long + " \u06d4", long + "\u061f", long + " \u0589",
+        sentences + " and so it goes on", "\u3002".join(prose(43, 30)) + " " + long,
+        sentences.replace("o", "o cookie ", 1) + ".", long + " javascript.",
+    ]
+    rows = clean_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["cleaning"]["n_failed"], r["cleaning"]["kept"]) for r in rows] == [(0, True)] * len(texts)
+    bad = [long, "this site uses a cookie so please click here to go on and read.", "1.5 " + long]
+    assert [r["cleaning"]["n_failed"] for r in clean_lines(frame(spark, bad)).orderBy("doc_id").collect()] == [1, 1, 1]
+
+
 def test_unfinished_shouted_and_spaced_lines(spark):
     long = " ".join(prose(10, 20))
     rows = cleaned(spark, [long, long + " \t", long + '."', " ".join(w.upper() + "!!" for w in prose(11, 30))])

@@ -81,3 +81,15 @@ def test_stages_on_odd_rows(spark):
         assert got.collect() is not None
         if name != "packing":
             assert got.columns == odd.columns
+
+
+def test_columns_of_any_name_come_through_every_stage(spark):
+    names = "doc_id long, text string, dedup int, line_cleaning int, cleaning int, row int, extra int, `x.y` int"
+    docs = spark.createDataFrame([(i, t, *range(1, 7)) for i, t in enumerate(corpus())], names)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "")
+        if name != "packing":
+            assert got.columns == docs.columns
+            assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(1, 7))}
+            docs = got
+        assert got.count() > 0
