@@ -12,45 +12,62 @@ from pyspark.sql import functions as F
 
 from foldyard.llm.length_buckets import pack
 from foldyard.llm.line_rules import clean_lines
-from foldyard.llm.line_templates import drop_recurring_lines
+from foldyard.llm.line_templates import TreeLimits, drop_recurring_lines
 from foldyard.llm.order_minhash import drop_near_duplicates
 from foldyard.llm.substring_dedup import remove_repeats
 from foldyard.session import materialize
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
-    """``columns`` with the text replaced and its length to match."""
-    changed = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*columns)
+#: A template takes eight documents, and so does a literal line here: at two, every copy
+#: of a document would lose its lines before near_dedup can compare it whole.
+LINE_LIMITS = TreeLimits(least_repeats=8)
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """What the operators read, and the whole row beside it, so that no column of the
+    user's can have the name of one that an operator adds."""
+    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+
+
+def _unboxed(docs: DataFrame, row: Column, text: Column) -> Column:
+    """The row with a new text and its length to match, as a struct of the same columns."""
+    fields = {c: row[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return F.struct(*(column.alias(c) for c, column in fields.items())).alias("row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that fail a rule leave the others."""
-    cleaned = clean_lines(docs, prefix="line_").where("line_cleaning.kept")
-    return _with_text(cleaned, docs.columns, F.col("line_cleaning.text"))
+    """Rejected documents go (null and blank texts among them); lines that fail a rule
+    leave the others. Rows that repeat or tie are judged alike; a text of any length is
+    read whole, and an empty table stays empty."""
+    kept = clean_lines(_boxed(docs)).where("cleaning.kept")
+    return kept.select(_unboxed(docs, F.col("row"), F.col("cleaning.text"))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in one document only."""
-    return _with_text(drop_recurring_lines(docs), docs.columns, F.col("dedup.text"))
+    """Lines of recurring templates stay in the document of the smallest id only. Every
+    row stays, null texts as ''; an empty table stays empty."""
+    found = drop_recurring_lines(_boxed(docs), limits=LINE_LIMITS)
+    return found.select(_unboxed(docs, F.col("row"), F.col("dedup.text"))).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, the one of the smallest id; of
+    equal rows one. Null and empty texts are one class; an empty table stays empty."""
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 35-word passages that stand in two places go from both."""
-    found = remove_repeats(docs, keep_layout=True)
-    others = [F.col(f"extra.{c}") for c in docs.columns if c not in ("doc_id", "text")]
-    return _with_text(found.select("doc_id", F.col("kept_text").alias("text"), *others), docs.columns, F.col("text"))
+    """Words of 35-word passages that stand in two places go from both. Every row stays,
+    null texts as ''; an empty table stays empty."""
+    found = remove_repeats(_boxed(docs), keep_layout=True)
+    return found.select(_unboxed(docs, F.col("extra.row"), F.col("kept_text"))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2,048 words in batches of 16,384, by length bucket."""
+    """Sequences of at most 2,048 words in batches of 16,384, by length bucket. Null and
+    blank texts have none, longer texts several; an empty table packs to no rows."""
     return pack(docs)
 
 
