@@ -7,6 +7,7 @@ their tasks.
 
 from __future__ import annotations
 
+import warnings
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,15 @@ from .sums import fold_sums
 DEFAULT_SEED = 0
 
 
+class UnfinishedFit(UserWarning):
+    """An estimator that reached its last iteration before its tolerance."""
+
+
+def note_unfinished(name: str, done: bool) -> None:
+    if not done:
+        warnings.warn(f"{name} stopped at max_iter before its tolerance", UnfinishedFit, stacklevel=3)
+
+
 # -- independent components (Hyvarinen 1999) ----------------------------------------
 
 
@@ -91,6 +101,8 @@ def fit_ica(
             rotations[i] = new
         if change < tol:
             break
+    else:
+        note_unfinished("ica", False)
     return [
         w.then(Affine(r.T, np.zeros(c))) for w, r in zip(whitens, rotations)
     ]
@@ -184,6 +196,8 @@ def fit_nmf(
                 bases[i] = nonnegative_codes_from_gram(ww, wx, bases[i])
         if not moving:
             break
+    else:
+        note_unfinished("nmf", False)
     return bases, losses
 
 
@@ -252,16 +266,79 @@ def _expand(z: np.ndarray, mapping) -> np.ndarray:
 
 def _svr_kernel(x, y, param):
     """Weighted normal equations of the current majoriser, and the loss."""
-    chain, mapping, w, epsilon, floor = param
+    chain, mapping, w, floor, epsilon = param
     f = _expand(chain.apply(x), mapping)
     r = y - f @ w
     excess = np.maximum(np.abs(r) - epsilon, 0)
     # |r|-eps outside the tube is bounded by a parabola touching it at the current r.
-    inside = np.abs(r) <= epsilon
-    weight = np.where(inside, 0.0, 1 / np.maximum(excess, floor) / 2)
-    goal = y - np.sign(r) * epsilon
+    weight = np.where(np.abs(r) <= epsilon, 0.0, 1 / np.maximum(excess, floor))
+    return _normal_equations(f, weight, y - np.sign(r) * epsilon, excess.sum())
+
+
+def _hinge_kernel(x, y, param):
+    """The same for ``max(0, 1 - s f)``, s = 1 for class 1 and -1 for class 0: with
+    u = 1 - s f it is (u + |u|) / 2, and |u| is bounded by a parabola."""
+    chain, mapping, w, floor, class_weights = param
+    f = _expand(chain.apply(x), mapping)
+    hit = y > 0
+    s = np.where(hit, 1.0, -1.0)
+    own = np.where(hit, class_weights[1], class_weights[0])
+    u = 1 - s * (f @ w)
+    size = np.maximum(np.abs(u), floor)
+    return _normal_equations(f, own / (2 * size), s * (1 + size), (own * np.maximum(u, 0)).sum())
+
+
+def _normal_equations(f, weight, goal, loss):
     fw = f * weight[:, None]
-    return np.concatenate([(fw.T @ f).ravel(), fw.T @ goal, [excess.sum()]])
+    return np.concatenate([(fw.T @ f).ravel(), fw.T @ goal, [loss]])
+
+
+#: Steps after which the smallest majorised residual stays at 1e-6 of the spread.
+FLOOR_STEPS = 16
+
+
+def _reweighted(
+    design: DataFrame, kernel, before: list, mappings: list, start: list, spread: list, extra: list,
+    C: float, max_iter: int, tol: float,
+) -> tuple[list[np.ndarray], bool]:
+    """Weights per fold model that minimise ``|w|^2/2 + C * loss``, the intercept free,
+    by reweighted normal equations; the best seen. Also whether all of them settled."""
+    weights = list(start)
+    size = len(weights[0])
+    penalty = np.eye(size)
+    penalty[-1, -1] = 1e-9
+    best = [(np.inf, w) for w in weights]
+    last = [np.inf] * len(weights)
+    settled = [False] * len(weights)
+    for step in range(max_iter):
+        floors = [s * 10.0 ** -min(2 + step / 4, 6) for s in spread]
+        params = list(zip(before, mappings, weights, floors, extra))
+        sums = fold_sums(design, kernel, params, size * size + size + 1)
+        for i, total in enumerate(sums):
+            if settled[i]:
+                continue
+            w = weights[i]
+            value = w[:-1] @ w[:-1] / 2 + C * total[-1]
+            if value < best[i][0]:
+                best[i] = (value, w)
+            settled[i] = step >= FLOOR_STEPS and abs(last[i] - value) <= tol * abs(last[i])
+            last[i] = value
+            a = C * total[: size * size].reshape(size, size)
+            weights[i] = np.linalg.solve(a + penalty, C * total[size * size : -1])
+        if all(settled):
+            break
+    return [w for _, w in best], all(settled)
+
+
+def _mappings(moments: list[Moments], kernel: str, gamma: Any, n_features: int, random_state) -> tuple[list, int]:
+    """Feature maps per fold model, and the number of weights with the intercept."""
+    if kernel not in ("rbf", "linear"):
+        raise ModelExecutionError(f"kernel must be rbf or linear, not {kernel!r}")
+    d = len(moments[0].x_mean)
+    if kernel == "linear":
+        return [None] * len(moments), d + 1
+    seed = DEFAULT_SEED if random_state is None else random_state
+    return [fourier_map(d, kernel_width(gamma, m), n_features, seed) for m in moments], n_features + 1
 
 
 def fit_svr(
@@ -273,55 +350,24 @@ def fit_svr(
     kernel: str = "rbf",
     gamma: Any = "scale",
     n_features: int = FOURIER_FEATURES,
-    max_iter: int = 30,
+    max_iter: int = 40,
     tol: float = 1e-3,
     random_state: int | None = None,
 ) -> list[tuple]:
     """epsilon-insensitive regression on random Fourier features, or linear.
 
-    Minimises ``|w|^2/2 + C * sum max(|y - f(x)| - epsilon, 0)`` by iteratively
-    reweighted normal equations; the best parameters seen are returned as
-    (chain, mapping, weights).
+    Minimises ``|w|^2/2 + C * sum max(|y - f(x)| - epsilon, 0)``; returns
+    (chain, mapping, weights) per fold model.
     """
     if C <= 0 or epsilon < 0:
         raise ModelExecutionError("C must be positive and epsilon non-negative")
-    if kernel not in ("rbf", "linear"):
-        raise ModelExecutionError(f"kernel must be rbf or linear, not {kernel!r}")
-    seed = DEFAULT_SEED if random_state is None else random_state
-    d = len(moments[0].x_mean)
-    mappings = [
-        None if kernel == "linear" else fourier_map(d, kernel_width(gamma, m), n_features, seed)
-        for m in moments
-    ]
-    size = (d if kernel == "linear" else n_features) + 1
-    weights = [np.append(np.zeros(size - 1), m.y_mean) for m in moments]
+    mappings, size = _mappings(moments, kernel, gamma, n_features, random_state)
+    start = [np.append(np.zeros(size - 1), m.y_mean) for m in moments]
     spread = [max(np.sqrt(m.yy / m.n), 1e-12) for m in moments]
-    best = [(np.inf, w) for w in weights]
-    active = [True] * len(moments)
-    for step in range(max_iter):
-        floors = [s * 10.0 ** -min(2 + step / 4, 6) for s in spread]
-        params = [
-            (b, p, w, epsilon, floor)
-            for b, p, w, floor in zip(before, mappings, weights, floors)
-        ]
-        sums = fold_sums(design, _svr_kernel, params, size * size + size + 1)
-        for i, total in enumerate(sums):
-            w = weights[i]
-            value = w[:-1] @ w[:-1] / 2 + C * total[-1]
-            previous = best[i][0]
-            if value < previous:
-                best[i] = (value, w)
-            active[i] = active[i] and (
-                not np.isfinite(previous) or previous - value > tol * abs(previous)
-                or value > previous
-            )
-            a = 2 * C * total[: size * size].reshape(size, size)
-            penalty = np.eye(size)
-            penalty[-1, -1] = 1e-9
-            weights[i] = np.linalg.solve(a + penalty, 2 * C * total[size * size : -1])
-        if not any(active):
-            break
-    return [(b, p, w) for b, p, (_, w) in zip(before, mappings, best)]
+    extra = [epsilon] * len(moments)
+    weights, done = _reweighted(design, _svr_kernel, before, mappings, start, spread, extra, C, max_iter, tol)
+    note_unfinished("svm", done)
+    return list(zip(before, mappings, weights))
 
 
 def predict_svr(x: np.ndarray, param) -> np.ndarray:
@@ -329,6 +375,142 @@ def predict_svr(x: np.ndarray, param) -> np.ndarray:
     return _expand(chain.apply(x), mapping) @ w
 
 
+# -- two classes: support vectors and logistic regression ---------------------------
+
+#: Keeps the slope of a sigmoid at zero where all margins are the same.
+SLOPE_PENALTY = np.array([1e-6, 0.0])
+
+
+def fit_svc(
+    design: DataFrame,
+    moments: list[Moments],
+    before: list[Affine],
+    C: float = 1.0,
+    kernel: str = "rbf",
+    gamma: Any = "scale",
+    n_features: int = FOURIER_FEATURES,
+    max_iter: int = 40,
+    tol: float = 1e-3,
+    random_state: int | None = None,
+    class_weights: list[tuple[float, float]] | None = None,
+    probability: bool = False,
+) -> list[tuple]:
+    """Hinge loss on random Fourier features, or linear, for classes 0 and 1.
+
+    Returns (chain, mapping, weights, sigmoid) per fold model; ``sigmoid`` turns margins
+    into probabilities where they are asked for (Platt 1999): a slope and intercept of
+    least log loss on the training margins, against targets drawn in from 0 and 1.
+    """
+    if C <= 0:
+        raise ModelExecutionError(f"C={C} must be positive")
+    mappings, size = _mappings(moments, kernel, gamma, n_features, random_state)
+    extra = class_weights or [(1.0, 1.0)] * len(moments)
+    start = [np.zeros(size) for _ in moments]
+    spread = [1.0] * len(moments)
+    weights, done = _reweighted(design, _hinge_kernel, before, mappings, start, spread, extra, C, max_iter, tol)
+    note_unfinished("svc", done)
+    sigmoids: list = [None] * len(moments)
+    if probability:
+        ones = [m.n * m.y_mean for m in moments]  # classes are 0 and 1
+        targets = [(1 / (m.n - n + 2), (n + 1) / (n + 2)) for m, n in zip(moments, ones)]
+        margins = list(zip(before, mappings, weights))
+        sigmoids, done = _newton(design, margins, [(1.0, 1.0)] * len(moments), targets, 2, 1.0, SLOPE_PENALTY, 100, 1e-8)
+        note_unfinished("svc probabilities", done)
+    return list(zip(before, mappings, weights, sigmoids))
+
+
+def _logit_kernel(x, y, param):
+    """Curvature, gradient and sum of the log loss of classes 0 and 1. ``inner`` weights
+    make one feature, the margin, of all of them."""
+    (chain, mapping, inner), theta, class_weights, targets = param
+    f = _expand(chain.apply(x), mapping)
+    if inner is not None:
+        f = np.column_stack([f @ inner, np.ones(len(f))])
+    hit = y > 0
+    own = np.where(hit, class_weights[1], class_weights[0])
+    goal = np.where(hit, targets[1], targets[0])
+    z = f @ theta
+    p = np.exp(-np.logaddexp(0, -z))
+    loss = (own * (np.logaddexp(0, z) - goal * z)).sum()
+    return np.concatenate([((f * (own * p * (1 - p))[:, None]).T @ f).ravel(), f.T @ (own * (p - goal)), [loss]])
+
+
+def _newton(
+    design: DataFrame, features: list[tuple], class_weights: list, targets: list, size: int,
+    C: float, penalty: np.ndarray, max_iter: int, tol: float, free: np.ndarray | None = None,
+) -> tuple[list[np.ndarray], bool]:
+    """Minimise ``penalty . theta^2 / 2 + C * log loss`` per fold model by Newton steps,
+    halved while they do not lower it; until no slope exceeds ``tol``. ``free``: which
+    parameters move."""
+    free = np.ones(size, bool) if free is None else free
+    k = len(features)
+    thetas = [np.zeros(size) for _ in range(k)]
+    base, steps = [t.copy() for t in thetas], [np.zeros(size) for _ in range(k)]
+    lowest, settled = [np.inf] * k, [False] * k
+    for _ in range(max_iter):
+        params = list(zip(features, thetas, class_weights, targets))
+        sums = fold_sums(design, _logit_kernel, params, size * size + size + 1)
+        for i, total in enumerate(sums):
+            if settled[i]:
+                continue
+            value = penalty @ thetas[i] ** 2 / 2 + C * total[-1]
+            if value > lowest[i] * (1 + 1e-13):
+                steps[i] = steps[i] / 2
+                settled[i] = np.abs(steps[i]).max() <= 1e-12 * max(np.abs(base[i]).max(), 1e-12)
+                thetas[i] = base[i] if settled[i] else base[i] + steps[i]
+                continue
+            base[i], lowest[i] = thetas[i], value
+            slope = C * total[size * size : -1] + penalty * thetas[i]
+            if np.abs(slope[free]).max() <= tol:
+                settled[i] = True
+                continue
+            curve = C * total[: size * size].reshape(size, size) + np.diag(penalty)
+            curve = curve[np.ix_(free, free)]
+            curve += 1e-12 * max(np.trace(curve) / len(curve), 1e-300) * np.eye(len(curve))
+            steps[i] = np.zeros(size)
+            steps[i][free] = -np.linalg.solve(curve, slope[free])
+            thetas[i] = base[i] + steps[i]
+            if -slope @ steps[i] <= 1e-14 * abs(value):  # a fall that sums cannot show
+                base[i], settled[i] = thetas[i], True
+        if all(settled):
+            break
+    return base, all(settled)
+
+
+def fit_logistic(
+    design: DataFrame,
+    moments: list[Moments],
+    before: list[Affine],
+    C: float = 1.0,
+    penalty: str | None = "l2",
+    fit_intercept: bool = True,
+    max_iter: int = 100,
+    tol: float = 1e-4,
+    class_weights: list[tuple[float, float]] | None = None,
+) -> list[tuple]:
+    """Logistic regression of classes 0 and 1, ``|w|^2/2 + C * log loss`` or the loss
+    alone; (chain, mapping, weights, sigmoid) as ``fit_svc`` has them."""
+    size = len(moments[0].x_mean) + 1
+    ridge = np.append(np.ones(size - 1) if penalty == "l2" else np.zeros(size - 1), 0.0)
+    free = np.ones(size, bool)
+    free[-1] = fit_intercept
+    features = [(b, None, None) for b in before]
+    targets = [(0.0, 1.0)] * len(moments)
+    own = class_weights or [(1.0, 1.0)] * len(moments)
+    thetas, done = _newton(design, features, own, targets, size, C, ridge, max_iter, tol, free)
+    note_unfinished("logreg", done)
+    return [(b, None, t, np.array([1.0, 0.0])) for b, t in zip(before, thetas)]
+
+
+def predict_two_classes(x: np.ndarray, param) -> np.ndarray:
+    """Columns: margin, and the probability of class 1 (NaN where there is none)."""
+    chain, mapping, w, sigmoid = param
+    margin = _expand(chain.apply(x), mapping) @ w
+    if sigmoid is None:
+        return np.column_stack([margin, np.full(len(margin), np.nan)])
+    return np.column_stack([margin, np.exp(-np.logaddexp(0, -(margin * sigmoid[0] + sigmoid[1])))])
+
+
 # -- robust linear regression by gradient steps -------------------------------------
 
 
@@ -376,6 +558,8 @@ def fit_robust_linear(
             weights[i] = new
         if change < tol:
             break
+    else:
+        note_unfinished("sgd", False)
     return [(w[:-1], float(w[-1])) for w in weights]
 
 
@@ -491,6 +675,8 @@ def fit_mlp(
         idle = 0 if improved else idle + 1
         if idle >= n_iter_no_change:
             break
+    else:
+        note_unfinished("mlp", False)
     return [
         (b, theta, sizes, activation, c, s)
         for b, (_, theta), (c, s) in zip(before, best, targets)

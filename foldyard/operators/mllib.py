@@ -90,6 +90,23 @@ def boosted_regressor(params: dict):
     )
 
 
+def class_weights(spec: Any, classes: list, n: Any) -> list[float] | None:
+    """Weight of each class: None, ``balanced`` or label -> weight (1 where absent);
+    ``n`` holds the training rows of each class."""
+    if spec is None:
+        return None
+    if spec == "balanced":
+        present = sum(1 for c in n if c)
+        return [sum(n) / (present * c) if c else 0.0 for c in n]
+    if not isinstance(spec, dict):
+        raise ModelExecutionError(f"class_weight={spec!r} must be 'balanced' or a mapping of labels")
+    named = {str(k): float(v) for k, v in spec.items()}
+    unknown = set(named) - {str(c) for c in classes}
+    if unknown:
+        raise ModelExecutionError(f"class_weight names {sorted(unknown)}, which are no classes of the target")
+    return [named.get(str(c), 1.0) for c in classes]
+
+
 def logistic(params: dict, n_train: float):
     """``C * sum(loss) + |w|^2 / 2`` equals a mean loss with 1 / (C n) penalty."""
     inverse = float(params.get("C", 1.0))

@@ -46,6 +46,7 @@ from .registry import NO_EFFECT
 SCORED_TOGETHER = 16
 WIDE_MAP = 256  # matrix entries up to which a linear map is written as columns
 FIXED_SEED = 0
+NEWTON_FEATURES = 1024  # columns up to which the curvature of all folds is summed in tasks
 #: What a fit or a score may raise for its parameters or data; anything else is a fault
 #: of the program or the session and ends the run.
 MODEL_ERRORS = (ModelExecutionError, ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
@@ -247,6 +248,54 @@ class Engine:
             scored = out_of_fold(prefix.base.design, predict_on_codes, stacked)
         return scored.select("fold", "y", F.get("z", F.lit(0)).alias("p"))
 
+    def _own_weights(self, model: Variant, m: int) -> list[float] | None:
+        """Class weights of fold model m, from its training rows."""
+        n, _ = self.dataset.class_statistics
+        return mllib.class_weights(model.params.get("class_weight"), self.dataset.classes, n.sum(axis=0) - n[m])
+
+    def _solved_here(self, model: Variant) -> bool:
+        """Two classes and a smooth or reweighted loss: all folds share each pass."""
+        two = len(self.dataset.classes) == 2
+        if model.key == "logreg":
+            narrow = self.dataset.d <= NEWTON_FEATURES
+            return two and narrow and model.params.get("penalty", "l2") in ("l2", "none", None)
+        return two and model.key == "svc"
+
+    def _predict_two_classes(self, prefix: Prefix, model: Variant) -> DataFrame:
+        params = _used(model.params, "class_weight", "l1_ratio")
+        if model.key == "logreg":
+            fit, params = it.fit_logistic, {k: v for k, v in params.items() if k != "random_state"}
+            params["penalty"] = None if params.get("penalty", "l2") == "none" else params.get("penalty", "l2")
+            if float(params.get("C", 1.0)) <= 0:
+                raise ModelExecutionError(f"C={params['C']} must be positive")
+        else:
+            fit = it.fit_svc
+            params["probability"] = bool(params.get("probability")) or "neg_log_loss" in self.metrics
+            if params.get("max_iter", 1) == -1:
+                params.pop("max_iter")
+        for m in range(self.dataset.k):
+            self._check_classes(model, m)
+        weights = [self._own_weights(model, m) for m in range(self.dataset.k)]
+        own = None if weights[0] is None else [tuple(w) for w in weights]
+        at = iter(range(self.dataset.k))
+
+        def fold_fit(design, moments, chain):
+            picked = own if own is None or len(moments) == len(own) else [own[next(at)]]
+            return fit(design, moments, chain, class_weights=picked, **params)
+
+        fitted = self._fit_all(prefix, fold_fit)
+        predict = it.predict_two_classes
+        if prefix.bases is None:
+            scored = out_of_fold(prefix.base.design, predict, fitted)
+        else:
+            stacked = [(c, b, p, predict) for c, b, p in zip(prefix.chain, prefix.bases, fitted)]
+            scored = out_of_fold(prefix.base.design, predict_on_codes, stacked)
+        margin, p1 = F.get("z", F.lit(0)), F.nanvl(F.get("z", F.lit(1)), F.lit(None).cast("double"))
+        return scored.select(
+            "fold", "y", (margin > 0).cast("double").alias("p"), margin.alias("score"),
+            F.when(F.col("y") > 0, p1).otherwise(1 - p1).alias("p_true"),
+        )
+
     def _predict_mllib(
         self, prefix: Prefix, model: Variant, m: int, held: list[DataFrame]
     ) -> DataFrame:
@@ -273,6 +322,10 @@ class Engine:
         if model.key == "gbr":
             offset = prefix.moments[m].y_mean
             train = train.withColumn("y", F.col("y") - F.lit(offset))
+        weights = self._own_weights(model, m) if model.key in ("logreg", "svc", "rfc") else None
+        if weights is not None:
+            row_weight = F.get(F.array(*map(F.lit, weights)), F.col("y").cast("int"))
+            train = train.withColumn("row_weight", row_weight)
         estimator = {
             "rf": lambda: mllib.forest_regressor(params),
             "bag": lambda: mllib.bagging_regressor(params),
@@ -282,6 +335,10 @@ class Engine:
             "logreg": lambda: mllib.logistic(params, n_train),
             "svc": lambda: mllib.linear_svc(params, n_train, len(self.dataset.classes)),
         }[model.key]()
+        if weights is not None:
+            if model.key == "svc":
+                raise ModelExecutionError("class_weight of svc needs a two-class target")
+            estimator.setWeightCol("row_weight")
         scored = estimator.fit(train).transform(test)
         p = F.col("prediction") + F.lit(offset)
         if self.task == "regression":
@@ -305,8 +362,8 @@ class Engine:
                 raise ModelExecutionError(f"{binary} need a two-class target")
         elif 1 not in self.dataset.classes and set(self.metrics) & set(M.COUNT_BASES):
             raise ModelExecutionError("pos_label=1 is not a class of the target")
-        if "neg_log_loss" in self.metrics and model.key == "svc":
-            raise ModelExecutionError("svc gives no probabilities for neg_log_loss")
+        if "neg_log_loss" in self.metrics and model.key == "svc" and len(self.dataset.classes) != 2:
+            raise ModelExecutionError("svc gives probabilities of two classes only")
 
     # -- running ---------------------------------------------------------------------
 
@@ -352,6 +409,8 @@ class Engine:
             return function(*args)
 
         submit = inheritable_thread_target(self.spark)(described)
+        if self.task == "classification" and self._solved_here(model):
+            return [pool.submit(submit, self._predict_two_classes, prefix, model)], held
         if model.key in ("svm", "mlp"):
             return [pool.submit(submit, self._predict_iterative, prefix, model)], held
         return [

@@ -47,9 +47,13 @@ TECHNIQUES = {
         "filter": {"none": None, "fscore": {"percentile"}},
         "reduction": _REDUCTION,
         "model": {
-            "logreg": {"C", "penalty", "l1_ratio", "max_iter", "tol", "fit_intercept", "random_state"},
-            "svc": {"kernel", "C", "gamma", "max_iter", "tol", "random_state", "n_features"},
-            "rfc": _FOREST | {"criterion"},
+            "logreg": {
+                "C", "penalty", "l1_ratio", "max_iter", "tol", "fit_intercept", "random_state", "class_weight",
+            },
+            "svc": {
+                "kernel", "C", "gamma", "max_iter", "tol", "random_state", "n_features", "class_weight", "probability",
+            },
+            "rfc": _FOREST | {"criterion", "class_weight"},
             "bagc": _BAGGING,
         },
     },

@@ -3,6 +3,7 @@ import pytest
 
 from foldyard.errors import ModelExecutionError
 from foldyard.operators import iterative as it
+from foldyard.operators import mllib
 from foldyard.operators.features import Affine
 from foldyard.operators.linear import penalised_least_squares
 from foldyard.operators.moments import fold_moments_design, train_moments
@@ -141,3 +142,80 @@ def test_huber_ignores_outliers(spark):
         design, moments, [Affine.identity(1)] * K, "huber", 1e-6, 0.5
     ):
         assert beta[0] == pytest.approx(2, abs=0.1) and intercept == pytest.approx(1, abs=0.15)
+
+
+@pytest.fixture(scope="module")
+def halves(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(N, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=N) > 0.8).astype(float)
+    fold = rng.integers(0, K, N)
+    design = _design(spark, x, y, fold)
+    return design, train_moments(fold_moments_design(design, K, np.zeros(3))), x, y, fold
+
+
+@pytest.mark.parametrize("penalty, intercept", [("l2", True), ("l2", False), (None, True)])
+def test_logistic_slopes_vanish_at_the_weights(halves, penalty, intercept):
+    design, moments, x, y, fold = halves
+    own = [(1.0, 3.0)] * K
+    fitted = it.fit_logistic(
+        design, moments, [Affine.identity(2)] * K, C=0.05, penalty=penalty, fit_intercept=intercept, class_weights=own
+    )
+    for m, (_, _, w, _) in enumerate(fitted):
+        f, goal = np.column_stack([x, np.ones(N)])[fold != m], y[fold != m]
+        p = 1 / (1 + np.exp(-(f @ w)))
+        slope = 0.05 * f.T @ (np.where(goal > 0, 3.0, 1.0) * (p - goal)) + (penalty == "l2") * np.append(w[:-1], 0)
+        assert np.abs(slope[: 2 + intercept]).max() <= 1e-4
+        assert intercept or w[-1] == 0
+
+
+def test_hinge_reaches_the_minimum_of_its_objective(halves):
+    design, moments, x, y, fold = halves
+    (_, _, w, sigmoid), *_ = it.fit_svc(
+        design, moments, [Affine.identity(2)] * K, kernel="linear", max_iter=80, tol=1e-7, probability=True
+    )
+    f, s = np.column_stack([x, np.ones(N)])[fold != 0], 2 * y[fold != 0] - 1
+
+    def objective(v):
+        return v[:-1] @ v[:-1] / 2 + np.maximum(1 - s * (f @ v), 0).sum()
+
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        assert objective(w + rng.normal(size=3) * 10 ** rng.uniform(-4, 0)) >= objective(w) * (1 - 1e-4)
+    z = (f @ w) * sigmoid[0] + sigmoid[1]
+    p = 1 / (1 + np.exp(-z))
+    assert abs(p.mean() - (s > 0).mean()) < 0.01  # the intercept balances the sigmoid
+    edges = np.quantile(p, [0, 0.25, 0.5, 0.75, 1])
+    for low, high in zip(edges, edges[1:]):
+        inside = (p >= low) & (p <= high)
+        assert abs(p[inside].mean() - (s[inside] > 0).mean()) < 0.08
+
+
+def test_constant_margins_have_the_share_of_the_class_as_probability(spark):
+    rng = np.random.default_rng(2)
+    y, fold = (rng.random(N) < 0.2).astype(float), rng.integers(0, K, N)
+    design = _design(spark, np.zeros((N, 1)), y, fold)
+    moments = train_moments(fold_moments_design(design, K, np.zeros(2)))
+    fitted = it.fit_svc(design, moments, [Affine.identity(1)] * K, kernel="linear", probability=True)
+    for m, param in enumerate(fitted):
+        p = it.predict_two_classes(np.zeros((1, 1)), param)[0, 1]
+        assert abs(p - y[fold != m].mean()) < 0.01
+
+
+def test_fits_that_stop_early_warn(halves):
+    design, moments, *_ = halves
+    with pytest.warns(it.UnfinishedFit, match="svc"):
+        it.fit_svc(design, moments, [Affine.identity(2)] * K, kernel="linear", max_iter=2)
+    with pytest.warns(it.UnfinishedFit, match="mlp"):
+        it.fit_mlp(design, moments, [Affine.identity(2)] * K, (2,), max_iter=1)
+
+
+def test_class_weights():
+    assert mllib.class_weights(None, ["a", "b"], [3, 1]) is None
+    assert mllib.class_weights("balanced", ["a", "b"], [3, 1]) == [4 / 6, 2.0]
+    assert mllib.class_weights("balanced", ["a", "b", "c"], [3, 1, 0]) == [4 / 6, 2.0, 0.0]
+    assert mllib.class_weights({"b": 2}, ["a", "b"], [3, 1]) == [1.0, 2.0]
+    assert mllib.class_weights({"1": 5}, [0, 1], [3, 1]) == [1.0, 5.0]
+    for bad in ("even", {"z": 1}):
+        with pytest.raises(ModelExecutionError):
+            mllib.class_weights(bad, ["a", "b"], [3, 1])

@@ -297,14 +297,22 @@ def test_classification_with_grouped_text_labels(spark, tmp_path):
         "output": {},
     }
     results = fy.benchmark(spark, config, "classification")
-    failed = results.failed.collect()
-    assert {r["model"] for r in failed} == {"svc"}  # no probabilities
+    assert results.failed.isEmpty()
+    assert results.detailed.where("model = 'svc' and not neg_log_loss between -1 and 0").isEmpty()
     best = results.ranking.first()
     assert best["filter"] == "none" and best["f1_macro"] > 0.9
     assert results.detailed.where("model = 'logreg' and filter = 'none' and roc_auc < 0.95").isEmpty()
     config["evaluation"] = {"metrics": ["accuracy"], "primary_metric": "accuracy"}
     config["search"] = search(scale=("std",), model=("svc",), svc={"max_iter": 20, "n_features": 64})
     assert fy.benchmark(spark, config, "classification").ranking.first()["accuracy"] > 0.8
+    weights = {"class_weight": {"yes": 20}}
+    config["search"] = search(model=("logreg", "svc", "rfc"), logreg=weights, svc=weights, rfc={**weights, "max_depth": 3})
+    config["evaluation"] = {"metrics": ["recall_macro", "accuracy"], "primary_metric": "accuracy"}
+    weighed = fy.benchmark(spark, config, "classification")
+    assert weighed.failed.isEmpty() and weighed.detailed.count() == 12
+    config["search"] = search(model=("logreg",), logreg={"class_weight": {"maybe": 2}})
+    with pytest.raises(ConfigDataError, match="no classes of the target"):
+        fy.benchmark(spark, config, "classification")
 
 
 def test_logistic_gradient_is_zero_at_the_optimum(spark):
