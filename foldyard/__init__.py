@@ -9,6 +9,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from .errors import ConfigDataError, ModelExecutionError  # noqa: E402
 from .plans.api import Prepared, benchmark, plan, prepare  # noqa: E402
+from .plans.registry import register  # noqa: E402
 from .plans.report import Results  # noqa: E402
 
 __all__ = [
@@ -19,4 +20,5 @@ __all__ = [
     "benchmark",
     "plan",
     "prepare",
+    "register",
 ]

@@ -1,8 +1,9 @@
 """Scores as aggregates over a predictions relation.
 
 Predictions carry ``experiment_id``, ``fold``, ``y``, ``p`` and, for classification,
-``score`` (higher means the positive class) and ``p_true`` (probability given to the
-true class), null when the model has none. The result has one row per
+``score`` (higher means the positive class), ``p_true`` (probability given to the true
+class) and ``probs`` (those of all classes, by class number), null when the model has
+none. The result has one row per
 (experiment_id, fold) and one double per metric; larger is always better.
 """
 
@@ -18,7 +19,11 @@ from ..errors import ConfigDataError
 from ..operators.order_stats import rank_thresholds
 
 KEYS = ["experiment_id", "fold"]
-SCORE_RANGES = 256
+#: Score ranges of a ranking: one for so many rows, within these limits.
+RANGE_ROWS = 200_000
+SCORE_RANGES = (16, 1024)
+#: Classes that a hit of ``top_k_accuracy`` may stand among.
+TOP_K = 2
 EPSILON = 2.220446049250313e-16
 
 # Names accepted in [evaluation].metrics, per task.
@@ -44,11 +49,21 @@ CLASSIFICATION_METRICS = (
     "roc_auc",
     "average_precision",
     "neg_log_loss",
+    "neg_brier_score",
+    "top_k_accuracy",
+    "roc_auc_ovr",
+    "roc_auc_ovr_weighted",
+    "roc_auc_ovo",
+    "roc_auc_ovo_weighted",
     *COUNT_BASES,
     *(f"{base}_{average}" for base in COUNT_BASES for average in COUNT_AVERAGES),
 )
 BINARY_ONLY = (*COUNT_BASES, "roc_auc", "average_precision")
 RANK_METRICS = ("roc_auc", "average_precision")
+LOSS_METRICS = ("neg_log_loss", "neg_brier_score", "top_k_accuracy")
+PAIR_METRICS = ("roc_auc_ovr", "roc_auc_ovr_weighted", "roc_auc_ovo", "roc_auc_ovo_weighted")
+#: Metrics that need the probabilities of all classes.
+PROBABILITY_METRICS = ("neg_brier_score", "top_k_accuracy", *PAIR_METRICS)
 
 
 def check_metrics(task: str, metrics: list[str]) -> None:
@@ -63,9 +78,10 @@ def passes(task: str, metrics: list[str]) -> int:
     if task == "regression":
         return 4 if "neg_median_absolute_error" in metrics else 1
     ranked = any(m in RANK_METRICS for m in metrics)
-    losses = "neg_log_loss" in metrics
-    counted = any(m not in (*RANK_METRICS, "neg_log_loss") for m in metrics)
-    return 3 * ranked + losses + counted
+    against = {m.removesuffix("_weighted") for m in metrics if m in PAIR_METRICS}
+    losses = any(m in LOSS_METRICS for m in metrics)
+    counted = any(m not in (*RANK_METRICS, *LOSS_METRICS, *PAIR_METRICS) for m in metrics)
+    return 3 * ranked + 3 * len(against) + losses + counted
 
 
 # -- regression ----------------------------------------------------------------------
@@ -193,31 +209,35 @@ def _count_aggregate(name: str, positive: float) -> Column:
     return _ratio(base, F.sum(tp), F.sum(s), F.sum(q))
 
 
-def _ranked_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
-    """Area under the ROC curve and average precision from running class counts.
+def _ranked_scores(predictions: DataFrame, metrics: list[str], keys: list[str] = KEYS) -> DataFrame:
+    """Area under the ROC curve and average precision per ``keys``, and the rows ``n``,
+    from running class counts.
 
     Equal scores are combined in the map tasks, so a score shared by many rows is one
     row. Running counts are taken inside score ranges of similar size and shifted by
     the totals of the higher ranges; no window spans a whole fold.
     """
     positive, negative = F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)
-    shares = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    edges = predictions.agg(F.percentile_approx("score", shares)).first()[0] or []
+    low, high = SCORE_RANGES
+    shares = [i / high for i in range(1, high)]
+    rows, edges = predictions.agg(F.count("*"), F.percentile_approx("score", shares)).first()
+    ranges = min(max(rows // RANGE_ROWS, low), high)
+    edges = (edges or [])[:: high // ranges]
     inf = float("inf")
     scored = Bucketizer(
         splits=[-inf, *(sorted(set(edges)) or [0.0]), inf], inputCol="score", outputCol="part"
-    ).transform(predictions.select(*KEYS, "y", "score"))
-    points = scored.groupBy(*KEYS, "part", "score").agg(
+    ).transform(predictions.select(*keys, "y", "score"))
+    points = scored.groupBy(*keys, "part", "score").agg(
         positive.alias("pos"), negative.alias("neg")
     )
-    totals = scored.groupBy(*KEYS, "part").agg(
+    totals = scored.groupBy(*keys, "part").agg(
         positive.alias("part_pos"), negative.alias("part_neg")
     )
-    ranges = Window.partitionBy(*KEYS).orderBy(F.desc("part"))  # <= SCORE_RANGES rows
+    ranges = Window.partitionBy(*keys).orderBy(F.desc("part"))  # a row a range
     above = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*KEYS)
+    whole = Window.partitionBy(*keys)
     totals = totals.select(
-        *KEYS,
+        *keys,
         "part",
         F.coalesce(F.sum("part_pos").over(above), F.lit(0)).alias("above_pos"),
         F.coalesce(F.sum("part_neg").over(above), F.lit(0)).alias("above_neg"),
@@ -225,14 +245,14 @@ def _ranked_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
         F.sum("part_neg").over(whole).alias("all_neg"),
     )
     inside = (
-        Window.partitionBy(*KEYS, "part")
+        Window.partitionBy(*keys, "part")
         .orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     points = (
         points.withColumn("run_pos", F.sum("pos").over(inside))
         .withColumn("run_neg", F.sum("neg").over(inside))
-        .join(totals, [*KEYS, "part"])
+        .join(totals, [*keys, "part"])
     )
     reached_pos = F.col("above_pos") + F.col("run_pos")  # positives at this score or higher
     reached_neg = F.col("above_neg") + F.col("run_neg")
@@ -249,7 +269,66 @@ def _ranked_scores(predictions: DataFrame, metrics: list[str]) -> DataFrame:
             F.max("all_pos") > 0, F.sum(F.col("pos") * precision) / F.max("all_pos")
         ).otherwise(0.0),
     }
-    return points.groupBy(*KEYS).agg(*[columns[m].alias(m) for m in metrics])
+    n = (F.max("all_pos") + F.max("all_neg")).alias("n")
+    return points.groupBy(*keys).agg(*[columns[m].alias(m) for m in metrics], n)
+
+
+def _class_against_rest(predictions: DataFrame, wanted: list[str]) -> DataFrame:
+    """Area under the curve of each class's probability against all others, averaged over
+    the classes, evenly or by their rows. Null where a class has no row in the fold."""
+    rows = predictions.select(*KEYS, "y", F.posexplode("probs").alias("c", "score"))
+    hits = rows.withColumn("y", (F.col("y") == F.col("c")).cast("int"))
+    areas = _ranked_scores(hits, ["roc_auc"], [*KEYS, "c"])
+    sizes = hits.groupBy(*KEYS, "c").agg(F.sum("y").alias("own"))
+    return _mean_area(areas.join(sizes, [*KEYS, "c"]), wanted, "roc_auc_ovr", F.col("own"))
+
+
+def _class_against_class(predictions: DataFrame, wanted: list[str]) -> DataFrame:
+    """For each pair of classes the mean of both areas under the curve, each class's
+    probability ranking the rows of the two; averaged over pairs, evenly or by rows. Null
+    where a class has no row in the fold.
+
+    A row takes part once for its own class's probability against each other class, and
+    once for each other class's probability against its own.
+    """
+    own = F.col("y").cast("int")
+    rows = predictions.select(*KEYS, own.alias("own"), "probs", F.posexplode("probs").alias("other", "p"))
+    rows = rows.where(F.col("own") != F.col("other"))
+    first, second = F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
+    sides = F.array(
+        F.struct(F.col("own").alias("by"), F.get("probs", F.col("own")).alias("score"), F.lit(1).alias("y")),
+        F.struct(F.col("other").alias("by"), F.col("p").alias("score"), F.lit(0).alias("y")),
+    )
+    exploded = rows.select(*KEYS, first, second, F.inline(sides))
+    areas = _ranked_scores(exploded, ["roc_auc"], [*KEYS, "first", "second", "by"])
+    full = F.when(F.count("roc_auc") == 2, F.avg("roc_auc")).alias("roc_auc")
+    pairs = areas.groupBy(*KEYS, "first", "second").agg(full, F.max("n").alias("n"))
+    classes = predictions.groupBy(*KEYS).agg(F.max(F.size("probs")).alias("classes"))
+    # A pair none of whose rows stand in the fold is missing: the number of pairs tells.
+    return _mean_area(pairs.join(classes, KEYS), wanted, "roc_auc_ovo", F.col("n"), F.max("classes") * (F.max("classes") - 1) / 2)
+
+
+def _mean_area(areas: DataFrame, wanted: list[str], name: str, weight: Column, expected: Column | None = None) -> DataFrame:
+    complete = F.count("roc_auc") == (F.count("*") if expected is None else expected)
+    columns = {
+        name: F.when(complete, F.avg("roc_auc")),
+        f"{name}_weighted": F.when(complete, F.sum(F.col("roc_auc") * weight) / F.sum(weight)),
+    }
+    return areas.groupBy(*KEYS).agg(*[columns[m].alias(m) for m in wanted])
+
+
+def _loss_aggregate(name: str) -> Column:
+    if name == "neg_log_loss":
+        p = F.least(F.greatest(F.col("p_true"), F.lit(EPSILON)), F.lit(1 - EPSILON))
+        return F.avg(F.log(p))
+    probs, own = F.col("probs"), F.col("y").cast("int")
+    if name == "neg_brier_score":
+        gaps = F.transform(probs, lambda p, c: F.pow(p - (c == own).cast("int"), F.lit(2)))
+        total = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
+        return -F.avg(F.when(F.size(probs) == 2, total / 2).otherwise(total))
+    mine = F.get(probs, own)
+    above = F.size(F.filter(probs, lambda p, c: (p > mine) | ((p == mine) & (c > own))))
+    return F.avg((above < TOP_K).cast("int"))
 
 
 def classification_scores(
@@ -257,16 +336,20 @@ def classification_scores(
 ) -> DataFrame:
     """Scores per experiment and fold; ``positive`` is the label that counts as hit."""
     ranked = [m for m in metrics if m in RANK_METRICS]
-    counted = [m for m in metrics if m not in (*RANK_METRICS, "neg_log_loss")]
+    losses = [m for m in metrics if m in LOSS_METRICS]
+    counted = [m for m in metrics if m not in (*RANK_METRICS, *LOSS_METRICS, *PAIR_METRICS)]
     parts = []
     if counted:
         aggregates = [_count_aggregate(m, positive).alias(m) for m in counted]
         parts.append(label_counts(predictions).groupBy(*KEYS).agg(*aggregates))
-    if "neg_log_loss" in metrics:
-        p = F.least(F.greatest(F.col("p_true"), F.lit(EPSILON)), F.lit(1 - EPSILON))
-        parts.append(predictions.groupBy(*KEYS).agg(F.avg(F.log(p)).alias("neg_log_loss")))
+    if losses:
+        parts.append(predictions.groupBy(*KEYS).agg(*[_loss_aggregate(m).alias(m) for m in losses]))
     if ranked:
         parts.append(_ranked_scores(predictions, ranked))
+    for prefix, scorer in (("roc_auc_ovr", _class_against_rest), ("roc_auc_ovo", _class_against_class)):
+        wanted = [m for m in metrics if m.startswith(prefix)]
+        if wanted:
+            parts.append(scorer(predictions, wanted))
     scores = reduce(lambda a, b: a.join(b, KEYS), parts)
     return scores.select(*KEYS, *metrics)
 

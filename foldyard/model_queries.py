@@ -9,16 +9,33 @@ that they check is the general one.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from .operators import iterative as it
 from .operators.features import Affine
 from .operators.folds import FOLD_ID, PartitionSpec, random_folds
 from .operators.sums import fold_sums
+from .plans.api import run_experiments
 from .plans.dataset import Dataset
 from .plans.experiments import expand
-from .plans.api import run_experiments
-from .queries import FEATURES, K, LINE_KEY, METRICS, _search, keyed_fold_sql, models_sql, query, table
+from .plans.progress import Progress
+from .plans.registry import register
+from .queries import (
+    K,
+    LINE_KEY,
+    METRICS,
+    PLS_COMBOS,
+    PLS_SEARCH,
+    _search,
+    keyed_fold_sql,
+    lineitem_dataset,
+    models_sql,
+    pls1_sql,
+    query,
+    table,
+)
+from .session import scratch_path
 
 
 def _base_sql(y: str, **features: str) -> str:
@@ -329,3 +346,52 @@ def nmf_rank1_cv_scores(spark, sf_dir):
         reduction=("nmf",), nmf={"n_components": 1, "tol": 1e-13}, pls={"n_components": 1},
     )
     return _detailed(spark, data, "regression", search, METRICS, RMSE_DIGITS)
+
+
+# -- techniques of the user, runs that continue ------------------------------------------
+
+
+def _centred(moments, shrink=1.0):
+    return Affine.centred(moments.x_mean, shrink * np.eye(len(moments.x_mean)))
+
+
+def _ordinary(regParam=0.0):
+    return LinearRegression(featuresCol="z", labelCol="y", solver="normal", regParam=regParam, standardization=False)
+
+
+@query(
+    f"""WITH {_base_sql("l_extendedprice", x="l_quantity")},
+    st AS (SELECT m, avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(x, y) AS c,
+        stddev_samp(y) AS s FROM models JOIN base ON fold <> m GROUP BY m),
+    ridge(experiment_id, r) AS (VALUES (1, 0.0), (2, 4.0)),
+    scored AS (SELECT experiment_id, m, y, my + 0.5 * (x - mx) * (0.5 * c) / (0.25 * v + r / s) AS p
+      FROM base JOIN st ON fold = m, ridge)
+    SELECT experiment_id, m AS fold, round(-sqrt(avg((y - p) ** 2)), 4) AS neg_root_mean_squared_error,
+      round(1 - avg((y - p) ** 2) / var_pop(y), 6) AS r2 FROM scored GROUP BY experiment_id, m"""
+)
+def custom_techniques(spark, sf_dir):
+    """A scaling step and a Spark ML estimator that the user registers (the estimator
+    divides its penalty by the deviation of the target)."""
+    register("regression", "scale", "half_centred", _centred, ["shrink"], cost=1.01)
+    register("regression", "model", "ordinary", _ordinary, ["regParam"], cost=1.1)
+    data = _data(spark, sf_dir, "regression", "l_extendedprice", x="l_quantity")
+    search = _search(
+        scale=("half_centred",), model=("ordinary",), half_centred={"shrink": 0.5}, ordinary={"regParam": [0.0, 4.0]}
+    )
+    results = run_experiments(spark, data, "regression", expand("regression", {"search": search}), METRICS, METRICS[0])
+    return results.detailed.select("experiment_id", "fold", *(F.round(m, RMSE_DIGITS.get(m, 6)).alias(m) for m in METRICS))
+
+
+@query(
+    f"""WITH {pls1_sql()}, {PLS_COMBOS}
+    SELECT experiment_id, m AS fold, round(r2, 6) AS r2 FROM combos JOIN scores USING (variant)"""
+)
+def resumed_run(spark, sf_dir):
+    """A run whose first two experiments had ended before it was stopped."""
+    experiments = expand("regression", {"search": PLS_SEARCH})
+    progress = Progress(spark, f"{scratch_path(spark)}/progress", sf_dir)
+    for part in (experiments[:2], experiments):
+        data = lineitem_dataset(spark, sf_dir)
+        results = run_experiments(spark, data, "regression", part, METRICS, METRICS[0], progress=progress)
+        data.release()
+    return results.detailed.select("experiment_id", "fold", F.round("r2", 6).alias("r2"))

@@ -18,6 +18,7 @@ from ..sources.sinks import FanOutSink, ParquetSink, ReportSink, Sink, save_prep
 from ..sources.tables import align_folds, project, read_folds, read_metadata, read_table
 from .dataset import Dataset, check_numeric, spread_arrays
 from .engine import Engine
+from .progress import Progress
 from .experiments import (
     Experiment,
     expand,
@@ -280,9 +281,20 @@ def run_experiments(
     primary: str,
     parallelism: int = DEFAULT_PARALLELISM,
     facts: dict[str, Any] | None = None,
+    progress: Progress | None = None,
 ) -> Results:
-    """Fit and score the experiments and shape the result relations."""
-    detailed, failed = Engine(dataset, task, metrics, parallelism).run(experiments)
+    """Fit and score the experiments and shape the result relations.
+
+    With ``progress`` they run a few at a time; each few's rows are appended to its table,
+    and experiments whose rows it has are not run again.
+    """
+    engine = Engine(dataset, task, metrics, parallelism)
+    if progress is None:
+        detailed, failed = engine.run(experiments)
+    else:
+        profile = dataset.profile
+        run = progress.named([task, metrics, profile.rows, profile.folds, dataset.d, list(map(str, dataset.classes))])
+        detailed, failed = run.complete(engine, experiments)
     known = {
         "task": task,
         "primary_metric": primary,
@@ -303,6 +315,10 @@ def benchmark(
 ) -> Results | DataFrame:
     """Run the configured comparison; with ``dry_run`` return its plan instead.
 
+    With ``[output].resume`` finished experiments are kept in that folder as they end, and
+    a run that was stopped continues from there; the folder serves any number of runs,
+    told apart by input, metrics and data size.
+
     ``data`` replaces ``[input].data_path``. Results go to ``sink``, or to
     ``[output].dir`` when that is set (plus text tables with ``report = true``).
     """
@@ -315,6 +331,7 @@ def benchmark(
         results = run_experiments(
             spark, dataset, task, experiments, metrics, primary, parallelism,
             {"report_enabled": bool(output.get("report", False))},
+            Progress(spark, str(output["resume"]), section(config, "input")) if output.get("resume") else None,
         )
     finally:
         dataset.release()

@@ -41,7 +41,7 @@ from ..operators.mutual_info import train_mutual_info
 from ..operators.sums import apply_rows, out_of_fold
 from .dataset import Dataset
 from .experiments import Experiment, Variant
-from .registry import NO_EFFECT
+from .registry import NO_EFFECT, added
 
 SCORED_TOGETHER = 16
 WIDE_MAP = 256  # matrix entries up to which a linear map is written as columns
@@ -153,16 +153,25 @@ class Engine:
             chain = [c.then(s) for c, s in zip(chain, steps)]
             moments = [m.mapped(s.weights, s.offset) for m, s in zip(moments, steps)]
 
+        def advance_added(step: str, chosen: Variant) -> bool:
+            builder = added(self.task, step, chosen.key)
+            if builder:
+                advance([builder(m, **chosen.params) for m in moments])
+            return builder is not None
+
         if scale.key == "std":
             params = _used(scale.params)
             advance([standardise(m, **params) for m in moments])
-        if filt.key != "none":
+        else:
+            advance_added("scale", scale)
+        if filt.key != "none" and not advance_added("filter", filt):
             percentile = filt.params.get("percentile", 10)
             scores = self.filter_scores(base, filt.key)
             kept = [keep_percentile(s, percentile) for s in scores]
             if not all(len(keep) for keep in kept):
                 raise ModelExecutionError("the filter keeps no feature")
             advance([take(keep, base.d) for keep in kept])
+        advance_added("reduction", reduction)
         params = _used(reduction.params, "svd_solver", "algorithm", "init")
         if reduction.key == "pca":
             params.pop("random_state", None)
@@ -270,7 +279,8 @@ class Engine:
                 raise ModelExecutionError(f"C={params['C']} must be positive")
         else:
             fit = it.fit_svc
-            params["probability"] = bool(params.get("probability")) or "neg_log_loss" in self.metrics
+            asked = "neg_log_loss" in self.metrics or self._wants_probs()
+            params["probability"] = bool(params.get("probability")) or asked
             if params.get("max_iter", 1) == -1:
                 params.pop("max_iter")
         for m in range(self.dataset.k):
@@ -294,6 +304,7 @@ class Engine:
         return scored.select(
             "fold", "y", (margin > 0).cast("double").alias("p"), margin.alias("score"),
             F.when(F.col("y") > 0, p1).otherwise(1 - p1).alias("p_true"),
+            *([F.when(p1.isNotNull(), F.array(1 - p1, p1)).alias("probs")] if self._wants_probs() else []),
         )
 
     def _predict_mllib(
@@ -326,7 +337,8 @@ class Engine:
         if weights is not None:
             row_weight = F.get(F.array(*map(F.lit, weights)), F.col("y").cast("int"))
             train = train.withColumn("row_weight", row_weight)
-        estimator = {
+        builder = added(self.task, "model", model.key)
+        estimator = builder(**params) if builder else {
             "rf": lambda: mllib.forest_regressor(params),
             "bag": lambda: mllib.bagging_regressor(params),
             "gbr": lambda: mllib.boosted_regressor(params),
@@ -350,7 +362,14 @@ class Engine:
             if has_probability
             else F.lit(None).cast("double")
         )
-        return scored.select("fold", "y", p.alias("p"), raw.alias("score"), probability.alias("p_true"))
+        probs = vector_to_array("probability") if has_probability else F.lit(None).cast("array<double>")
+        return scored.select(
+            "fold", "y", p.alias("p"), raw.alias("score"), probability.alias("p_true"),
+            *([probs.alias("probs")] if self._wants_probs() else []),
+        )
+
+    def _wants_probs(self) -> bool:
+        return any(m in M.PROBABILITY_METRICS for m in self.metrics)
 
     def _check_classes(self, model: Variant, m: int) -> None:
         n, _ = self.dataset.class_statistics
@@ -362,8 +381,9 @@ class Engine:
                 raise ModelExecutionError(f"{binary} need a two-class target")
         elif 1 not in self.dataset.classes and set(self.metrics) & set(M.COUNT_BASES):
             raise ModelExecutionError("pos_label=1 is not a class of the target")
-        if "neg_log_loss" in self.metrics and model.key == "svc" and len(self.dataset.classes) != 2:
-            raise ModelExecutionError("svc gives probabilities of two classes only")
+        needed = [x for x in self.metrics if x == "neg_log_loss" or x in M.PROBABILITY_METRICS]
+        if needed and model.key == "svc" and len(self.dataset.classes) != 2:
+            raise ModelExecutionError(f"{needed} need probabilities; svc gives those of two classes only")
 
     # -- running ---------------------------------------------------------------------
 

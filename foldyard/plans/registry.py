@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from typing import Any
+
 from ..errors import ConfigDataError
 
 STEPS = ("scale", "filter", "reduction", "model")
@@ -72,12 +75,44 @@ COST = {
 UNKNOWN_COST = {"model": 1.5, "reduction": 1.1, "scale": 1.02, "filter": 1.03}
 
 
+#: Techniques that users have added: (task, step, key) -> builder.
+ADDED: dict[tuple[str, str, str], Callable] = {}
+ANY = frozenset({"*"})
+
+
+def register(
+    task: str, step: str, key: str, builder: Callable, parameters: Iterable[str] | None = None, cost: float | None = None
+) -> None:
+    """Add a technique to a step of a task's search space, for the whole program.
+
+    A model's builder takes its parameters and returns a Spark ML estimator that reads
+    ``z`` (vector) and ``y`` and writes ``prediction``; its training rows and test rows
+    are those of any other model. The builder of an earlier step takes the ``Moments`` of
+    the training rows of one fold model, and its parameters, and returns the ``Affine``
+    map that the step is. ``parameters`` are the names a search may set (None: any),
+    ``cost`` the weight in plans.
+    """
+    if task not in TECHNIQUES or step not in STEPS:
+        raise ConfigDataError(f"Techniques belong to a task and one of {STEPS}, not {task!r}, {step!r}")
+    known = TECHNIQUES[task][step]
+    if key in known and (task, step, key) not in ADDED:
+        raise ConfigDataError(f"{step} technique {key!r} exists already")
+    TECHNIQUES[task][step] = {**known, key: ANY if parameters is None else set(parameters)}
+    ADDED[task, step, key] = builder
+    if cost is not None:
+        COST[step][key] = float(cost)
+
+
+def added(task: str, step: str, key: str) -> Callable[..., Any] | None:
+    return ADDED.get((task, step, key))
+
+
 def check_technique(task: str, step: str, key: str, params: dict) -> None:
     """Unknown names are rejected before any job; bad values fail their combination."""
     known = TECHNIQUES[task][step]
     if key not in known:
         raise ConfigDataError(f"Unknown {step} technique: {key}")
-    if known[key] is None:
+    if known[key] is None or known[key] == ANY:
         return
     unknown = set(params) - known[key] - NO_EFFECT
     if unknown:

@@ -988,6 +988,57 @@ def metric_roc_auc(spark, sf_dir):
     return scored.select(*M.KEYS, *[F.round(m, 8).alias(m) for m in wanted])
 
 
+PROBABILITIES = ["neg_brier_score", "top_k_accuracy", *M.PAIR_METRICS]
+
+
+def _four_probabilities() -> str:
+    """Odds of four classes, the true one raised for most rows; many ties."""
+    odds = [f"(1 + (o_orderkey * {c + 3}) % 7 + CASE WHEN o_custkey % 4 = {c} THEN o_orderkey % 5 ELSE 0 END)" for c in range(4)]
+    total = " + ".join(odds)
+    return ", ".join(f"CAST({o} AS DOUBLE) / ({total})" for o in odds)
+
+
+@query(
+    f"""WITH p AS (SELECT {random_fold_sql("o_orderkey", K)} AS fold, o_custkey % 4 AS y,
+      [{_four_probabilities()}] AS probs FROM orders),
+    long AS (SELECT fold, y, c, probs[c + 1] AS score FROM p, range(4) t(c)),
+    against AS (SELECT fold, 'r' AS form, c AS ca, c AS cb, c AS ranker, score, (y = c)::INT AS hit FROM long
+      UNION ALL SELECT fold, 'o', least(l.c, o.c), greatest(l.c, o.c), l.c, score, (y = l.c)::INT
+      FROM long l JOIN range(4) o(c) ON l.c <> o.c AND (l.y = l.c OR l.y = o.c)),
+    points AS (SELECT fold, form, ca, cb, ranker, score, sum(hit)::DOUBLE AS pos, sum(1 - hit)::DOUBLE AS neg
+      FROM against GROUP BY ALL),
+    run AS (SELECT *, sum(neg) OVER (w ORDER BY score) AS below, sum(pos) OVER w AS np, sum(neg) OVER w AS nn
+      FROM points WINDOW w AS (PARTITION BY fold, form, ca, cb, ranker)),
+    areas AS (SELECT fold, form, ca, cb, ranker, sum(pos * (below - neg / 2)) / max(np * nn) AS auc,
+      max(np) AS own, max(np) + max(nn) AS n FROM run GROUP BY ALL),
+    pairs AS (SELECT fold, form, avg(auc) AS auc, max(CASE WHEN form = 'r' THEN own ELSE n END) AS w
+      FROM areas GROUP BY fold, form, ca, cb),
+    means AS (SELECT fold, avg(auc) FILTER (WHERE form = 'r') AS ovr,
+      sum(auc * w) FILTER (WHERE form = 'r') / sum(w) FILTER (WHERE form = 'r') AS ovr_w,
+      avg(auc) FILTER (WHERE form = 'o') AS ovo,
+      sum(auc * w) FILTER (WHERE form = 'o') / sum(w) FILTER (WHERE form = 'o') AS ovo_w
+      FROM pairs GROUP BY fold),
+    plain AS (SELECT fold, -avg(list_sum(list_transform(probs, lambda v, i: (v - (i = y + 1)::INT) ** 2))) AS brier,
+      avg((len(list_filter(list_transform(probs, lambda v, i: v > probs[y + 1] OR (v = probs[y + 1] AND i > y + 1)),
+        lambda b: b)) < 2)::INT) AS top FROM p GROUP BY fold)
+    SELECT 1 AS experiment_id, fold, round(brier, 8) AS neg_brier_score, round(top, 8) AS top_k_accuracy,
+      round(ovr, 8) AS roc_auc_ovr, round(ovr_w, 8) AS roc_auc_ovr_weighted,
+      round(ovo, 8) AS roc_auc_ovo, round(ovo_w, 8) AS roc_auc_ovo_weighted
+    FROM means JOIN plain USING (fold)"""
+)
+def metric_cls_probabilities(spark, sf_dir):
+    """Metrics of the probabilities of four classes."""
+    folded = random_folds(_orders(spark, sf_dir), PartitionSpec(n_splits=K))
+    predictions = folded.select(
+        F.lit(1).alias("experiment_id"),
+        F.col(FOLD_ID).alias("fold"),
+        (F.col("o_custkey") % 4).cast("double").alias("y"),
+        F.expr(f"array({_four_probabilities()})").alias("probs"),
+    )
+    scored = M.classification_scores(predictions, PROBABILITIES)
+    return scored.select(*M.KEYS, *[F.round(m, 8).alias(m) for m in PROBABILITIES])
+
+
 # -- parameters, experiments, plan ---------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldyard.errors import ConfigDataError
 from foldyard.functions import metrics as M
@@ -74,7 +75,9 @@ def test_binary_scores_with_a_score_shared_by_a_third_of_the_rows(spark):
     fold, y = rng.integers(0, 2, n), rng.integers(0, 2, n)
     s = np.where(rng.random(n) < 0.35, 0.5, np.round(rng.normal(size=n) + y, 2))
     p, p_true = (s > 0.6).astype(int), rng.uniform(0.05, 1, n)
-    frame = _frame(spark, fold=fold, y=y, p=p, score=s, p_true=p_true)
+    one = np.where(y == 1, p_true, 1 - p_true)  # the probability of class 1
+    frame = _frame(spark, fold=fold, y=y, p=p, score=s, p_true=p_true, one=one)
+    frame = frame.withColumn("probs", F.array(1 - F.col("one"), F.col("one")))
     got = M.scores("classification", frame, list(M.CLASSIFICATION_METRICS)).collect()
     for row in got:
         at = fold == row["fold"]
@@ -86,6 +89,9 @@ def test_binary_scores_with_a_score_shared_by_a_third_of_the_rows(spark):
             "roc_auc": _auc(a, s[at]),
             "average_precision": _average_precision(a, s[at]),
             "neg_log_loss": np.log(p_true[at]).mean(),
+            "neg_brier_score": -((one[at] - a) ** 2).mean(),
+            "top_k_accuracy": 1.0,
+            **{m: _auc(a, one[at]) for m in M.PAIR_METRICS},
             "accuracy": (a == b).mean(),
             "balanced_accuracy": (tp / (tp + fn) + tn / (tn + fp)) / 2,
             "precision": tp / (tp + fp),
@@ -102,6 +108,40 @@ def test_binary_scores_with_a_score_shared_by_a_third_of_the_rows(spark):
             assert row[name] == pytest.approx(value, rel=1e-9), name
 
 
+@pytest.mark.parametrize("ranges", [(2, 4), (16, 1024)])
+def test_areas_of_three_classes(spark, monkeypatch, ranges):
+    """Each class against the rest and against each other, from the definitions; a fold
+    that lacks a class has no area."""
+    monkeypatch.setattr(M, "SCORE_RANGES", ranges)
+    rng = np.random.default_rng(4)
+    fold, y = rng.integers(0, 3, 400), rng.integers(0, 3, 400)
+    y[(fold == 2) & (y == 1)] = 0
+    raw = rng.integers(1, 6, (400, 3)) + 2 * np.eye(3)[y]  # ties
+    probs = raw / raw.sum(1, keepdims=True)
+    frame = _frame(spark, fold=fold, y=y, a=probs[:, 0], b=probs[:, 1], c=probs[:, 2])
+    frame = frame.withColumn("probs", F.array("a", "b", "c"))
+    for row in M.classification_scores(frame, [*M.PAIR_METRICS, "top_k_accuracy", "neg_brier_score"]).collect():
+        at = fold == row["fold"]
+        t, p = y[at], probs[at]
+        if row["fold"] == 2:
+            assert all(row[m] is None for m in M.PAIR_METRICS)
+            continue
+        rest = [_auc((t == c).astype(int), p[:, c]) for c in range(3)]
+        pairs, sizes = [], []
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            two = (t == i) | (t == j)
+            sides = [_auc((t[two] == x).astype(int), p[two, x]) for x in (i, j)]
+            pairs.append(np.mean(sides))
+            sizes.append(two.sum())
+        assert row["roc_auc_ovr"] == pytest.approx(np.mean(rest))
+        assert row["roc_auc_ovr_weighted"] == pytest.approx(np.average(rest, weights=np.bincount(t)))
+        assert row["roc_auc_ovo"] == pytest.approx(np.mean(pairs))
+        assert row["roc_auc_ovo_weighted"] == pytest.approx(np.average(pairs, weights=sizes))
+        assert row["neg_brier_score"] == pytest.approx(-((p - np.eye(3)[t]) ** 2).sum(1).mean())
+        order = np.argsort(p, axis=1, kind="stable")[:, ::-1][:, :2]
+        assert row["top_k_accuracy"] == pytest.approx((order == t[:, None]).any(1).mean())
+
+
 def test_labels_only_predicted_count_as_zero(spark):
     frame = _frame(spark, fold=[0] * 4, y=[0, 0, 1, 1], p=[0, 2, 1, 1])
     row = M.classification_scores(frame, ["f1_macro", "precision_macro", "recall_macro"]).first()

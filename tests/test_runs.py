@@ -395,3 +395,63 @@ def test_sinks_write_and_report_paths(spark, readings, tmp_path):
     assert Spy.calls == 1 and len(written) == 5 + 2 + 1 + 5
     assert written[5].endswith("ranking.txt") and written[7] == "spy"
     assert spark.table("run_ranking").count() == 1
+
+
+def progress_experiments():
+    from foldyard.plans.experiments import expand
+
+    return expand("regression", {"search": search(scale=("none", "std"), model=("pls",), pls={"n_components": [1, 2, 9]})})
+
+
+def test_a_stopped_run_ends_with_the_same_tables(spark, readings, tmp_path, monkeypatch):
+    """Killed after the second batch; what had ended is not run again."""
+    from foldyard.plans import engine, progress
+
+    monkeypatch.setattr(progress, "BATCH", 2)
+    config = benchmark_config(readings)
+    config["search"] = search(scale=("none", "std"), model=("pls",), pls={"n_components": [1, 2, 9]})
+    whole = fy.benchmark(spark, config, "regression")
+    config["output"] = {"resume": str(tmp_path / "progress")}
+    run, seen = engine.Engine.run, []
+
+    def stopped(self, experiments):
+        if len(seen) == 4:
+            raise KeyboardInterrupt
+        seen.extend(e.experiment_id for e in experiments)
+        return run(self, experiments)
+
+    monkeypatch.setattr(engine.Engine, "run", stopped)
+    with pytest.raises(KeyboardInterrupt):
+        fy.benchmark(spark, config, "regression")
+    monkeypatch.setattr(engine.Engine, "run", lambda self, es: (seen.extend(e.experiment_id for e in es), run(self, es))[1])
+    resumed = fy.benchmark(spark, config, "regression")
+    assert sorted(seen) == [1, 2, 3, 4, 5, 6]  # each once
+    for name in ("detailed", "failed", "ranking"):
+        rows = lambda r: sorted(map(str, getattr(r, name).collect()))  # noqa: E731, B023
+        assert rows(resumed) == rows(whole)
+    config["evaluation"] = {"metrics": ["neg_mean_absolute_error"], "primary_metric": "neg_mean_absolute_error"}
+    assert fy.benchmark(spark, config, "regression").detailed.count() == whole.detailed.count()
+    assert len(seen) == 12  # another run in the same folder
+
+
+def test_registered_techniques(spark, readings):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from foldyard.plans import registry
+
+    with pytest.raises(ConfigDataError, match="exists"):
+        fy.register("regression", "model", "pls", lambda: None)
+    with pytest.raises(ConfigDataError, match="task"):
+        fy.register("ranking", "model", "tree", lambda: None)
+    before = registry.TECHNIQUES["regression"]["model"]
+    try:
+        fy.register("regression", "model", "tree", lambda depth: DecisionTreeRegressor(featuresCol="z", labelCol="y", maxDepth=depth), ["depth"])
+        config = benchmark_config(readings)
+        config["search"] = search(scale=("std",), model=("tree",), tree={"depth": [1, 3]})
+        assert fy.benchmark(spark, config, "regression").ranking.count() == 2
+        config["search"] = search(model=("tree",), tree={"height": 1})
+        with pytest.raises(ConfigDataError, match="Unknown parameters"):
+            fy.benchmark(spark, config, "regression")
+    finally:
+        registry.TECHNIQUES["regression"]["model"] = before
+        registry.ADDED.clear()
