@@ -4,8 +4,8 @@ Every rolling word 2-gram of every text is joined to the positions it has in the
 templates (a small fixed table, broadcast). A hit votes for the diagonal "place in the
 text minus place in the template". Votes are counted per text, template and diagonal,
 neighbouring diagonals are merged (a word put in or left out moves to the next one), and
-a merged span is verified: enough of the template's own 2-grams, in a span not much
-longer than the template. Only hits are shuffled, never words or texts.
+a merged span is verified: all but an edit or so of the template's own 2-grams, its key
+word among them, in a span not much longer than the template. Only hits are shuffled, never words or texts.
 """
 
 from __future__ import annotations
@@ -27,21 +27,30 @@ PHRASES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
-#: Openings and notice lines of public licences, and their labels.
+#: Openings, notice lines and clauses of public licences, their labels, and
+#: the word that tells a notice from its neighbours, which must be there, beside one of the
+#: notice's own words ('': none).
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license", "apache-2.0"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("licensed under the gnu general public license version 2", "gpl-2.0"),
-    ("licensed under the gnu lesser general public license", "lgpl"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
-    ("licensed under a creative commons attribution", "creative-commons"),
-)
+    ("licensed under the apache license version 2 0", "apache-2.0", "apache"),
+    ("you may not use this file except in compliance with the license", "apache-2.0", ""),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2.0", ""),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ""),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", ""),
+    ("licensed under the gnu general public license version 3", "gpl-3.0", "3"),
+    ("licensed under the gnu general public license version 2", "gpl-2.0", "2"),
+    ("licensed under the gnu lesser general public license", "lgpl", "lesser"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", ""),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", ""),
+    ("this software is provided by the copyright holders and contributors as is", "bsd", ""),
+    ("subject to the terms of the mozilla public license", "mpl", "mozilla"),
+    ("licensed under cc by nc 4 0", "cc-by-nc-4.0", "nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa-4.0", "sa"),
+    ("cc by nc", "cc-by-nc", ""),
+    ("cc by sa", "cc-by-sa", ""),
+    ("cc by nd", "cc-by-nd", ""),
+    ("licensed under a creative commons attribution", "creative-commons", "creative"),
+)
 
 
 @dataclass(frozen=True)
@@ -49,20 +58,23 @@ class Template:
     text: str
     label: str
     exact: bool
+    key: str = ""
 
 
 TEMPLATES = tuple(
-    [Template(t, label, True) for t, label in PHRASES] + [Template(t, label, False) for t, label in NOTICES]
+    [Template(t, label, True) for t, label in PHRASES] + [Template(t, label, False, key) for t, label, key in NOTICES]
 )
 
 
 @dataclass(frozen=True)
 class ScanLimits:
-    """near: diagonals so close merge; least_share: of a template's 2-grams that must be
-    there; most_stretch: words in the span for each word of the template at most."""
+    """near: diagonals so close merge. An edited word costs two 2-grams: a template of
+    ``edit_size`` 2-grams or more may lack two, and any may lack a share of ``most_missing``.
+    most_stretch: words in the span for each word of the template at most."""
 
     near: int = 2
-    least_share: float = 0.75
+    edit_size: int = 5
+    most_missing: float = 0.25
     most_stretch: float = 1.5
 
 
@@ -79,8 +91,8 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     rows = []
     for k, t in enumerate(templates):
         ws = t.text.split()
-        rows += [(k, i, f"{a} {b}", len(ws) - 1, t.label, t.exact) for i, (a, b) in enumerate(zip(ws, ws[1:]))]
-    table = spark.createDataFrame(rows, "template int, t_pos int, t_gram string, size int, label string, exact boolean")
+        rows += [(k, i, f"{a} {b}", len(ws) - 1, t.label, t.exact, t.key in ("", a, b)) for i, (a, b) in enumerate(zip(ws, ws[1:]))]
+    table = spark.createDataFrame(rows, "template int, t_pos int, t_gram string, size int, label string, exact boolean, has_key boolean")
     return table.withColumn("t_hash", F.xxhash64("t_gram"))
 
 
@@ -117,6 +129,7 @@ def find_spans(
         hits.groupBy(*place, (F.col("pos") - F.col("t_pos")).alias("diagonal"))
         .agg(
             F.collect_set("t_pos").alias("seen"),
+            F.bool_or("has_key").alias("has_key"),
             F.min("pos").alias("first_word"),
             (F.max("pos") + 2).alias("end_word"),
         )
@@ -128,14 +141,16 @@ def find_spans(
     )
     merged = runs.groupBy(*place, "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
+        F.bool_or("has_key").alias("has_key"),
         F.min("first_word").alias("first_word"),
         F.max("end_word").alias("end_word"),
     )
     share = F.col("votes") / F.col("size")
-    least = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(limits.least_share))
+    edit = F.when(F.col("size") >= limits.edit_size, 2).otherwise(0)
+    missing = F.when(F.col("exact"), 0).otherwise(F.greatest(edit, F.floor(F.col("size") * limits.most_missing)))
     long = limits.most_stretch * (F.col("size") + 1)
     return merged.withColumn("share", share).where(
-        (F.col("share") >= least) & (F.col("end_word") - F.col("first_word") <= long)
+        F.col("has_key") & (F.col("votes") >= F.col("size") - missing) & (F.col("end_word") - F.col("first_word") <= long)
     )
 
 
@@ -149,7 +164,9 @@ def scan_licenses(
     """One row per input row: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, n_spans, score (share of the best span, 0 without one).
 
-    Null and empty texts give zero words, null places, empty labels and score 0.
+    Null and empty texts give zero words, null places, empty labels and score 0. Equal
+    rows, and rows tied by id, get their own text's result; a text of any length is read
+    whole; an empty table gives no rows; other columns, of any name, are not read.
     """
     per_row = find_spans(df, id_col, text_col, templates, limits).groupBy("row_key").agg(
         F.count_if("exact").alias("n_base"),

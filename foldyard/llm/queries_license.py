@@ -13,7 +13,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _template_values() -> str:
     return ", ".join(
-        f"({k}, '{t.text}', '{t.label}', {str(t.exact).lower()})" for k, t in enumerate(TEMPLATES)
+        f"({k}, '{t.text}', '{t.label}', {str(t.exact).lower()}, '{t.key}')" for k, t in enumerate(TEMPLATES)
     )
 
 
@@ -24,13 +24,14 @@ WITH d AS (
                        lambda w: w <> '') AS ws
     FROM documents
 ),
-t AS (SELECT k, str_split(body, ' ') AS tw, label, exact
-      FROM (VALUES {_template_values()}) AS v(k, body, label, exact)),
-tg AS (SELECT k, label, exact, len(tw) - 1 AS size, i - 1 AS t_pos, tw[i] || ' ' || tw[i + 1] AS gram
+t AS (SELECT k, str_split(body, ' ') AS tw, label, exact, key
+      FROM (VALUES {_template_values()}) AS v(k, body, label, exact, key)),
+tg AS (SELECT k, label, exact, len(tw) - 1 AS size, i - 1 AS t_pos, tw[i] || ' ' || tw[i + 1] AS gram,
+           key IN ('', tw[i], tw[i + 1]) AS has_key
        FROM (SELECT *, unnest(range(1, len(tw))) AS i FROM t)),
 g AS (SELECT r, i - 1 AS pos, ws[i] || ' ' || ws[i + 1] AS gram
       FROM (SELECT r, ws, unnest(range(1, len(ws))) AS i FROM d)),
-hits AS (SELECT r, k, label, exact, size, pos, t_pos, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)),
+hits AS (SELECT r, k, label, exact, size, has_key, pos, t_pos, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)),
 diagonals AS (SELECT DISTINCT r, k, exact, diagonal FROM hits),
 marked AS (
     SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER w <= 2 IS NOT TRUE THEN 1 ELSE 0 END AS breaks
@@ -38,14 +39,16 @@ marked AS (
 ),
 runs AS (SELECT r, k, diagonal, sum(breaks) OVER (PARTITION BY r, k ORDER BY diagonal) AS run FROM marked),
 merged AS (
-    SELECT r, k, label, exact, size, run, count(DISTINCT t_pos) / size AS share,
+    SELECT r, k, label, exact, size, run, count(DISTINCT t_pos) AS votes,
+           count(DISTINCT t_pos) / size AS share, bool_or(has_key) AS has_key,
            min(pos) AS first_word, max(pos) + 2 AS end_word
     FROM hits JOIN runs USING (r, k, diagonal)
     GROUP BY r, k, label, exact, size, run
 ),
 spans AS (
     SELECT * FROM merged
-    WHERE share >= CASE WHEN exact THEN 1.0 ELSE 0.75 END AND end_word - first_word <= 1.5 * (size + 1)
+    WHERE has_key AND size - votes <= CASE WHEN exact THEN 0 ELSE greatest(CASE WHEN size >= 5 THEN 2 ELSE 0 END, size // 4) END
+      AND end_word - first_word <= 1.5 * (size + 1)
 ),
 per_row AS (
     SELECT r, count(*) FILTER (WHERE exact) AS n_base,

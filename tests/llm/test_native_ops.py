@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cases import empty, odd_rows, prose, words
 from foldyard.llm import line_templates
-from foldyard.llm.license_scan import find_spans, scan_licenses
+from foldyard.llm.license_scan import NOTICES, find_spans, scan_licenses
 from foldyard.llm.line_rules import clean_lines
 from foldyard.llm.line_templates import VARIABLE, TreeLimits, drop_recurring_lines, masked_line
 
@@ -127,6 +127,29 @@ def test_inserted_word_is_one_span_and_two_notices_are_two(spark):
     assert found == {(0, 0, 9), (1, 0, 8), (1, 8, 16)}
 
 
+def test_one_edit_is_allowed_and_neighbours_are_told_apart(spark):
+    texts = {
+        "Licensed under the Apache License 2.0": "apache-2.0",
+        "licensed under the gnu lesser public license": "lgpl",
+        "CC BY NC 3.0": "cc-by,cc-by-nc",
+        "licensed under cc by sa 4 0": "cc-by,cc-by-sa,cc-by-sa-4.0",
+        "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "licensed under the GNU General Public License, version 3 only": "gpl,gpl-3.0",
+        "released under the bsd license": "",
+        "licensed under the terms of the school": "",
+    }
+    got = scan_licenses(frame(spark, list(texts))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(texts.values())
+    for text, label, key in NOTICES:
+        ws = text.split()
+        if len(ws) < 6:
+            continue
+        rows = [" ".join(ws[:i] + ["zzz"] + ws[i + 1 :]) for i in range(1, len(ws) - 1) if ws[i] != key]
+        rows = rows[:-1] if ws[-1] == key else rows  # a key at the end needs the word before it
+        found = scan_licenses(frame(spark, rows)).collect()
+        assert all(label in r["labels"].split(",") for r in found), text
+
+
 def test_license_scan_on_odd_rows(spark):
     odd = odd_rows(spark)
     assert scan_licenses(odd).count() == odd.count()
