@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigDataError
 from ..session import materialize
-from .order_stats import rank_thresholds
+from .order_stats import rank_thresholds, uniform_thresholds
 from .rowid import ROW_ID
 
 FOLD_ID = "fold_id"
@@ -143,7 +143,9 @@ def random_folds(
         raise ConfigDataError(f"Cannot make {spec.n_splits} folds of {n} rows")
     keyed, order, bounds = _ordering(df, spec, row_id)
     ranks = list(accumulate(_even_sizes(n, spec.n_splits)))[:-1]
-    rows = rank_thresholds(keyed, order, {(): ranks}, bounds=bounds)[()]
+    rows = uniform_thresholds(keyed, order, ranks, n, bounds) if bounds else None
+    if rows is None:
+        rows = rank_thresholds(keyed, order, {(): ranks}, bounds=bounds)[()]
     _check_apart(rows)
     fold = _fold_from_cuts(order, [rows[r] for r in ranks])
     return keyed.withColumn(FOLD_ID, fold.cast("int")).drop(*HASHES)

@@ -9,6 +9,8 @@ by all order columns, so equal leading values are told apart by the next column.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -95,6 +97,47 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
 
 
+def uniform_thresholds(
+    df: DataFrame, order: list[str], ranks: list[int], n: int, bounds: tuple[int, int]
+) -> dict[int, tuple] | None:
+    """``rank_thresholds`` of ``n`` rows whose first order column is an evenly spread hash.
+
+    The row of a rank then lies within six standard deviations of its expected place, so
+    one aggregate is enough: rows inside such windows are counted by value, the rest by
+    the gap they are in. None where a window misses its row, equal hashes hold it, or the
+    windows would hold too many rows.
+    """
+    low, high = bounds
+    span = high - low + 1
+    windows: list[list[int]] = []
+    for rank in sorted(set(ranks)):
+        place = (rank + 0.5) / n
+        reach = (6 * math.sqrt(n * place * (1 - place)) + 10) / n
+        first, last = (low + int(min(max(p, 0.0), 1.0) * span) for p in (place - reach, place + reach))
+        if windows and first <= windows[-1][1]:
+            windows[-1][1] = max(windows[-1][1], last)
+        else:
+            windows.append([first, last])
+    if sum(b - a for a, b in windows) / span * n > HISTOGRAM_ROWS:
+        return None
+    value = F.col(order[0])
+    cell = F.lit(-1 - len(windows)).cast("long")
+    for i, (first, last) in reversed(list(enumerate(windows))):
+        cell = F.when(value < first, F.lit(-1 - i).cast("long")).when(value <= last, value).otherwise(cell)
+    counts = {r[0]: r[1] for r in df.select(*order[:1]).groupBy(cell.alias("cell")).count().collect()}
+    inside = sorted(v for v in counts if v >= 0)
+    answers, before, wanted = {}, 0, sorted(set(ranks))
+    for i, (first, last) in enumerate(windows):
+        before += counts.get(-1 - i, 0)
+        for v in inside[bisect_left(inside, first) : bisect_right(inside, last)]:
+            while wanted and before <= wanted[0] < before + counts[v]:
+                if counts[v] > 1:
+                    return None
+                answers[wanted.pop(0)] = (v, *(None,) * (len(order) - 1))
+            before += counts[v]
+    return None if wanted else answers
+
+
 def rank_thresholds(
     df: DataFrame,
     order: list[str],

@@ -88,3 +88,20 @@ def test_ingest_ids_of_parquet_use_file_positions(spark, tmp_path):
     assert [(r["p"], r["i"]) for r in rows] == expected
     kept = ingest_row_ids(frame).where("i >= 20").select("_row_id").collect()
     assert len(kept) == 25
+
+
+def test_thresholds_of_an_even_hash_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    top = 16**15 - 1
+    for n in (1, 3, 50, 5000):
+        values = sorted(rng.integers(0, top, n, endpoint=True).tolist())
+        frame = spark.createDataFrame([(v, 0) for v in values], "h long, i long").repartition(3)
+        ranks = sorted({0, n // 5, n // 2, n - 1})
+        found = order_stats.uniform_thresholds(frame, ["h", "i"], ranks, n, (0, top))
+        assert found == {r: (values[r], None) for r in ranks}
+    crowded = spark.createDataFrame([(v // 10**15, 0) for v in values], "h long, i long")
+    assert order_stats.uniform_thresholds(crowded, ["h", "i"], ranks, n, (0, top)) is None
+    equal = spark.createDataFrame([(top // 2, 0)] * 9, "h long, i long")
+    assert order_stats.uniform_thresholds(equal, ["h", "i"], [4], 9, (0, top)) is None
+    monkeypatch.setattr(order_stats, "HISTOGRAM_ROWS", 3)
+    assert order_stats.uniform_thresholds(frame, ["h", "i"], ranks, n, (0, top)) is None
