@@ -15,6 +15,7 @@ from foldyard.llm.line_rules import clean_lines
 from foldyard.llm.line_templates import TreeLimits, drop_recurring_lines
 from foldyard.llm.order_minhash import drop_near_duplicates
 from foldyard.llm.substring_dedup import remove_repeats
+from foldyard.llm.text import quoted
 from foldyard.session import materialize
 
 
@@ -24,14 +25,15 @@ LINE_LIMITS = TreeLimits(least_repeats=8)
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
-    """What the operators read, and the whole row beside it, so that no column of the
-    user's can have the name of one that an operator adds."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+    """What the operators read, and the rest of the row beside it, so that no column of
+    the user's can have the name of one that an operator adds. Texts are held once."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("row"))
 
 
 def _unboxed(docs: DataFrame, row: Column, text: Column) -> Column:
     """The row with a new text and its length to match, as a struct of the same columns."""
-    fields = {c: row[c] for c in docs.columns} | {"text": text}
+    fields = {c: text if c == "text" else row[c] for c in docs.columns}
     if "n_chars" in docs.columns:
         fields["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return F.struct(*(column.alias(c) for c, column in fields.items())).alias("row")
