@@ -7,6 +7,14 @@ smoothed share of the cell's training tokens, with one place for all unseen word
 first two factors are softmaxes over hashed feature weights: the previous word, the
 words two and three back (skips) and the previous two words together.
 
+These tables have one size for any corpus. What grows with it are the word pairs: every
+pair of neighbouring training words is counted in a hashed slot, about a thousand slots a
+token, and with n tokens after the word before and c of them this token
+    P = (c + g * P(token | history)) / (n + g),  g = pair_scale * (n + 1) ** pair_power,
+so a context that the corpus shows often speaks for itself and a rare or new one leaves
+the word to the features. Pairs are never on the driver or in a broadcast: they travel by
+hash range as word counts do, and each block gets back the counts of its own pairs.
+
 Training: weights start at 0 over unigram biases. Each round takes the training
 documents of one slice, sums observed and expected feature counts over all tokens (their
 difference is the gradient of the log-likelihood) and steps every weight by the scaled
@@ -53,7 +61,7 @@ BLOCK_WORDS = 2_000_000
 #: Words of a block that are held as texts.
 WAITING_WORDS = 100_000
 #: Words for each hash range of the vocabulary, about.
-RANGE_WORDS = 10_000_000
+RANGE_WORDS = 4_000_000
 #: Training tokens for each task of a round, about: every task sends sums as large as
 #: the model, so they must stay small against the tokens.
 TASK_TOKENS = 24_000_000
@@ -69,7 +77,8 @@ class LmParams:
     """folds, held_fold: documents with crc32(id) mod folds = held_fold do not train.
     rounds: of training, each on its own slice. class_rows, member_rows: of the hashed
     weight tables (powers of two up to 65,536). smoothing: added to both counts, times
-    the unigram share. rate: of a step, over the number of features."""
+    the unigram share. rate: of a step, over the number of features. pair_scale,
+    pair_power: how much weight the features keep beside the counted pairs."""
 
     folds: int = 7
     held_fold: int = 2
@@ -78,10 +87,14 @@ class LmParams:
     member_rows: int = 1 << 15
     smoothing: float = 8.0
     rate: float = 1.3
+    pair_scale: float = 3.0
+    pair_power: float = 0.85
 
 
 #: The number of the end-of-text token.
 END = xxhash.xxh64_intdigest(b"\x00end")
+#: What stands before the first word of a document, in pairs.
+BEFORE = xxhash.xxh64_intdigest(b"\x00start")
 
 
 def id_hash(doc_id) -> int:
@@ -96,17 +109,50 @@ def ending(word: bytes) -> int:
 
 # -- blocks of tokens ---------------------------------------------------------------
 
-BLOCK = "block long, part int, words long, keys binary, counts binary, endings binary, tokens binary, lengths binary"
+BLOCK = (
+    "block long, part int, words long, keys binary, counts binary, endings binary, "
+    "slots binary, slot_counts binary, tokens binary, lengths binary"
+)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Byte planes of whole numbers, as many as the largest needs; upper ones compress well."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
 
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    values = planes[0].astype(np.int32 if data[0] < 4 else np.int64)
+    for k in range(1, data[0]):
+        values |= planes[k].astype(values.dtype) << 8 * k
+    return values
 
-def _planes(values: np.ndarray) -> bytes:
-    """Three byte planes of numbers below 2**24; the upper ones compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
+def neighbours(tokens: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The token before each token; ``first`` before a document."""
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = first
+    return before
 
-def _from_planes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+def pair_hashes(keys: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a block's distinct (token before, token) pairs, and the place of
+    each token's pair among them. ``tokens`` are places in ``keys``."""
+    n = len(keys)
+    pairs, at = np.unique(neighbours(tokens, lengths, n) * n + tokens, return_inverse=True)
+    named = np.append(keys, np.uint64(BEFORE))
+    hashes = mixed(named[pairs // n] * np.uint64(BASES[0]) + named[pairs % n])
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return hashes[order], place[at]
+
+
+def pair_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits behind the range number: a pair's slot in its range."""
+    return (hashes << np.uint64(bits)) >> np.uint64(32)
 
 
 def _block_schema(id_type) -> StructType:
@@ -161,11 +207,19 @@ def _make_blocks(params: LmParams, schema: StructType, bits: int):
         counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(keys)).astype(np.uint32)
         rank = np.empty(len(keys), np.int32)
         rank[np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")] = np.arange(len(keys))
-        rows = [(block.ids, number, -1, len(keys), rank.tobytes(), None, None, _planes(rank[tokens]), lengths.tobytes())]
+        hashes, pair_of = pair_hashes(keys, tokens, lengths)
+        slots = pair_slots(hashes, bits)
+        pair_counts = np.bincount(pair_of[np.repeat(~held, lengths)], minlength=len(hashes))
+        whole = (len(keys), rank.tobytes(), None, None, None, None, _packed(rank[tokens]), lengths.tobytes())
+        rows = [(block.ids, number, -1, *whole)]
         rows += [
-            (None, number, p, s.stop - s.start, keys[s].tobytes(), counts[s].tobytes(), endings[s].tobytes(), None, None)
+            (None, number, p, s.stop - s.start, keys[s].tobytes(), counts[s].tobytes(), endings[s].tobytes(), *[None] * 4)
             for p, s in by_range(keys, bits)
         ]
+        rows += [
+            (None, number, p, *[None] * 4, _packed(np.diff(slots[s], prepend=np.uint64(0))), _packed(pair_counts[s]), None, None)
+            for p, s in by_range(hashes, bits)
+        ]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], arrow.names
         )
@@ -240,6 +294,29 @@ def _count_range(key, table):
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COUNTED_ARROW)], schema=COUNTED_ARROW)
 
 
+ANSWERS_ARROW = pa.schema(
+    [("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("pairs", pa.binary())]
+)
+ANSWERS = from_arrow_schema(ANSWERS_ARROW)
+
+
+def _count_pairs(key, table):
+    """Training counts of the pairs of one hash range, sent back to each block."""
+    slots = [np.cumsum(_unpacked(x), dtype=np.int64) for x in table["slots"].to_pylist()]
+    ends = np.cumsum([len(x) for x in slots])
+    slots = np.concatenate(slots)
+    counts = np.concatenate([_unpacked(x) for x in table["slot_counts"].to_pylist()])
+    order = np.argsort(slots, kind="stable")  # sorted runs, which this merges
+    _, sums, place = _runs(slots[order], counts[order].astype(np.int64))
+    counts = np.empty(len(order), np.int64)
+    counts[order] = sums[place]
+    blocks = table["block"].to_pylist()
+    rows = [_packed(x) for x in np.split(counts, ends[:-1])]
+    parts = [key[0].as_py()] * len(rows)
+    columns = [blocks, parts, [None] * len(rows), rows]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, ANSWERS_ARROW)], schema=ANSWERS_ARROW)
+
+
 @dataclass
 class Vocabulary:
     """What the model knows of the words: totals, the words with a cell of their own
@@ -251,6 +328,15 @@ class Vocabulary:
     head_cells: np.ndarray
     cell_tokens: np.ndarray
 
+    @property
+    def documents(self) -> int:
+        """Training documents: each has one end, in the first cell."""
+        return int(self.cell_tokens[0])
+
+    def inside(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log of a word's share of its cell."""
+        return np.where(cells < HEAD, 0.0, np.log((counts + 1) / (self.cell_tokens[cells] + 1)))
+
 
 def _vocabulary(counted: DataFrame) -> Vocabulary:
     """Totals, and a bounded number of words and endings, whatever the corpus."""
@@ -272,11 +358,12 @@ def _vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary(tokens, kinds, keys[by_key], by_key, sums)
 
 
-ENCODED = "cells binary, lengths binary, known binary, base binary, inside binary"
+ENCODED = "tokens binary, cells binary, counts binary, pairs binary, lengths binary, known binary, base binary"
 
 
 def _encode_blocks(words: Vocabulary, schema: StructType):
-    """Local word numbers to cells, and the parts of the scores that need no history."""
+    """What a block needs of the whole corpus: cells and counts of its words, by their
+    local numbers, the count of each token's pair, and the base scores."""
     arrow = to_arrow_schema(schema)
     unseen = 1.0 / (words.tokens + words.kinds + 1)
 
@@ -285,32 +372,35 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
         if not rows.num_rows:
             return arrow.empty_table()
         vocab = table.select(["part", "keys", "endings"]).filter(pc.greater_equal(table["part"], 0)).sort_by("part")
-        got = answers.sort_by("part")
+        got = answers.filter(pc.is_valid(answers["counts"])).sort_by("part")
+        paired = answers.filter(pc.is_valid(answers["pairs"])).sort_by("part")
         keys = np.frombuffer(b"".join(vocab["keys"].to_pylist()), np.uint64)
         endings = np.frombuffer(b"".join(vocab["endings"].to_pylist()), np.uint16)
         counts = np.frombuffer(b"".join(got["counts"].to_pylist()), np.int64)
         cells = HEAD + endings.astype(np.int64)
-        inside = np.log10((counts + 1) / (words.cell_tokens[cells] + 1))
         at = np.minimum(np.searchsorted(words.head_keys, keys), len(words.head_keys) - 1)
         head = words.head_keys[at] == keys
         cells[head] = words.head_cells[at[head]]
-        inside[head] = 0.0
         base = np.log10((counts + 1) * unseen)
         row = rows.to_pylist()[0]
         rank = np.frombuffer(row["keys"], np.int32)
         by_rank = np.empty(len(rank), np.int64)
         by_rank[rank] = np.arange(len(rank))
-        tokens = by_rank[_from_planes(row["tokens"])]
+        tokens = by_rank[_unpacked(row["tokens"])]
         lengths = np.frombuffer(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
+        _, pair_of = pair_hashes(keys, tokens, lengths)
+        pairs = np.concatenate([_unpacked(x) for x in paired["pairs"].to_pylist()])
         return pa.table(
             [
                 pa.array([row["doc_ids"]], arrow.field("doc_ids").type),
-                pa.array([cells[tokens].astype(np.uint16).tobytes()]),
+                pa.array([row["tokens"]]),
+                pa.array([cells[by_rank].astype(np.uint16).tobytes()]),
+                pa.array([counts[by_rank].tobytes()]),
+                pa.array([_packed(pairs[pair_of])]),
                 pa.array([row["lengths"]]),
                 pa.array([np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts).tobytes()]),
                 pa.array([np.add.reduceat(base[tokens], starts).tobytes()]),
-                pa.array([np.add.reduceat(inside[tokens], starts).tobytes()]),
             ],
             schema=arrow,
         )
@@ -451,7 +541,7 @@ def _sum_counts(model_of, round_: int, params: LmParams):
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 hashes = np.fromiter(map(id_hash, row["doc_ids"]), np.int64, len(lengths))
                 train = (hashes % params.folds != params.held_fold) & (hashes // params.folds % params.rounds == round_)
-                cells = np.frombuffer(row["cells"], np.uint16)[np.repeat(train, lengths)]
+                cells = np.frombuffer(row["cells"], np.uint16)[_unpacked(row["tokens"])[np.repeat(train, lengths)]]
                 own = lengths[train]
                 held.append(case_keys(cells, *histories(cells, np.cumsum(own) - own, own, BACK)))
                 if sum(map(len, held)) >= COUNT_TOKENS:
@@ -468,7 +558,7 @@ def _sum_counts(model_of, round_: int, params: LmParams):
                         [
                             pa.array([kind]),
                             pa.array([c], pa.int32()),
-                            pa.array([observed[kind][part].astype(np.float32).tobytes()]),
+                            pa.array([_packed(observed[kind][part].ravel())]),
                             pa.array([expected[kind][part].tobytes()]),
                         ],
                         ["kind", "chunk", "observed", "expected"],
@@ -555,13 +645,13 @@ def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, obs
 
 
 def _add_chunks(key, table):
-    observed = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["observed"].to_pylist())
+    observed = sum(_unpacked(x).astype(np.int64) for x in table["observed"].to_pylist())
     expected = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["expected"].to_pylist())
     return pa.table(
         {
             "kind": [key[0].as_py()],
             "chunk": pa.array([key[1].as_py()], pa.int32()),
-            "observed": [observed.astype(np.float32).tobytes()],
+            "observed": [_packed(observed)],
             "expected": [expected.astype(np.float32).tobytes()],
         }
     )
@@ -576,14 +666,19 @@ def _step(model: Model, sums: list) -> Model:
         w = weights[row["kind"]]
         size = len(w) // CHUNKS
         part = slice(row["chunk"] * size, (row["chunk"] + 1) * size)
-        observed = np.frombuffer(row["observed"], np.float32).reshape(size, -1)
+        observed = _unpacked(row["observed"]).reshape(size, -1)
         expected = np.frombuffer(row["expected"], np.float32).reshape(size, -1)
         prior = np.float32(p.smoothing) * shares[row["kind"]]
         w[part] += np.float32(p.rate / FEATURES) * np.log((observed + prior) / (expected + prior))
     return Model(p, model.class_bias, model.member_bias, weights["class"], weights["member"])
 
 
-def _score(model_of, params: LmParams, tokens: int, schema: StructType):
+def pair_weight(n: np.ndarray, params: LmParams) -> np.ndarray:
+    """What the features weigh beside n counted tokens after a word."""
+    return params.pair_scale * (n + 1.0) ** params.pair_power
+
+
+def _score(model_of, params: LmParams, words: Vocabulary, schema: StructType):
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -592,26 +687,35 @@ def _score(model_of, params: LmParams, tokens: int, schema: StructType):
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 cells = np.frombuffer(row["cells"], np.uint16)
-                total = np.frombuffer(row["inside"], np.float64).copy()
-                for a, b, x, own, starts in _pieces(cells, lengths):
-                    value = np.empty(len(x))
+                counts = np.frombuffer(row["counts"], np.int64)
+                inside = words.inside(cells, counts)
+                after = np.append(counts, words.documents)
+                total = np.zeros(len(lengths))
+                found = _unpacked(row["pairs"])
+                done = 0
+                for a, b, ranks, own, starts in _pieces(_unpacked(row["tokens"]), lengths):
+                    x = cells[ranks]
+                    value = inside[ranks]
                     places = model.class_places(*histories(x, starts, own, BACK))
                     for s in range(0, len(x), SCORE_TOKENS):
                         part = slice(s, s + SCORE_TOKENS)
                         classes, members = x[part] // MEMBERS, x[part] % MEMBERS
                         outer, inner, _ = model.scores([p[part] for p in places], classes)
-                        value[part] = log_chosen(outer, classes) + log_chosen(inner, members)
-                    total[a:b] += np.add.reduceat(value, starts) / np.log(10.0)
+                        value[part] += log_chosen(outer, classes) + log_chosen(inner, members)
+                    n = after[neighbours(ranks, own, len(counts))]
+                    weight = pair_weight(n, params)
+                    value = np.log10((found[done : done + len(x)] + weight * np.exp(value)) / (n + weight))
+                    total[a:b] = np.add.reduceat(value, starts)
+                    done += len(x)
                 ids = row["doc_ids"]
                 held = [id_hash(d) % params.folds == params.held_fold for d in ids]
-                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, arrow.field("doc_id").type),
                         pa.array(held, pa.bool_()),
                         pa.array(lengths),
                         pa.array(np.frombuffer(row["known"], np.int64)),
-                        pa.array(np.full(n, tokens, np.int64)),
+                        pa.array(np.full(len(ids), words.tokens, np.int64)),
                         pa.array(np.frombuffer(row["base"], np.float64)),
                         pa.array(total),
                     ],
@@ -644,13 +748,16 @@ def train_and_score(
     id_type = docs.schema["doc_id"].dataType
     schema = _block_schema(id_type)
     blocks = materialize(docs.mapInArrow(_make_blocks(params, schema, bits), schema))
-    vocab = blocks.where("part >= 0").select("block", "part", "words", "keys", "counts", "endings")
+    vocab = blocks.where("keys is not null and part >= 0").select("block", "part", "words", "keys", "counts", "endings")
     counted = materialize(vocab.groupBy("part").applyInArrow(_count_range, COUNTED))
     words = _vocabulary(counted)
-    answers = counted.where("block >= 0").select("block", "part", "counts")
+    pairs = blocks.where("slots is not null").select("block", "part", "slots", "slot_counts")
+    answers = counted.where("block >= 0").select("block", "part", "counts", F.lit(None).cast("binary").alias("pairs"))
+    answers = answers.unionByName(pairs.groupBy("part").applyInArrow(_count_pairs, ANSWERS))
     encoded_schema = StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(ENCODED)])
     encoded = materialize(
-        blocks.drop("counts")
+        blocks.where("keys is not null")
+        .select("doc_ids", "block", "part", "keys", "endings", "tokens", "lengths")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(_encode_blocks(words, encoded_schema), encoded_schema)
@@ -660,7 +767,7 @@ def train_and_score(
     for round_ in range(params.rounds):
         shared = ship(spark, model)
         sums = (
-            encoded.select("doc_ids", "cells", "lengths")
+            encoded.select("doc_ids", "tokens", "cells", "lengths")
             .coalesce(tasks)
             .mapInArrow(_sum_counts(shared, round_, params), SUMS)
             .groupBy("kind", "chunk")
@@ -670,5 +777,5 @@ def train_and_score(
         model = _step(model, sums)
         shared.destroy()
     result = StructType([docs.schema["doc_id"], *StructType.fromDDL(RESULT)])
-    return encoded.mapInArrow(_score(ship(spark, model), params, words.tokens, result), result)
+    return encoded.mapInArrow(_score(ship(spark, model), params, words, result), result)
 

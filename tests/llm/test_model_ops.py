@@ -68,7 +68,7 @@ def test_words_of_a_cell_share_it(spark):
     docs = spark.createDataFrame([(i, " ".join(prose(i, 300))) for i in range(60)], "doc_id long, text string")
     schema = lm._block_schema(docs.schema["doc_id"].dataType)
     blocks = docs.mapInArrow(lm._make_blocks(lm.LmParams(), schema, 3), schema).cache()
-    counted = blocks.where("part >= 0").select("block", "part", "words", "keys", "counts", "endings")
+    counted = blocks.where("keys is not null and part >= 0").select("block", "part", "words", "keys", "counts", "endings")
     words = lm._vocabulary(counted.groupBy("part").applyInArrow(lm._count_range, lm.COUNTED).cache())
     train = Counter(w for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [x.encode() for x in prose(i, 300)])
     head = {lm.xxhash.xxh64_intdigest(w) for w in train} & set(words.head_keys.tolist())
@@ -146,6 +146,124 @@ def test_the_word_three_back_is_a_feature():
     assert scored[0][3] != scored[1][3]  # three back
 
 
+def replayed_scores(rows, p):
+    """The whole training and scoring, token by token; hashes and rows are the model's."""
+    texts = {i: lower(t) + [None] for i, t in rows}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % p.folds != p.held_fold}
+    key = {w: lm.END if w is None else lm.xxhash.xxh64_intdigest(w) for ws in texts.values() for w in ws}
+    counts = Counter(w for i in train for w in texts[i])
+    pairs = Counter(pair for i in train for pair in zip(["first", *texts[i]], texts[i]))
+    signed = {w: k - (1 << 64) if k >= 1 << 63 else k for w, k in key.items()}
+    top = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], signed[w]))[: lm.HEAD - 1]
+    cell = {w: lm.HEAD + lm.ending(w) for w in key if w is not None} | {w: 1 + k for k, w in enumerate(top)} | {None: 0}
+    held_in = np.zeros(lm.CELLS)
+    for w, n in counts.items():
+        held_in[cell[w]] += n + (cell[w] >= lm.HEAD)
+    members = (held_in + 1).reshape(lm.CLASSES, lm.MEMBERS)
+    class_bias = np.log(members.sum(axis=1) / members.sum())
+    member_bias = np.log(members / members.sum(axis=1, keepdims=True))
+    weights = {"class": np.zeros((p.class_rows, lm.CLASSES)), "member": np.zeros((p.member_rows, lm.MEMBERS))}
+    hashing = lm.Model(p, None, None, None, None)
+
+    def token(ws, at):
+        back = [np.array([cell[ws[at - k]] if at >= k else lm.START]) for k in (1, 2, 3)]
+        c, m = divmod(cell[ws[at]], lm.MEMBERS)
+        outer = [int(x[0]) for x in hashing.class_places(*back)]
+        inner = [int(hashing.member_place(np.array([x], np.uint16), np.array([c]))[0]) for x in outer]
+        shares = [class_bias + sum(weights["class"][x] for x in outer), member_bias[c] + sum(weights["member"][x] for x in inner)]
+        return [("class", outer, c, np.exp(shares[0]) / np.exp(shares[0]).sum()), ("member", inner, m, np.exp(shares[1]) / np.exp(shares[1]).sum())]
+
+    for round_ in range(p.rounds):
+        seen, due = ({k: np.zeros(w.shape) for k, w in weights.items()} for _ in range(2))
+        for i in train:
+            if zlib.crc32(str(i).encode()) // p.folds % p.rounds == round_:
+                for at in range(len(texts[i])):
+                    for kind, places, chosen, share in token(texts[i], at):
+                        for x in places:
+                            seen[kind][x, chosen] += 1
+                            due[kind][x] += share
+        for kind, prior in (("class", p.smoothing * np.exp(class_bias)), ("member", p.smoothing / lm.MEMBERS)):
+            weights[kind] += p.rate / lm.FEATURES * np.log((seen[kind] + prior) / (due[kind] + prior))
+    scores = {}
+    for i, ws in texts.items():
+        scores[i] = 0.0
+        for at, w in enumerate(ws):
+            share = math.prod(s[chosen] for _, _, chosen, s in token(ws, at))
+            if cell[w] >= lm.HEAD:
+                share *= (counts[w] + 1) / (held_in[cell[w]] + 1)
+            before = ws[at - 1] if at else "first"
+            n = counts[before] if at else len(train)
+            g = p.pair_scale * (n + 1) ** p.pair_power
+            scores[i] += math.log10((pairs[before, w] + g * share) / (n + g))
+    return scores
+
+
+def test_scores_equal_a_replay_token_by_token(spark):
+    rows = [(i, " ".join(prose(i % 25, 30))) for i in range(30)] + [(90, None), (91, ""), (92, "Unseen WORDS here " * 3)]
+    params = lm.LmParams(class_rows=1 << 10, member_rows=1 << 11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.train_and_score(docs, params=params).collect()}
+    wanted = replayed_scores(rows, params)
+    assert got.keys() == wanted.keys()
+    assert all(abs(got[i] - wanted[i]) < 1e-3 * abs(wanted[i]) for i in wanted)
+
+
+def test_pair_counts_come_back_to_every_block():
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(1, 1 << 63, 50).astype(np.uint64))
+    blocks = [(rng.integers(0, 50, 400), np.array([1, 150, 249])) for _ in range(3)]
+    wanted, rows, places = Counter(), [], []
+    for number, (tokens, lengths) in enumerate(blocks):
+        hashes, at = lm.pair_hashes(keys, tokens, lengths)
+        assert (np.diff(hashes.astype(object)) > 0).all()
+        before = lm.neighbours(tokens, lengths, -1).tolist()
+        wanted.update(zip(before, tokens.tolist()))
+        counts = np.bincount(at, minlength=len(hashes))
+        slots = np.diff(lm.pair_slots(hashes, 0), prepend=np.uint64(0))
+        rows.append((number, 0, lm._packed(slots), lm._packed(counts)))
+        places.append((at, before, tokens.tolist()))
+    names = ["block", "part", "slots", "slot_counts"]
+    table = lm.pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    answers = lm._count_pairs([lm.pa.scalar(0)], table)
+    for (at, before, tokens), pairs in zip(places, answers["pairs"].to_pylist()):
+        assert lm._unpacked(pairs)[at].tolist() == [wanted[pair] for pair in zip(before, tokens)]
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [255, 256], [1 << 23, 1 << 24, 3], [(1 << 32) - 1, 0], [1 << 40]):
+        assert lm._unpacked(lm._packed(np.array(values, np.int64))).tolist() == values
+
+
+def held_loss(spark, rows):
+    """Held-out log10 loss a token of the model, and of a discounted bigram."""
+    got = lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out")
+    total, tokens = got.groupBy().sum("score", "n_tokens").first()
+    counts, pairs, kinds, after = Counter(), Counter(), Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words = lower(t) + [None]
+            counts.update(words)
+            pairs.update(zip(["first", *words], words))
+    for (before, _), n in pairs.items():
+        kinds[before] += 1
+        after[before] += n
+    whole = sum(counts.values()) + len(counts) + 1
+    loss = 0.0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 == 2:
+            words = lower(t) + [None]
+            for before, w in zip(["first", *words], words):
+                share, n = (counts[w] + 1) / whole, after[before]
+                loss -= math.log10((max(pairs[before, w] - 0.75, 0) + 0.75 * kinds[before] * share) / n if n else share)
+    return -total / tokens, loss / tokens
+
+
+def test_held_out_loss_is_under_a_discounted_bigram(spark):
+    docs = spark.read.parquet(str(TESTDATA.parent / "sf0.01" / "documents.parquet")).select("doc_id", "text")
+    ours, bigram = held_loss(spark, [tuple(r) for r in docs.collect()])
+    assert ours < bigram < 3.52
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(i, " ".join(prose(i % 40, 80))) for i in range(200)], "doc_id long, text string")
     one = {r["doc_id"]: r["score"] for r in lm.train_and_score(docs.repartition(1)).collect()}
