@@ -37,11 +37,18 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
 
     Later scans read only the columns they need and do not depend on any executor.
+    ``folder``: a new one of ``scratch_path``, for a caller who discards it early.
     """
-    path = f"{scratch_path(df.sparkSession)}/table"
+    path = f"{folder or scratch_path(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``scratch_path`` whose table nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
