@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from ..session import materialize
+from ..session import discard, materialize, scratch_path
 from .hashing import BASES, by_range, mixed, ship, shipped
 
 CLASSES = MEMBERS = 32
@@ -109,10 +109,7 @@ def ending(word: bytes) -> int:
 
 # -- blocks of tokens ---------------------------------------------------------------
 
-BLOCK = (
-    "block long, part int, words long, keys binary, counts binary, endings binary, "
-    "slots binary, slot_counts binary, tokens binary, lengths binary"
-)
+BLOCK = "block long, part int, words long, keys binary, counts binary, endings binary, tokens binary, lengths binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -137,17 +134,14 @@ def neighbours(tokens: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarra
     return before
 
 
-def pair_hashes(keys: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of a block's distinct (token before, token) pairs, and the place of
-    each token's pair among them. ``tokens`` are places in ``keys``."""
-    n = len(keys)
-    pairs, at = np.unique(neighbours(tokens, lengths, n) * n + tokens, return_inverse=True)
+def pair_hashes(keys: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """An even hash of each token's pair (token before, token); ``tokens`` are places in
+    ``keys``."""
     named = np.append(keys, np.uint64(BEFORE))
-    hashes = mixed(named[pairs // n] * np.uint64(BASES[0]) + named[pairs % n])
-    order = np.argsort(hashes, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return hashes[order], place[at]
+    hashes = named[neighbours(tokens, lengths, len(keys))]
+    hashes *= np.uint64(BASES[0])
+    hashes += named[tokens]
+    return mixed(hashes) & ~np.uint64(1)
 
 
 def pair_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -207,19 +201,11 @@ def _make_blocks(params: LmParams, schema: StructType, bits: int):
         counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(keys)).astype(np.uint32)
         rank = np.empty(len(keys), np.int32)
         rank[np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")] = np.arange(len(keys))
-        hashes, pair_of = pair_hashes(keys, tokens, lengths)
-        slots = pair_slots(hashes, bits)
-        pair_counts = np.bincount(pair_of[np.repeat(~held, lengths)], minlength=len(hashes))
-        whole = (len(keys), rank.tobytes(), None, None, None, None, _packed(rank[tokens]), lengths.tobytes())
-        rows = [(block.ids, number, -1, *whole)]
+        rows = [(block.ids, number, -1, len(keys), rank.tobytes(), None, None, _packed(rank[tokens]), lengths.tobytes())]
         rows += [
-            (None, number, p, s.stop - s.start, keys[s].tobytes(), counts[s].tobytes(), endings[s].tobytes(), *[None] * 4)
+            (None, number, p, s.stop - s.start, keys[s].tobytes(), counts[s].tobytes(), endings[s].tobytes(), None, None)
             for p, s in by_range(keys, bits)
         ]
-        rows += [
-            (None, number, p, *[None] * 4, _packed(np.diff(slots[s], prepend=np.uint64(0))), _packed(pair_counts[s]), None, None)
-            for p, s in by_range(hashes, bits)
-        ]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], arrow.names
         )
@@ -294,29 +280,6 @@ def _count_range(key, table):
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COUNTED_ARROW)], schema=COUNTED_ARROW)
 
 
-ANSWERS_ARROW = pa.schema(
-    [("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("pairs", pa.binary())]
-)
-ANSWERS = from_arrow_schema(ANSWERS_ARROW)
-
-
-def _count_pairs(key, table):
-    """Training counts of the pairs of one hash range, sent back to each block."""
-    slots = [np.cumsum(_unpacked(x), dtype=np.int64) for x in table["slots"].to_pylist()]
-    ends = np.cumsum([len(x) for x in slots])
-    slots = np.concatenate(slots)
-    counts = np.concatenate([_unpacked(x) for x in table["slot_counts"].to_pylist()])
-    order = np.argsort(slots, kind="stable")  # sorted runs, which this merges
-    _, sums, place = _runs(slots[order], counts[order].astype(np.int64))
-    counts = np.empty(len(order), np.int64)
-    counts[order] = sums[place]
-    blocks = table["block"].to_pylist()
-    rows = [_packed(x) for x in np.split(counts, ends[:-1])]
-    parts = [key[0].as_py()] * len(rows)
-    columns = [blocks, parts, [None] * len(rows), rows]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, ANSWERS_ARROW)], schema=ANSWERS_ARROW)
-
-
 @dataclass
 class Vocabulary:
     """What the model knows of the words: totals, the words with a cell of their own
@@ -358,12 +321,14 @@ def _vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary(tokens, kinds, keys[by_key], by_key, sums)
 
 
-ENCODED = "tokens binary, cells binary, counts binary, pairs binary, lengths binary, known binary, base binary"
+ENCODED = (
+    "block long, keys binary, tokens binary, cells binary, counts binary, lengths binary, known binary, base binary"
+)
 
 
 def _encode_blocks(words: Vocabulary, schema: StructType):
-    """What a block needs of the whole corpus: cells and counts of its words, by their
-    local numbers, the count of each token's pair, and the base scores."""
+    """Keys, cells and corpus counts of a block's words by their local numbers, and the
+    base scores."""
     arrow = to_arrow_schema(schema)
     unseen = 1.0 / (words.tokens + words.kinds + 1)
 
@@ -372,8 +337,7 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
         if not rows.num_rows:
             return arrow.empty_table()
         vocab = table.select(["part", "keys", "endings"]).filter(pc.greater_equal(table["part"], 0)).sort_by("part")
-        got = answers.filter(pc.is_valid(answers["counts"])).sort_by("part")
-        paired = answers.filter(pc.is_valid(answers["pairs"])).sort_by("part")
+        got = answers.sort_by("part")
         keys = np.frombuffer(b"".join(vocab["keys"].to_pylist()), np.uint64)
         endings = np.frombuffer(b"".join(vocab["endings"].to_pylist()), np.uint16)
         counts = np.frombuffer(b"".join(got["counts"].to_pylist()), np.int64)
@@ -389,15 +353,14 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
         tokens = by_rank[_unpacked(row["tokens"])]
         lengths = np.frombuffer(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
-        _, pair_of = pair_hashes(keys, tokens, lengths)
-        pairs = np.concatenate([_unpacked(x) for x in paired["pairs"].to_pylist()])
         return pa.table(
             [
                 pa.array([row["doc_ids"]], arrow.field("doc_ids").type),
+                pa.array([row["block"]]),
+                pa.array([keys[by_rank].tobytes()]),
                 pa.array([row["tokens"]]),
                 pa.array([cells[by_rank].astype(np.uint16).tobytes()]),
                 pa.array([counts[by_rank].tobytes()]),
-                pa.array([_packed(pairs[pair_of])]),
                 pa.array([row["lengths"]]),
                 pa.array([np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts).tobytes()]),
                 pa.array([np.add.reduceat(base[tokens], starts).tobytes()]),
@@ -408,6 +371,77 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
     return run
 
 
+# -- counts of pairs ----------------------------------------------------------------
+
+PAIRS = "block long, part int, slots binary, counts binary"
+ANSWERS = "block long, part int, counts binary"
+
+
+def _block_pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token's pair, and the documents' lengths."""
+    lengths = np.frombuffer(row["lengths"], np.int64)
+    hashes = pair_hashes(np.frombuffer(row["keys"], np.uint64), _unpacked(row["tokens"]), lengths)
+    return hashes, lengths
+
+
+def _send_pairs(params: LmParams, bits: int):
+    """The distinct pairs of each block with their training counts, by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                hashes, lengths = _block_pairs(row)
+                train = np.fromiter((id_hash(d) % params.folds != params.held_fold for d in row["doc_ids"]), bool, len(lengths))
+                hashes |= np.repeat(train, lengths).astype(np.uint64)  # the bit that hashes leave free
+                hashes.sort()
+                pairs, counts, _ = _runs(hashes >> np.uint64(1), (hashes & np.uint64(1)).astype(np.int64))
+                pairs <<= np.uint64(1)
+                slots = pair_slots(pairs, bits)
+                cuts = list(by_range(pairs, bits))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["block"]] * len(cuts), pa.int64()),
+                        pa.array([p for p, _ in cuts], pa.int32()),
+                        pa.array([_packed(np.diff(slots[s], prepend=np.uint64(0))) for _, s in cuts]),
+                        pa.array([_packed(counts[s]) for _, s in cuts]),
+                    ],
+                    ["block", "part", "slots", "counts"],
+                )
+
+    return run
+
+
+def _count_pairs(key, table):
+    """Training counts of the pairs of one hash range, sent back to each block."""
+    slots = [np.cumsum(_unpacked(x), dtype=np.int64) for x in table["slots"].to_pylist()]
+    ends = np.cumsum([len(x) for x in slots])
+    slots = np.concatenate(slots)
+    counts = np.concatenate([_unpacked(x) for x in table["counts"].to_pylist()])
+    order = np.argsort(slots)
+    _, sums, place = _runs(slots[order], counts[order].astype(np.int64))
+    counts = np.empty(len(order), np.int64)
+    counts[order] = sums[place]
+    rows = [_packed(x) for x in np.split(counts, ends[:-1])]
+    return pa.table(
+        {
+            "block": table["block"],
+            "part": pa.array([key[0].as_py()] * len(rows), pa.int32()),
+            "counts": pa.array(rows, pa.binary()),
+        }
+    )
+
+
+def _found_pairs(row: dict, answers: pa.Table) -> np.ndarray:
+    """The corpus count of each token's pair."""
+    hashes, _ = _block_pairs(row)
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    sums = np.concatenate([_unpacked(x) for x in answers.sort_by("part")["counts"].to_pylist()])
+    found = np.empty(len(hashes), sums.dtype)
+    found[order] = sums[np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))]
+    return found
+
+
 # -- the model ----------------------------------------------------------------------
 
 
@@ -681,46 +715,45 @@ def pair_weight(n: np.ndarray, params: LmParams) -> np.ndarray:
 def _score(model_of, params: LmParams, words: Vocabulary, schema: StructType):
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key, table, answers):
         model = shipped(model_of)
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                lengths = np.frombuffer(row["lengths"], np.int64)
-                cells = np.frombuffer(row["cells"], np.uint16)
-                counts = np.frombuffer(row["counts"], np.int64)
-                inside = words.inside(cells, counts)
-                after = np.append(counts, words.documents)
-                total = np.zeros(len(lengths))
-                found = _unpacked(row["pairs"])
-                done = 0
-                for a, b, ranks, own, starts in _pieces(_unpacked(row["tokens"]), lengths):
-                    x = cells[ranks]
-                    value = inside[ranks]
-                    places = model.class_places(*histories(x, starts, own, BACK))
-                    for s in range(0, len(x), SCORE_TOKENS):
-                        part = slice(s, s + SCORE_TOKENS)
-                        classes, members = x[part] // MEMBERS, x[part] % MEMBERS
-                        outer, inner, _ = model.scores([p[part] for p in places], classes)
-                        value[part] += log_chosen(outer, classes) + log_chosen(inner, members)
-                    n = after[neighbours(ranks, own, len(counts))]
-                    weight = pair_weight(n, params)
-                    value = np.log10((found[done : done + len(x)] + weight * np.exp(value)) / (n + weight))
-                    total[a:b] = np.add.reduceat(value, starts)
-                    done += len(x)
-                ids = row["doc_ids"]
-                held = [id_hash(d) % params.folds == params.held_fold for d in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, arrow.field("doc_id").type),
-                        pa.array(held, pa.bool_()),
-                        pa.array(lengths),
-                        pa.array(np.frombuffer(row["known"], np.int64)),
-                        pa.array(np.full(len(ids), words.tokens, np.int64)),
-                        pa.array(np.frombuffer(row["base"], np.float64)),
-                        pa.array(total),
-                    ],
-                    arrow.names,
-                )
+        row = table.to_pylist()[0]
+        lengths = np.frombuffer(row["lengths"], np.int64)
+        cells = np.frombuffer(row["cells"], np.uint16)
+        counts = np.frombuffer(row["counts"], np.int64)
+        inside = words.inside(cells, counts)
+        after = np.append(counts, words.documents)
+        found = _found_pairs(row, answers)
+        total = np.zeros(len(lengths))
+        done = 0
+        for a, b, ranks, own, starts in _pieces(_unpacked(row["tokens"]), lengths):
+            x = cells[ranks]
+            value = inside[ranks]
+            places = model.class_places(*histories(x, starts, own, BACK))
+            for s in range(0, len(x), SCORE_TOKENS):
+                part = slice(s, s + SCORE_TOKENS)
+                classes, members = x[part] // MEMBERS, x[part] % MEMBERS
+                outer, inner, _ = model.scores([p[part] for p in places], classes)
+                value[part] += log_chosen(outer, classes) + log_chosen(inner, members)
+            n = after[neighbours(ranks, own, len(counts))]
+            weight = pair_weight(n, params)
+            value = np.log10((found[done : done + len(x)] + weight * np.exp(value)) / (n + weight))
+            total[a:b] = np.add.reduceat(value, starts)
+            done += len(x)
+        ids = row["doc_ids"]
+        held = [id_hash(d) % params.folds == params.held_fold for d in ids]
+        return pa.table(
+            [
+                pa.array(ids, arrow.field("doc_id").type),
+                pa.array(held, pa.bool_()),
+                pa.array(lengths),
+                pa.array(np.frombuffer(row["known"], np.int64)),
+                pa.array(np.full(len(ids), words.tokens, np.int64)),
+                pa.array(np.frombuffer(row["base"], np.float64)),
+                pa.array(total),
+            ],
+            schema=arrow,
+        )
 
     return run
 
@@ -747,21 +780,21 @@ def train_and_score(
     bits = max(3, ceil(log2(max(1, chars / 6 / RANGE_WORDS))))
     id_type = docs.schema["doc_id"].dataType
     schema = _block_schema(id_type)
-    blocks = materialize(docs.mapInArrow(_make_blocks(params, schema, bits), schema))
-    vocab = blocks.where("keys is not null and part >= 0").select("block", "part", "words", "keys", "counts", "endings")
-    counted = materialize(vocab.groupBy("part").applyInArrow(_count_range, COUNTED))
+    paths = [scratch_path(spark) for _ in range(2)]
+    blocks = materialize(docs.mapInArrow(_make_blocks(params, schema, bits), schema), paths[0])
+    vocab = blocks.where("part >= 0").select("block", "part", "words", "keys", "counts", "endings")
+    counted = materialize(vocab.groupBy("part").applyInArrow(_count_range, COUNTED), paths[1])
     words = _vocabulary(counted)
-    pairs = blocks.where("slots is not null").select("block", "part", "slots", "slot_counts")
-    answers = counted.where("block >= 0").select("block", "part", "counts", F.lit(None).cast("binary").alias("pairs"))
-    answers = answers.unionByName(pairs.groupBy("part").applyInArrow(_count_pairs, ANSWERS))
+    answers = counted.where("block >= 0").select("block", "part", "counts")
     encoded_schema = StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(ENCODED)])
     encoded = materialize(
-        blocks.where("keys is not null")
-        .select("doc_ids", "block", "part", "keys", "endings", "tokens", "lengths")
+        blocks.drop("counts")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(_encode_blocks(words, encoded_schema), encoded_schema)
     )
+    for path in paths:  # all that is still needed is in the encoded blocks
+        discard(spark, path)
     model = Model.start(words, params)
     tasks = max(1, ceil(words.tokens / TASK_TOKENS))
     for round_ in range(params.rounds):
@@ -777,5 +810,7 @@ def train_and_score(
         model = _step(model, sums)
         shared.destroy()
     result = StructType([docs.schema["doc_id"], *StructType.fromDDL(RESULT)])
-    return encoded.mapInArrow(_score(ship(spark, model), params, words, result), result)
-
+    pairs = encoded.select("doc_ids", "block", "keys", "tokens", "lengths").mapInArrow(_send_pairs(params, bits), PAIRS)
+    found = pairs.groupBy("part").applyInArrow(_count_pairs, ANSWERS)
+    score = _score(ship(spark, model), params, words, result)
+    return encoded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, result)

@@ -68,7 +68,7 @@ def test_words_of_a_cell_share_it(spark):
     docs = spark.createDataFrame([(i, " ".join(prose(i, 300))) for i in range(60)], "doc_id long, text string")
     schema = lm._block_schema(docs.schema["doc_id"].dataType)
     blocks = docs.mapInArrow(lm._make_blocks(lm.LmParams(), schema, 3), schema).cache()
-    counted = blocks.where("keys is not null and part >= 0").select("block", "part", "words", "keys", "counts", "endings")
+    counted = blocks.where("part >= 0").select("block", "part", "words", "keys", "counts", "endings")
     words = lm._vocabulary(counted.groupBy("part").applyInArrow(lm._count_range, lm.COUNTED).cache())
     train = Counter(w for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [x.encode() for x in prose(i, 300)])
     head = {lm.xxhash.xxh64_intdigest(w) for w in train} & set(words.head_keys.tolist())
@@ -211,22 +211,25 @@ def test_scores_equal_a_replay_token_by_token(spark):
 def test_pair_counts_come_back_to_every_block():
     rng = np.random.default_rng(8)
     keys = np.sort(rng.integers(1, 1 << 63, 50).astype(np.uint64))
-    blocks = [(rng.integers(0, 50, 400), np.array([1, 150, 249])) for _ in range(3)]
-    wanted, rows, places = Counter(), [], []
-    for number, (tokens, lengths) in enumerate(blocks):
-        hashes, at = lm.pair_hashes(keys, tokens, lengths)
-        assert (np.diff(hashes.astype(object)) > 0).all()
+    params, wanted, sent, blocks = lm.LmParams(), Counter(), [], []
+    for number in range(3):
+        tokens, lengths = rng.integers(0, 50, 400), np.array([1, 150, 249])
+        ids = [number * 3 + k for k in range(3)]
         before = lm.neighbours(tokens, lengths, -1).tolist()
-        wanted.update(zip(before, tokens.tolist()))
-        counts = np.bincount(at, minlength=len(hashes))
-        slots = np.diff(lm.pair_slots(hashes, 0), prepend=np.uint64(0))
-        rows.append((number, 0, lm._packed(slots), lm._packed(counts)))
-        places.append((at, before, tokens.tolist()))
-    names = ["block", "part", "slots", "slot_counts"]
-    table = lm.pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
-    answers = lm._count_pairs([lm.pa.scalar(0)], table)
-    for (at, before, tokens), pairs in zip(places, answers["pairs"].to_pylist()):
-        assert lm._unpacked(pairs)[at].tolist() == [wanted[pair] for pair in zip(before, tokens)]
+        train = np.repeat([lm.id_hash(i) % params.folds != params.held_fold for i in ids], lengths)
+        wanted.update(pair for pair, t in zip(zip(before, tokens.tolist()), train) if t)
+        row = {"doc_ids": ids, "block": number, "keys": keys.tobytes(), "tokens": lm._packed(tokens), "lengths": lengths.tobytes()}
+        sent.append(lm.pa.RecordBatch.from_pylist([row]))
+        blocks.append((row, list(zip(before, tokens.tolist()))))
+    table = lm.pa.Table.from_batches(lm._send_pairs(params, 2)(iter(sent)))
+    parts = sorted(set(table["part"].to_pylist()))
+    assert parts == [0, 1, 2, 3]
+    answers = lm.pa.concat_tables(
+        lm._count_pairs([lm.pa.scalar(p)], table.filter(lm.pc.equal(table["part"], p))) for p in parts
+    )
+    for row, pairs in blocks:
+        own = answers.filter(lm.pc.equal(answers["block"], row["block"]))
+        assert lm._found_pairs(row, own).tolist() == [wanted[pair] for pair in pairs]
 
 
 def test_packed_numbers_come_back():
