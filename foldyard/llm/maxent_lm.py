@@ -22,7 +22,7 @@ log ratio of the two, which has the gradient's sign and its zeros. Counts are in
 sums over all tokens of a slice, so neither the layout nor the number of tasks matters
 but for rounding.
 
-Work is done on blocks: a task turns about two million words into small local numbers.
+Work is done on blocks: a task turns about 1.5 million words into small local numbers.
 Word counts travel as packed arrays, by hash range, and come back to the blocks that hold
 the words, so no task or driver holds the vocabulary. The model itself has a fixed size
 (6 MB) and is the only broadcast. Counts of words cover all training documents; the
@@ -57,7 +57,7 @@ FEATURES = 4
 BACK = 3
 #: Before the first word of a document.
 START = CELLS
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_500_000
 #: Words of a block that are held as texts.
 WAITING_WORDS = 100_000
 #: Words for each hash range of the vocabulary, about.
@@ -115,7 +115,8 @@ BLOCK = "block long, part int, words long, keys binary, counts binary, endings b
 def _packed(values: np.ndarray) -> bytes:
     """Byte planes of whole numbers, as many as the largest needs; upper ones compress well."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    size = 4 if width <= 4 else 8
+    return bytes([width]) + values.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, :width].T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -128,7 +129,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def neighbours(tokens: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
     """The token before each token; ``first`` before a document."""
-    before = np.empty(len(tokens), np.int64)
+    before = np.empty(len(tokens), np.int32)
     before[1:] = tokens[:-1]
     before[np.cumsum(lengths) - lengths] = first
     return before
@@ -141,7 +142,9 @@ def pair_hashes(keys: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np
     hashes = named[neighbours(tokens, lengths, len(keys))]
     hashes *= np.uint64(BASES[0])
     hashes += named[tokens]
-    return mixed(hashes) & ~np.uint64(1)
+    for part in (hashes[i : i + STEP_TOKENS] for i in range(0, len(hashes), STEP_TOKENS)):
+        part[:] = mixed(part) & ~np.uint64(1)
+    return hashes
 
 
 def pair_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -348,7 +351,7 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
         base = np.log10((counts + 1) * unseen)
         row = rows.to_pylist()[0]
         rank = np.frombuffer(row["keys"], np.int32)
-        by_rank = np.empty(len(rank), np.int64)
+        by_rank = np.empty(len(rank), np.int32)
         by_rank[rank] = np.arange(len(rank))
         tokens = by_rank[_unpacked(row["tokens"])]
         lengths = np.frombuffer(row["lengths"], np.int64)
@@ -362,7 +365,7 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
                 pa.array([cells[by_rank].astype(np.uint16).tobytes()]),
                 pa.array([counts[by_rank].tobytes()]),
                 pa.array([row["lengths"]]),
-                pa.array([np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts).tobytes()]),
+                pa.array([np.add.reduceat((counts > 0)[tokens], starts, dtype=np.int64).tobytes()]),
                 pa.array([np.add.reduceat(base[tokens], starts).tobytes()]),
             ],
             schema=arrow,
@@ -435,10 +438,12 @@ def _found_pairs(row: dict, answers: pa.Table) -> np.ndarray:
     """The corpus count of each token's pair."""
     hashes, _ = _block_pairs(row)
     order = np.argsort(hashes)
-    ranked = hashes[order]
+    hashes = hashes[order]
+    place = np.cumsum(np.append(False, hashes[1:] != hashes[:-1]), dtype=np.int32)
+    del hashes
     sums = np.concatenate([_unpacked(x) for x in answers.sort_by("part")["counts"].to_pylist()])
-    found = np.empty(len(hashes), sums.dtype)
-    found[order] = sums[np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))]
+    found = np.empty(len(order), sums.dtype)
+    found[order] = sums[place]
     return found
 
 
@@ -496,7 +501,7 @@ def histories(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray, far: i
     """The cells one to ``far`` back of each token; START before a document."""
     back = []
     for k in range(1, far + 1):
-        past = np.empty(len(cells), np.int64)
+        past = np.empty(len(cells), np.uint16)
         past[k:] = cells[:-k]
         past[:k] = START
         for i in range(k):
@@ -610,7 +615,11 @@ def _runs(values: np.ndarray, counts: np.ndarray):
 
 def case_keys(cells: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
     """(three back, one back, two back, cell) as one number; START three back adds nothing."""
-    return (((START - three) * (CELLS + 1) + one) * (CELLS + 1) + two) * CELLS + cells
+    keys = START - three.astype(np.int64)
+    for base, digit in ((CELLS + 1, one), (CELLS + 1, two), (CELLS, cells)):
+        keys *= base
+        keys += digit
+    return keys
 
 
 def _count(model: Model, keys: np.ndarray, observed, expected) -> None:
