@@ -37,14 +37,15 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
 
     Later scans read only the columns they need and do not depend on any executor.
     ``folder``: a new one of ``scratch_path``, for a caller who discards it early.
+    ``codec``: of the Parquet files.
     """
     path = f"{folder or scratch_path(df.sparkSession)}/table"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
