@@ -329,9 +329,14 @@ ENCODED = (
 )
 
 
-def _encode_blocks(words: Vocabulary, schema: StructType):
-    """Keys, cells and corpus counts of a block's words by their local numbers, and the
-    base scores."""
+def _encoded_schema(id_type, rounds: int) -> StructType:
+    slices = ", ".join(f"cells_{r} binary, lengths_{r} binary" for r in range(rounds))
+    return StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(f"{ENCODED}, {slices}")])
+
+
+def _encode_blocks(words: Vocabulary, params: LmParams, schema: StructType):
+    """Keys, cells and corpus counts of a block's words by their local numbers, the base
+    scores, and for each round the cells and lengths of the documents that train in it."""
     arrow = to_arrow_schema(schema)
     unseen = 1.0 / (words.tokens + words.kinds + 1)
 
@@ -356,6 +361,13 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
         tokens = by_rank[_unpacked(row["tokens"])]
         lengths = np.frombuffer(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
+        hashes = np.fromiter(map(id_hash, row["doc_ids"]), np.int64, len(lengths))
+        round_of = np.where(hashes % params.folds == params.held_fold, -1, hashes // params.folds % params.rounds)
+        of_token, cells_of = np.repeat(round_of.astype(np.int8), lengths), cells.astype(np.uint16)[tokens]
+        slices = []
+        for r in range(params.rounds):
+            slices.append(pa.array([cells_of[of_token == r].tobytes()]))
+            slices.append(pa.array([lengths[round_of == r].tobytes()]))
         return pa.table(
             [
                 pa.array([row["doc_ids"]], arrow.field("doc_ids").type),
@@ -367,6 +379,7 @@ def _encode_blocks(words: Vocabulary, schema: StructType):
                 pa.array([row["lengths"]]),
                 pa.array([np.add.reduceat((counts > 0)[tokens], starts, dtype=np.int64).tobytes()]),
                 pa.array([np.add.reduceat(base[tokens], starts).tobytes()]),
+                *slices,
             ],
             schema=arrow,
         )
@@ -567,8 +580,8 @@ SUMS = "kind string, chunk int, observed binary, expected binary"
 CHUNKS = 64
 
 
-def _sum_counts(model_of, round_: int, params: LmParams):
-    """Observed and expected feature counts of the slice's training tokens, by chunk."""
+def _sum_counts(model_of):
+    """Observed and expected feature counts of a slice's training tokens, by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped(model_of)
@@ -577,11 +590,8 @@ def _sum_counts(model_of, round_: int, params: LmParams):
         held: list[np.ndarray] = []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                lengths = np.frombuffer(row["lengths"], np.int64)
-                hashes = np.fromiter(map(id_hash, row["doc_ids"]), np.int64, len(lengths))
-                train = (hashes % params.folds != params.held_fold) & (hashes // params.folds % params.rounds == round_)
-                cells = np.frombuffer(row["cells"], np.uint16)[_unpacked(row["tokens"])[np.repeat(train, lengths)]]
-                own = lengths[train]
+                own = np.frombuffer(row["lengths"], np.int64)
+                cells = np.frombuffer(row["cells"], np.uint16)
                 held.append(case_keys(cells, *histories(cells, np.cumsum(own) - own, own, BACK)))
                 if sum(map(len, held)) >= COUNT_TOKENS:
                     _count(model, np.concatenate(held), observed, expected)
@@ -790,17 +800,18 @@ def train_and_score(
     id_type = docs.schema["doc_id"].dataType
     schema = _block_schema(id_type)
     paths = [scratch_path(spark) for _ in range(2)]
-    blocks = materialize(docs.mapInArrow(_make_blocks(params, schema, bits), schema), paths[0])
+    blocks = materialize(docs.mapInArrow(_make_blocks(params, schema, bits), schema), paths[0], "zstd")
     vocab = blocks.where("part >= 0").select("block", "part", "words", "keys", "counts", "endings")
-    counted = materialize(vocab.groupBy("part").applyInArrow(_count_range, COUNTED), paths[1])
+    counted = materialize(vocab.groupBy("part").applyInArrow(_count_range, COUNTED), paths[1], "zstd")
     words = _vocabulary(counted)
     answers = counted.where("block >= 0").select("block", "part", "counts")
-    encoded_schema = StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(ENCODED)])
+    encoded_schema = _encoded_schema(id_type, params.rounds)
     encoded = materialize(
         blocks.drop("counts")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_encode_blocks(words, encoded_schema), encoded_schema)
+        .applyInArrow(_encode_blocks(words, params, encoded_schema), encoded_schema),
+        codec="zstd",
     )
     for path in paths:  # all that is still needed is in the encoded blocks
         discard(spark, path)
@@ -809,9 +820,9 @@ def train_and_score(
     for round_ in range(params.rounds):
         shared = ship(spark, model)
         sums = (
-            encoded.select("doc_ids", "tokens", "cells", "lengths")
+            encoded.select(F.col(f"cells_{round_}").alias("cells"), F.col(f"lengths_{round_}").alias("lengths"))
             .coalesce(tasks)
-            .mapInArrow(_sum_counts(shared, round_, params), SUMS)
+            .mapInArrow(_sum_counts(shared), SUMS)
             .groupBy("kind", "chunk")
             .applyInArrow(_add_chunks, SUMS)
             .collect()  # as large as the model
@@ -822,4 +833,5 @@ def train_and_score(
     pairs = encoded.select("doc_ids", "block", "keys", "tokens", "lengths").mapInArrow(_send_pairs(params, bits), PAIRS)
     found = pairs.groupBy("part").applyInArrow(_count_pairs, ANSWERS)
     score = _score(ship(spark, model), params, words, result)
-    return encoded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, result)
+    scored = encoded.select("doc_ids", *StructType.fromDDL(ENCODED).names)
+    return scored.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, result)
