@@ -174,8 +174,8 @@ def test_equal_vectors_are_placed_like_one_by_one():
 
 
 def _brute_spread(rows, k, seed, hot_share):
-    """Cells of groups, largest spread first, each group on the fold whose class shares
-    grow least; a cell's groups go to the folds in hash order."""
+    """Groups, largest spread first, each on the fold whose class shares grow least; those of
+    equal class counts go to the folds in hash order."""
     classes = sorted({r[2] for r in rows})
     table = defaultdict(lambda: [0] * len(classes))
     for _, g, c, _ in rows:
@@ -183,10 +183,7 @@ def _brute_spread(rows, k, seed, hot_share):
     totals = [sum(v[j] for v in table.values()) for j in range(len(classes))]
     cells = defaultdict(list)
     for g, v in table.items():
-        if sum(v) * hot_share > len(rows):
-            text = "[" + ",".join(f'{{"_class":{c},"_n":{n}}}' for c, n in enumerate(v) if n) + "]"
-        else:
-            text = f"{sum(v).bit_length()}:{v.index(max(v))}"
+        text = "[" + ",".join(f'{{"_class":{c},"_n":{n}}}' for c, n in enumerate(v) if n) + "]"
         cells[text].append(g)
     mean = {
         cell: {c: sum(table[g][c] for g in gs) * 256 // len(gs) for c in range(len(classes)) if any(table[g][c] for g in gs)}
@@ -223,6 +220,15 @@ def test_stratified_group_folds_match_the_rule_one_by_one(people, monkeypatch, h
     assert len(got) == 600 and FO.group_leaks(folded, "g").isEmpty()
 
 
+def test_small_groups_are_placed_by_their_own_class_counts(spark):
+    """Each holds under 1/10,000 of the rows, and groups of one size differ in their classes."""
+    rows = [(i, f"g{i % 12_007}", "abc"[(i // 12_007 + (i % 12_007) * (i % 5)) % 3], 0.0) for i in range(33_000)]
+    frame = spark.createDataFrame(rows, "_row_id long, g string, c string, y double")
+    spec = PartitionSpec("group", n_splits=4, group_column="g", random_state=42)
+    got = _folds(assign_folds(frame, "classification", spec, "c"), "g")
+    assert dict(got) == _brute_spread(rows, 4, 42, None)
+
+
 def test_many_small_groups_spread_every_class_evenly(spark):
     """60,000 groups beside one that holds a third of the rows: one rule, no shards."""
     sizes = F.when(F.col("id") < 30_000, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id")))
