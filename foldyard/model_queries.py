@@ -313,8 +313,9 @@ def ica_components(spark, sf_dir):
     rows, flattest first."""
     data = _data(spark, sf_dir, "regression", "l_extendedprice", **MIX)
     before = [Affine.identity(2)] * data.k
-    steps = it.fit_ica(data.design, data.train_moments, before, tol=1e-9)
-    sums = fold_sums(data.design, _power_sums, steps, 7)
+    steps = it.fit_ica(data.blocks, data.train_moments, before, tol=1e-9)
+    sums = fold_sums(data.blocks, _power_sums, steps, 7)
+    data.release_blocks()
     rows = []
     for m, total in enumerate(sums):
         mean, square, fourth = (total[i : i + 2] / total[6] for i in (0, 2, 4))
