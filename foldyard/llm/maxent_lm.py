@@ -530,9 +530,17 @@ def sum_rows(weights: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def row_max(x: np.ndarray) -> np.ndarray:
+    """The largest of each row, as a column: halves against each other, as rows are short."""
+    while x.shape[1] % 2 == 0:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x if x.shape[1] == 1 else x.max(axis=1, keepdims=True)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    x -= row_max(x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
@@ -540,7 +548,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log of the softmax at one column of each row."""
-    top = x.max(axis=1, keepdims=True)
+    top = row_max(x)
     value = x[np.arange(len(x)), chosen] - top[:, 0]
     x -= top
     np.exp(x, out=x)
@@ -690,7 +698,7 @@ def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, obs
         share = base[at]
         share += weights[skip[part]]
         share = softmax(share)
-        share *= n[part, None]
+        share *= n[part, None].astype(np.float32)
         _add_rows(expected[kind], skip[part], share)
         share = np.add.reduceat(share, np.flatnonzero(np.diff(at, prepend=-1)), axis=0)
         for p in places:

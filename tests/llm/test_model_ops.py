@@ -410,3 +410,9 @@ def test_sample_is_bounded(spark):
 @pytest.mark.parametrize("value, level", [(0, 0), (1, 1), (2, 2), (3, 2), (4, 3), (10**9, 15)])
 def test_levels(value, level):
     assert fm._log_level(np.array([value]))[0] == level
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 12, 32])
+def test_largest_of_each_row(width):
+    x = np.random.default_rng(width).normal(size=(50, width)).astype(np.float32)
+    assert np.array_equal(lm.row_max(x), x.max(axis=1, keepdims=True))
