@@ -34,6 +34,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 from math import ceil, log2
 
 import numpy as np
@@ -58,8 +59,8 @@ BACK = 3
 #: Before the first word of a document.
 START = CELLS
 BLOCK_WORDS = 1_500_000
-#: Words of a block that are held as texts.
-WAITING_WORDS = 100_000
+#: Text that is split into words at once, about.
+PIECE_BYTES = 1 << 20
 #: Words for each hash range of the vocabulary, about.
 RANGE_WORDS = 4_000_000
 #: Training tokens for each task of a round, about: every task sends sums as large as
@@ -69,7 +70,9 @@ TASK_TOKENS = 24_000_000
 #: together, about; cases whose scores are made at once.
 STEP_TOKENS = 100_000
 COUNT_TOKENS = 500_000
-SCORE_TOKENS = 16_384
+SCORE_TOKENS = 4_096
+#: Products of exponentials below this are worked out as sums of logs instead.
+TINY = 1e-30
 
 
 @dataclass(frozen=True)
@@ -156,50 +159,81 @@ def _block_schema(id_type) -> StructType:
     return StructType([StructField("doc_ids", ArrayType(id_type)), *StructType.fromDDL(BLOCK)])
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A-Z lowered, one after the other, and how many each text has."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data[int(bounds[0]) : int(bounds[-1])].to_pybytes().lower() if data else b"", np.uint8)
+    bounds = bounds - bounds[0]
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]  # a word ends with its text
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    ends = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(last - first + 1, out=ends[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    return words, np.diff(np.searchsorted(first, bounds))
+
+
+def _bytes_of(words: pa.Array) -> Iterator[bytes]:
+    """As ``to_pylist`` gives them, but sooner."""
+    _, offsets, data = words.buffers()
+    data = data.to_pybytes() if data else b""
+    cuts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    return (data[a:b] for a, b in pairwise(cuts))
+
+
+def _pieces_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of PIECE_BYTES after their first text at most."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1
+    return pairwise([0, *cuts.tolist(), len(texts)])
+
+
 class _Block:
-    """Documents as numbers of the block's own words; texts are let go piece by piece."""
+    """Ids of documents, tokens of each, and all words as numbers of each piece's own words."""
 
     def __init__(self) -> None:
         self.ids: list = []
-        self.lengths: list[int] = []
-        self.numbers: dict[bytes, int] = {}
-        self.tokens: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
         self.size = 0
-        self.waiting: list[list[bytes]] = []
-        self.n_waiting = 0
-
-    def add(self, doc_id, words: list[bytes]) -> None:
-        self.ids.append(doc_id)
-        self.lengths.append(len(words) + 1)
-        self.waiting.append(words)
-        self.n_waiting += len(words) + 1
-        self.size += len(words) + 1
-        if self.n_waiting >= WAITING_WORDS:
-            self.number()
-
-    def number(self) -> None:
-        for word in {w for ws in self.waiting for w in ws}:
-            self.numbers.setdefault(word, len(self.numbers))
-        place = self.numbers.__getitem__
-        for ws in self.waiting:
-            own = np.full(len(ws) + 1, -1, np.int32)  # the end comes last
-            own[:-1] = np.fromiter(map(place, ws), np.int32, len(ws))
-            self.tokens.append(own)
-        self.waiting, self.n_waiting = [], 0
+
+    def add(self, ids: list, words: pa.Array, counts: np.ndarray) -> None:
+        self.ids += ids
+        self.lengths.append(counts + 1)
+        self.words.append(words.dictionary_encode())
+        self.size += len(words) + len(ids)
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words, each token's place among them (the end comes last), and
+        the documents' lengths."""
+        lengths = np.concatenate(self.lengths).astype(np.int64)
+        words = pa.chunked_array(self.words).unify_dictionaries().combine_chunks()
+        names = words.dictionary
+        tokens = np.full(self.size, len(names), np.int32)
+        word = np.ones(self.size, bool)
+        word[np.cumsum(lengths) - 1] = False
+        tokens[word] = words.indices.to_numpy()
+        return names, tokens, lengths
 
 
 def _make_blocks(params: LmParams, schema: StructType, bits: int):
     arrow = to_arrow_schema(schema)
 
     def flush(block: _Block, number: int) -> pa.RecordBatch:
-        block.number()
-        names = list(block.numbers)
-        hashes = np.fromiter([*map(xxhash.xxh64_intdigest, names), END], np.uint64, len(names) + 1)
+        names, tokens, lengths = block.numbered()
+        hashes = np.fromiter([*map(xxhash.xxh64_intdigest, _bytes_of(names)), END], np.uint64, len(names) + 1)
         keys, at = np.unique(hashes, return_inverse=True)
         endings = np.zeros(len(keys), np.uint16)
-        endings[at[:-1]] = np.fromiter(map(ending, names), np.uint16, len(names))
-        tokens = at[np.concatenate(block.tokens)]
-        lengths = np.array(block.lengths, np.int64)
+        tails = pc.binary_slice(names, -3).dictionary_encode()
+        of_tail = np.fromiter(map(ending, tails.dictionary.to_pylist()), np.uint16, len(tails.dictionary))
+        endings[at[:-1]] = of_tail[tails.indices.to_numpy()]
+        tokens = at[tokens]
         held = np.fromiter((id_hash(d) % params.folds == params.held_fold for d in block.ids), bool, len(lengths))
         counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(keys)).astype(np.uint32)
         rank = np.empty(len(keys), np.int32)
@@ -217,9 +251,8 @@ def _make_blocks(params: LmParams, schema: StructType, bits: int):
         number = TaskContext.get().partitionId() << 24
         block = _Block()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z
-                block.add(doc_id.as_py(), words)
+            for a, b in _pieces_of(batch.column(1)):
+                block.add(batch.column(0)[a:b].to_pylist(), *split_words(batch.column(1)[a:b]))
                 if block.size >= BLOCK_WORDS:
                     yield flush(block, number)
                     block, number = _Block(), number + 1
@@ -486,16 +519,20 @@ class Model:
     def class_places(self, one: np.ndarray, two: np.ndarray, three: np.ndarray | None = None) -> list[np.ndarray]:
         """Rows of the class weights for each feature, of the cells one, two and three
         back (START if not given); the skip of three comes last."""
-        one, two = one.astype(np.uint64), two.astype(np.uint64)
-        three = np.full(len(one), START, np.uint64) if three is None else three.astype(np.uint64)
-        kinds = [
-            one,
-            two + np.uint64(1 << 12),
-            (one << np.uint64(24)) + two + np.uint64(2 << 12),
-            three + np.uint64(3 << 12),
-        ]
-        mask = np.uint64(self.params.class_rows - 1)
-        return [(mixed(k + np.uint64(BASES[0])) & mask).astype(np.uint16) for k in kinds]
+        both = one.astype(np.uint64) << np.uint64(24)
+        both += two.astype(np.uint64)
+        both += np.uint64(2 << 12)
+        first, second, third = self.lone_places()
+        three = third[START : START + 1].repeat(len(one)) if three is None else third[three]
+        return [first[one], second[two], self._class_place(both), three]
+
+    def lone_places(self) -> list[np.ndarray]:
+        """Rows of the class weights for each cell (or START) one, two and three back alone."""
+        cells = np.arange(CELLS + 1, dtype=np.uint64)
+        return [self._class_place(cells + np.uint64(kind << 12)) for kind in (0, 1, 3)]
+
+    def _class_place(self, kinds: np.ndarray) -> np.ndarray:
+        return (mixed(kinds + np.uint64(BASES[0])) & np.uint64(self.params.class_rows - 1)).astype(np.uint16)
 
     def member_place(self, place: np.ndarray, classes: np.ndarray) -> np.ndarray:
         mask = np.uint64(self.params.member_rows - 1)
@@ -503,13 +540,55 @@ class Model:
 
     def scores(self, places: list[np.ndarray], classes: np.ndarray):
         """Raw scores of classes, and of the members of each token's class, with the
-        places of the member weights."""
+        places of the member weights: the logs of what ``Powers`` multiplies."""
         z = self.class_bias + sum_rows(self.class_weights, places)
         inner = [self.member_place(p, classes) for p in places]
         y = self.member_bias[classes] + sum_rows(self.member_weights, inner)
         return z, y, inner
 
 
+@dataclass
+class Powers:
+    """e to the power of biases and weights, each row less its largest. Softmaxes of summed
+    rows are products of these over their sum; ``logs`` are for the rare ones too small."""
+
+    bias: np.ndarray
+    rows: np.ndarray
+    logs: tuple[np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of(bias: np.ndarray, weights: np.ndarray) -> "Powers":
+        logs = tuple(x - row_max(x) for x in (bias, weights))
+        return Powers(*map(np.exp, logs), logs)
+
+    def product(self, own: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+        """Of the bias row ``own`` and a row from each place."""
+        out = self.rows.take(places[0], axis=0, mode="clip")
+        for p in places[1:]:
+            out *= self.rows.take(p, axis=0, mode="clip")
+        out *= self.bias if len(self.bias) == 1 else self.bias.take(own, axis=0, mode="clip")
+        return out
+
+    def log_sums(self, own: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+        """The logs of ``product``, but for rounding."""
+        bias, rows = self.logs
+        return sum_rows(rows, places) + (bias if len(bias) == 1 else bias[own])
+
+    def chosen(self, own: np.ndarray, places: list[np.ndarray], column: np.ndarray) -> np.ndarray:
+        """The softmax at one column of each row."""
+        x = self.product(own, places)
+        value = x.reshape(-1).take(np.arange(0, x.size, x.shape[1]) + column)
+        share = value.astype(np.float64) / np.maximum(row_sums(x), np.float32(TINY))
+        low = np.flatnonzero(~(value > TINY))
+        if len(low):
+            share[low] = np.exp(log_chosen(self.log_sums(own[low], [p[low] for p in places]), column[low]))
+        return share
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def histories(cells: np.ndarray, starts: np.ndarray, lengths: np.ndarray, far: int = 2) -> list[np.ndarray]:
     """The cells one to ``far`` back of each token; START before a document."""
     back = []
@@ -556,11 +635,10 @@ def log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(total: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
-    """total[place] += row, for many tokens: sort by place and add up runs."""
-    order = np.argsort(places, kind="stable")
-    ranked = places[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    total[ranked[first]] += np.add.reduceat(rows[order], first, axis=0)
+    """total[place] += row, for many tokens: single floats two by two, as complex numbers."""
+    half = total.shape[1] // 2
+    at = places.astype(np.int64)[:, None] * half + np.arange(half)
+    np.add.at(total.view(np.complex64).reshape(-1), at.reshape(-1), rows.view(np.complex64).reshape(-1))
 
 
 def _steps(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -646,40 +724,38 @@ def _count(model: Model, keys: np.ndarray, observed, expected) -> None:
     The class softmax depends on the three cells back alone, the member softmax on these
     and the class, so each distinct case is worked out once and counts as often as it
     stands there. Cases are sorted with the word three back behind the other parts: what
-    the other features give and get is made once for all its values.
+    the other features give and get is made once for all its values. The class comes
+    first, as its member rows are then few and near.
     """
     if not len(keys):
         return
     cells, rest = keys % CELLS, keys // CELLS
     pairs, threes = rest % (CELLS + 1) ** 2, rest // (CELLS + 1) ** 2
     _count_cases(model, pairs * (CELLS + 1) + threes, None, observed, expected)
-    inner = (pairs * CLASSES + cells // MEMBERS) * (CELLS + 1) + threes
+    inner = (cells // MEMBERS * (CELLS + 1) ** 2 + pairs) * (CELLS + 1) + threes
     _count_cases(model, inner, cells % MEMBERS, observed, expected)
 
 
 def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, observed, expected) -> None:
     """Classes of (one back, two back, three back) cases, or with ``members`` the members
-    of (one back, two back, class, three back) cases and what was observed of both."""
+    of (class, one back, two back, three back) cases and what was observed of both."""
     if members is None:
         keys.sort()
         cases, n, _ = _runs(keys, np.ones(len(keys), np.int64))
-        kind, weights = "class", model.class_weights
+        kind, powers = "class", Powers.of(model.class_bias[None, :], model.class_weights)
     else:
         keys = keys * MEMBERS + members
         keys.sort()
         whole, counts, _ = _runs(keys, np.ones(len(keys), np.int64))
         cases, n, of_whole = _runs(whole // MEMBERS, counts)
         members = whole % MEMBERS
-        kind, weights = "member", model.member_weights
+        kind, powers = "member", Powers.of(model.member_bias, model.member_weights)
     heads, _, of_case = _runs(cases // (CELLS + 1), n)
     threes = START - cases % (CELLS + 1)
-    pairs = heads if members is None else heads // CLASSES
+    classes, pairs = np.divmod(heads, (CELLS + 1) ** 2)  # class 0 without members
     *near, _ = model.class_places(pairs // (CELLS + 1), pairs % (CELLS + 1))
-    skip = model.class_places(threes, threes, threes)[-1]
-    if members is None:
-        bias = model.class_bias[None, :]
-    else:
-        classes = heads % CLASSES
+    skip = model.lone_places()[-1][threes]
+    if members is not None:
         own = classes[of_case]
         for p in [*(p[of_case] for p in near), skip]:
             np.add.at(observed["class"].reshape(-1), p.astype(np.int64) * CLASSES + own, n)
@@ -687,22 +763,29 @@ def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, obs
         skip = model.member_place(skip, own)
         for p in [*(p[of_case] for p in near), skip]:
             np.add.at(observed["member"].reshape(-1), p[of_whole].astype(np.int64) * MEMBERS + members, counts)
+    sums = np.zeros(powers.rows.shape, np.float32)
     for s in range(0, len(cases), SCORE_TOKENS):
         part = slice(s, s + SCORE_TOKENS)
         at = of_case[part]
         here = slice(at[0], at[-1] + 1)
         at = at - at[0]
         places = [p[here] for p in near]
-        base = sum_rows(weights, places)
-        base += bias if members is None else model.member_bias[classes[here]]
-        share = base[at]
-        share += weights[skip[part]]
-        share = softmax(share)
-        share *= n[part, None].astype(np.float32)
-        _add_rows(expected[kind], skip[part], share)
-        share = np.add.reduceat(share, np.flatnonzero(np.diff(at, prepend=-1)), axis=0)
+        share = powers.product(classes[here], places).take(at, axis=0, mode="clip")
+        share *= powers.rows.take(skip[part], axis=0, mode="clip")
+        whole_share = row_sums(share)
+        low = np.flatnonzero(~(whole_share > TINY))
+        if len(low):
+            case = at[low]
+            logs = powers.log_sums(classes[here][case], [*(p[case] for p in places), skip[part][low]])
+            share[low], whole_share[low] = softmax(logs), 1
+        share *= (n[part] / whole_share).astype(np.float32)[:, None]
+        _add_rows(sums, skip[part], share)
+        new = np.diff(at, prepend=-1) > 0
+        of_head = share[new]
+        _add_rows(of_head, at[~new], share[~new])
         for p in places:
-            _add_rows(expected[kind], p, share)
+            _add_rows(sums, p, of_head)
+    expected[kind] += sums
 
 
 def _add_chunks(key, table):
@@ -748,8 +831,11 @@ def _score(model_of, params: LmParams, words: Vocabulary, schema: StructType):
         lengths = np.frombuffer(row["lengths"], np.int64)
         cells = np.frombuffer(row["cells"], np.uint16)
         counts = np.frombuffer(row["counts"], np.int64)
-        inside = words.inside(cells, counts)
+        inside = np.exp(words.inside(cells, counts))
         after = np.append(counts, words.documents)
+        weights = pair_weight(after, params)
+        outer = Powers.of(model.class_bias[None, :], model.class_weights)
+        inner = Powers.of(model.member_bias, model.member_weights)
         found = _found_pairs(row, answers)
         total = np.zeros(len(lengths))
         done = 0
@@ -760,11 +846,12 @@ def _score(model_of, params: LmParams, words: Vocabulary, schema: StructType):
             for s in range(0, len(x), SCORE_TOKENS):
                 part = slice(s, s + SCORE_TOKENS)
                 classes, members = x[part] // MEMBERS, x[part] % MEMBERS
-                outer, inner, _ = model.scores([p[part] for p in places], classes)
-                value[part] += log_chosen(outer, classes) + log_chosen(inner, members)
-            n = after[neighbours(ranks, own, len(counts))]
-            weight = pair_weight(n, params)
-            value = np.log10((found[done : done + len(x)] + weight * np.exp(value)) / (n + weight))
+                rows = [p[part] for p in places]
+                value[part] *= outer.chosen(classes, rows, classes)
+                value[part] *= inner.chosen(classes, [model.member_place(p, classes) for p in rows], members)
+            before = neighbours(ranks, own, len(counts))
+            n, weight = after[before], weights[before]
+            value = np.log10((found[done : done + len(x)] + weight * value) / (n + weight))
             total[a:b] = np.add.reduceat(value, starts)
             done += len(x)
         ids = row["doc_ids"]

@@ -1,4 +1,6 @@
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -146,6 +148,104 @@ def test_the_word_three_back_is_a_feature():
     assert scored[0][3] != scored[1][3]  # three back
 
 
+def quickest(f, times=7):
+    def once():
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    return min(once() for _ in range(times))
+
+
+def test_rows_are_added_without_sorting():
+    """As sorting by place and adding up runs gives, in less time."""
+    rng = np.random.default_rng(9)
+    places = np.minimum(rng.pareto(0.8, 16_384) * 50, 4095).astype(np.uint16)
+    rows = rng.random((len(places), lm.MEMBERS), np.float32)
+    got, wanted = (np.zeros((4096, lm.MEMBERS), np.float32) for _ in range(2))
+
+    def by_runs():
+        order = np.argsort(places, kind="stable")
+        ranked = places[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        wanted[ranked[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+    lm._add_rows(got, places, rows)
+    by_runs()
+    np.testing.assert_allclose(got, wanted, rtol=1e-4)
+    assert quickest(lambda: lm._add_rows(got, places, rows)) < quickest(by_runs)
+
+
+def test_shares_too_small_for_products_are_exact():
+    rng = np.random.default_rng(10)
+    params = lm.LmParams(class_rows=1 << 8, member_rows=1 << 9)
+    model = lm.Model.start(lm.Vocabulary(1, 1, np.zeros(1, np.uint64), np.zeros(1, np.int64), rng.integers(1, 9, lm.CELLS) * 1.0), params)
+    model.class_weights[:] = 60 * rng.standard_normal(model.class_weights.shape)
+    model.member_weights[:] = 60 * rng.standard_normal(model.member_weights.shape)
+    cells, lengths = rng.choice(lm.CELLS, 6_000), np.array([6_000])
+    history = lm.histories(cells, np.zeros(1, np.int64), lengths, lm.BACK)
+    classes, members = cells // lm.MEMBERS, cells % lm.MEMBERS
+    places = model.class_places(*history)
+    z, y, inner = model.scores(places, classes)
+    observed = {"class": np.zeros(model.class_weights.shape, np.int64), "member": np.zeros(model.member_weights.shape, np.int64)}
+    expected = {k: np.zeros(v.shape, np.float32) for k, v in observed.items()}
+    lm._count(model, lm.case_keys(cells, *history), observed, expected)
+    outer = lm.Powers.of(model.class_bias[None, :], model.class_weights)
+    nested = lm.Powers.of(model.member_bias, model.member_weights)
+    assert (lm.row_sums(nested.product(classes, inner)) < lm.TINY).any()
+    for kind, powers, where, chosen, logs in (("class", outer, places, classes, z), ("member", nested, inner, members, y)):
+        share = lm.softmax(logs.astype(np.float64))
+        np.testing.assert_allclose(powers.chosen(classes, where, chosen), share[np.arange(len(cells)), chosen], rtol=1e-3, atol=1e-300)
+        sums = np.zeros(expected[kind].shape)
+        for p in where:
+            np.add.at(sums, p, share)
+        np.testing.assert_allclose(expected[kind], sums, rtol=1e-3, atol=1e-2)
+
+
+def test_words_are_split_as_bytes_are():
+    """At blanks of ASCII alone, A-Z lowered, each text by itself; in less time than word by word."""
+    rng = random.Random(11)
+    letters = [*" \t\n\x0b\x0c\r\x1c\x85\xa0AbZ\u00e9\u00c9\u4e2d\x00x", "\U0001f600"]
+    for kind in (lm.pa.string(), lm.pa.large_string()):
+        for _ in range(100):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(6)]
+            column, skipped = lm.pa.array(texts, kind), rng.randint(0, 6)
+            wanted = [lower(t) for t in texts[skipped:]]
+            words, counts = lm.split_words(column[skipped:])
+            assert words.to_pylist() == sum(wanted, []) and counts.tolist() == [*map(len, wanted)]
+            block = lm._Block()
+            for a, b in lm._pieces_of(column):
+                block.add([*range(a, b)], *lm.split_words(column[a:b]))
+            names, tokens, lengths = block.numbered()
+            wanted = [lower(t) for t in texts]
+            names = [*lm._bytes_of(names), None]
+            assert [names[k] for k in tokens] == [w for ws in wanted for w in [*ws, None]]
+            assert lengths.tolist() == [len(ws) + 1 for ws in wanted] and block.ids == [*range(6)]
+    texts = lm.pa.array([" ".join(prose(i, 1000)) for i in range(100)])
+
+    def word_by_word():
+        numbers = {}
+        for text in texts:
+            words = text.as_py().encode().lower().split()
+            np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))
+
+    def numbered():
+        block = lm._Block()
+        block.add([*range(100)], *lm.split_words(texts))
+        block.numbered()
+
+    assert quickest(numbered) < quickest(word_by_word)
+
+
+def test_long_batches_are_cut_into_pieces(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE_BYTES", 10)
+    for sizes in ([], [0], [3, 3, 3, 3], [25, 0, 1, 40, 2], [10, 10]):
+        column = lm.pa.array(["x" * n for n in sizes], lm.pa.string())
+        pieces = list(lm._pieces_of(column))
+        assert [i for a, b in pieces for i in range(a, b)] == [*range(len(sizes))]
+        assert all(sum(sizes[a + 1 : b]) < 10 for a, b in pieces)
+
+
 def replayed_scores(rows, p):
     """The whole training and scoring, token by token; hashes and rows are the model's."""
     texts = {i: lower(t) + [None] for i, t in rows}
