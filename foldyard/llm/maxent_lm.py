@@ -67,10 +67,12 @@ RANGE_WORDS = 4_000_000
 #: the model, so they must stay small against the tokens.
 TASK_TOKENS = 24_000_000
 #: Tokens whose places are in memory at once, about; whose distinct cases are counted
-#: together, about; cases whose scores are made at once.
+#: together, about; cases whose scores are made at once; cases whose shares are summed in
+#: single precision before they join the others.
 STEP_TOKENS = 100_000
 COUNT_TOKENS = 500_000
 SCORE_TOKENS = 4_096
+SUM_TOKENS = 4 * SCORE_TOKENS
 #: Products of exponentials below this are worked out as sums of logs instead.
 TINY = 1e-30
 
@@ -671,8 +673,9 @@ def _sum_counts(model_of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped(model_of)
-        expected = {"class": np.zeros_like(model.class_weights), "member": np.zeros_like(model.member_weights)}
-        observed = {k: np.zeros(v.shape, np.int64) for k, v in expected.items()}
+        shapes = {"class": model.class_weights.shape, "member": model.member_weights.shape}
+        expected = {k: np.zeros(v) for k, v in shapes.items()}
+        observed = {k: np.zeros(v, np.int64) for k, v in shapes.items()}
         held: list[np.ndarray] = []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
@@ -694,7 +697,7 @@ def _sum_counts(model_of):
                             pa.array([kind]),
                             pa.array([c], pa.int32()),
                             pa.array([_packed(observed[kind][part].ravel())]),
-                            pa.array([expected[kind][part].tobytes()]),
+                            pa.array([expected[kind][part].astype(np.float32).tobytes()]),
                         ],
                         ["kind", "chunk", "observed", "expected"],
                     )
@@ -785,7 +788,9 @@ def _count_cases(model: Model, keys: np.ndarray, members: np.ndarray | None, obs
         _add_rows(of_head, at[~new], share[~new])
         for p in places:
             _add_rows(sums, p, of_head)
-    expected[kind] += sums
+        if part.stop % SUM_TOKENS == 0 or part.stop >= len(cases):
+            expected[kind] += sums
+            sums[:] = 0
 
 
 def _add_chunks(key, table):
